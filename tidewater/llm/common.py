@@ -112,7 +112,7 @@ class Rolling:
         """The hash of each span of that width, by its start."""
         h = self.sums[width:] - self.sums[: -width or None]
         h *= Rolling._down[: len(h)]
-        h += U64(width) * _LENGTH
+        h += np.full(1, width, U64) * _LENGTH
         return mix(h)
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, token_counts
+from . import bpe, chat, embeddings, mixing, quality, recompression, simhash, suffix_array, token_counts, warc
 
 QUERIES = {
+    "op1_substring_dedup": recompression.query,
+    "op2_chat_formatting": chat.query,
     "op3_token_counts": token_counts.query,
+    "op4_suffix_array_dedup": suffix_array.query,
+    "op5_simhash_near_dedup": simhash.query,
     "op6_bpe": bpe.query,
     "op7_quality_rules": quality.query,
+    "op8_embedding_near_dedup": embeddings.query,
+    "op9_source_mixing": mixing.query,
+    "op10_warc": warc.query,
 }
 #: DuckDB SQL for those queries that it can express over whole tables.
 ORACLE_SQL: dict[str, str] = {}
