@@ -143,9 +143,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     cache_path = cache_path or shared_folder(spark)
     version = tokenizer_digest(tokenizer_path)
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+    def stored():  # read anew each time: files are listed when a table is opened
+        mine = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
+        return mine.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
     copies = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_first_copies, "digest binary, packed binary")
-    misses = copies.join(stored.select("digest"), "digest", "left_anti")
+    misses = copies.join(stored().select("digest"), "digest", "left_anti")
 
     def encode(batches):
         count, unpack, seen = counter(tokenizer_path), zstandard.ZstdDecompressor(), set()
@@ -169,7 +173,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     misses.repartition("digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     keyed = docs.select(id_col, F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("digest"))
-    return keyed.join(stored, "digest").select(id_col, "n_bytes", "n_tokens")
+    return keyed.join(stored(), "digest").select(id_col, "n_bytes", "n_tokens")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
