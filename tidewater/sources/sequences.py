@@ -18,7 +18,8 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_maf(spark: SparkSession, path: str) -> DataFrame:
     """(block, org, chrom, start, size, strand, src_size, seq); the last row of an organism counts in a block."""
-    blocks = spark.read.option("lineSep", "\na ").text(path).select(F.monotonically_increasing_id().alias("block"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.col("line").startswith("s "))
+    blocks = spark.read.option("lineSep", "\na ").text(path).select(F.monotonically_increasing_id().alias("block"), "value")
+    blocks = blocks.select("block", F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.col("line").startswith("s "))
     p = F.split(F.trim("line"), r"\s+")
     rows = blocks.select("block", "at", F.substring_index(p[1], ".", 1).alias("org"), F.substring_index(p[1], ".", -1).alias("chrom"), p[2].cast("long").alias("start"), p[3].cast("long").alias("size"), p[4].alias("strand"), p[5].cast("long").alias("src_size"), p[6].alias("seq"))
     last = rows.groupBy("block", "org").agg(F.max(F.struct("at", "chrom", "start", "size", "strand", "src_size", "seq")).alias("r"))
