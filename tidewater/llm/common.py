@@ -86,7 +86,10 @@ _LENGTH = U64(0x9E3779B97F4A7C15)
 
 
 class Rolling:
-    """Hashes of any spans of one byte buffer, from prefix sums of a polynomial over random byte values modulo 2**64."""
+    """Hashes of any spans of a byte buffer or a sequence of 64-bit names, from prefix sums of a polynomial modulo 2**64.
+
+    Bytes count as random values, names as what mix() makes of them.
+    """
 
     _up, _down = np.ones(1, U64), np.ones(1, U64)
 
@@ -99,7 +102,7 @@ class Rolling:
                 table[0] = 1
                 setattr(Rolling, name, np.multiply.accumulate(table))
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[data] * Rolling._up[:n], out=self.sums[1:])
+        np.cumsum((_BYTE[data] if data.dtype == np.uint8 else mix(data)) * Rolling._up[:n], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = self.sums[ends]

@@ -30,6 +30,8 @@ from .suffix_array import merged
 
 #: Rounds of pair naming. After so many, symbols in a window of 13 words still know no more than the window.
 ROUNDS = 3
+#: Bytes of text whose symbols are named at once; words need more room than bytes.
+SLICE_BYTES = 1 << 20
 _PAIR = [U64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -91,11 +93,6 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray):
     return (Rolling(data).of(starts, ends) if len(starts) else np.empty(0, U64)), row
 
 
-def _sequence(names: np.ndarray) -> Rolling:
-    """Hashes of spans of a sequence of names, by the bytes of the names."""
-    return Rolling(np.ascontiguousarray(names).view(np.uint8))
-
-
 def word_anchors(length: int, data: np.ndarray, offsets: np.ndarray):
     """Anchors of all windows of the rows: (row, pos, lo, hi, gram hash, context hash); pos counts words of the row."""
     none = np.empty(0, np.int64)
@@ -139,13 +136,13 @@ def word_anchors(length: int, data: np.ndarray, offsets: np.ndarray):
         mine = np.nonzero(depth == k)[0]
         i = np.searchsorted(s.start, pos[mine])
         gram[mine], know_start[mine], know_end[mine] = s.name[i], s.know_start[i], s.know_end[i]
-    roll = _sequence(words)
+    roll = Rolling(words)
     # The name together with the words it knows: both are the same in equal windows.
-    gram = mix(gram ^ mix(roll.of(8 * know_start, 8 * know_end)) ^ (depth.astype(U64) << U64(60)))
+    gram = mix(gram ^ mix(roll.of(know_start, know_end)) ^ (depth.astype(U64) << U64(60)))
     base = np.searchsorted(row, np.arange(len(offsets) - 1))
     own = row[pos]
     lo, hi = pos - first, pos - last
-    context = roll.of(8 * first, 8 * (last + length))
+    context = roll.of(first, last + length)
     return own, pos - base[own], lo, hi, gram, mix(context ^ (lo.astype(U64) << U64(32)) ^ hi.astype(U64))
 
 
@@ -155,19 +152,19 @@ def word_contents(length: int, text: bytes, pos, lo, hi):
 
 
 def word_windows(length: int, content: bytes, n: int) -> np.ndarray:
-    ends = 8 * (np.arange(n) + length)
-    return _sequence(np.frombuffer(content, np.uint8)).of(ends - 8 * length, ends)
+    ends = np.arange(n) + length
+    return Rolling(np.frombuffer(content, U64)).of(ends - length, ends)
 
 
 def resolve_words(length: int, rows: np.ndarray, contents: list[bytes]):
     """Runs of windows of each content that a smaller id holds as well: (index, first, last)."""
-    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents)) // 8
     starts = np.cumsum(sizes) - sizes
     counts = (rows["lo"] - rows["hi"] + 1).astype(np.int64)
     piece = np.repeat(np.arange(len(rows)), counts)
     shift = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-    begin = starts[piece] + 8 * shift
-    window = _sequence(np.frombuffer(b"".join(contents), np.uint8)).of(begin, begin + 8 * length)
+    begin = starts[piece] + shift
+    window = Rolling(np.frombuffer(b"".join(contents), U64)).of(begin, begin + length)
     window = mix(window ^ mix(rows["gram"][piece] + (rows["lo"][piece] - shift).astype(U64)))
     order = np.argsort(window)
     new = np.ones(len(order), bool)
@@ -187,7 +184,7 @@ def resolve_words(length: int, rows: np.ndarray, contents: list[bytes]):
 
 
 def word_unit(length: int) -> Unit:
-    return Unit(length, "smaller", partial(word_anchors, length), partial(word_contents, length), partial(resolve_words, length), partial(word_windows, length))
+    return Unit(length, "smaller", SLICE_BYTES, partial(word_anchors, length), partial(word_contents, length), partial(resolve_words, length), partial(word_windows, length))
 
 
 def word_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text: str = "text") -> DataFrame:

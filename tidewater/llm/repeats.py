@@ -35,6 +35,8 @@ from .common import U64, mix, slices, staged, text_buffers
 SLICE_BYTES = 4 << 20
 #: Contexts of one gram beyond which its windows are hashed and dealt out one by one.
 HOT_CONTEXTS = 8_000
+#: Anchors that a scan task gathers before it packs them; copies among them are decided on the spot.
+ANCHORS_AT_ONCE = 500_000
 #: Bytes of contents that are compared at once, at least a whole gram's.
 RESOLVE_BYTES = 2 << 20
 #: Buckets of grams to each shuffle partition.
@@ -46,12 +48,13 @@ ANCHOR = np.dtype([("gram", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("key", "<i8
 
 @dataclass(frozen=True)
 class Unit:
-    """length of a window; anchors(data, offsets) -> (row, pos, lo, hi, gram, ctx), where windows pos - lo .. pos - hi chose pos;
+    """length of a window; mode; slice_bytes of text to look at at once; anchors(data, offsets) -> (row, pos, lo, hi, gram, ctx), where windows pos - lo .. pos - hi chose pos;
     content(text, pos, lo, hi) -> bytes of what those windows cover; resolve(anchors, contents) -> (index, first, last) runs of
     covered windows; windows(content, n) -> a hash for each of a content's n windows."""
 
     length: int
     mode: str
+    slice_bytes: int
     anchors: Callable
     contents: Callable
     resolve: Callable
@@ -181,8 +184,8 @@ def _anchor_blocks(unit: Unit, buckets: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column(1))
-            found = []
-            for i, j in slices(offsets, SLICE_BYTES):
+            found, held = [], 0
+            for i, j in slices(offsets, unit.slice_bytes):
                 part = data[offsets[i] : offsets[j]]
                 row, pos, lo, hi, gram, ctx = unit.anchors(part, offsets[i : j + 1] - offsets[i])
                 raw, o = part.tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
@@ -192,22 +195,27 @@ def _anchor_blocks(unit: Unit, buckets: int):
                 if unit.mode == "smaller":
                     out = out[out["doc"] != NO_ID]  # no id is smaller than none
                 found.append(out)
-            rows = np.concatenate(found) if found else np.empty(0, ANCHOR)
-            if not len(rows):
-                continue
-            covered, heads, _ = decide(rows, unit.mode)
-            bucket = (heads["gram"] >> U64(20)) % U64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            blocks = [(b, pack_columns(heads[order[cuts[b] : cuts[b + 1]]])) for b in range(buckets) if cuts[b + 1] > cuts[b]]
-            doc, key, start, end = _ranges_of(covered, unit.length)
-            n, m = len(blocks), len(doc)
-            none = lambda k: [None] * k
-            yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array([b for b, _ in blocks] + (key % buckets).tolist(), pa.int64()),
-                "block": pa.array([x for _, x in blocks] + none(m), pa.binary()),
-                **{name: pa.array(none(n) + column.tolist(), pa.int64()) for name, column in zip(_RANGE_NAMES, (doc, key, start, end))},
-            })
+                held += len(out)
+                if held > ANCHORS_AT_ONCE:
+                    yield packed(np.concatenate(found))
+                    found, held = [], 0
+            if held:
+                yield packed(np.concatenate(found))
+
+    def packed(rows):
+        covered, heads, _ = decide(rows, unit.mode)
+        bucket = (heads["gram"] >> U64(20)) % U64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        blocks = [(b, pack_columns(heads[order[cuts[b] : cuts[b + 1]]])) for b in range(buckets) if cuts[b + 1] > cuts[b]]
+        doc, key, start, end = _ranges_of(covered, unit.length)
+        n, m = len(blocks), len(doc)
+        none = lambda k: [None] * k
+        return pa.RecordBatch.from_pydict({
+            "bucket": pa.array([b for b, _ in blocks] + (key % buckets).tolist(), pa.int64()),
+            "block": pa.array([x for _, x in blocks] + none(m), pa.binary()),
+            **{name: pa.array(none(n) + column.tolist(), pa.int64()) for name, column in zip(_RANGE_NAMES, (doc, key, start, end))},
+        })
 
     return run
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Rolling, mix
-from .repeats import NO_ID, Unit, find_repeats, packed_texts
+from .repeats import NO_ID, SLICE_BYTES, Unit, find_repeats, packed_texts
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -162,7 +162,7 @@ def resolve_bytes(length: int, mode: str, rows: np.ndarray, contents: list[bytes
 
 def byte_unit(length: int, mode: str) -> Unit:
     gram = max(1, length * 2 // 5)
-    return Unit(length, mode, partial(byte_anchors, length, gram), partial(byte_contents, length), partial(resolve_bytes, length, mode), partial(byte_windows, length))
+    return Unit(length, mode, SLICE_BYTES, partial(byte_anchors, length, gram), partial(byte_contents, length), partial(resolve_bytes, length, mode), partial(byte_windows, length))
 
 
 def merged(spans) -> list[tuple[int, int]]:
