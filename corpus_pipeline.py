@@ -7,7 +7,6 @@ All but the last return the columns of documents. The stages' own parameters sta
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import bpe_digests
 from tidewater.llm.common import prepare, staged
@@ -22,21 +21,25 @@ REPEAT_BYTES = 200
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
+    prepare(spark)
     return quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    prepare(spark)
     return similar_dedup(docs)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of long strings are cut out of the texts."""
+    prepare(spark)
     return substring_dedup(docs, REPEAT_BYTES)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    prepare(spark)
     return take_mix(docs)
 
 
@@ -44,6 +47,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and their decoded text, as digests."""
     import public_tokenizers
 
+    prepare(spark)
     return bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

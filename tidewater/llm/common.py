@@ -18,12 +18,22 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 
 
+#: Bytes of a batch between the engine and Python; the engine's own default is eight times that.
+BATCH_BYTES = "8m"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers of a local session import this package wherever the driver was started."""
+    """Let Python workers of a local session import this package wherever the driver was started, and keep batches small.
+
+    Texts of very different lengths share a batch, and a worker holds several copies of it; a batch size that the session's
+    owner has set stays.
+    """
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if PACKAGE_ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_ROOT, have) if x)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import U64, Rolling, mix, slices, spread, text_buffers, word_spans
 
 #: Bytes of text that vectorised steps hold at once (one longer document is held alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of the sample from which costs and rejection rates are estimated.
 SAMPLE_ROWS = 256
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -230,9 +230,8 @@ def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
 
     def keep(batches):
         for batch in batches:
-            kept = [run_cascade(f, ordered) for _, _, f in _chunks(batch.column(at))]
-            if kept:
-                yield batch.filter(pa.array(np.concatenate(kept)))
+            for i, j, f in _chunks(batch.column(at)):
+                yield batch.slice(i, j - i).filter(pa.array(run_cascade(f, ordered)))
 
     return docs.mapInArrow(keep, docs.schema)
 

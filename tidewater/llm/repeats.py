@@ -181,10 +181,10 @@ def _anchor_blocks(unit: Unit, buckets: int):
     """(bucket, block, doc, key, start, end): a block of anchors, or a range that is covered for sure."""
 
     def run(batches):
+        found, held = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column(1))
-            found, held = [], 0
             for i, j in slices(offsets, unit.slice_bytes):
                 part = data[offsets[i] : offsets[j]]
                 row, pos, lo, hi, gram, ctx = unit.anchors(part, offsets[i : j + 1] - offsets[i])
@@ -199,8 +199,8 @@ def _anchor_blocks(unit: Unit, buckets: int):
                 if held > ANCHORS_AT_ONCE:
                     yield packed(np.concatenate(found))
                     found, held = [], 0
-            if held:
-                yield packed(np.concatenate(found))
+        if held:
+            yield packed(np.concatenate(found))
 
     def packed(rows):
         covered, heads, _ = decide(rows, unit.mode)
