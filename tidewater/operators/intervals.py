@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Bin sizes as powers of two, fine to coarse; the last holds any position.
-LEVELS = (7, 10, 13, 16, 19, 22, 25, 28, 31, 62)
+#: Bin sizes as powers of two, fine to coarse; the last holds any position below 2**55.
+LEVELS = (7, 11, 15, 19, 23, 27, 31, 55)
 CHUNK = 1 << 20
 
 
@@ -22,20 +22,21 @@ def from_closed(start: Column, end: Column) -> tuple[Column, Column]:
     return start, end + 1
 
 
+def _bin(level: int, place: Column) -> Column:
+    """A bin's key: its level above its number."""
+    return F.lit(level << 56) + F.shiftright(place, LEVELS[level])
+
+
 def _home_bin() -> Column:
-    out = F.lit(None).cast("string")
-    for bits in reversed(LEVELS):
-        low, high = F.shiftright("start", bits), F.shiftright(F.col("end") - 1, bits)
-        out = F.when(low == high, F.concat_ws(":", F.lit(bits), low)).otherwise(out)
+    out = F.lit(None).cast("long")
+    for level in reversed(range(len(LEVELS))):
+        own = _bin(level, F.col("start"))
+        out = F.when(own == _bin(level, F.col("end") - 1), own).otherwise(out)
     return out
 
 
 def _touched_bins() -> Column:
-    def bins(bits):
-        low, high = F.shiftright("start", bits), F.shiftright(F.col("end") - 1, bits)
-        return F.transform(F.sequence(low, high), lambda x: F.concat_ws(":", F.lit(bits), x))
-
-    return F.explode(F.concat(*map(bins, LEVELS)))
+    return F.explode(F.concat(*[F.sequence(_bin(k, F.col("start")), _bin(k, F.col("end") - 1)) for k in range(len(LEVELS))]))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, how: str = "pairs") -> DataFrame:
