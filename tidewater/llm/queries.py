@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, mixing, quality, recompression, simhash, suffix_array, token_counts, warc
+from . import bpe, chat, embeddings, mixing, oracles, quality, recompression, simhash, suffix_array, token_counts, warc
 
 QUERIES = {
     "op1_substring_dedup": recompression.query,
@@ -16,5 +16,11 @@ QUERIES = {
     "op9_source_mixing": mixing.query,
     "op10_warc": warc.query,
 }
-#: DuckDB SQL for those queries that it can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for those that it can express over whole tables; the others are tested against brute force.
+ORACLE_SQL = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op2_chat_formatting": oracles.CHAT_FORMATTING,
+    "op7_quality_rules": oracles.QUALITY_RULES,
+    "op8_embedding_near_dedup": oracles.EMBEDDING_NEAR_DEDUP,
+    "op10_warc": oracles.WARC,
+}
