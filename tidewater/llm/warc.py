@@ -79,7 +79,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_revisit_bytes: i
     keyed = pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"))
     heads = keyed.where("page_id is not null").groupBy("sha1").agg(F.max("page_id").alias("head"))
     refers = F.when((F.col("head") != F.col("page_id")) & (F.octet_length("html") >= min_revisit_bytes), F.col("head"))
-    rows = keyed.join(heads, "sha1", "left").select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
+    # Hashed on the small side, so that payloads are not sorted on their way to the writer.
+    rows = keyed.join(heads.hint("shuffle_hash"), "sha1", "left").select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 
     def write(batches):
         store, root = open_store(folder)
@@ -176,9 +177,14 @@ def record_chunks(stream, length: int, chunk: int):
 
 
 def _splits(manifest: DataFrame) -> DataFrame:
-    """Records dealt out by file and stretch of a file, each read front to back."""
+    """Records dealt out by file and stretch of a file, each read front to back.
+
+    The number of tasks follows the archives' bytes, of which the manifest's own size says nothing.
+    """
     stretch = F.floor(F.col("start") / SPLIT_BYTES)
-    return manifest.repartition("file", stretch).sortWithinPartitions("file", "start")
+    total = manifest.agg(F.sum("length")).first()[0] or 0
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-total // SPLIT_BYTES))
+    return manifest.repartition(tasks, "file", stretch).sortWithinPartitions("file", "start")
 
 
 def _records(batches):
