@@ -1,11 +1,11 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one representative a group.
 
 Equal vectors are one class with a multiplicity. k-means is fitted on a bounded sample of classes; every class is then put in
-its nearest cell (home) and shown to each cell whose centre is at most `margin` further away by angle. With the margin equal to
-the threshold's angle, of two vectors within the threshold at least one is shown to the other's home: otherwise the
-triangle inequality on the sphere would fail. So nothing is lost; a pair that both homes see counts in the lower cell.
-A cell of any size is dealt out in blocks; a task multiplies two blocks and returns link counts and a spanning star of the
-links it found, never the pairs themselves.
+its nearest cell (home) and shown to each other cell from whose border it lies at most half the threshold's angle away. Two
+vectors with different homes lie on either side of the border between these, and the angle between them is at least the
+sum of their distances to it; so of two vectors within the threshold one is shown to the other's home, and nothing is lost.
+A pair that both homes see counts in the lower cell. A cell of any size is dealt out in blocks; a task multiplies two
+blocks and returns link counts and a spanning star of the links it found, never the pairs themselves.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
 lengths are never compared; rows with a null id link with nothing, have a null component and are kept; repeated rows are
@@ -15,7 +15,7 @@ vectors of their own; an empty table gives an empty result; only the id and vect
 from __future__ import annotations
 
 import hashlib
-from math import acos
+from math import acos, sin
 
 import numpy as np
 import pyarrow as pa
@@ -24,25 +24,38 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, local_roots, staged
 
-#: Vectors of the k-means sample, classes aimed at in a cell, most cells, rows of a block.
-SAMPLE, CELL_CLASSES, MOST_CELLS, BLOCK = 20_000, 2_000, 2_048, 2_048
+#: Vectors of the k-means sample, classes aimed at in a cell, most cells, rows of a home block and of a block of shown ones.
+SAMPLE, CELL_CLASSES, MOST_CELLS, BLOCK, SHOWN_BLOCKS = 20_000, 2_000, 2_048, 2_048, 8
 
 
-def unit_rows(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def unit_rows(vectors: list[bytes], size: int) -> np.ndarray:
+    """Unit vectors, in double precision, from packed ones of 4 or 8 bytes a component."""
+    x = np.empty((len(vectors), size))
+    narrow = np.fromiter((len(v) == 4 * size for v in vectors), bool, len(vectors))
+    for few, kind in ((narrow, "<f4"), (~narrow, "<f8")):
+        at = np.nonzero(few)[0]
+        if len(at):
+            x[at] = np.frombuffer(b"".join([vectors[i] for i in at]), kind).reshape(-1, size)
     x /= np.abs(x).max(axis=1, keepdims=True)  # extreme lengths must not overflow the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _keys(batches):
-    """(id, key, vector): key is a digest of a usable vector, null for others."""
+    """(id, key, size, vec): a digest, the length and the packed components of a usable vector, null for others."""
     for batch in batches:
-        keys = []
+        keys, sizes, packed = [], [], []
         for v in batch.column(1).to_pylist():
             x = np.array([np.nan if c is None else c for c in v], np.float64) if v else np.empty(0)
-            fine = len(x) and np.isfinite(x).all() and x.any()
-            keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest() if fine else None)
-        yield pa.RecordBatch.from_pydict({"id": batch.column(0), "key": pa.array(keys, pa.binary()), "vec": batch.column(1)})
+            x = x + 0.0  # one zero
+            if len(x) and np.isfinite(x).all() and x.any():
+                with np.errstate(over="ignore"):
+                    small = x.astype("<f4")
+                keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
+                packed.append(small.tobytes() if (small == x).all() else x.astype("<f8").tobytes())
+                sizes.append(len(x))
+            else:
+                keys.append(None), packed.append(None), sizes.append(None)
+        yield pa.RecordBatch.from_pydict({"id": batch.column(0), "key": pa.array(keys, pa.binary()), "size": pa.array(sizes, pa.int32()), "vec": pa.array(packed, pa.binary())})
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -61,66 +74,75 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> n
 def fit_cells(classes: DataFrame, n: int, seed: int = 3) -> dict[int, np.ndarray]:
     """Centres by vector length from a sample of at most SAMPLE classes; a length that it lacks is one cell."""
     share = min(1.0, 1.2 * SAMPLE / max(1, n))
-    rows = [r for r in classes.select("vec").sample(share, seed).limit(SAMPLE).toArrow().column(0).to_pylist()]
+    rows = classes.select("size", "vec").sample(share, seed).limit(SAMPLE).toArrow().to_pylist()
     out = {}
-    for size in {len(r) for r in rows}:
-        own = unit_rows([r for r in rows if len(r) == size])
+    for size in {r["size"] for r in rows}:
+        own = unit_rows([r["vec"] for r in rows if r["size"] == size], size)
         out[size] = spherical_kmeans(own, max(1, min(MOST_CELLS, round(n * len(own) / len(rows) / CELL_CLASSES))))
     return out
 
 
-def _assign(centres: dict[int, np.ndarray], margin: float):
-    """(rep, many, vec, home, cells): a cell is named by its vector length and number."""
+def _separations(centres: np.ndarray) -> np.ndarray:
+    """Distances between centres; a centre's distance to itself, or to an equal one, counts as almost none."""
+    return np.maximum(np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0)), 1e-9)
+
+
+def _assign(centres: dict[int, np.ndarray], reach: float):
+    """(rep, many, size, vec, home, cells): a cell is named by its vector length and number."""
+    apart = {size: _separations(c) for size, c in centres.items()}
 
     def run(batches):
         for batch in batches:
-            vectors = batch.column(2).to_pylist()
+            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            vectors = batch.column(3).to_pylist()
             homes, shown = [None] * len(vectors), [None] * len(vectors)
-            for size in {len(v) for v in vectors}:
-                at = [i for i, v in enumerate(vectors) if len(v) == size]
+            for size in set(sizes.tolist()):
+                at = np.nonzero(sizes == size)[0].tolist()
                 for k in range(0, len(at), 1024):
                     part = at[k : k + 1024]
                     if size not in centres:
                         for i in part:
                             homes[i], shown[i] = size << 32, [size << 32]
                         continue
-                    angle = np.arccos(np.clip(unit_rows([vectors[i] for i in part]) @ centres[size].T, -1, 1))
-                    home = np.argmin(angle, axis=1)
-                    seen = angle <= angle[np.arange(len(part)), home][:, None] + margin + 1e-9
+                    dots = unit_rows([vectors[i] for i in part], size) @ centres[size].T
+                    home = np.argmax(dots, axis=1)
+                    seen = (dots[np.arange(len(part)), home][:, None] - dots) / apart[size][home] <= reach
+                    seen[np.arange(len(part)), home] = True
                     for row, i in enumerate(part):
                         homes[i] = (size << 32) + int(home[row])
                         shown[i] = ((size << 32) + np.nonzero(seen[row])[0]).tolist()
-            yield pa.RecordBatch.from_pydict({"rep": batch.column(0), "many": batch.column(1), "vec": batch.column(2), "home": pa.array(homes, pa.int64()), "cells": pa.array(shown, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"rep": batch.column(0), "many": batch.column(1), "size": batch.column(2), "vec": batch.column(3), "home": pa.array(homes, pa.int64()), "cells": pa.array(shown, pa.list_(pa.int64()))})
 
     return run
 
 
-def _block_links(centres: dict[int, np.ndarray], threshold: float, margin: float):
+def _block_links(centres: dict[int, np.ndarray], threshold: float, reach: float):
     """Rows (a, b, n): b null gives n more links of class a; else a-b connects two classes."""
+    apart = {size: _separations(c) for size, c in centres.items()}
 
     def links(rows):
         side = np.array([r[2] for r in rows])
         left, right = [r for r, s in zip(rows, side) if s != 1], [r for r, s in zip(rows, side) if s != 0]
         if not left or not right:
             return None
-        cell, same = left[0][1], bool((side == 2).any())
-        a, b = unit_rows([r[6] for r in left]), unit_rows([r[6] for r in right])
-        i, j = np.nonzero(a @ b.T >= threshold)
+        cell, size, same = left[0][1], left[0][6], bool((side == 2).any())
+        a = unit_rows([r[7] for r in left], size)
+        b = a if same else unit_rows([r[7] for r in right], size)
+        found = [np.nonzero(a @ b[k : k + BLOCK].T >= threshold) for k in range(0, len(b), BLOCK)]
+        i = np.concatenate([f[0] for f in found])
+        j = np.concatenate([f[1] + k * BLOCK for k, f in enumerate(found)])
         rep_a, rep_b = np.array([r[3] for r in left]), np.array([r[3] for r in right])
         if same:
             keep = i < j
         else:
             # The other's home may see this pair as well; then the lower cell counts it.
             home_b = np.array([r[5] for r in right])[j]
-            keep = home_b == cell
-            other = np.nonzero(~keep & (home_b < cell))[0]
-            keep[home_b > cell] = True
+            keep = home_b >= cell
+            other = np.nonzero(home_b < cell)[0]
             if len(other):
-                own = centres[len(left[0][6])]
-                low = cell & 0xFFFFFFFF
-                there = np.einsum("ij,ij->i", a[i[other]], own[home_b[other] & 0xFFFFFFFF])
-                here = a[i[other]] @ own[low]
-                keep[other] = np.arccos(np.clip(there, -1, 1)) > np.arccos(np.clip(here, -1, 1)) + margin + 1e-9
+                mine, theirs = cell & 0xFFFFFFFF, home_b[other] & 0xFFFFFFFF
+                near = np.einsum("ij,ij->i", a[i[other]], centres[size][mine] - centres[size][theirs])
+                keep[other] = near / apart[size][mine, theirs] > reach
         i, j = i[keep], j[keep]
         if not len(i):
             return None
@@ -149,15 +171,15 @@ def _block_links(centres: dict[int, np.ndarray], threshold: float, margin: float
     return run
 
 
-def embedding_links(classes: DataFrame, threshold: float = 0.95, block: int = BLOCK, margin: float | None = None) -> DataFrame:
-    """Link counts and connecting edges of the classes (rep, many, vec), as rows (a, b, n); see _block_links."""
-    margin = acos(threshold) if margin is None else margin
+def embedding_links(classes: DataFrame, threshold: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """Link counts and connecting edges of the classes (rep, many, size, vec), as rows (a, b, n); see _block_links."""
+    reach = sin(acos(threshold) / 2) + 1e-9
     centres = fit_cells(classes, classes.count())
-    placed = staged(classes.select("rep", "many", "vec").mapInArrow(_assign(centres, margin), "rep long, many long, vec array<double>, home long, cells array<long>"))
-    seen = placed.select("rep", "many", "vec", "home", F.explode("cells").alias("cell"))
+    placed = staged(classes.select("rep", "many", "size", "vec").mapInArrow(_assign(centres, reach), "rep long, many long, size int, vec binary, home long, cells array<long>"))
+    seen = placed.select("rep", "many", "size", "vec", "home", F.explode("cells").alias("cell"))
     at_home = F.col("home") == F.col("cell")
     # A row for each cell: at most MOST_CELLS for each vector length in the sample.
-    sizes = seen.groupBy("cell").agg(F.ceil(F.count(F.when(at_home, 1)) / block).cast("int").alias("homes"), F.ceil(F.count(F.when(~at_home, 1)) / block).cast("int").alias("guests"))
+    sizes = seen.groupBy("cell").agg(F.ceil(F.count(F.when(at_home, 1)) / block).cast("int").alias("homes"), F.ceil(F.count(F.when(~at_home, 1)) / (SHOWN_BLOCKS * block)).cast("int").alias("guests"))
     seen = seen.join(sizes, "cell")
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -168,15 +190,15 @@ def embedding_links(classes: DataFrame, threshold: float = 0.95, block: int = BL
     with_guests = F.transform(upto(F.col("guests")), lambda x: pair(home_block, F.col("homes") + x, F.lit(0)))
     as_guest = F.transform(upto(F.col("homes")), lambda x: pair(x, F.col("homes") + guest_block, F.lit(1)))
     tasks = F.when(at_home, F.concat(among, with_guests)).otherwise(as_guest)
-    dealt = seen.withColumn("t", F.explode(tasks)).select(F.xxhash64("cell", "t.i", "t.j").alias("task"), "cell", "t.side", "rep", "many", "home", "vec")
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_block_links(centres, threshold, margin), "a long, b long, n long")
+    dealt = seen.withColumn("t", F.explode(tasks)).select(F.xxhash64("cell", "t.i", "t.j").alias("task"), "cell", "t.side", "rep", "many", "home", "size", "vec")
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_block_links(centres, threshold, reach), "a long, b long, n long")
 
 
-def embedding_dedup(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK, margin: float | None = None) -> DataFrame:
+def embedding_dedup(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    keyed = staged(table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).mapInArrow(_keys, "id long, key binary, vec array<double>"))
-    classes = staged(keyed.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("many"), F.any_value("vec").alias("vec")))
-    found = staged(embedding_links(classes, threshold, block, margin))
+    keyed = staged(table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).mapInArrow(_keys, "id long, key binary, size int, vec binary"))
+    classes = staged(keyed.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("many"), F.any_value("size").alias("size"), F.any_value("vec").alias("vec")))
+    found = staged(embedding_links(classes, threshold, block))
     groups = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     heads = classes.select("key", "rep", "many").join(counts, "rep", "left").join(groups, F.col("rep") == F.col("id"), "left")
