@@ -81,3 +81,24 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, seen)) == sorted(map(tuple, data.where("n > 0").collect()))
     done = spark.createDataFrame([("k0",)], "k string")
     assert {r["k"] for r in stateless.only_new(data, done, "k").collect()} == {"k1"}
+
+
+def test_records(spark, tmp_path):
+    from tidewater.operators import graph
+    from tidewater.sources import records
+
+    (tmp_path / "o.obo").write_text('format: 1\n\n[Term]\nid: A:1\nname: one\nnamespace: x\nsynonym: "uno" EXACT []\n\n[Term]\nid: A:2\nname: two\nnamespace: x\nis_a: A:1 ! one\n\n[Term]\nid: A:3\nname: old\nis_obsolete: true\n\n[Typedef]\nid: r\n')
+    terms = records.read_obo(spark, str(tmp_path / "o.obo"), "x")
+    assert rows(terms.select("term", "name", "parents", "synonyms")) == [("A:1", "one", [], ["uno"]), ("A:2", "two", ["A:1"], [])]
+    assert rows(graph.ancestors(records.obo_edges(terms))) == [("A:2", "A:1", 1)]
+    assert ("unos", "A:1") in rows(graph.synonyms(terms, 3))
+    entry = "LOCUS       AB1 12 bp\nDEFINITION  a long\n            title.\nACCESSION   AB1\nSOURCE      x\n  ORGANISM  Homo sapiens\nREFERENCE   1\n  AUTHORS   Li,A. and\n            Bo,C.\n  TITLE     T\n  JOURNAL   J 1\n   PUBMED   77\nFEATURES\n     source  1..12\n             /db_xref=\"taxon:9606\"\nORIGIN\n        1 acgtac gtacgt\n//\n"
+    (tmp_path / "g.gb").write_text(entry + entry.replace("AB1", "AB2"))
+    got = records.read_genbank(spark, str(tmp_path / "g.gb"))
+    assert rows(got.select("accession", "definition", "organism", "taxon", "length", "seq"))[0] == ("AB1", "a long title.", "Homo sapiens", 9606, 12, "ACGTACGTACGT")
+    refs, links = records.reference_tables(got)
+    assert rows(refs) == [(1, "Li,A. and Bo,C.", "T", "J 1", "77")] and rows(links) == [("AB1", 1), ("AB2", 1)]
+    sparse = spark.createDataFrame([(1, {"a": "x"}), (2, {"b": "y"})], "i int, m map<string,string>")
+    assert rows(records.map_columns(sparse, "i", "m", missing="-")) == [(1, "x", "-"), (2, "-", "y")]
+    (tmp_path / "w").write_text("b\tblock1\nn\t1\nw\tACGT\nw\tTTTT\nb\tblock2\nn\t2\n")
+    assert rows(records.tagged_records(spark, str(tmp_path / "w"), "b", ["n", "w"])) == [(["block1"], ["1"], ["ACGT", "TTTT"]), (["block2"], ["2"], [])]

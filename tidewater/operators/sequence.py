@@ -211,3 +211,54 @@ def word_windows(hits: DataFrame, needed: dict[str, int], width: int) -> DataFra
     for i in range(len(needed)):
         out = out.where(F.col(f"need {i}")).drop(f"need {i}")
     return out.select("chrom", "start", "end").distinct()
+
+
+# -- models and clusters of motifs -------------------------------------------------------------------------------------
+
+
+def markov_model(seqs: DataFrame, order: int) -> DataFrame:
+    """(context, base, p) of a Markov chain: shares of the bases behind each context."""
+    words = seqs.select(F.explode(kmers("seq", order + 1)).alias("w")).groupBy(F.substring("w", 1, order).alias("context"), F.substring("w", order + 1, 1).alias("base")).agg(F.count("*").alias("n"))
+    total = words.groupBy("context").agg(F.sum("n").alias("t"))
+    return words.join(total, "context").select("context", "base", (F.col("n").cast("double") / F.col("t")).alias("p"))
+
+
+def markov_scores(seqs: DataFrame, model: DataFrame, order: int, floor: float = 1e-6) -> DataFrame:
+    """(id, n, log_p): summed log2 probability of each sequence's transitions; unseen ones count as `floor`."""
+    steps = seqs.select("id", F.explode(kmers("seq", order + 1)).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    steps = steps.select("id", "n", F.substring("w", 1, order).alias("context"), F.substring("w", order + 1, 1).alias("base"))
+    met = steps.join(model, ["context", "base"], "left")
+    return met.groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2(F.coalesce("p", F.lit(floor)))).alias("log_p"))
+
+
+def neighbours_within_one(motifs: DataFrame) -> DataFrame:
+    """(a, b) of equally long motifs that differ in one place: an equi-join on the motif with each place masked in turn."""
+    k = F.length("motif")
+    masks = F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.substring(F.col("motif"), F.lit(1), i - 1), F.lit("."), F.substring(F.col("motif"), i + 1, k)))
+    rows = motifs.where(k > 0).select("motif").distinct().select("motif", F.explode(masks).alias("mask"))
+    b = rows.select(F.col("motif").alias("b"), "mask")
+    return rows.withColumnRenamed("motif", "a").join(b, "mask").where("a < b").select("a", "b")
+
+
+def shift_by_gaps(features: DataFrame, gaps: DataFrame, insert: bool = True) -> DataFrame:
+    """Feature starts and ends moved by the gaps (chrom, pos, len) before them: to gapped places, or back to ungapped ones.
+
+    gaps.pos counts ungapped places when gaps are inserted and gapped ones when they are removed. A running sum over the union.
+    """
+    edges = F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("start").alias("pos")), F.struct(F.lit("e").alias("side"), F.col("end").alias("pos")))).alias("x")
+    ask = features.withColumn("shift id", F.struct("chrom", "start", "end", "name")).select("chrom", "shift id", edges).select("chrom", "x.pos", "x.side", "shift id", F.lit(0).cast("long").alias("len"), F.lit(1).alias("kind"))
+    told = gaps.select("chrom", "pos", F.lit(None).cast("string").alias("side"), F.lit(None).cast(ask.schema["shift id"].dataType).alias("shift id"), F.col("len").cast("long").alias("len"), F.lit(0).alias("kind"))
+    w = W.partitionBy("chrom").orderBy("pos", "kind").rowsBetween(W.unboundedPreceding, 0)
+    sums = told.unionByName(ask).withColumn("gap sum", F.sum("len").over(w)).where("kind = 1")
+    new = F.col("pos") + F.col("gap sum") * (1 if insert else -1)
+    both = sums.groupBy("shift id").agg(F.max(F.when(F.col("side") == "s", new)).alias("start"), F.max(F.when(F.col("side") == "e", new)).alias("end"))
+    return both.select("shift id.chrom", "start", "end", "shift id.name")
+
+
+def motif_clusters(hits: DataFrame, copies: int, width: int) -> DataFrame:
+    """(id, pattern, start, end) where so many copies of a pattern begin within width of each other."""
+    w = W.partitionBy("id", "pattern").orderBy("start", "end")
+    last = F.lead("end", copies - 1).over(w) if copies > 1 else F.col("end")
+    begin = F.lead("start", copies - 1).over(w) if copies > 1 else F.col("start")
+    marked = hits.withColumn("last", last).withColumn("reach", begin - F.col("start"))
+    return marked.where(F.col("reach") <= width).select("id", "pattern", "start", F.col("last").alias("end"))

@@ -817,3 +817,42 @@ def row_digest(spark, sf):
 @register("fasta_text", "SELECT '>' || p_partkey || chr(10) || rtrim(regexp_replace(p_name, '(.{10})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM part")
 def fasta_text(spark, sf):
     return sinks.fasta_text(table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("seq")), width=10)
+
+
+@register("markov_scores", """WITH k AS (SELECT p_partkey AS id, substr(p_name, i, 2) AS c, substr(p_name, i + 2, 1) AS b FROM part, unnest(range(1, length(p_name) - 1)) AS u(i)),
+  m AS (SELECT c, b, count(*) / CAST(sum(count(*)) OVER (PARTITION BY c) AS DOUBLE) AS p FROM k GROUP BY 1, 2) SELECT id, count(*) AS n, round(sum(log2(p)), 5) AS log_p FROM k JOIN m USING (c, b) GROUP BY 1""")
+def markov_scores(spark, sf):
+    seqs = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("seq"))
+    return sq.markov_scores(seqs, sq.markov_model(seqs, 2), 2).withColumn("log_p", F.round("log_p", 5))
+
+
+@register("neighbours_within_one", """WITH m AS (SELECT DISTINCT left(p_name, 4) AS s FROM part) SELECT a.s AS a, b.s AS b FROM m a JOIN m b ON a.s < b.s AND length(a.s) = length(b.s) AND hamming(a.s, b.s) = 1""")
+def neighbours_within_one(spark, sf):
+    return sq.neighbours_within_one(table(spark, sf, "part").select(F.substring("p_name", 1, 4).alias("motif")))
+
+
+@register("shift_by_gaps", f"""WITH {_SPANS}, g AS (SELECT chrom, "start" AS pos, 3 AS len FROM spans WHERE "start" % 97 = 0), s AS (SELECT * FROM spans WHERE "start" % 5 = 0)
+  SELECT chrom, "start" + coalesce((SELECT CAST(sum(len) AS BIGINT) FROM g WHERE g.chrom = s.chrom AND pos <= s."start"), 0) AS "start", "end" + coalesce((SELECT CAST(sum(len) AS BIGINT) FROM g WHERE g.chrom = s.chrom AND pos <= s."end"), 0) AS "end", name FROM s""")
+def shift_by_gaps(spark, sf):
+    s = spans(spark, sf)
+    return sq.shift_by_gaps(s.where("start % 5 = 0"), s.where("start % 97 = 0").select("chrom", F.col("start").alias("pos"), F.lit(3).alias("len")))
+
+
+@register("motif_clusters", """WITH h AS (SELECT l_partkey AS id, l_returnflag AS pattern, l_orderkey AS s, l_orderkey + 1 AS e FROM lineitem), n AS (SELECT *, lead(s, 2) OVER w AS s3, lead(e, 2) OVER w AS e3 FROM h WINDOW w AS (PARTITION BY id, pattern ORDER BY s, e))
+  SELECT id, pattern, s AS "start", e3 AS "end" FROM n WHERE s3 - s <= 500""")
+def motif_clusters(spark, sf):
+    h = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("pattern"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + 1).alias("end"))
+    return sq.motif_clusters(h, 3, 500)
+
+
+@register("score_vectors", """SELECT o_custkey, coalesce(max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 0) AS f, coalesce(max(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 0) AS p FROM orders GROUP BY 1""")
+def score_vectors(spark, sf):
+    v = ag.score_vectors(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "o_totalprice", ["F", "P"])
+    return v.select("o_custkey", F.col("scores")[0].alias("f"), F.col("scores")[1].alias("p"))
+
+
+@register("information_content", """WITH c AS (SELECT p_size AS block, i - 1 AS pos, upper(substr(p_name, i, 1)) AS base FROM part, unnest(range(1, length(p_name) + 1)) AS u(i)), n AS (SELECT block, pos, base, count(*) AS n FROM c WHERE base IN ('A', 'C', 'G', 'T') GROUP BY 1, 2, 3),
+  p AS (SELECT block, pos, n / CAST(sum(n) OVER (PARTITION BY block, pos) AS DOUBLE) AS p FROM n) SELECT block, pos, round(2 + sum(p * log2(p)), 6) AS ic FROM p GROUP BY 1, 2""")
+def information_content(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_size").alias("block"), F.col("p_partkey").alias("org"), F.col("p_name").alias("seq"))
+    return sq.information_content(rows).withColumn("ic", F.round("ic", 6)).withColumn("pos", F.col("pos").cast("long"))
