@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 def top_n(df: DataFrame, label: str, score: str, n: int, ties: list[str], out: str = "place") -> DataFrame:
     """The n rows of each label with the highest score; ties fall by the other columns, highest first."""
     place = F.row_number().over(W.partitionBy(label).orderBy(F.desc(score), *[F.desc(t) for t in ties]))
-    return df.withColumn(out, place.cast("long")).where(F.col(out) <= n)
+    # The bound stands on the bare row number, which lets each task cut its groups to n rows before the shuffle.
+    return df.withColumn(out, place).where(F.col(out) <= n).withColumn(out, F.col(out).cast("long"))
 
 
 def best_rows(df: DataFrame, key: str, score: str) -> DataFrame:
@@ -33,8 +34,8 @@ def best_matches(hits: DataFrame, n: int, max_e: float | None = None, min_identi
     if min_identity is not None:
         rows = rows.where(F.col("identity") >= min_identity)
     best = rows.groupBy("query", "subject").agg(F.min(F.struct("e_value", "identity")).alias("b")).select("query", "subject", "b.*")
-    place = F.row_number().over(W.partitionBy("query").orderBy("e_value", "subject")).cast("long")
-    return best.withColumn("place", place).where(F.col("place") <= n)
+    place = F.row_number().over(W.partitionBy("query").orderBy("e_value", "subject"))
+    return best.withColumn("place", place).where(F.col("place") <= n).withColumn("place", F.col("place").cast("long"))
 
 
 def reciprocal_best(ab: DataFrame, ba: DataFrame, max_score: float | None = None) -> DataFrame:
