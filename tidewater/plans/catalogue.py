@@ -826,9 +826,9 @@ def markov_scores(spark, sf):
     return sq.markov_scores(seqs, sq.markov_model(seqs, 2), 2).withColumn("log_p", F.round("log_p", 5))
 
 
-@register("neighbours_within_one", """WITH m AS (SELECT DISTINCT left(p_name, 4) AS s FROM part) SELECT a.s AS a, b.s AS b FROM m a JOIN m b ON a.s < b.s AND length(a.s) = length(b.s) AND hamming(a.s, b.s) = 1""")
+@register("neighbours_within_one", """WITH m AS (SELECT DISTINCT p_brand AS s FROM part) SELECT a.s AS a, b.s AS b FROM m a JOIN m b ON a.s < b.s AND length(a.s) = length(b.s) AND hamming(a.s, b.s) = 1""")
 def neighbours_within_one(spark, sf):
-    return sq.neighbours_within_one(table(spark, sf, "part").select(F.substring("p_name", 1, 4).alias("motif")))
+    return sq.neighbours_within_one(table(spark, sf, "part").select(F.col("p_brand").alias("motif")))
 
 
 @register("shift_by_gaps", f"""WITH {_SPANS}, g AS (SELECT chrom, "start" AS pos, 3 AS len FROM spans WHERE "start" % 97 = 0), s AS (SELECT * FROM spans WHERE "start" % 5 = 0)
