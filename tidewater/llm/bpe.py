@@ -68,6 +68,11 @@ class PairEncoder:
         self.words: dict[bytes, list[int]] = {}
         self.pieces: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
 
+    def forget(self) -> None:
+        """Drop the encodings met so far: a worker outlives its task and must not keep them while others run in it."""
+        self.words.clear()
+        self.pieces = {"": (b"", b"")}
+
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merges to a word's symbols."""
         n, merges = len(symbols), self.merges
@@ -184,6 +189,7 @@ def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text: s
             flat = np.frombuffer(b"".join(r[0] for r in rows), "<u4").astype(np.int32)
             ends = np.concatenate([[0], np.cumsum([len(r[0]) // 4 for r in rows])]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "decoded": pa.array([r[1].decode() for r in rows], pa.string())})
+        own.forget()
 
     return docs.select(id_col, text).mapInArrow(run, f"{id_col} {id_type}, ids array<int>, decoded string")
 
@@ -201,6 +207,7 @@ def bpe_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text:
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 plain_sha.append(hashlib.sha256(plain).hexdigest())
             yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(plain_sha, pa.string())})
+        own.forget()
 
     return docs.select(id_col, text).mapInArrow(run, f"{id_col} {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

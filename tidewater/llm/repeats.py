@@ -24,6 +24,7 @@ from typing import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -258,11 +259,11 @@ def _meet(unit: Unit, hot_contexts: int):
     def run(batches):
         blobs, now = [], None
         for batch in batches:
-            whole = batch.filter(pa.compute.is_valid(batch.column(2)))
+            whole = batch.filter(pc.is_valid(batch.column(2)))
             if whole.num_rows:  # ranges pass through
                 n = whole.num_rows
                 yield pa.RecordBatch.from_pydict({"gram": pa.nulls(n, pa.int64()), "pos": pa.nulls(n, pa.int64()), "lo": pa.nulls(n, pa.int32()), "hi": pa.nulls(n, pa.int32()), "source": pa.nulls(n, pa.bool_()), "hot": pa.nulls(n, pa.bool_()), **{x: whole.column(i + 2) for i, x in enumerate(_RANGE_NAMES)}})
-            blocks = batch.filter(pa.compute.is_valid(batch.column(1)))
+            blocks = batch.filter(pc.is_valid(batch.column(1)))
             for bucket, blob in zip(blocks.column(0).to_pylist(), blocks.column(1).to_pylist()):
                 if bucket != now and blobs:
                     yield bucket_rows(blobs)

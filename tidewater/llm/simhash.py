@@ -134,7 +134,7 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col:
     """docs without the rows that belong to another document's group; of repeated rows of the kept document all stay."""
     groups = simhash_components(docs, shingle, distance, id_col, text)
     drop = groups.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    return docs.join(drop.hint("shuffle_hash"), id_col, "left_anti")  # hashed on the ids, so that texts are not sorted
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

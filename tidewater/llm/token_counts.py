@@ -170,6 +170,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
                         fresh, texts, held = [], [], 0
             if fresh:
                 yield done()
+        count.segments.clear()  # a worker outlives its task
 
     misses.repartition("digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     keyed = docs.select(id_col, F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("digest"))
