@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import slices, wide_arrow
+from .common import release_memory, slices, wide_arrow
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Distinct pieces whose encodings a worker keeps.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -72,6 +72,7 @@ class PairEncoder:
         """Drop the encodings met so far: a worker outlives its task and must not keep them while others run in it."""
         self.words.clear()
         self.pieces = {"": (b"", b"")}
+        release_memory()
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merges to a word's symbols."""

@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 
 from .common import U64, mix, slices, staged, text_buffers
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Contexts of one gram beyond which its windows are hashed and dealt out one by one.
 HOT_CONTEXTS = 8_000
 #: Anchors that a scan task gathers before it packs them; copies among them are decided on the spot.
-ANCHORS_AT_ONCE = 500_000
+ANCHORS_AT_ONCE = 300_000
 #: Bytes of contents that are compared at once, at least a whole gram's.
 RESOLVE_BYTES = 2 << 20
 #: Buckets of grams to each shuffle partition.

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, shared_folder, slices, text_buffers, word_spans
+from .common import distinct, release_memory, shared_folder, slices, text_buffers, word_spans
 
 SLICE_BYTES = 4 << 20
 #: Distinct segments whose counts a worker keeps, and distinct digests a scan task keeps to drop copies early.
@@ -171,6 +171,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
             if fresh:
                 yield done()
         count.segments.clear()  # a worker outlives its task
+        release_memory()
 
     misses.repartition("digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     keyed = docs.select(id_col, F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("digest"))
