@@ -51,9 +51,17 @@ def spans(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("chrom"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + F.col("o_custkey") % 20 + 1).alias("end"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"))
 
 
+def roomy_items(spark, sf_dir):
+    """All line items as intervals 10 positions apart, so that neighbours overlap or leave a gap."""
+    place = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10
+    return table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("chrom"), place.alias("start"), (place + F.floor("l_quantity")).alias("end"), F.concat_ws("_", "l_orderkey", "l_linenumber").alias("name"), F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+").alias("strand"))
+
+
 _ITEMS = """items AS (SELECT l_linestatus AS chrom, l_orderkey AS "start", l_orderkey + CAST(floor(l_quantity) AS BIGINT) AS "end",
   l_orderkey || '_' || l_linenumber AS name, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand FROM lineitem)"""
 _SPANS = """spans AS (SELECT o_orderstatus AS chrom, o_orderkey AS "start", o_orderkey + o_custkey % 20 + 1 AS "end", 'o' || o_orderkey AS name FROM orders)"""
+_ROOMY_ITEMS = """items AS (SELECT l_linestatus AS chrom, l_orderkey * 100 + l_linenumber * 10 AS "start", l_orderkey * 100 + l_linenumber * 10 + CAST(floor(l_quantity) AS BIGINT) AS "end",
+  l_orderkey || '_' || l_linenumber AS name, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand FROM lineitem)"""
 _OVER = 'a.chrom = b.chrom AND a."start" < b."end" AND b."start" < a."end"'
 
 
@@ -567,6 +575,18 @@ def bidirectional_pairs(spark, sf):
     return iv.bidirectional_pairs(items(spark, sf).where("start % 50 = 0"), 100)
 
 
+@register("upstream_gaps_whole", f"""WITH {_ROOMY_ITEMS}, n AS (SELECT *, lag("end") OVER w AS a, lead("start") OVER w AS z FROM items WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end", name)),
+  u AS (SELECT chrom, CASE WHEN strand = '-' THEN "end" ELSE a END AS "start", CASE WHEN strand = '-' THEN z ELSE "start" END AS "end", name, strand FROM n) SELECT * FROM u WHERE "start" < "end" """)
+def upstream_gaps_whole(spark, sf):
+    return iv.upstream_gaps(roomy_items(spark, sf))
+
+
+@register("bidirectional_pairs_whole", f"""WITH {_ROOMY_ITEMS}, n AS (SELECT *, lead("start") OVER w AS bs, lead(strand) OVER w AS bt, lead(name) OVER w AS bn FROM items WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end", name))
+  SELECT chrom, name AS minus_name, bn AS plus_name, bs - "end" AS gap FROM n WHERE strand = '-' AND bt = '+' AND bs - "end" > 0 AND bs - "end" < 100 AND name <> bn""")
+def bidirectional_pairs_whole(spark, sf):
+    return iv.bidirectional_pairs(roomy_items(spark, sf), 100)
+
+
 @register("bins_density", """WITH e AS (SELECT event_type AS chrom, CAST(user_id AS BIGINT) AS s, event_id AS name FROM events), h AS (SELECT chrom, s // 50 AS bin, count(DISTINCT name) AS n FROM e GROUP BY 1, 2),
   a AS (SELECT chrom, unnest(range(min(bin), max(bin) + 1)) AS bin FROM h GROUP BY 1) SELECT a.chrom, a.bin, coalesce(n, 0) AS n_names FROM a LEFT JOIN h ON a.chrom = h.chrom AND a.bin = h.bin""")
 def bins_density(spark, sf):
