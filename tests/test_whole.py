@@ -15,3 +15,16 @@ def test_gaps_of_all_items(spark):
     for name, column in (("upstream_gaps_whole", "name"), ("bidirectional_pairs_whole", "minus_name")):
         orders = whole(spark, name).selectExpr(f"cast(split({column}, '_')[0] as long) as k")
         assert orders.where("k % 50 <> 0").count() > 20 * orders.where("k % 50 = 0").count() > 0
+
+
+def test_pairs_of_all_suppliers(spark):
+    suppliers = spark.read.parquet(f"{SF}/supplier.parquet").count()
+    assert suppliers > 40
+    assert whole(spark, "corr_pairs_whole").count() == suppliers * (suppliers - 1) // 2
+    assert whole(spark, "jaccard_pairs_whole").where("a > 40").count() > 0
+
+
+def test_replacement_of_all_customers(spark):
+    customers = spark.read.parquet(f"{SF}/customer.parquet").count()
+    for r in QUERIES["bootstrap_replace"](spark, SF).groupBy("replicate").agg({"*": "count"}).collect():
+        assert abs(r[1] - customers) < 0.1 * customers

@@ -375,6 +375,19 @@ def jaccard_pairs(spark, sf):
     return ag.jaccard_pairs(table(spark, sf, "lineitem").where("l_suppkey <= 40"), "l_suppkey", "l_partkey").withColumn("jaccard", F.round("jaccard", 9))
 
 
+@register("corr_pairs_whole", """WITH c AS (SELECT l_suppkey AS s, l_linenumber AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+  SELECT a.s AS a, b.s AS b, round(corr(a.v, b.v), 6) AS r, count(*) AS n FROM c a JOIN c b ON a.c = b.c AND a.s < b.s GROUP BY 1, 2""")
+def corr_pairs_whole(spark, sf):
+    cells = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("c")).agg(F.sum("l_quantity").alias("v"))
+    return ag.correlation_pairs(cells, "s", "c", "v").withColumn("r", F.round("r", 6))
+
+
+@register("jaccard_pairs_whole", """WITH i AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM i GROUP BY 1)
+  SELECT a.k AS a, b.k AS b, count(*) AS n_common, round(count(*) / CAST(any_value(x.n) + any_value(y.n) - count(*) AS DOUBLE), 9) AS jaccard FROM i a JOIN i b ON a.i = b.i AND a.k < b.k JOIN n x ON x.k = a.k JOIN n y ON y.k = b.k GROUP BY 1, 2""")
+def jaccard_pairs_whole(spark, sf):
+    return ag.jaccard_pairs(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey").withColumn("jaccard", F.round("jaccard", 9))
+
+
 @register("variant_merge", """SELECT chrom, pos, ref, alt, CASE WHEN length(ids) > 15 THEN left(ids, 15) || '...' ELSE ids END AS id, ac, 'Q=' || q || ';AC=' || ac AS info FROM
   (SELECT l_returnflag AS chrom, l_partkey AS pos, 'A' AS ref, l_linestatus AS alt, string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ',' ORDER BY CAST(l_orderkey AS VARCHAR)) AS ids, count(*) AS ac,
    string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS q FROM lineitem GROUP BY 1, 2, 3, 4)""")
@@ -468,8 +481,9 @@ def monte_carlo_share(spark, sf):
 
 @register("bootstrap_replace")
 def bootstrap_replace(spark, sf):
-    c = table(spark, sf, "customer", "c_custkey")
-    return rk.bootstrap_replace(c.where("c_custkey <= 100"), c, "c_custkey", 0.1, 5)
+    customers = table(spark, sf, "customer").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("key"))
+    parts = table(spark, sf, "part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("key"))
+    return rk.bootstrap_replace(customers, customers.unionByName(parts), "key", 0.1, 5)
 
 
 @register("shuffle_values")
