@@ -28,3 +28,15 @@ def test_replacement_of_all_customers(spark):
     customers = spark.read.parquet(f"{SF}/customer.parquet").count()
     for r in QUERIES["bootstrap_replace"](spark, SF).groupBy("replicate").agg({"*": "count"}).collect():
         assert abs(r[1] - customers) < 0.1 * customers
+
+
+def test_islands_of_all_orders(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    merged = whole(spark, "merge_overlaps_whole")
+    assert merged.agg({"n": "sum"}).first()[0] == orders and 0 < merged.where("n > 1").count() < merged.count() < orders
+    islands = merged.count()
+    assert whole(spark, "longest_in_clump_whole").count() == islands and 0 < whole(spark, "chain_features_whole").count() < islands
+    covered = whole(spark, "genome_coverage_whole").first()["bp"]
+    both = whole(spark, "genome_cc_whole").first()
+    assert both["tp"] + both["fp"] == covered and min(both["tp"], both["fp"], both["fn"]) > 0
+    assert whole(spark, "flatten_shortest_whole").selectExpr("sum(end - start)").first()[0] == covered

@@ -57,9 +57,23 @@ def roomy_items(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("chrom"), place.alias("start"), (place + F.floor("l_quantity")).alias("end"), F.concat_ws("_", "l_orderkey", "l_linenumber").alias("name"), F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+").alias("strand"))
 
 
+def roomy_spans(spark, sf_dir):
+    """All orders as intervals, starts 8 positions apart, so that some overlap and some leave a gap."""
+    place = F.col("o_orderkey") * 8
+    return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("chrom"), place.alias("start"), (place + F.col("o_custkey") % 20 + 1).alias("end"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"))
+
+
+def spots(spark, sf_dir):
+    """All line items as intervals of one position among the roomy orders."""
+    place = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("chrom"), place.alias("start"), (place + 1).alias("end"), F.concat_ws("_", "l_orderkey", "l_linenumber").alias("name"))
+
+
 _ITEMS = """items AS (SELECT l_linestatus AS chrom, l_orderkey AS "start", l_orderkey + CAST(floor(l_quantity) AS BIGINT) AS "end",
   l_orderkey || '_' || l_linenumber AS name, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand FROM lineitem)"""
 _SPANS = """spans AS (SELECT o_orderstatus AS chrom, o_orderkey AS "start", o_orderkey + o_custkey % 20 + 1 AS "end", 'o' || o_orderkey AS name FROM orders)"""
+_ROOMY_SPANS = """spans AS (SELECT o_orderstatus AS chrom, o_orderkey * 8 AS "start", o_orderkey * 8 + o_custkey % 20 + 1 AS "end", 'o' || o_orderkey AS name FROM orders)"""
+_SPOTS = """spots AS (SELECT l_linestatus AS chrom, l_orderkey * 8 + l_linenumber AS "start", l_orderkey * 8 + l_linenumber + 1 AS "end", l_orderkey || '_' || l_linenumber AS name FROM lineitem)"""
 _ROOMY_ITEMS = """items AS (SELECT l_linestatus AS chrom, l_orderkey * 100 + l_linenumber * 10 AS "start", l_orderkey * 100 + l_linenumber * 10 + CAST(floor(l_quantity) AS BIGINT) AS "end",
   l_orderkey || '_' || l_linenumber AS name, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand FROM lineitem)"""
 _OVER = 'a.chrom = b.chrom AND a."start" < b."end" AND b."start" < a."end"'
@@ -571,6 +585,39 @@ def flatten_shortest(spark, sf):
     return iv.flatten_shortest(spans(spark, sf).where("start % 8 < 2"))
 
 
+@register("merge_overlaps_whole", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 0')} SELECT chrom, min("start") AS "start", max("end") AS "end", string_agg(name, '/' ORDER BY "start", "end", name) AS name, count(*) AS n FROM i GROUP BY chrom, island""")
+def merge_overlaps_whole(spark, sf):
+    return iv.merge_overlaps(roomy_spans(spark, sf), chunk=1000)
+
+
+@register("chain_features_whole", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 5')} SELECT chrom, min("start") AS "start", max("end") AS "end", count(*) AS score FROM i GROUP BY chrom, island HAVING count(*) > 1""")
+def chain_features_whole(spark, sf):
+    return iv.chain_features(roomy_spans(spark, sf), 5, more_than=1, chunk=1000)
+
+
+@register("longest_in_clump_whole", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 0')} SELECT chrom, "start", "end", name FROM (SELECT *, row_number() OVER (PARTITION BY chrom, island ORDER BY "end" - "start" DESC, "start", name) AS r FROM i) WHERE r = 1""")
+def longest_in_clump_whole(spark, sf):
+    return iv.longest_in_clump(roomy_spans(spark, sf), chunk=1000)
+
+
+@register("genome_coverage_whole", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 0')} SELECT CAST(sum(bp) AS BIGINT) AS bp FROM (SELECT max("end") - min("start") AS bp FROM i GROUP BY chrom, island)""")
+def genome_coverage_whole(spark, sf):
+    return iv.coverage(roomy_spans(spark, sf), chunk=1000)
+
+
+@register("genome_cc_whole", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, p AS (SELECT DISTINCT chrom, unnest(range("start", "end")) AS x FROM spans), r AS (SELECT DISTINCT chrom, "start" AS x FROM spots),
+  n AS (SELECT (SELECT count(*) FROM p) AS pb, (SELECT count(*) FROM r) AS rb, (SELECT count(*) FROM p JOIN r USING (chrom, x)) AS tp)
+  SELECT tp, pb - tp AS fp, rb - tp AS fn, round((CAST(tp AS DOUBLE) * (1000000000 - pb - rb + tp) - CAST(rb - tp AS DOUBLE) * (pb - tp)) / sqrt(CAST(rb AS DOUBLE) * (1000000000 - rb) * pb * (1000000000 - pb)), 9) AS cc FROM n""")
+def genome_cc_whole(spark, sf):
+    return bm.track_benchmark(roomy_spans(spark, sf), spots(spark, sf), 1_000_000_000).select("tp", "fp", "fn", F.round("cc", 9).alias("cc"))
+
+
+@register("flatten_shortest_whole", f"""WITH {_ROOMY_SPANS}, p AS (SELECT chrom, unnest(range("start", "end")) AS x, "end" - "start" AS len, name FROM spans), w AS (SELECT chrom, x, arg_min(name, (len, name)) AS name FROM p GROUP BY 1, 2),
+  g AS (SELECT *, x - row_number() OVER (PARTITION BY chrom, name ORDER BY x) AS run FROM w) SELECT chrom, name, min(x) AS "start", max(x) + 1 AS "end" FROM g GROUP BY chrom, name, run""")
+def flatten_shortest_whole(spark, sf):
+    return iv.flatten_shortest(roomy_spans(spark, sf))
+
+
 @register("territories", f"""WITH {_SPANS}, m AS (SELECT *, CAST(floor(("start" + "end") / 2) AS BIGINT) AS mid FROM spans), n AS (SELECT *, lag(mid) OVER w AS a, lead(mid) OVER w AS z FROM m WINDOW w AS (PARTITION BY chrom ORDER BY mid, name))
   SELECT chrom, name, greatest(coalesce(CAST(floor((a + mid) / 2) AS BIGINT), mid - 100), mid - 100, 0) AS "start", least(coalesce(CAST(floor((mid + z) / 2) AS BIGINT), mid + 100), mid + 100) AS "end" FROM n""")
 def territories(spark, sf):
