@@ -40,3 +40,12 @@ def test_islands_of_all_orders(spark):
     both = whole(spark, "genome_cc_whole").first()
     assert both["tp"] + both["fp"] == covered and min(both["tp"], both["fp"], both["fn"]) > 0
     assert whole(spark, "flatten_shortest_whole").selectExpr("sum(end - start)").first()[0] == covered
+
+
+def test_neighbours_of_all_orders(spark):
+    table = spark.read.parquet(f"{SF}/orders.parquet")
+    orders, alone = table.count(), table.where("o_orderstatus = 'P'").count()  # no line item has that status
+    found = whole(spark, "nearest_neighbors_whole")
+    assert found.count() == orders and found.where("left_gene is null and right_gene is null").count() == alone
+    names = whole(spark, "annotate_names_whole")
+    assert names.count() == orders and names.where("names rlike '[1-9]_.*,'").count() > orders / 4

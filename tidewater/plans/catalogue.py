@@ -542,6 +542,18 @@ def nearest_neighbors(spark, sf):
     return iv.nearest_neighbours(s.where("start % 7 = 0"), s.where("start % 11 = 0"), chunk=1000).select("name", "left_gene", "left_distance", "right_gene", "right_distance")
 
 
+@register("annotate_names_whole", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, p AS (SELECT chrom, unnest(range("start", "end")) AS x, name FROM spans), m AS (SELECT p.name, string_agg(DISTINCT b.name, ',' ORDER BY b.name) AS names FROM p JOIN spots b ON p.chrom = b.chrom AND b."start" = x GROUP BY 1)
+  SELECT a.name, coalesce(names, 'None') AS names FROM spans a LEFT JOIN m USING (name)""")
+def annotate_names_whole(spark, sf):
+    return iv.annotate_names(roomy_spans(spark, sf), spots(spark, sf), ["name"], missing="None").select("name", "names")
+
+
+@register("nearest_neighbors_whole", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, e AS (SELECT chrom, "end" AS at, max(name) AS gene FROM spots GROUP BY 1, 2), b AS (SELECT chrom, "start" AS at, min(name) AS gene FROM spots GROUP BY 1, 2)
+  SELECT r.name, e.gene AS left_gene, r."start" - e.at AS left_distance, b.gene AS right_gene, b.at - r."end" AS right_distance FROM spans r ASOF LEFT JOIN e ON r.chrom = e.chrom AND r."start" >= e.at ASOF LEFT JOIN b ON r.chrom = b.chrom AND r."end" <= b.at""")
+def nearest_neighbors_whole(spark, sf):
+    return iv.nearest_neighbours(roomy_spans(spark, sf), spots(spark, sf), chunk=1000).select("name", "left_gene", "left_distance", "right_gene", "right_distance")
+
+
 def _islands_sql(source: str, test: str) -> str:
     return f"""a AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY "start", "end", name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
   i AS (SELECT *, sum(CASE WHEN reach IS NULL OR {test} THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY "start", "end", name) AS island FROM a)"""
