@@ -49,3 +49,10 @@ def test_neighbours_of_all_orders(spark):
     assert found.count() == orders and found.where("left_gene is null and right_gene is null").count() == alone
     names = whole(spark, "annotate_names_whole")
     assert names.count() == orders and names.where("names rlike '[1-9]_.*,'").count() > orders / 4
+
+
+def test_shifts_and_pairs_of_all_rows(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert whole(spark, "shift_by_gaps_whole").count() == orders
+    first = QUERIES["feature_pairs"](spark, SF).count()
+    assert whole(spark, "feature_pairs_whole").count() > 4 * first > 0

@@ -723,6 +723,13 @@ def feature_pairs(spark, sf):
     return iv.feature_pairs(s, "A", "R", 3, 12)
 
 
+@register("feature_pairs_whole", f"""WITH s AS (SELECT l_linestatus AS chrom, l_orderkey AS "start", l_orderkey + 2 AS "end", l_returnflag AS name FROM lineitem), a AS (SELECT *, unnest(range("end" + 3, "end" + 13)) AS x FROM s WHERE name = 'A')
+  SELECT a.chrom, a."start" AS a_start, a."end" AS a_end, b."start" AS b_start, b."end" AS b_end FROM a JOIN s b ON a.chrom = b.chrom AND b.name = 'R' AND b."start" = a.x""")
+def feature_pairs_whole(spark, sf):
+    s = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("chrom"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + 2).alias("end"), F.col("l_returnflag").alias("name"))
+    return iv.feature_pairs(s, "A", "R", 3, 12)
+
+
 @register("offset_bins", f"""WITH {_ITEMS}, {_SPANS} SELECT CAST(floor((a."start" - b."start") / 5.0) AS BIGINT) AS bin, count(*) AS n FROM items a JOIN spans b ON a.chrom = b.chrom AND a."start" < b."end" + 10 AND b."start" - 10 < a."end" GROUP BY 1""")
 def offset_bins(spark, sf):
     return iv.offset_bins(items(spark, sf), spans(spark, sf), 5, 10)
@@ -931,6 +938,13 @@ def shift_by_gaps(spark, sf):
     return sq.shift_by_gaps(s.where("start % 5 = 0"), s.where("start % 97 = 0").select("chrom", F.col("start").alias("pos"), F.lit(3).alias("len")))
 
 
+@register("shift_by_gaps_whole", f"""WITH {_SPANS}, g AS (SELECT chrom, pos, CAST(sum(sum(len)) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS moved FROM (SELECT l_linestatus AS chrom, l_orderkey AS pos, CAST(floor(l_quantity) AS BIGINT) AS len FROM lineitem) GROUP BY 1, 2)
+  SELECT s.chrom, s."start" + coalesce(a.moved, 0) AS "start", s."end" + coalesce(z.moved, 0) AS "end", s.name FROM spans s ASOF LEFT JOIN g a ON s.chrom = a.chrom AND s."start" >= a.pos ASOF LEFT JOIN g z ON s.chrom = z.chrom AND s."end" >= z.pos""")
+def shift_by_gaps_whole(spark, sf):
+    gaps = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("chrom"), F.col("l_orderkey").alias("pos"), F.floor("l_quantity").alias("len"))
+    return sq.shift_by_gaps(spans(spark, sf), gaps)
+
+
 @register("motif_clusters", """WITH h AS (SELECT l_partkey AS id, l_returnflag AS pattern, l_orderkey AS s, l_orderkey + 1 AS e FROM lineitem), n AS (SELECT *, lead(s, 2) OVER w AS s3, lead(e, 2) OVER w AS e3 FROM h WINDOW w AS (PARTITION BY id, pattern ORDER BY s, e))
   SELECT id, pattern, s AS "start", e3 AS "end" FROM n WHERE s3 - s <= 500""")
 def motif_clusters(spark, sf):
