@@ -1,6 +1,7 @@
 """Queries over whole tables: rows that the registered counterparts' filters drop take part."""
 
 from tests.compare import compare, connect
+from tidewater.operators.text import extract_nucleotides, nucleotide_strings
 from tidewater.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -56,3 +57,9 @@ def test_shifts_and_pairs_of_all_rows(spark):
     assert whole(spark, "shift_by_gaps_whole").count() == orders
     first = QUERIES["feature_pairs"](spark, SF).count()
     assert whole(spark, "feature_pairs_whole").count() > 4 * first > 0
+
+
+def test_nucleotides_of_long_texts(spark):
+    text = "ACTGGACTTAGCCATGACTG was used, " * 1500
+    assert len(nucleotide_strings(text)) == 1500 and nucleotide_strings(text, 1499) == []
+    assert extract_nucleotides(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1500

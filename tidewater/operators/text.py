@@ -21,12 +21,12 @@ def blank_out(pattern: str, text: str) -> str:
     return re.sub(pattern, lambda m: " " * len(m[0]), text)
 
 
-def nucleotide_strings(text: str, most: int = 1000) -> list[tuple[int, int, str, int]]:
+def nucleotide_strings(text: str, most: int | None = None) -> list[tuple[int, int, str, int]]:
     """(start, end, seq, parts) of nucleotide-like strings that running words spell.
 
     Words of nucleotide letters gather while they follow each other (short ones only behind a long enough beginning); long words
     that are mostly nucleotides join with their other letters taken out. Any other word ends a string, which counts if it is long
-    and varied enough. A text with more than `most` strings gives none.
+    and varied enough. A text with more than `most` strings gives none; there is no limit by default.
     """
     found, held = [], []
 
@@ -45,10 +45,10 @@ def nucleotide_strings(text: str, most: int = 1000) -> list[tuple[int, int, str,
         else:
             flush()
     flush()
-    return [] if len(found) > most else found
+    return [] if most is not None and len(found) > most else found
 
 
-def extract_nucleotides(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = 1000) -> DataFrame:
+def extract_nucleotides(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
     """A row for each nucleotide-like string of each document; the fold over words has no SQL form."""
 
     def run(batches):
