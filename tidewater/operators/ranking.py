@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .staging import written
+
 
 def top_n(df: DataFrame, label: str, score: str, n: int, ties: list[str], out: str = "place") -> DataFrame:
     """The n rows of each label with the highest score; ties fall by the other columns, highest first."""
@@ -63,8 +65,11 @@ def median_per(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """1-based position in a global order: range-sorted partitions and one offset a partition, never a single-task window."""
-    ordered = df.orderBy(*order).withColumn("at id", F.monotonically_increasing_id())
+    """1-based position in a global order: range-sorted partitions and one offset a partition, never a single-task window.
+
+    The sorted table is written once and both the offsets and the rows come from it: a second sort could cut its ranges elsewhere.
+    """
+    ordered = written(df.orderBy(*order).withColumn("at id", F.monotonically_increasing_id()))
     part, place = F.shiftright("at id", 33), F.col("at id").bitwiseAND((1 << 33) - 1)
     ordered = ordered.withColumn("at part", part).withColumn("at place", place)
     sizes = ordered.groupBy("at part").agg(F.count("*").alias("n"))
@@ -92,11 +97,15 @@ def value_ranks(df: DataFrame, value: str) -> DataFrame:
 
 
 def consecutive_number(df: DataFrame, key: str, order: list[str], reverse_when: Column | None = None, out: str = "number") -> DataFrame:
-    """1-based number inside each key in order, counted from the end where reverse_when holds."""
-    w = W.partitionBy(key)
-    up = F.row_number().over(w.orderBy(*order))
-    down = F.count("*").over(w) - up + 1
-    return df.withColumn(out, (up if reverse_when is None else F.when(reverse_when, down).otherwise(up)).cast("long"))
+    """1-based number inside each key in order, counted from the end where reverse_when holds.
+
+    Numbers are places in the order of the whole table less the key's first place, so a hot key is spread over tasks.
+    """
+    ranked = global_rank(df, [F.col(key), *map(F.col, order)], "place in all")
+    ends = ranked.groupBy(F.col(key).alias("number key")).agg(F.min("place in all").alias("first place"), F.max("place in all").alias("last place"))
+    up, down = F.col("place in all") - F.col("first place") + 1, F.col("last place") - F.col("place in all") + 1
+    met = ranked.join(ends, F.col(key).eqNullSafe(F.col("number key")))
+    return met.withColumn(out, up if reverse_when is None else F.when(reverse_when, down).otherwise(up)).drop("place in all", "number key", "first place", "last place")
 
 
 def consecutive_pairs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
