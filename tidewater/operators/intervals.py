@@ -1,19 +1,22 @@
 """Interval algebra over half-open ranges (chrom, start, end): overlaps, nearest neighbours, chains, coverage and tiles.
 
-Overlaps meet through a hierarchy of bins: an interval lies in the one smallest bin that holds it whole, and is looked for
-in every bin, of each size, that the other side touches. That is an equi-join on (chrom, bin), each pair comes up once, and a
-long interval costs one row on its own side instead of one a bin. Running values along a chromosome are taken in chunks of
-positions with a carry of one row a chunk, so no task holds a whole chromosome.
+Overlapping pairs meet in bins whose width is at least their longer member's length, so each side touches two bins at most. An interval
+is put in the bins of its own width class and of every wider class that the other side has; a pair counts in the bin where its
+overlap begins. That is an equi-join on (chrom, class, bin) with one or two rows an interval where lengths are alike. Whether
+an interval overlaps anything at all needs no pairs: it is a running greatest end. Running values along a chromosome, and the row
+before or behind, are taken in chunks of positions with a carry of one row a chunk, so no task holds a whole chromosome.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Bin sizes as powers of two, fine to coarse; the last holds any position below 2**55.
-LEVELS = (7, 11, 15, 19, 23, 27, 31, 55)
+#: Width classes: bins of 2**6 positions for the shortest intervals, eight times as many for each further class.
+FIRST_WIDTH, CLASS_STEP, MOST_CLASSES = 6, 3, 18
 CHUNK = 1 << 20
 
 
@@ -22,41 +25,71 @@ def from_closed(start: Column, end: Column) -> tuple[Column, Column]:
     return start, end + 1
 
 
-def _bin(level: int, place: Column) -> Column:
-    """A bin's key: its level above its number."""
-    return F.lit(level << 56) + F.shiftright(place, LEVELS[level])
+def _class_of(start: Column, end: Column) -> Column:
+    """The least width class whose bins are as wide as the interval."""
+    out = F.lit(MOST_CLASSES)
+    for k in reversed(range(MOST_CLASSES)):
+        out = F.when(end - start <= (1 << (FIRST_WIDTH + CLASS_STEP * k)), k).otherwise(out)
+    return out
 
 
-def _home_bin() -> Column:
-    out = F.lit(None).cast("long")
-    for level in reversed(range(len(LEVELS))):
-        own = _bin(level, F.col("start"))
-        out = F.when(own == _bin(level, F.col("end") - 1), own).otherwise(out)
-    return out
+def width_classes(*frames: DataFrame) -> list[list[int]]:
+    """The width classes of each track, at most MOST_CLASSES + 1 numbers a track reach the driver; one pass over starts and ends."""
+    every = [df.where(F.col("start") < F.col("end")).select(F.lit(i).alias("track"), _class_of(F.col("start"), F.col("end")).alias("class")) for i, df in enumerate(frames)]
+    rows = reduce(DataFrame.unionByName, every).distinct().collect()
+    return [sorted(r["class"] for r in rows if r["track"] == i) for i in range(len(frames))]
 
 
-def _touched_bins() -> Column:
-    return F.explode(F.concat(*[F.sequence(_bin(k, F.col("start")), _bin(k, F.col("end") - 1)) for k in range(len(LEVELS))]))
+def _binned(df: DataFrame, own: str, classes: list[int], prefix: str) -> DataFrame:
+    """A row for each bin that an interval touches in its own class and the wider ones of the list."""
+    start, end, mine = F.col(f"{prefix}start"), F.col(f"{prefix}end"), F.col(own)
 
+    def touched(k: int) -> Column:
+        shift = FIRST_WIDTH + CLASS_STEP * k
+        return F.when(mine <= k, F.transform(F.sequence(F.shiftright(start, shift), F.shiftright(end - 1, shift)), lambda b: F.struct(F.lit(k).alias("class"), b.alias("bin"))))
 
-def overlap_join(left: DataFrame, right: DataFrame, how: str = "pairs") -> DataFrame:
+    every = F.explode(F.flatten(F.array_compact(F.array(*map(touched, classes)))))
+    return df.withColumn(f"{prefix}at", every)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, how: str = "pairs", classes: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """Pairs of overlapping rows as structs l and r; `semi` or `anti` gives the rows of left that overlap something or nothing.
 
-    Intervals without length overlap nothing. Pairs carry overlap_bp.
+    Intervals without length overlap nothing. Pairs carry overlap_bp. The tracks' width classes are looked up unless given.
     """
-    a = left.withColumn("l", F.struct(*left.columns)).withColumn("l id", F.monotonically_increasing_id() if how != "pairs" else F.lit(0))
-    full = a.where(F.col("start") < F.col("end"))
-    a_bins = full.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "l", "l id").withColumn("bin", _home_bin())
-    b = right.where(F.col("start") < F.col("end")).select(F.col("chrom").alias("r chrom"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.struct(*right.columns).alias("r"))
-    b_bins = b.withColumn("bin", _touched_bins()).select("r chrom", F.col("start").alias("r start"), F.col("end").alias("r end"), "r", F.col("bin").alias("r bin"))
-    on = (F.col("chrom") == F.col("r chrom")) & (F.col("bin") == F.col("r bin")) & (F.col("start") < F.col("r end")) & (F.col("r start") < F.col("end"))
-    if how == "semi":
-        return a_bins.join(b_bins, on, "left_semi").select("l.*")
-    if how == "anti":
-        empty = left.where(~(F.col("start") < F.col("end")))
-        return a_bins.join(b_bins, on, "left_anti").select("l.*").unionByName(empty)
-    bp = F.least("end", "r end") - F.greatest("start", "r start")
-    return a_bins.join(b_bins, on).select("l", "r", bp.alias("overlap_bp"))
+    if how != "pairs":
+        return _overlapping(left, right, how == "semi")
+    of_left, of_right = classes or width_classes(left, right)
+    if not of_left or not of_right:
+        of_left, of_right = [0], [0]
+    every = sorted({*of_left, *of_right})
+    # A pair meets in the wider of its two classes.
+    a_classes, b_classes = [k for k in every if k in of_left or k > min(of_left)], [k for k in every if k in of_right or k > min(of_right)]
+    side = lambda df, p: df.where(F.col("start") < F.col("end")).select(F.col("chrom").alias(f"{p} chrom"), F.col("start").cast("long").alias(f"{p} start"), F.col("end").cast("long").alias(f"{p} end"), F.struct(*map(_quoted, df.columns)).alias(p), _class_of(F.col("start"), F.col("end")).alias(f"{p} class"))
+    a = _binned(side(left, "l"), "l class", a_classes, "l ")
+    b = _binned(side(right, "r"), "r class", b_classes, "r ")
+    begin = F.greatest("l start", "r start")
+    first = F.expr(f"shiftright(greatest(`l start`, `r start`), cast({FIRST_WIDTH} + {CLASS_STEP} * `l at`.class as int)) = `l at`.bin")
+    on = (F.col("l chrom") == F.col("r chrom")) & (F.col("l at") == F.col("r at")) & (F.col("l start") < F.col("r end")) & (F.col("r start") < F.col("l end"))
+    met = a.join(b, on & (F.greatest("l class", "r class") == F.col("l at")["class"]) & first)
+    return met.select("l", "r", (F.least("l end", "r end") - begin).alias("overlap_bp"))
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _overlapping(left: DataFrame, right: DataFrame, wanted: bool) -> DataFrame:
+    """Rows of left that do or do not overlap a row of right: the greatest end of all that begin before a row's end tells."""
+    ask = left.select("chrom", F.col("end").cast("long").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("reach"), F.struct(*map(_quoted, left.columns)).alias("l"))
+    ends = right.where(F.col("start") < F.col("end")).groupBy("chrom", F.col("start").cast("long").alias("pos")).agg(F.max(F.col("end").cast("long")).alias("reach"))
+    both = ask.unionByName(ends.select("chrom", "pos", F.lit(1).alias("kind"), "reach", F.lit(None).cast(ask.schema["l"].dataType).alias("l")))
+    known = prefix_max(both.where(F.col("chrom").isNotNull() & F.col("pos").isNotNull()), F.col("reach"), ["pos", "kind"], "greatest", False).where("kind = 0")
+    hit = F.coalesce((F.col("l.start") < F.col("l.end")) & (F.col("greatest") > F.col("l.start")), F.lit(False))
+    out = known.where(hit if wanted else ~hit).select("l.*")
+    if wanted:
+        return out
+    return out.unionByName(left.where(F.col("chrom").isNull() | F.col("end").isNull()))
 
 
 def annotate_names(features: DataFrame, annotation: DataFrame, key: list[str], sep: str = ",", most: int | None = None, missing: str | None = None) -> DataFrame:
@@ -70,10 +103,12 @@ def annotate_names(features: DataFrame, annotation: DataFrame, key: list[str], s
 
 
 def contained_in(small: DataFrame, big: DataFrame) -> DataFrame:
-    """Rows of small that lie whole inside a row of big, once each."""
-    a = small.withColumn("s id", F.monotonically_increasing_id())
-    inside = overlap_join(a, big).where((F.col("l.start") >= F.col("r.start")) & (F.col("l.end") <= F.col("r.end")))
-    return inside.select("l.*").dropDuplicates(["s id"]).drop("s id")
+    """Rows of small that lie whole inside a row of big, once each: the greatest end of all that begin at or before a row's start tells."""
+    ask = small.where(F.col("start") < F.col("end")).select("chrom", F.col("start").cast("long").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("reach"), F.struct(*map(_quoted, small.columns)).alias("l"))
+    ends = big.where(F.col("start") < F.col("end")).groupBy("chrom", F.col("start").cast("long").alias("pos")).agg(F.max(F.col("end").cast("long")).alias("reach"))
+    both = ask.unionByName(ends.select("chrom", "pos", F.lit(0).alias("kind"), "reach", F.lit(None).cast(ask.schema["l"].dataType).alias("l")))
+    known = prefix_max(both.where(F.col("chrom").isNotNull()), F.col("reach"), ["pos", "kind"], "greatest", False).where("kind = 1")
+    return known.where(F.col("greatest") >= F.col("l.end")).select("l.*")
 
 
 def overlap_bp(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -163,38 +198,38 @@ def coverage(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def flatten_shortest(df: DataFrame) -> DataFrame:
     """Disjoint stretches, each named after the shortest feature that covers it; equal neighbours are joined."""
     cuts = df.select("chrom", F.explode(F.array("start", "end")).alias("start")).distinct()
-    pieces = cuts.withColumn("end", F.lead("start").over(W.partitionBy("chrom").orderBy("start"))).where("end is not null")
+    pieces = suffix_min(cuts, F.col("start"), ["start"], "end", False).where("end is not null")
     met = overlap_join(pieces, df).groupBy("l.chrom", "l.start", "l.end").agg(F.min(F.struct((F.col("r.end") - F.col("r.start")).alias("len"), F.col("r.name").alias("name"))).alias("b"))
     rows = met.select("chrom", "start", "end", F.col("b.name").alias("name"))
-    last = W.partitionBy("chrom").orderBy("start")
-    new = (F.lag("name").over(last).isNull()) | (F.lag("name").over(last) != F.col("name")) | (F.lag("end").over(last) != F.col("start"))
-    runs = rows.withColumn("new", new)
-    runs = runs.withColumn("run", F.max(F.when(F.col("new"), F.col("start"))).over(last.rowsBetween(W.unboundedPreceding, 0)))
+    # The row before is the one with the greatest start so far.
+    rows = prefix_max(rows, F.struct("start", "end", "name"), ["start"], "before", False)
+    new = F.col("before").isNull() | ~F.col("before.name").eqNullSafe(F.col("name")) | (F.col("before.end") != F.col("start"))
+    runs = prefix_max(rows, F.when(new, F.col("start")), ["start"], "run", True)
     return runs.groupBy("chrom", "run", "name").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def territories(df: DataFrame, flank: int) -> DataFrame:
     """Each feature's stretch from midway to the one before to midway to the next, at most flank from its middle."""
-    w = W.partitionBy("chrom").orderBy("mid", "name")
     mids = df.withColumn("mid", F.floor((F.col("start") + F.col("end")) / 2))
-    left = F.coalesce(F.floor((F.lag("mid").over(w) + F.col("mid")) / 2), F.col("mid") - flank)
-    right = F.coalesce(F.floor((F.col("mid") + F.lead("mid").over(w)) / 2), F.col("mid") + flank)
+    mids = suffix_min(prefix_max(mids, F.col("mid"), ["mid", "name"], "before", False), F.col("mid"), ["mid", "name"], "behind", False)
+    left = F.coalesce(F.floor((F.col("before") + F.col("mid")) / 2), F.col("mid") - flank)
+    right = F.coalesce(F.floor((F.col("mid") + F.col("behind")) / 2), F.col("mid") + flank)
     return mids.select("chrom", F.greatest(left, F.col("mid") - flank, F.lit(0)).alias("start"), F.least(right, F.col("mid") + flank).alias("end"), "name")
 
 
 def upstream_gaps(df: DataFrame) -> DataFrame:
     """The stretch between each feature and its neighbour on the 5' side; overlapping neighbours leave none."""
-    w = W.partitionBy("chrom").orderBy("start", "end", "name")
-    before, after = F.lag("end").over(w), F.lead("start").over(w)
-    start = F.when(F.col("strand") == "-", F.col("end")).otherwise(before)
-    end = F.when(F.col("strand") == "-", after).otherwise(F.col("start"))
-    return df.withColumn("up_start", start).withColumn("up_end", end).where("up_start < up_end").select("chrom", F.col("up_start").alias("start"), F.col("up_end").alias("end"), "name", "strand")
+    order = ["start", "end", "name"]
+    rows = prefix_max(df, F.struct("start", "end"), order, "row before", False)
+    rows = suffix_min(rows, F.col("start"), order, "start behind", False)
+    start = F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("row before.end"))
+    end = F.when(F.col("strand") == "-", F.col("start behind")).otherwise(F.col("start"))
+    return rows.withColumn("up_start", start).withColumn("up_end", end).where("up_start < up_end").select("chrom", F.col("up_start").alias("start"), F.col("up_end").alias("end"), "name", "strand")
 
 
 def bidirectional_pairs(df: DataFrame, max_gap: int) -> DataFrame:
     """Neighbours on - and + strand with a gap between 0 and max_gap and different names."""
-    w = W.partitionBy("chrom").orderBy("start", "end", "name")
-    rows = df.withColumn("b", F.lead(F.struct("start", "strand", "name")).over(w))
+    rows = suffix_min(df, F.struct("start", "end", "name", "strand"), ["start", "end", "name"], "b", False)
     gap = F.col("b.start") - F.col("end")
     return rows.where((F.col("strand") == "-") & (F.col("b.strand") == "+") & (gap > 0) & (gap < max_gap) & (F.col("name") != F.col("b.name"))).select("chrom", F.col("name").alias("minus_name"), F.col("b.name").alias("plus_name"), gap.alias("gap"))
 
@@ -274,9 +309,9 @@ def region_span(df: DataFrame) -> DataFrame:
 
 def runs_above(df: DataFrame, value: str, low: float, high: float, least: int = 1) -> DataFrame:
     """Runs of consecutive positions (chrom, pos) whose value lies in the range, as intervals."""
-    inside = df.where(F.col(value).between(low, high))
-    run = F.col("pos") - F.row_number().over(W.partitionBy("chrom").orderBy("pos"))
-    spans = inside.withColumn("run", run).groupBy("chrom", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    inside = prefix_max(df.where(F.col(value).between(low, high)), F.col("pos"), ["pos"], "before", False)
+    new = F.col("before").isNull() | (F.col("before") < F.col("pos") - 1)
+    spans = prefix_max(inside, F.when(new, F.col("pos")), ["pos"], "run", True).groupBy("chrom", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
     return spans.where(F.col("end") - F.col("start") >= least).drop("run")
 
 
@@ -316,6 +351,180 @@ def name_compare(a: DataFrame, b: DataFrame, close: int = 10, near: int = 200) -
 
 def lift_features(df: DataFrame, hits: DataFrame) -> DataFrame:
     """Features moved through the best overlapping hit (highest score): hits have chrom, start, end, to_chrom, to_start, score."""
-    best = overlap_join(df, hits).groupBy("l").agg(F.max(F.struct("r.score", "r.to_chrom", "r.to_start", F.col("r.start").alias("from"))).alias("b"))
+    # Equal features move alike; they meet the hits once and come out as often as they went in.
+    once = df.groupBy(*map(_quoted, df.columns)).agg(F.count("*").alias("lift copies"))
+    best = overlap_join(once, hits).groupBy("l").agg(F.max(F.struct("r.score", "r.to_chrom", "r.to_start", F.col("r.start").alias("from"))).alias("b"))
     shift = F.col("b.to_start") - F.col("b.from")
+    best = best.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("l.lift copies").cast("int"))))
     return best.select(F.col("b.to_chrom").alias("chrom"), (F.col("l.start") + shift).alias("start"), (F.col("l.end") + shift).alias("end"), F.col("l.name").alias("name"))
+
+
+# -- names, blocks, windows ------------------------------------------------------------------------------------------
+
+
+def rewrite_names(df: DataFrame, pattern: str, replacement: str, column: str = "name") -> DataFrame:
+    """Names through a regular expression; groups are written $1."""
+    return df.withColumn(column, F.regexp_replace(column, pattern, replacement))
+
+
+def with_length(df: DataFrame, more_than: int | None = None) -> DataFrame:
+    """Adds `length`; with a bound only longer features stay."""
+    out = df.withColumn("length", F.col("end") - F.col("start"))
+    return out if more_than is None else out.where(F.col("length") > more_than)
+
+
+def trim_blocks(df: DataFrame) -> DataFrame:
+    """Blocks of a feature (block_starts, block_sizes in order) cut so that none reaches into one before it; eaten ones go."""
+    zero = F.expr("named_struct('reach', 0L, 'out', cast(array() as array<struct<start: bigint, size: bigint>>))")
+
+    def step(acc, b):
+        start, end = F.greatest(b["block_starts"].cast("long"), acc["reach"]), (b["block_starts"] + b["block_sizes"]).cast("long")
+        kept = F.when(start < end, F.concat(acc["out"], F.array(F.struct(start.alias("start"), (end - start).alias("size"))))).otherwise(acc["out"])
+        return F.struct(F.greatest(end, acc["reach"]).alias("reach"), kept.alias("out"))
+
+    blocks = F.aggregate(F.arrays_zip("block_starts", "block_sizes"), zero, step, lambda acc: acc["out"])
+    out = df.withColumn("trimmed", blocks)
+    return out.withColumn("block_starts", F.transform("trimmed", lambda x: x["start"])).withColumn("block_sizes", F.transform("trimmed", lambda x: x["size"])).drop("trimmed")
+
+
+def exon_blocks_without(df: DataFrame, other: DataFrame, *keep: str) -> DataFrame:
+    """The blocks of features that overlap nothing of the other track."""
+    return overlap_join(explode_blocks(df, *keep), other, "anti")
+
+
+def same_name_cover(df: DataFrame) -> DataFrame:
+    """(chrom, name, start, end, n): from the first start to the last end of neighbours with one name."""
+    order = ["start", "end", "name"]
+    rows = prefix_max(df, F.struct("start", "end", "name"), order, "row before", False)
+    new = F.col("row before").isNull() | (F.col("row before.name") != F.col("name"))
+    runs = prefix_max(rows, F.when(new, F.struct("start", "end", "name")), order, "run", True)
+    return runs.groupBy("chrom", "run", "name").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("run")
+
+
+def collapse_overlaps(df: DataFrame) -> DataFrame:
+    """Runs of overlapping features as one (chrom, start, end, name): from the first's start to the greatest end, named by the first."""
+    runs = islands(df, ties=("name",))
+    first = F.min(F.struct("start", "end", "name")).alias("f")
+    return runs.groupBy("chrom", "island").agg(F.max("end").alias("end"), first).select("chrom", F.col("f.start").alias("start"), "end", F.col("f.name").alias("name"))
+
+
+def chain_hits(hits: DataFrame, max_dist: int) -> DataFrame:
+    """Hits with the id of their chain: neighbours at most max_dist apart; the id is a digest of its place, so reruns agree."""
+    return islands(hits, gap=max_dist, ties=("name",), touching=True).withColumn("chain", F.xxhash64("chrom", "island")).drop("island")
+
+
+def next_of(df: DataFrame, others: DataFrame) -> DataFrame:
+    """(chrom, start, end, name, next_start, next_name): the first of the others that begins at or behind a feature's end."""
+    ask = df.select("chrom", F.col("end").alias("pos"), F.lit(0).alias("kind"), "start", "end", "name")
+    told = others.select("chrom", F.col("start").alias("pos"), F.lit(1).alias("kind"), "start", "end", "name")
+    got = suffix_min(ask.unionByName(told), F.when(F.col("kind") == 1, F.struct(F.col("start").alias("at"), F.col("name").alias("name"))), ["pos", "kind", "name"], "next", False)
+    return got.where("kind = 0").select("chrom", "start", "end", "name", F.col("next.at").alias("next_start"), F.col("next.name").alias("next_name"))
+
+
+def closest_genes(neighbours: DataFrame, flank: str = "closest", max_dist: int = 1 << 40) -> DataFrame:
+    """Adds `genes` to nearest_neighbours' rows: the nearer one within max_dist (ties go right), `both`, or `downstream` the right one."""
+    left, right = F.col("left_distance"), F.col("right_distance")
+    far = F.lit(1 << 60)
+    if flank == "both":
+        genes = F.array_compact(F.array(F.when(left < max_dist, F.col("left_gene")), F.when(right < max_dist, F.col("right_gene"))))
+    elif flank == "downstream":
+        genes = F.array_compact(F.array(F.when(right < max_dist, F.col("right_gene"))))
+    else:
+        nearer = F.when(F.coalesce(left, far) < F.coalesce(right, far), F.when(left < max_dist, F.col("left_gene"))).otherwise(F.when(right < max_dist, F.col("right_gene")))
+        genes = F.array_compact(F.array(nearer))
+    return neighbours.withColumn("genes", genes)
+
+
+def same_features(df: DataFrame, other: DataFrame, by_place: bool = True, sep: str = "/") -> DataFrame:
+    """Rows that share a name token with a row of the other track, at the same place unless by_place is off."""
+    place = ["chrom", "start", "end"] if by_place else []
+    tokens = lambda d: d.select(*place, F.explode(F.split("name", sep)).alias("token")).distinct()
+    names = df.select(*place, "name").distinct().select(*place, "name", F.explode(F.split("name", sep)).alias("token"))
+    hit = names.join(tokens(other), [*place, "token"], "left_semi").select(*place, "name").distinct()
+    return df.join(hit, [*place, "name"], "left_semi")
+
+
+def window_counts(df: DataFrame, width: int, step: int = 1, names: bool = False) -> DataFrame:
+    """(chrom, pos, n): features, or distinct names, that begin in [pos, pos + width) for each multiple of step where there are any.
+
+    Each feature is told to the windows that hold its start, width / step of them; counts are partial aggregates.
+    """
+    first = F.floor((F.col("start") - width) / step).cast("long") + 1
+    places = F.explode(F.transform(F.sequence(first, F.floor(F.col("start") / step).cast("long")), lambda k: k * step)).alias("pos")
+    rows = df.select("chrom", "name", places).where("pos >= 0")
+    return rows.groupBy("chrom", "pos").agg((F.count_distinct("name") if names else F.count("*")).alias("n"))
+
+
+def named_clusters(df: DataFrame, first: str, second: str, most: int, third: str | None = None, both_ways: bool = False) -> DataFrame:
+    """Stretches (chrom, start, end) where `second` begins 0 .. most behind the end of `first` (and `third` likewise behind it).
+
+    both_ways also takes the names in the other order. Range joins in bins; each stretch once.
+    """
+    out = None
+    for names in [[first, second, third], [third, second, first] if third else [second, first, None]][: 1 + both_ways]:
+        pairs = feature_pairs(df, names[0], names[1], 0, most).select("chrom", F.col("a_start").alias("start"), F.col("b_end").alias("end"), F.lit("pair").alias("name"))
+        if names[2]:
+            both = pairs.unionByName(df.where(F.col("name") == names[2]).select("chrom", "start", "end", "name"))
+            pairs = feature_pairs(both, "pair", names[2], 0, most).select("chrom", F.col("a_start").alias("start"), F.col("b_end").alias("end"))
+        out = pairs.select("chrom", "start", "end") if out is None else out.unionByName(pairs.select("chrom", "start", "end"))
+    return out.distinct()
+
+
+def spacer_shuffle(df: DataFrame, seed: int = 1) -> DataFrame:
+    """A random track with the features' lengths and the spacers before them, each chromosome's in a seeded order of their own.
+
+    Lengths and spacers keep together in pairs; new starts are running sums. One window a chromosome over its features.
+    """
+    rows = prefix_max(df, F.col("end"), ["start", "end", "name"], "reach", False)
+    rows = rows.select("chrom", "name", (F.col("end") - F.col("start")).alias("len"), F.greatest(F.col("start") - F.coalesce("reach", F.lit(0)), F.lit(0)).alias("spacer"), "start")
+    w = W.partitionBy("chrom").orderBy(F.xxhash64(F.lit(seed), "name", "start"), "name", "start").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumn("end", F.sum(F.col("len") + F.col("spacer")).over(w))
+    return out.select("chrom", (F.col("end") - F.col("len")).alias("start"), "end", "name")
+
+
+def overlap_significance(features: DataFrame, reference: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
+    """(overlaps, rounds, as_many, p): how often a shuffled track overlaps the reference as often as the features do; p = (as_many + 1) / (rounds + 1)."""
+    count = lambda d, k: overlap_join(d, reference, "semi").agg(F.lit(k).alias("round"), F.count("*").alias("n"))
+    own = count(features, 0)
+    shuffled = reduce(DataFrame.unionByName, [count(spacer_shuffle(features, seed + k), k) for k in range(1, rounds + 1)])
+    met = shuffled.crossJoin(F.broadcast(own.select(F.col("n").alias("overlaps"))))  # a row a round
+    out = met.groupBy("overlaps").agg(F.count("*").alias("rounds"), F.count_if(F.col("n") >= F.col("overlaps")).alias("as_many"))
+    return out.withColumn("p", (F.col("as_many") + 1).cast("double") / (F.col("rounds") + 1))
+
+
+def paired_ends(hits: DataFrame, least: int, most: int) -> DataFrame:
+    """(clone, chrom, start, end): forward and reverse hits of a clone on one chromosome and opposite strands, spanning least .. most.
+
+    hits: (clone, side `F` or `R`, chrom, start, end, strand). An equi-join on clone and chromosome.
+    """
+    side = lambda s, p: hits.where(F.col("side") == s).select("clone", "chrom", *[F.col(c).alias(f"{p}_{c}") for c in ("start", "end", "strand")])
+    met = side("F", "f").join(side("R", "r"), ["clone", "chrom"]).where("f_strand <> r_strand")
+    out = met.select("clone", "chrom", F.least("f_start", "r_start").alias("start"), F.greatest("f_end", "r_end").alias("end"))
+    return out.where((F.col("end") - F.col("start")).between(least, most)).distinct()
+
+
+def region_classes(regions: DataFrame, annotation: DataFrame, classes: dict[str, str], genome: int) -> DataFrame:
+    """(class, bp, share, ratio): bases of the regions under annotation whose name matches a class's pattern, their share of the regions, and that over the share of the genome."""
+    named = reduce(DataFrame.unionByName, [annotation.where(F.col("name").rlike(p)).withColumn("class", F.lit(c)) for c, p in classes.items()])
+    hits = overlap_join(regions, named).groupBy(F.col("r.class").alias("class")).agg(F.sum("overlap_bp").alias("bp"))
+    own = named.groupBy("class").agg(F.sum(F.col("end") - F.col("start")).alias("class_bp"))
+    total = regions.agg(F.sum(F.col("end") - F.col("start")).cast("double").alias("all_bp"))
+    out = own.join(hits, "class", "left").crossJoin(F.broadcast(total)).withColumn("bp", F.coalesce("bp", F.lit(0)))
+    share = F.col("bp") / F.col("all_bp")
+    return out.select("class", "bp", share.alias("share"), (share / (F.col("class_bp") / F.lit(float(genome)))).alias("ratio"))
+
+
+def packed_rows(df: DataFrame, group: str = "chrom") -> DataFrame:
+    """Adds `row`: the first display row that is free, features taken by start; a group is one picture and is packed in one place."""
+
+    def pack(rows):
+        rows = rows.sort_values(["start", "end", "name"], kind="stable")
+        ends, out = [], []
+        for start, end in zip(rows["start"], rows["end"]):
+            at = next((i for i, e in enumerate(ends) if e <= start), len(ends))
+            ends[at : at + 1] = [end]
+            out.append(at)
+        return rows.assign(row=out)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.groupBy(group).applyInPandas(pack, f"{kinds}, row long")
