@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import written
+
 
-def ancestors(edges: DataFrame, most_depth: int = 50, stop_at: DataFrame | None = None) -> DataFrame:
+def ancestors(edges: DataFrame, most_depth: int | None = None, stop_at: DataFrame | None = None) -> DataFrame:
     """(node, ancestor, depth) of an edge table (child, parent); the least depth of each pair.
 
     Each round joins only the pairs found last, so work follows the result. With stop_at (a node column) search ends there.
-    Rounds are checkpointed, since their lineage would double from round to round. Cycles end by the pairs already found.
+    The closure is whole unless most_depth is given, which then is the greatest depth asked for.
+    Rounds are written tables, since their lineage would double from round to round. Cycles end by the pairs already found.
     """
-    spark = edges.sparkSession
     links = edges.select(F.col("child").alias("link child"), F.col("parent").alias("link parent")).distinct()
     found = fresh = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct()
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    for depth in range(2, most_depth + 1):
+    for depth in count(2):
+        if most_depth is not None and depth > most_depth:
+            break
         base = fresh if stop_at is None else fresh.join(stop_at.select(F.col("node").alias("ancestor")), "ancestor", "left_anti")
         step = base.join(links, F.col("ancestor") == F.col("link child")).select("node", F.col("link parent").alias("ancestor"), F.lit(depth).cast("long").alias("depth")).distinct()
-        fresh = step.join(found, ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth").checkpoint()
+        fresh = step.join(found, ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth")
+        fresh = written(fresh)
         if not fresh.limit(1).count():
             break
         found = found.unionByName(fresh)
     return found
 
 
-def descendants(edges: DataFrame, most_depth: int = 50) -> DataFrame:
+def descendants(edges: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(node, descendant, depth)."""
     turned = edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
     return ancestors(turned, most_depth).withColumnRenamed("ancestor", "descendant")

@@ -187,21 +187,29 @@ def keep_in(df: DataFrame, key: str, other: DataFrame, other_key: str, invert: b
 
 def keep_by_fields(df: DataFrame, line: str, keys: DataFrame, key: str, least: int = 1, remove: bool = False, separators: str = r"[\t,]") -> DataFrame:
     """Lines with at least `least` fields among the keys (repeats count), or with none; fields meet keys by an equi-join."""
-    tagged = df.withColumn("line id", F.monotonically_increasing_id())
-    fields = tagged.select("line id", F.explode(F.split(line, separators)).alias("field"))
-    hits = fields.join(keys.select(F.col(key).cast("string").alias("field")).distinct(), "field").groupBy("line id").count()
-    if remove:
-        return tagged.join(hits, "line id", "left_anti").drop("line id")
-    return tagged.join(hits.where(F.col("count") >= least), "line id", "left_semi").drop("line id")
+    # Equal lines have equal fields, so a line is named by its own text: no row number has to hold over two plans.
+    once = df.select(F.col(line).alias("the line")).distinct()
+    fields = once.select("the line", F.explode(F.split("the line", separators)).alias("field"))
+    hits = fields.join(keys.select(F.col(key).cast("string").alias("field")).distinct(), "field").groupBy("the line").count()
+    same = F.col(line) == F.col("the line")
+    return df.join(hits, same, "left_anti") if remove else df.join(hits.where(F.col("count") >= least), same, "left_semi")
 
 
 def keep_containing(df: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose text holds a key as a substring: keys are few and checked to be, and one pattern search tests them all."""
-    found = [r[0] for r in keys.select(F.col(key).cast("string")).where(F.col(key).isNotNull()).distinct().limit(10_001).collect()]
-    if len(found) > 10_000:
-        return df.join(keys.select(F.col(key).cast("string").alias("in key")).distinct(), F.col(text).contains(F.col("in key")), "left_semi")
-    pattern = "|".join("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in found)
-    return df.where(F.col(text).rlike(pattern)) if found else df.where(F.lit(False))
+    """Rows whose text holds a key as a substring, for any number of keys.
+
+    Texts and keys meet by grams as long as the shortest key: a text has one row for each of its distinct grams, a key its first.
+    What meets is verified. An empty key is in every text.
+    """
+    own = keys.select(F.col(key).cast("string").alias("in key")).where(F.col("in key").isNotNull()).distinct()
+    shortest = own.agg(F.min(F.length("in key"))).first()[0]
+    if not shortest:
+        return df.where(F.col(text).isNotNull() if shortest == 0 else F.lit(False))
+    once = df.where(F.length(text) >= shortest).select(F.col(text).alias("the text")).distinct()
+    places = F.sequence(F.lit(1), F.length("the text") - shortest + 1)
+    grams = once.select("the text", F.explode(F.array_distinct(F.transform(places, lambda p: F.substring("the text", p, shortest)))).alias("gram"))
+    met = grams.join(own.withColumn("gram", F.substring("in key", 1, shortest)), "gram").where(F.col("the text").contains(F.col("in key")))
+    return df.join(met.select("the text").distinct(), F.col(text) == F.col("the text"), "left_semi")
 
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -337,3 +345,147 @@ def records_to_wide(df: DataFrame, id_col: str, pairs: str, fields: list[str], m
     """key=value records as columns of a bounded list of fields; nothing is ever executed."""
     m = F.str_to_map(F.col(pairs), F.lit(sep), F.lit(eq))
     return df.select(id_col, *[F.coalesce(F.element_at(m, f), F.lit(missing)).alias(f) for f in fields])
+
+
+# -- whole tables ------------------------------------------------------------------------------------------------------
+
+
+def sort_table(df: DataFrame, column: str, kind: str = "string", reverse: bool = False, unique: bool = False, ties: list[str] | None = None) -> DataFrame:
+    """Rows in order of a column as string, int (what is no number counts as 0) or float; unique keeps the first row of each value.
+
+    Rows without the column's value come last. Ties follow the other columns.
+    """
+    value = F.col(column)
+    if kind == "int":
+        value = F.when(value.isNotNull(), F.coalesce(value.cast("string").try_cast("long"), F.lit(0)))
+    elif kind == "float":
+        value = value.cast("string").try_cast("double")
+    rest = ties or [c for c in df.columns if c != column]
+    order = [value.desc_nulls_last() if reverse else value.asc_nulls_last(), *map(F.col, rest)]
+    if unique:
+        keyed = df.withColumn("sort value", value)
+        first = keyed.groupBy("sort value").agg(F.min(F.struct(*rest, *[c for c in df.columns if c not in rest])).alias("b"))
+        df = first.select(*[F.col(f"b.{c}").alias(c) for c in df.columns])
+    return df.orderBy(*order)
+
+
+def sorted_groups(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, rows): each key's rows in order as one list. The groups of a block reader; one key is one row by its definition."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rest if c not in order]))).alias("rows"))
+
+
+def unsorted_places(df: DataFrame, key: str, position: str, chunk: int = 1 << 20) -> DataFrame:
+    """Rows whose key is smaller than one before them by position, for tables that must come sorted; chunks of positions carry a maximum."""
+    from .intervals import prefix_max
+
+    seen = prefix_max(df.withColumn("one table", F.lit(0)), F.col(key), [position], "greatest before", False, by="one table", chunk=chunk)
+    return seen.where(F.col(key) < F.col("greatest before")).drop("one table", "greatest before")
+
+
+def concat_frames(frames: list[DataFrame]) -> DataFrame:
+    """Frames end to end under the first one's column names, by place."""
+    return reduce(DataFrame.unionAll, [df.toDF(*frames[0].columns) for df in frames])
+
+
+def key_index(frames: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, n, sources): where a key's rows stand, and how many there are; keys with n over 1 are repeated."""
+    tagged = reduce(DataFrame.unionAll, [df.select(F.col(key).cast("string").alias("key"), F.lit(n).alias("s")) for n, df in frames.items()])
+    return tagged.groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("s")), ",").alias("sources"))
+
+
+def union_keys(*frames: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of all frames."""
+    return reduce(DataFrame.unionAll, [df.select(F.col(key).alias("key")) for df in frames]).distinct()
+
+
+def only_in_first(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """All rows of the keys that the second frame lacks."""
+    return first.join(second.select(key).distinct(), key, "left_anti")
+
+
+def cells_to_records(df: DataFrame, record: str, field: str, value: str, fields: list[str]) -> DataFrame:
+    """Rows of cells as one row a record, a column for each of a bounded list of fields; the first value in order counts."""
+    return df.groupBy(record).agg(*[F.min(F.when(F.col(field) == f, F.col(value))).alias(f) for f in fields])
+
+
+def filled_fields(df: DataFrame, key: str) -> DataFrame:
+    """(key, json): a row's fields that are neither NULL nor empty, as a JSON object."""
+    rest = [c for c in df.columns if c != key]
+    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in rest]), F.array(*[F.col(c).cast("string") for c in rest]))
+    return df.select(key, F.to_json(F.map_filter(pairs, lambda k, v: v.isNotNull() & (v != ""))).alias("json"))
+
+
+def expand_aliased(df: DataFrame, column: str, aliases: dict[str, str], sep: str = ",") -> DataFrame:
+    """A row for each part of a list column, trimmed and renamed by a short table of aliases."""
+    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
+    out = df.withColumn(column, F.explode(F.transform(F.split(column, sep), lambda x: F.trim(x))))
+    return out if table is None else out.withColumn(column, F.coalesce(F.element_at(table, F.col(column)), F.col(column)))
+
+
+def standoff_join(annotations: DataFrame, mentions: DataFrame, slots: DataFrame) -> DataFrame:
+    """(doc, start, end, value): annotations (doc, mention, start, end) through mentions (mention, slot) to slots (slot, value)."""
+    return annotations.join(mentions, "mention").join(slots, "slot").select("doc", "start", "end", "value")
+
+
+def best_of_pairs(column: str | Column, pair_sep: str = r"\|", score_sep: str = r"\?s") -> Column:
+    """The id with the highest score of a text `id?s score|id?s score`; ties to the greatest id."""
+    c = F.col(column) if isinstance(column, str) else column
+    scored = F.transform(F.split(c, pair_sep), lambda p: F.struct(F.element_at(F.split(p, score_sep), -1).try_cast("double").alias("score"), F.split(p, score_sep)[0].alias("id")))
+    return F.array_max(scored)["id"]
+
+
+def all_best_hits(df: DataFrame, key: str, hits: DataFrame, score: str, places: list[str]) -> DataFrame:
+    """Each row with the places of all its best-scoring hits, each column a comma list in order; none is an empty string."""
+    best = hits.groupBy(key).agg(F.max(score).alias("best score"))
+    met = hits.join(best, key).where(F.col(score) == F.col("best score"))
+    ordered = F.array_sort(F.collect_list(F.struct(*places)))
+    lists = met.groupBy(key).agg(ordered.alias("h")).select(key, *[F.array_join(F.col("h")[p].cast("array<string>"), ",").alias(p) for p in places])
+    return df.join(lists, key, "left").fillna("", places)
+
+
+def clone_ends(df: DataFrame) -> DataFrame:
+    """(clone, forward, reverse): accessions (clone, end `F` or `R`, accession) without version, in order; clones that miss an end go."""
+    bare = F.substring_index("accession", ".", 1)
+    side = lambda s: F.array_sort(F.collect_set(F.when(F.col("end") == s, bare)))
+    return df.groupBy("clone").agg(side("F").alias("forward"), side("R").alias("reverse")).where((F.size("forward") > 0) & (F.size("reverse") > 0))
+
+
+def clone_prefixes(df: DataFrame, column: str) -> DataFrame:
+    """(prefix): the distinct parts before the first -; empty ones go."""
+    return df.select(F.substring_index(column, "-", 1).alias("prefix")).where("prefix <> ''").distinct()
+
+
+def listed_ids(df: DataFrame, column: str, sep: str = ",") -> DataFrame:
+    """(id): the distinct ids of list columns."""
+    return df.select(F.explode(F.transform(F.split(column, sep), lambda x: F.trim(x))).alias("id")).where("id <> ''").distinct()
+
+
+def share_of_rows(df: DataFrame, key: str, parts: int, part: int, skip: DataFrame | None = None) -> DataFrame:
+    """The rows that are node `part`'s of `parts` by the hash of their key, without keys to skip; the parts are disjoint and whole."""
+    own = df if skip is None else df.join(skip.select(key).distinct(), key, "left_anti")
+    return own.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+
+
+def to_all_groups(docs: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:
+    """docs with their groups (key, group); a document without one belongs to all groups that there are."""
+    known = groups.select(key, group).distinct()
+    every = known.select(group).distinct()
+    own = docs.join(known, key)
+    rest = docs.join(known, key, "left_anti").crossJoin(every)  # the result: each such document once for every group
+    return own.unionByName(rest.select(*own.columns))
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", batch: int = 10_000, **options: str) -> None:
+    """Rows into a database table, by batches of parameterised inserts; overwrite replaces the table."""
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=name, batchsize=str(batch), **options).save()
+
+
+def save_tables(frames: dict[str, DataFrame], folder: str) -> dict[str, int]:
+    """Write frames as tables of the session's catalogue, in folders of their own, replacing those of their names; their numbers of rows."""
+    out = {}
+    for name, df in frames.items():
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS `{name}`")
+        df.write.mode("overwrite").option("path", f"{folder}/{name}").saveAsTable(name)
+        out[name] = df.sparkSession.table(name).count()
+    return out

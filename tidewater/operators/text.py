@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Limits of the nucleotide detector.
 MIN_WORD, MIN_TRAIL, MIN_LONG_WORD, MIN_CONTENT, MIN_LETTERS, CONTEXT = 3, 17, 19, 0.4, 3, 50
@@ -21,6 +22,18 @@ def blank_out(pattern: str, text: str) -> str:
     return re.sub(pattern, lambda m: " " * len(m[0]), text)
 
 
+def blanked(docs: DataFrame, pattern: str, text: str = "text", out: str = "blanked") -> DataFrame:
+    """Adds the text with the pattern's matches as blanks, places kept; a null text stays null."""
+    columns = docs.columns
+
+    def run(batches):
+        at = columns.index(text)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if t is None else blank_out(pattern, t) for t in batch.column(at).to_pylist()], pa.string())], names=[*columns, out])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
+
+
 def nucleotide_strings(text: str, most: int | None = None) -> list[tuple[int, int, str, int]]:
     """(start, end, seq, parts) of nucleotide-like strings that running words spell.
 
@@ -104,3 +117,82 @@ def best_genes(hits: DataFrame, weights: DataFrame) -> DataFrame:
     met = sets.join(weights, "gene", "left").withColumn("weight", F.coalesce("weight", F.lit(0e0)))
     best = met.groupBy("seqs").agg(F.min(F.struct((-F.col("weight")).alias("w"), "gene")).alias("b"))
     return best.select("b.gene", "seqs")
+
+
+def cleaned(text: str) -> Column:
+    """Letters in running text: markup, formula blocks and characters that are no letters become single blanks."""
+    bare = F.regexp_replace(text, r"(?s)MathType@MTEF@.*?@\w+@", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"[^A-Za-z]+", " "))
+
+
+def select_html(docs: DataFrame, html: str, tag: str, cls: str | None = None, out: str = "found") -> DataFrame:
+    """A row for each element of a tag (and class): its inner text without markup. Elements of one tag are not nested."""
+    inside = rf"(?is)<{tag}\b[^>]*class\s*=\s*[\"']?(?:[^\"'>]*\s)?{cls}(?:\s[^\"'>]*)?[\"'][^>]*>(.*?)</{tag}>" if cls else rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"
+    texts = F.transform(F.regexp_extract_all(html, F.lit(inside), F.lit(1)), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " ")))
+    return docs.withColumn(out, F.explode(texts))
+
+
+def table_cells(docs: DataFrame, id_col: str, html: str) -> DataFrame:
+    """(id, row_no, cells) of the rows of HTML tables, cells without markup."""
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    rows = docs.select(id_col, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "r"))
+    return rows.select(id_col, "row_no", F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), plain).alias("cells"))
+
+
+def article_fields(docs: DataFrame, xml: str, fields: dict[str, str], references: str | None = None) -> DataFrame:
+    """Article XML as columns by XPath; with `references` a path of citations, also the list of their texts."""
+    got = [F.coalesce(F.xpath_string(xml, F.lit(p)), F.lit("")).alias(n) for n, p in fields.items()]
+    return docs.select("*", *got, *([F.xpath(xml, F.lit(references)).alias("references")] if references else []))
+
+
+def peptide_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 8) -> DataFrame:
+    """(id, peptide): words of capitals of the 20 amino acids with at least six kinds of letters that are no DNA."""
+    words = docs.select(id_col, F.explode(F.regexp_extract_all(text, F.lit(rf"\b([ACDEFGHIKLMNPQRSTVWY]{{{least},}})\b"), F.lit(1))).alias("peptide"))
+    kinds = F.size(F.array_distinct(F.split("peptide", "")))
+    return words.where((kinds >= 6) & ~F.col("peptide").rlike("^[ACGTN]+$"))
+
+
+def first_text(sources: dict[str, DataFrame], id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text, source): each document's text from the first source, in their order, that has one."""
+    from .table import coalesce_sources
+
+    return coalesce_sources(id_col, text, *sources.items())
+
+
+def report_hits(lines: DataFrame) -> DataFrame:
+    """Long alignment reports as hit rows: (query, target, score, e_value, identity, length) of each `>` block of each `Query=` part.
+
+    lines: (file, pos, line). A file's report is read in order by one task, as its lines only make sense together.
+    """
+    import pandas as pd
+
+    names = ["query", "target", "score", "e_value", "identity", "length"]
+
+    def parse(rows):
+        out, query, target, score, e = [], None, None, None, None
+        for line in rows.sort_values("pos")["line"]:
+            if m := re.match(r"Query=\s*(\S+)", line):
+                query, target = m[1], None
+            elif m := re.match(r">\s*(\S+)", line):
+                target = m[1]
+            elif m := re.search(r"Score\s*=\s*([\d.]+).*Expect(?:\(\d+\))?\s*=\s*([\d.e+-]+)", line):
+                score, e = float(m[1]), float("1" + m[2] if m[2].startswith("e") else m[2].rstrip(","))
+            elif (m := re.search(r"Identities\s*=\s*(\d+)/(\d+)", line)) and query and target:
+                out.append((query, target, score, e, 100.0 * int(m[1]) / int(m[2]), int(m[2])))
+        return pd.DataFrame(out, columns=names)
+
+    return lines.groupBy("file").applyInPandas(parse, "query string, target string, score double, e_value double, identity double, length long")
+
+
+def element_rows(lines: DataFrame) -> DataFrame:
+    """(chrom, start, end, name, score, strand) of conserved-element reports: `name chrom start end ... length score p-value` lines."""
+    p = F.split(F.trim("line"), r"\s+")
+    ok = F.col("line").rlike(r"^\s*\S+\s+\S+\s+\d+\s+\d+\s+.*\S+\s*$") & (F.size(p) >= 6)
+    return lines.where(ok).select(p[1].alias("chrom"), p[2].cast("long").alias("start"), p[3].cast("long").alias("end"), p[0].alias("name"), F.coalesce(F.floor(F.element_at(p, -2).try_cast("double")), F.lit(0)).cast("int").alias("score"), F.lit("+").alias("strand"))
+
+
+def stanza_settings(lines: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """Adds `settings`: the map of a line's key=value parts, quoted values whole, only allowed keys."""
+    pairs = F.regexp_extract_all(column, F.lit(r"""(\w+=(?:"[^"]*"|'[^']*'|\S+))"""), F.lit(1))
+    made = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_replace(F.regexp_replace(x, r"^\w+=", ""), r"""^["']|["']$""", ""))))
+    return lines.withColumn("settings", F.map_filter(made, lambda k, v: k.isin(*allowed)))
