@@ -120,3 +120,59 @@ def remove_accents(text: str | Column) -> Column:
     """Latin letters without their marks."""
     # Accented Latin-1 letters and their plain forms.
     return F.translate(_col(text), "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy")
+
+
+def highlight(text: str | Column, query: str, before: str = "<b>", after: str = "</b>") -> Column:
+    """Occurrences of a string, in either case, between marks."""
+    return F.regexp_replace(_col(text), "(?i)(\\Q" + query + "\\E)", before + "$1" + after)
+
+
+def comma_list(values: str | Column) -> Column:
+    """An array's elements as one comma-separated string."""
+    return F.array_join(F.transform(_col(values), lambda x: x.cast("string")), ",")
+
+
+def pack_place(chrom: str | Column, start: str | Column, end: str | Column) -> Column:
+    """A chromosome's number, start and end in one binary of 9 bytes; NULL for haplotypes and unplaced pieces. X, Y and M are 23 to 25."""
+    c = F.regexp_replace(_col(chrom), "^chr", "")
+    number = F.when(c == "X", 23).when(c == "Y", 24).when(c == "M", 25).otherwise(c.try_cast("int"))
+    hexed = F.concat(F.lpad(F.hex(number), 2, "0"), F.lpad(F.hex(_col(start).cast("long")), 8, "0"), F.lpad(F.hex(_col(end).cast("long")), 8, "0"))
+    return F.when(number.isNotNull() & ~_col(chrom).rlike("_gl|hap"), F.unhex(hexed))
+
+
+def unpack_place(packed: str | Column) -> Column:
+    """(chrom, start, end) of pack_place's binary."""
+    h = F.hex(_col(packed))
+    number = F.conv(F.substring(h, 1, 2), 16, 10).cast("int")
+    name = F.when(number == 23, "X").when(number == 24, "Y").when(number == 25, "M").otherwise(number.cast("string"))
+    return F.when(_col(packed).isNotNull(), F.struct(F.concat(F.lit("chr"), name).alias("chrom"), F.conv(F.substring(h, 3, 8), 16, 10).cast("long").alias("start"), F.conv(F.substring(h, 11, 8), 16, 10).cast("long").alias("end")))
+
+
+def clean_string(text: str | Column) -> Column:
+    """Letters and digits only."""
+    return F.regexp_replace(_col(text), r"[ \W_-]+", "")
+
+
+def plain_ascii(text: str | Column) -> Column:
+    """Typographic signs and accented letters as plain ones; what has none goes."""
+    # Signs and their plain forms.
+    signs = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", " ": " ", "ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "×": "x", "µ": "u", "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta"}
+    out = remove_accents(text)
+    for a, b in signs.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+
+
+def browser_chrom(name: str | Column, style: str = "number") -> Column:
+    """A database's chromosome name in a genome browser's spelling, by the assembly's style: number, roman, or kept as it is."""
+    c = _col(name)
+    if style == "kept":
+        return c
+    if style == "roman":
+        return F.when(c.rlike("^[IVXLCDM]+$"), F.concat(F.lit("chr"), c)).when(c.isin("MtDNA", "Mito", "MT"), "chrM").otherwise(c)
+    return F.when(c.rlike(r"^(\d+|[XYWZU])$"), F.concat(F.lit("chr"), c)).when(c.isin("MT", "Mt"), "chrM").otherwise(c)
+
+
+def wrapped_upper(seq: str | Column, width: int = 60) -> Column:
+    """A sequence without white space, in capitals, in lines of a width."""
+    return wrap(F.upper(F.regexp_replace(_col(seq), r"\s+", "")), width)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -131,9 +132,28 @@ def doc_term(df: DataFrame, doc: str, text: str, sep: str = " ") -> DataFrame:
 
 
 def inverted_index(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(word, doc, positions): postings, one row a word and document, so no word gathers all its documents in one row."""
-    words = df.select(doc, F.posexplode(F.split(text, " ")).alias("pos", "word"))
-    return words.groupBy("word", doc).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(word, doc, positions): postings, one row a word and document, so no word gathers all its documents in one row.
+
+    A text's words are gathered where it is read, without an exchange; rows that share an id give a posting each.
+    """
+    kind = df.schema[doc].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            words, at, places, ends = [], [], [], [0]
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                found = {}
+                for pos, word in enumerate(t.split(" ") if t is not None else ()):
+                    found.setdefault(word, []).append(pos)
+                words += found
+                at += [row] * len(found)
+                for own in found.values():
+                    places += own
+                    ends.append(len(places))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(0).take(pa.array(at, pa.int64())), lists], names=["word", doc, "positions"])
+
+    return df.select(doc, text).mapInArrow(run, f"word string, `{doc}` {kind}, positions array<int>")
 
 
 def document_frequency(df: DataFrame, doc: str, text: str) -> DataFrame:
@@ -164,3 +184,65 @@ def jaccard_pairs(df: DataFrame, key: str, item: str) -> DataFrame:
     common = items.select(F.col("k").alias("a"), "i").join(items.select(F.col("k").alias("b"), "i"), "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_common"))
     met = common.join(sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")
     return met.select("a", "b", "n_common", (F.col("n_common").cast("double") / (F.col("na") + F.col("nb") - F.col("n_common"))).alias("jaccard"))
+
+
+def significant_pairs(cells: DataFrame, row: str, column: str, value: str, most_p: float = 1e-9, both: bool = False) -> DataFrame:
+    """(a, b, r, n, p) of the pairs of rows whose correlation has at most that p; all-zero rows and NaN cells are left out."""
+    from ..functions.statistics import correlation_p
+
+    good = cells.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    live = good.groupBy(row).agg(F.max(F.abs(value)).alias("top")).where("top > 0")
+    pairs = correlation_pairs(good.join(live, row, "left_semi"), row, column, value).where(F.col("r").isNotNull())
+    out = pairs.withColumn("p", correlation_p("r", "n")).where(F.col("p") <= most_p)
+    return out if not both else out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "r", "n", "p"))
+
+
+def rank_correlation(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """(a, b, r, n) of the columns (samples) by their ranks over the rows (genes) that all samples have; ties get mean ranks.
+
+    Ranks stand in one window a sample over its values.
+    """
+    total = cells.select(column).distinct().agg(F.count("*").alias("all"))
+    whole = cells.groupBy(row).agg(F.count_distinct(column).alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") == F.col("all")).select(row)
+    own = cells.join(whole, row, "left_semi")
+    w = W.partitionBy(column).orderBy(value)
+    rank = F.rank().over(w) + (F.count("*").over(W.partitionBy(column, value)) - 1) / 2
+    ranked = own.select(row, column, rank.cast("double").alias("rank"))
+    return correlation_pairs(ranked, column, row, "rank")
+
+
+def sample_covariance(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(var_x, var_y, cov) with n - 1."""
+    return df.agg(F.var_samp(x).alias("var_x"), F.var_samp(y).alias("var_y"), F.covar_samp(x, y).alias("cov"))
+
+
+def count_combinations(spark, most: list[int]) -> DataFrame:
+    """All counters (c0, c1, ...) with c_i from 0 to most_i: one range taken apart digit by digit, in parallel."""
+    size = 1
+    digits = []
+    for i, m in enumerate(most):
+        digits.append((F.floor(F.col("id") / size) % (m + 1)).cast("long").alias(f"c{i}"))
+        size *= m + 1
+    return spark.range(size).select(*digits)
+
+
+def distinct_tokens(df: DataFrame, column: str, after: str = "=", sep: str = ",") -> DataFrame:
+    """(token): the distinct parts of the lists behind a mark."""
+    return df.where(F.col(column).contains(after)).select(F.explode(F.transform(F.split(F.substring_index(column, after, -1), sep), lambda x: F.trim(x))).alias("token")).where("token <> ''").distinct()
+
+
+def by_match_count(hits: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, n, items): keys with their distinct items in order, most first."""
+    return hits.groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col(item).cast("string"))), ",").alias("items")).orderBy(F.desc("n"), key)
+
+
+def frequent_groups(df: DataFrame, keys: list[str], value: str, least: float) -> DataFrame:
+    """(keys, n, total) of the groups whose values of at least `least` there are; smaller values do not count."""
+    return df.where(F.col(value) >= least).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def annotated_hits(df: DataFrame, column: str, foreground: list[str], special: list[str], sep: str = ",") -> DataFrame:
+    """Adds n_predicted, n_foreground and the special names of a list column of ids."""
+    ids = F.array_distinct(F.split(column, sep))
+    lit = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return df.withColumn("n_predicted", F.size(ids).cast("long")).withColumn("n_foreground", F.size(F.array_intersect(ids, lit(foreground))).cast("long")).withColumn("special", F.array_join(F.array_sort(F.array_intersect(ids, lit(special))), ","))

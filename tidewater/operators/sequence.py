@@ -262,3 +262,157 @@ def motif_clusters(hits: DataFrame, copies: int, width: int) -> DataFrame:
     begin = F.lead("start", copies - 1).over(w) if copies > 1 else F.col("start")
     marked = hits.withColumn("last", last).withColumn("reach", begin - F.col("start"))
     return marked.where(F.col("reach") <= width).select("id", "pattern", "start", F.col("last").alias("end"))
+
+
+# -- alignments as text, repaired and joined -------------------------------------------------------------------------
+
+
+def fill_gaps(rows: DataFrame, fill_below: float, drop_from: float = 1.1) -> DataFrame:
+    """Gaps take the column's most frequent base where the share of gaps is below fill_below; columns with a share of drop_from or more go."""
+    cells = rows.select("block", "org", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
+    bases = cells.groupBy("block", "pos", "base").agg(F.count("*").alias("n"))
+    gap = F.col("base") == "-"
+    columns = bases.groupBy("block", "pos").agg((F.coalesce(F.sum(F.when(gap, F.col("n"))), F.lit(0)).cast("double") / F.sum("n")).alias("gaps"), F.min(F.when(~gap, F.struct((-F.col("n")).alias("m"), "base"))).alias("best"))
+    met = cells.join(columns, ["block", "pos"]).where(F.col("gaps") < drop_from)
+    base = F.when((F.col("base") == "-") & (F.col("gaps") < fill_below), F.coalesce("best.base", "base")).otherwise(F.col("base"))
+    return met.groupBy("block", "org").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", base.alias("c")))), lambda x: x["c"]), "").alias("seq"))
+
+
+def blocks_with(rows: DataFrame, species: list[str], every: bool = True) -> DataFrame:
+    """The rows of blocks that hold all (or one) of the species."""
+    met = rows.where(F.col("org").isin(*species)).groupBy("block").agg(F.count_distinct("org").alias("n")).where(F.col("n") >= (len(set(species)) if every else 1))
+    return rows.join(met, "block", "left_semi")
+
+
+def block_statistics(rows: DataFrame) -> DataFrame:
+    """(block, n_rows, width, gap_share) of an alignment."""
+    gaps = F.length("seq") - F.length(F.translate("seq", "-", ""))
+    return rows.groupBy("block").agg(F.count("*").alias("n_rows"), F.max(F.length("seq")).cast("long").alias("width"), (F.sum(gaps).cast("double") / F.sum(F.length("seq"))).alias("gap_share"))
+
+
+def join_adjacent(rows: DataFrame, base: str) -> DataFrame:
+    """(chrom, start, org, seq): blocks whose base rows follow each other without a gap as one, missing species filled with gaps.
+
+    rows: (block, org, chrom, start, size, seq); a block's place is its base row's.
+    """
+    from .intervals import prefix_max
+
+    own = rows.where(F.col("org") == base).select("block", "chrom", "start", (F.col("start") + F.col("size")).alias("end"), F.length("seq").alias("width"))
+    before = prefix_max(own, F.struct("start", "end"), ["start", "end"], "row before", False)
+    new = F.col("row before").isNull() | (F.col("row before.end") != F.col("start"))
+    runs = prefix_max(before, F.when(new, F.col("start")), ["start", "end"], "run", True).select("block", "chrom", "start", "width", "run")
+    species = runs.join(rows.select("block", "org"), "block").select("chrom", "run", "org").distinct()
+    grid = species.join(runs, ["chrom", "run"]).join(rows.select("block", "org", "seq"), ["block", "org"], "left")
+    seq = F.coalesce("seq", F.expr("repeat('-', width)"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", seq.alias("s")))), lambda x: x["s"])
+    return grid.groupBy("chrom", "run", "org").agg(F.array_join(parts, "").alias("seq")).select("chrom", F.col("run").alias("start"), "org", "seq")
+
+
+def maf_text(rows: DataFrame) -> DataFrame:
+    """(block, value): alignment rows (block, org, chrom, start, size, strand, src_size, seq) as blocks of lines."""
+    line = F.concat_ws(" ", F.lit("s"), F.concat("org", F.lit("."), "chrom"), F.col("start").cast("string"), F.col("size").cast("string"), "strand", F.col("src_size").cast("string"), "seq")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("org", line.alias("l")))), lambda x: x["l"])
+    return rows.groupBy("block").agg(F.concat(F.lit("a score=0\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
+
+
+def fasta_rows_to_maf(seqs: DataFrame) -> DataFrame:
+    """Alignment rows of FASTA records (block, id `org.chrom:start-end(strand)`, seq); ids that do not fit have place 0."""
+    fits = r"^([^.\s]+)\.([^:\s]+):(\d+)-(\d+)(?:\(([+-])\))?$"
+    part = lambda i: F.regexp_extract("id", fits, i)
+    ok = F.col("id").rlike(fits)
+    bare = F.length(F.translate("seq", "-", "")).cast("long")
+    return seqs.select("block", F.when(ok, part(1)).otherwise(F.col("id")).alias("org"), F.when(ok, part(2)).otherwise("").alias("chrom"), F.when(ok, part(3).try_cast("long")).otherwise(0).alias("start"), bare.alias("size"), F.when(ok & (part(5) == "-"), "-").otherwise("+").alias("strand"), F.when(ok, part(4).try_cast("long")).otherwise(bare).alias("src_size"), "seq")
+
+
+def read_stockholm(lines: DataFrame) -> DataFrame:
+    """(id, seq) of Stockholm lines (line, pos): pieces of a name joined in order, markup left out."""
+    rows = lines.where(~F.col("line").startswith("#") & (F.trim("line") != "") & ~F.col("line").startswith("//"))
+    p = F.split(F.trim("line"), r"\s+")
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.translate("part", ".", "-").alias("s")))), lambda x: x["s"])
+    return rows.select("pos", p[0].alias("id"), p[1].alias("part")).groupBy("id").agg(F.array_join(pieces, "").alias("seq"))
+
+
+def matrix_sequences(matrices: DataFrame) -> DataFrame:
+    """(id, n, seq): sequences whose columns have a matrix's counts (id, weights array<struct<a, c, g, t>>), short columns filled with n."""
+    column = lambda w: F.concat(*[F.array_repeat(F.lit(b), w[b].cast("int")) for b in "acgt"])
+    table = matrices.withColumn("columns", F.transform("weights", column))
+    depth = F.array_max(F.transform("columns", lambda c: F.size(c)))
+    rows = table.select("id", "columns", F.explode(F.sequence(F.lit(0), depth - 1)).alias("n"))
+    return rows.select("id", "n", F.array_join(F.transform("columns", lambda c: F.coalesce(F.get(c, F.col("n")), F.lit("n"))), "").alias("seq"))
+
+
+def matrix_records(matrices: DataFrame) -> DataFrame:
+    """(id, value): matrices as records of ID, P0 and one line a position, ended by //."""
+    line = lambda w, i: F.concat_ws("\t", F.format_string("%02d", i + 1), *[w[b].cast("long").cast("string") for b in "acgt"])
+    lines = F.array_join(F.transform("weights", line), "\n")
+    return matrices.select("id", F.concat(F.lit("ID  "), "id", F.lit("\nP0\tA\tC\tG\tT\n"), lines, F.lit("\n//\n")).alias("value"))
+
+
+def rewrite_ids(seqs: DataFrame, pattern: str, replacement: str) -> DataFrame:
+    """Sequence ids through a regular expression; groups are written $1."""
+    return seqs.withColumn("id", F.regexp_replace("id", pattern, replacement))
+
+
+def keep_letters(seqs: DataFrame, more_than: int = 9) -> DataFrame:
+    """Sequences without characters other than ACGT; short ones go."""
+    return seqs.withColumn("seq", F.regexp_replace("seq", "[^ACGTacgt]", "")).where(F.length("seq") > more_than)
+
+
+def strip_utrs(pairs: DataFrame) -> DataFrame:
+    """(id, cds): the part of a cDNA whose translation in one of the three frames holds the peptide; NULL without one."""
+    from ..functions.sequence import translate_dna
+
+    found = [F.instr(translate_dna(F.substr("cdna", F.lit(k + 1))), F.col("pep")) for k in range(3)]
+    size = F.length("pep") * 3
+    cds = F.coalesce(*[F.when((F.length("pep") > 0) & (at > 0), F.substr("cdna", (at - 1) * 3 + k + 1, size)) for k, at in enumerate(found)])
+    return pairs.select("id", cds.alias("cds"))
+
+
+def gapped_windows(rows: DataFrame, width: int, step: int = 1) -> DataFrame:
+    """(block, org, start, end, seq): windows of `width` letters of each aligned row, with the gaps between them; start and end count columns."""
+    letters = F.filter(F.transform(F.split("seq", ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: ~x["c"].isin("-", ""))
+    table = rows.select("block", "org", "seq", letters.alias("l")).where(F.size("l") >= width)
+    starts = table.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("l") - width, F.lit(step))))
+    first, last = F.get("l", F.col("k"))["i"], F.get("l", F.col("k") + width - 1)["i"]
+    return starts.select("block", "org", first.cast("long").alias("start"), (last + 1).cast("long").alias("end"), F.substr("seq", first + 1, last - first + 1).alias("seq"))
+
+
+def shuffled_columns(rows: DataFrame, seed: int = 1) -> DataFrame:
+    """Alignments whose columns are in a seeded order, moved only among columns with the same gaps."""
+    cells = rows.select("block", "org", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
+    gaps = F.array_sort(F.collect_list(F.when(F.col("base") == "-", F.col("org"))))
+    columns = cells.groupBy("block", "pos").agg(gaps.alias("gaps"))
+    place = lambda *by: F.row_number().over(W.partitionBy("block", "gaps").orderBy(*by))
+    ranked = columns.withColumn("k", place("pos")).withColumn("to", place(F.xxhash64(F.lit(seed), "block", "pos"), "pos"))
+    moved = ranked.select("block", "gaps", F.col("pos").alias("from_pos"), F.col("to").alias("k")).join(ranked.select("block", "gaps", "k", F.col("pos").alias("new_pos")), ["block", "gaps", "k"])
+    met = cells.join(moved.select("block", F.col("from_pos").alias("pos"), "new_pos"), ["block", "pos"])
+    return met.groupBy("block", "org").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("new_pos", "base"))), lambda x: x["base"]), "").alias("seq"))
+
+
+def random_sequences(spark, n: int, length: int, gc: float = 0.5, seed: int = 1) -> DataFrame:
+    """(id, seq): n sequences of a length with a share of G and C, letter by letter from hashes of seed, id and place."""
+    chance = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(1 << 30)).cast("double") / (1 << 30)
+    letter = lambda i: F.when(chance(i) < gc / 2, "G").when(chance(i) < gc, "C").when(chance(i) < gc + (1 - gc) / 2, "A").otherwise("T")
+    return spark.range(n).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), letter), "").alias("seq"))
+
+
+def mutated(seqs: DataFrame, identity: float, seed: int = 1) -> DataFrame:
+    """(id, seq) with about 1 - identity of the letters replaced by the next one in ACGT."""
+    change = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(1 << 30)).cast("double") / (1 << 30) >= identity
+    letter = lambda c, i: F.when(change(i), F.translate(c, "ACGTacgt", "CGTAcgta")).otherwise(c)
+    return seqs.withColumn("seq", F.array_join(F.transform(F.split("seq", ""), letter), ""))
+
+
+def random_substrings(seqs: DataFrame, pool: DataFrame, seed: int = 1) -> DataFrame:
+    """(id, pool_id, start, seq): for each sequence a substring of its length from a pool sequence that is long enough.
+
+    The pool row is drawn by hash among those that meet by number, so the pool is never sorted; ids with too short a draw go.
+    """
+    from .ranking import global_rank
+
+    numbered = global_rank(pool.select(F.col("id").alias("pool_id"), F.col("seq").alias("pool_seq")), [F.col("pool_id")], "k")
+    total = pool.agg(F.count("*").alias("n"))
+    asked = seqs.select("id", F.length("seq").alias("len")).crossJoin(F.broadcast(total)).withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("n")) + 1)
+    met = asked.join(numbered, "k").where(F.length("pool_seq") >= F.col("len"))
+    start = F.pmod(F.xxhash64(F.lit(seed), "id", F.lit("start")), F.length("pool_seq") - F.col("len") + 1)
+    return met.select("id", "pool_id", start.alias("start"), F.substr("pool_seq", (start + 1).cast("int"), F.col("len")).alias("seq"))

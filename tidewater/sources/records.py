@@ -68,3 +68,16 @@ def tagged_records(spark: SparkSession, path: str, start: str, tags: list[str],
     blocks = spark.read.option("lineSep", f"\n{start}{sep}").text(path).select(F.split("value", "\r?\n").alias("l"))
     head = F.regexp_replace(F.col("l")[0], f"^{start}{sep}", "")
     return blocks.where(~F.col("l")[0].startswith("#")).select(F.array(head).alias(start), *[_all("l", t + sep).alias(t) for t in tags])
+
+
+def records_matching(records: DataFrame, tag: str, pattern: str) -> DataFrame:
+    """tagged_records' rows where a value of the tag matches."""
+    return records.where(F.exists(tag, lambda x: x.rlike(pattern)))
+
+
+def taxon_sequences(entries: DataFrame, most_seqs: int, most_length: int) -> DataFrame:
+    """(accession, taxon, seq) of read_genbank's entries without whole genomes, long ones, and articles that cite most_seqs entries or more."""
+    own = entries.where(~F.lower("definition").contains("complete genome") & (F.length("seq") <= most_length))
+    cited = own.select("accession", F.explode("references").alias("r")).select("accession", F.col("r.pubmed").alias("pubmed")).where("pubmed <> ''").distinct()
+    large = cited.groupBy("pubmed").agg(F.count("*").alias("n")).where(F.col("n") >= most_seqs)
+    return own.join(cited.join(large, "pubmed", "left_semi").select("accession").distinct(), "accession", "left_anti").select("accession", "taxon", "seq")

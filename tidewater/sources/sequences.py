@@ -102,3 +102,10 @@ def xml_fields(df: DataFrame, xml: str, paths: dict[str, str], default: str = ""
 def xml_all(df: DataFrame, xml: str, path: str, out: str) -> DataFrame:
     """A row for each text of an XPath."""
     return df.withColumn(out, F.explode(F.xpath(xml, F.lit(path))))
+
+
+def match_to_bed(matches: DataFrame) -> DataFrame:
+    """(chrom, start, end, name, thick_start, thick_end) of matches (chrom, start, name, site); capitals in the site are its core."""
+    lead = F.length("site") - F.length(F.regexp_replace("site", "^[^A-Z]+", ""))
+    core = F.length(F.regexp_extract("site", "[A-Z]+", 0))
+    return matches.select("chrom", "start", (F.col("start") + F.length("site")).alias("end"), "name", (F.col("start") + lead).alias("thick_start"), (F.col("start") + lead + core).alias("thick_end"))

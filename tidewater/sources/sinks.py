@@ -77,3 +77,9 @@ def html_rows(df: DataFrame) -> DataFrame:
     """(value): table rows with markup characters escaped."""
     cell = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return df.select(F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *[cell(c) for c in df.columns]), F.lit("</td></tr>")).alias("value"))
+
+
+def xml_text(df: DataFrame, tag: str) -> DataFrame:
+    """(value): each row as an XML element, its columns as elements inside, on one line."""
+    text = F.to_xml(F.struct(*df.columns), {"rowTag": tag})
+    return df.select(F.trim(F.regexp_replace(text, r"\s*\n\s*", " ")).alias("value"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_folder(spark: SparkSession, path: str, schema, format: str = "parquet", files_a_trigger: int = 100) -> DataFrame:
-    return spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_a_trigger).load(path)
+def read_folder(spark: SparkSession, path: str, schema, format: str = "parquet", files_a_trigger: int = 100, glob: str = "*") -> DataFrame:
+    """The files of a folder whose names fit, as they come."""
+    return spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_a_trigger).option("pathGlobFilter", glob).load(path)
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:
@@ -22,9 +24,28 @@ def first_seen(events: DataFrame, keys: list[str], time: str, late: str) -> Data
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
+def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     """Run all that is there, a batch at a time; the batch id lets the writer skip what it has done."""
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """(key, runs, n): how many runs of one value, and how many rows, each key has had so far; events are (key, at, value), in order of `at`.
+
+    State is a key's last value and its two counts. A batch's rows of a key are ordered; a later batch continues the open run.
+    """
+
+    def update(key, frames, state):
+        last, runs, n = state.get if state.exists else (None, 0, 0)
+        for value in pd.concat(list(frames)).sort_values("at")["value"]:
+            runs += value != last or not n
+            n += 1
+            last = value
+        state.update((last, int(runs), int(n)))
+        yield pd.DataFrame({"key": [key[0]], "runs": [int(runs)], "n": [int(n)]})
+
+    kind = events.schema["key"].dataType.simpleString()
+    return events.groupBy("key").applyInPandasWithState(update, f"key {kind}, runs long, n long", "last string, runs long, n long", "update", "NoTimeout")
 
 
 def only_new(batch: DataFrame, done: DataFrame, key: str) -> DataFrame:
