@@ -65,14 +65,16 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "pairs", classes:
     every = sorted({*of_left, *of_right})
     # A pair meets in the wider of its two classes.
     a_classes, b_classes = [k for k in every if k in of_left or k > min(of_left)], [k for k in every if k in of_right or k > min(of_right)]
-    side = lambda df, p: df.where(F.col("start") < F.col("end")).select(F.col("chrom").alias(f"{p} chrom"), F.col("start").cast("long").alias(f"{p} start"), F.col("end").cast("long").alias(f"{p} end"), F.struct(*map(_quoted, df.columns)).alias(p), _class_of(F.col("start"), F.col("end")).alias(f"{p} class"))
+    side = lambda df, p: df.where(F.col("start") < F.col("end")).select(F.col("chrom").alias(f"{p} chrom"), F.col("start").cast("long").alias(f"{p} start"), F.col("end").cast("long").alias(f"{p} end"), _class_of(F.col("start"), F.col("end")).alias(f"{p} class"), *[_quoted(c).alias(f"{p}: {c}") for c in df.columns])
+    # Structs are put together behind the join, so that columns nobody asks for are never exchanged.
+    whole = lambda df, p: F.struct(*[_quoted(f"{p}: {c}").alias(c) for c in df.columns]).alias(p)
     a = _binned(side(left, "l"), "l class", a_classes, "l ")
     b = _binned(side(right, "r"), "r class", b_classes, "r ")
     begin = F.greatest("l start", "r start")
     first = F.expr(f"shiftright(greatest(`l start`, `r start`), cast({FIRST_WIDTH} + {CLASS_STEP} * `l at`.class as int)) = `l at`.bin")
     on = (F.col("l chrom") == F.col("r chrom")) & (F.col("l at") == F.col("r at")) & (F.col("l start") < F.col("r end")) & (F.col("r start") < F.col("l end"))
     met = a.join(b, on & (F.greatest("l class", "r class") == F.col("l at")["class"]) & first)
-    return met.select("l", "r", (F.least("l end", "r end") - begin).alias("overlap_bp"))
+    return met.select(whole(left, "l"), whole(right, "r"), (F.least("l end", "r end") - begin).alias("overlap_bp"))
 
 
 def _quoted(name: str) -> Column:
