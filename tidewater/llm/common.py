@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: The word pattern of all operators; bytes.split() without arguments cuts at exactly these six separators.
@@ -39,9 +42,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """A fresh path below spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a session in one process gets a temporary folder; on a cluster that would split the data, so it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidewater/{uuid.uuid4().hex}"
@@ -68,6 +76,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh_name(wanted: str, taken: list[str]) -> str:
+    """wanted, or wanted with underscores if a column has that name already; the engine ignores case."""
+    have = {c.lower() for c in taken}
+    while wanted.lower() in have:
+        wanted += "_"
+    return wanted
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> Column:
+    """The id column as long; ids that are no whole numbers are refused before anything runs."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"{id_col} must hold whole numbers of at most 64 bits, not {kind.simpleString()}")
+    return named(id_col).cast("long")
+
+
 def wide_arrow(value) -> pa.Array:
     return value.combine_chunks() if isinstance(value, pa.ChunkedArray) else value
 
@@ -99,16 +128,56 @@ def slices(offsets: np.ndarray, most_bytes: int) -> Iterator[tuple[int, int]]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x5851F42D4C957F2D
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.RandomState(11).randint(1, 2**63 - 1, 256).astype(U64) * U64(2) + U64(1)
+#: Hashes of spans are taken modulo this prime, to a base drawn once; powers of two as modulus or base would make patterned texts meet.
+_PRIME = U64((1 << 61) - 1)
+_BASE = 1_634_027_095_873_290_581
+_LOW31, _LOW30 = U64((1 << 31) - 1), U64((1 << 30) - 1)
+_BYTE = np.random.RandomState(11).randint(1, (1 << 61) - 1, 256).astype(U64)
 _LENGTH = U64(0x9E3779B97F4A7C15)
+_BLOCK = 1 << 15
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1, in place."""
+    high = x >> U64(61)
+    x &= _PRIME
+    x += high
+    x[x >= _PRIME] -= _PRIME
+    return x
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1 for a, b below it, from products of half words; in blocks that stay in the cache."""
+    out = np.empty(len(a), U64)
+    for k in range(0, len(a), _BLOCK):
+        x, y = a[k : k + _BLOCK], b[k : k + _BLOCK]
+        x1, x0, y1, y0 = x >> U64(31), x & _LOW31, y >> U64(31), y & _LOW31
+        middle = x0 * y1
+        middle += x1 * y0
+        x1 *= y1
+        x1 *= U64(2)
+        x1 += middle >> U64(30)
+        middle &= _LOW30
+        middle <<= U64(31)
+        x1 += middle
+        x0 *= y0
+        x1 += x0
+        out[k : k + _BLOCK] = _folded(x1)
+    return out
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, np.full(len(out), pow(base, len(out), int(_PRIME)), U64))])
+    return out
 
 
 class Rolling:
-    """Hashes of any spans of a byte buffer or a sequence of 64-bit names, from prefix sums of a polynomial modulo 2**64.
+    """Hashes of any spans of a byte buffer or a sequence of 64-bit names, from prefix sums of a polynomial modulo 2**61 - 1.
 
-    Bytes count as random values, names as what mix() makes of them.
+    Bytes count as random values, names as what mix() makes of them. Two given spans that differ share a hash by chance only, about
+    once in 2**61 / length times; texts cannot be patterned to do so without knowing the base.
     """
 
     _up, _down = np.ones(1, U64), np.ones(1, U64)
@@ -117,28 +186,41 @@ class Rolling:
         n = len(data)
         if len(Rolling._up) < n + 1:
             size = max(n + 1, 1 << 20)
-            for name, base in (("_up", _BASE), ("_down", _BASE_INV)):
-                table = np.full(size, base & (2**64 - 1), U64)
-                table[0] = 1
-                setattr(Rolling, name, np.multiply.accumulate(table))
+            Rolling._up, Rolling._down = _powers(_BASE, size), _powers(pow(_BASE, -1, int(_PRIME)), size)
+        terms = times(_BYTE[data] if data.dtype == np.uint8 else _folded(mix(data)), Rolling._up[:n])
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum((_BYTE[data] if data.dtype == np.uint8 else mix(data)) * Rolling._up[:n], out=self.sums[1:])
+        # Halves are summed apart, so that nothing overflows below 2**33 terms.
+        high = np.cumsum(terms >> U64(31))
+        terms &= _LOW31
+        low = np.cumsum(terms, out=terms)
+        low += high >> U64(30)
+        high &= _LOW30
+        high <<= U64(31)
+        low += high
+        self.sums[1:] = _folded(low)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = self.sums[ends]
+        h = self.sums[ends] + _PRIME
         h -= self.sums[starts]
-        h *= Rolling._down[starts]
+        h = times(_folded(h), Rolling._down[starts])
         h += (ends - starts).astype(U64) * _LENGTH
         return mix(h)
 
     def every(self, width: int) -> np.ndarray:
         """The hash of each span of that width, by its start."""
-        h = self.sums[width:] - self.sums[: -width or None]
-        h *= Rolling._down[: len(h)]
+        h = self.sums[width:] + _PRIME
+        h -= self.sums[: -width or None]
+        h = times(_folded(h), Rolling._down[: len(h)])
         h += np.full(1, width, U64) * _LENGTH
         return mix(h)
 
 
+def content_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each span's own bytes, independent of Rolling; data may hold bytes or 64-bit names."""
+    raw, width, digest = memoryview(np.ascontiguousarray(data).view(np.uint8)), data.itemsize, xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(raw[a:b], 29) for a, b in zip((starts * width).tolist(), (ends * width).tolist())), U64, len(starts))
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words of the rows, and the row of each word; words end with their row."""
     if not len(data):

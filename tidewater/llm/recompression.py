@@ -10,7 +10,7 @@ the symbol's name (repeats.py); contexts that differ are compared word by word t
 Each word covered by a window whose words also start in a text with a smaller id is removed.
 
 Defined cases: a null or empty text has no words; texts under the window length repeat nothing; rows with one id never remove
-each other's words, repeated or not; a row with a null id keeps all words and removes none elsewhere; an empty table gives an
+each other's words, repeated or not; a row with a null id keeps all words and removes none elsewhere; ids are whole numbers, of which -2**63 is refused; an empty table gives an
 empty result; only the id and text columns are read.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import U64, Rolling, mix, word_spans
+from .common import U64, Rolling, content_digests, mix, word_spans
 from .repeats import NO_ID, Unit, find_repeats, packed_texts
 from .suffix_array import merged
 
@@ -142,8 +142,8 @@ def word_anchors(length: int, data: np.ndarray, offsets: np.ndarray):
     base = np.searchsorted(row, np.arange(len(offsets) - 1))
     own = row[pos]
     lo, hi = pos - first, pos - last
-    context = roll.of(first, last + length)
-    return own, pos - base[own], lo, hi, gram, mix(context ^ (lo.astype(U64) << U64(32)) ^ hi.astype(U64))
+    context = content_digests(words, first, last + length)
+    return own, pos - base[own], lo, hi, gram, mix(context ^ mix((lo.astype(U64) << U64(32)) ^ hi.astype(U64)))
 
 
 def word_contents(length: int, text: bytes, pos, lo, hi):

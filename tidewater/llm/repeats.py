@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix, slices, staged, text_buffers
+from .common import U64, mix, named, slices, staged, text_buffers, whole_ids
 
 SLICE_BYTES = 1 << 20
 #: Contexts of one gram beyond which its windows are hashed and dealt out one by one.
@@ -108,7 +108,14 @@ def _by_class(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cls = mix(rows["gram"] ^ mix(rows["ctx"]))
     order = np.argsort(cls)
     sorted_cls = cls[order]
-    same = sorted_cls[1:] == sorted_cls[:-1]
+    met = sorted_cls[1:] == sorted_cls[:-1]
+    same = met.copy()
+    for name in ("gram", "ctx"):  # both digests decide; their mixture only brings equal ones together
+        same[met] &= (rows[name][order[1:]] == rows[name][order[:-1]])[met]
+    if not np.array_equal(same, met):
+        order = np.lexsort((rows["ctx"], rows["gram"]))
+        same = (rows["gram"][order[1:]] == rows["gram"][order[:-1]]) & (rows["ctx"][order[1:]] == rows["ctx"][order[:-1]])
+        sorted_cls = np.concatenate([[0], np.cumsum(~same)]) if len(rows) else sorted_cls
     if same.any():
         multi = np.zeros(len(rows), bool)
         multi[1:] |= same
@@ -174,8 +181,14 @@ def _ranges_of(rows: np.ndarray, length: int):
     return merge_ranges(rows["doc"], rows["key"], rows["pos"] - rows["lo"], rows["pos"] - rows["hi"] + length)
 
 
+def _doc(docs: DataFrame, id_col: str):
+    """The id, or NO_ID for none; the one id that would be taken for none is an error."""
+    own = whole_ids(docs, id_col)
+    return F.when(own == NO_ID, F.raise_error(F.lit(f"{id_col} {NO_ID} stands for a missing id"))).otherwise(F.coalesce(own, F.lit(NO_ID))).alias("doc")
+
+
 def _named(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs.select(_doc(docs, id_col), F.coalesce(named(text), F.lit("")).alias("text"))
 
 
 def _anchor_blocks(unit: Unit, buckets: int):
@@ -287,10 +300,10 @@ def packed_texts(docs: DataFrame, id_col: str, text: str, rest: tuple[str, ...]
             texts = [raw[a:b] for a, b in zip(o[:-1], o[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(t) for t in texts], pa.int64()), pa.array([pack.compress(t) for t in texts], pa.binary()), *batch.columns[2:]], names=["doc", "key", "packed", "rest"][: 3 + bool(rest)])
 
-    along = [F.struct(*rest).alias("rest")] if rest else []
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), *along)
+    along = [F.struct(*map(named, rest)).alias("rest")] if rest else []
+    texts = docs.select(_doc(docs, id_col), F.coalesce(named(text), F.lit("")).alias("text"), *along)
     kinds = T.StructType().add("doc", T.LongType()).add("key", T.LongType()).add("packed", T.BinaryType())
-    return named.mapInArrow(run, kinds.add("rest", named.schema["rest"].dataType) if rest else kinds)
+    return texts.mapInArrow(run, kinds.add("rest", texts.schema["rest"].dataType) if rest else kinds)
 
 
 CONTENT = "gram long, doc long, key long, pos long, lo int, hi int, source boolean, content binary"

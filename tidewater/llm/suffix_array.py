@@ -10,7 +10,7 @@ Mode "later" removes every byte of later copies and keeps the first; mode "all"
 also starts anywhere else.
 
 Defined cases: a null or empty text has no bytes; in mode "later" rows that repeat an id and its text are one text, in mode
-"all" each is a copy of the other; texts under the length repeat nothing; a null id comes first in the order of ids; an
+"all" each is a copy of the other; ids are whole numbers, of which -2**63 is refused; texts under the length repeat nothing; a null id comes first in the order of ids; an
 empty table gives an empty result; only the id and text columns are read by substring_repeats, all are kept by the filter.
 """
 
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, mix
+from .common import U64, Rolling, content_digests, fresh_name, mix, named
 from .repeats import NO_ID, SLICE_BYTES, Unit, find_repeats, packed_texts
 
 
@@ -65,8 +65,8 @@ def byte_anchors(length: int, gram: int, data: np.ndarray, offsets: np.ndarray):
     pos, first, last = chosen[firsts], window[firsts], window[lasts]
     row = np.searchsorted(offsets, pos, side="right") - 1
     lo, hi = pos - first, pos - last
-    context = roll.of(first, last + length)
-    return row, pos - offsets[row], lo, hi, grams[pos], mix(context ^ (lo.astype(U64) << U64(32)) ^ hi.astype(U64))
+    context = content_digests(data, first, last + length)
+    return row, pos - offsets[row], lo, hi, grams[pos], mix(context ^ mix((lo.astype(U64) << U64(32)) ^ hi.astype(U64)))
 
 
 def suffix_ranks(text: np.ndarray, piece_end: np.ndarray, depth: int) -> np.ndarray:
@@ -225,8 +225,9 @@ def substring_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     spans = find_repeats(docs, byte_unit(length, "later"), id_col, text)
     others = tuple(c for c in docs.columns if c != text)
     # A null text is packed as the empty one; null stays null by the mark that rides along first.
-    marked = docs.select(F.col(text).isNull().alias("null mark"), *docs.columns)
-    met = packed_texts(marked, id_col, text, ("null mark", *others)).join(spans, ["doc", "key"], "left").select("packed", "spans", "rest")
+    mark = fresh_name("null mark", docs.columns)
+    marked = docs.select(named(text).isNull().alias(mark), *map(named, docs.columns))
+    met = packed_texts(marked, id_col, text, (mark, *others)).join(spans, ["doc", "key"], "left").select("packed", "spans", "rest")
     order = docs.columns
 
     def cut(batches):
