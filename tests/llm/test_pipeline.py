@@ -6,7 +6,6 @@ import re
 
 import numpy as np
 import public_tokenizers
-import xxhash
 
 import corpus_pipeline
 from tests.llm.test_operators import brute_quality
@@ -22,24 +21,23 @@ def rejected(text):
     return base or 4 * symbols > n_words or (letters >= 40 and 2 * upper > letters) or (dup >= 3 and 10 * dup > 3 * lines) or chars < 2 * n_words or chars > 30 * n_words
 
 
-def simhash5(text):
+def shingles5(text):
     words = "".join(c.lower() if c.isascii() else c for c in text).split()
-    shingles = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or [" ".join(words)]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 def one_of_each(docs):
-    prints = {i: simhash5(t) for i, t, _ in docs}
-    root = {i: i for i in prints}
-    ids, changed = sorted(prints), True
+    """One document of each group whose five-word shingles have a similarity of 0.8 or more."""
+    sets = {i: shingles5(t) for i, t, _ in docs}
+    root = {i: i for i in sets}
+    ids, changed = sorted(sets), True
+    links = [(a, b) for a in ids for b in ids if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     while changed:
         changed = False
-        for a in ids:
-            for b in ids:
-                if (prints[a] ^ prints[b]).bit_count() <= 7 and root[a] != root[b]:
-                    root[a] = root[b] = min(root[a], root[b])
-                    changed = True
+        for a, b in links:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
     return [d for d in docs if root[d[0]] == d[0]]
 
 
@@ -74,7 +72,9 @@ def test_pipeline(spark, tmp_path):
     docs += [(100 + i, sentence(40) + ". " + passage + " " + sentence(40), "a") for i in range(6)]
     docs += [(200 + i, docs[i][1] + (" end" if i % 2 else ""), "b") for i in range(8)]
     docs += [(300, None, "a"), (301, "few words", "a"), (302, "### " * 50, "b"), (303, "LOUD WORDS HERE AGAIN " * 12, "a"), (304, passage, None)]
-    table = spark.createDataFrame([(i, t, "xx", s, len(t or "")) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = ("null mark", "mix plan", "a.b", "key", "rest")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    table = spark.createDataFrame([(i, t, "xx", s, len(t or ""), *extra) for i, t, s in docs], kinds)
     table.write.parquet(str(tmp_path / "documents.parquet"))
 
     left = first_copies(one_of_each([d for d in docs if not rejected(d[1])]), corpus_pipeline.REPEAT_BYTES)
