@@ -133,11 +133,14 @@ def prefix_max(df: DataFrame, value: Column, order: list[str], out: str, inclusi
 
 
 def suffix_min(df: DataFrame, value: Column, order: list[str], out: str, inclusive: bool, by: str = "chrom", chunk: int = CHUNK) -> DataFrame:
-    """The least value of the rows behind (or from) each row; the mirror image of prefix_max."""
+    """The least value of the rows behind (or from) each row; the mirror image of prefix_max.
+
+    The order is turned round: a frame that begins at its row and ends with the group is worked out anew for every row.
+    """
     tagged = df.withColumn("pm chunk", F.floor(F.col(order[0]) / chunk)).withColumn("pm value", value)
-    w = W.partitionBy(by, "pm chunk").orderBy(*order).rowsBetween(0 if inclusive else 1, W.unboundedFollowing)
+    w = W.partitionBy(by, "pm chunk").orderBy(*map(F.desc, order)).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     tops = tagged.groupBy(F.col(by).alias("pm by"), F.col("pm chunk").alias("pm at")).agg(F.min("pm value").alias("pm top"))
-    carried = F.min("pm top").over(W.partitionBy("pm by").orderBy("pm at").rowsBetween(1, W.unboundedFollowing))
+    carried = F.min("pm top").over(W.partitionBy("pm by").orderBy(F.desc("pm at")).rowsBetween(W.unboundedPreceding, -1))
     carry = tops.withColumn("pm before", carried).drop("pm top")
     met = tagged.withColumn("pm inside", F.min("pm value").over(w)).join(carry, (F.col(by) == F.col("pm by")) & (F.col("pm chunk") == F.col("pm at")))
     return met.withColumn(out, F.least("pm inside", "pm before")).drop("pm chunk", "pm value", "pm by", "pm at", "pm before", "pm inside")
