@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, mix, slices, spread, text_buffers, word_spans
+from .common import U64, Rolling, mix, named, slices, spread, text_buffers, word_spans
 
 #: Bytes of text that vectorised steps hold at once (one longer document is held alone).
 SLICE_BYTES = 1 << 20
@@ -170,15 +170,25 @@ def _chunks(column: pa.Array):
 def plan_order(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, seed: int = 17) -> list[dict]:
     """Measure the rules on a bounded sample; the plan lists them by falling rejection rate per second of cost.
 
-    At most sample_rows rows reach the driver. A rule that rejects nothing is ranked by its cost alone, cheapest first.
+    The rules run where the sample's texts are, a few of them in memory at a time; one row a rule and batch reaches the driver. A
+    rule that rejects nothing is ranked by its cost alone, cheapest first.
     """
-    sample = docs.select(text).sample(0.2, seed).limit(sample_rows).toArrow().column(0)
-    column, plan = sample.combine_chunks(), []
-    for rule in rules:
-        began, rejected = time.perf_counter(), 0
-        for _, _, f in _chunks(column):
-            rejected += int(rule.rejects(f).sum())
-        plan.append({"rule": rule.name, "cost_s": (time.perf_counter() - began) / max(1, len(column)), "rejects": rejected / max(1, len(column))})
+
+    def measure(batches):
+        for batch in batches:
+            for i, j, f in _chunks(batch.column(0)):
+                names, costs, rejected = [], [], []
+                for rule in rules:
+                    began = time.perf_counter()
+                    names.append(rule.name)
+                    rejected.append(int(rule.rejects(f).sum()))
+                    costs.append(time.perf_counter() - began)
+                yield pa.RecordBatch.from_pydict({"rule": names, "cost_s": costs, "rejects": pa.array(rejected, pa.int64()), "n": pa.array([j - i] * len(names), pa.int64())})
+
+    sample = docs.select(named(text).alias("text")).sample(0.2, seed).limit(sample_rows)
+    found = sample.mapInArrow(measure, "rule string, cost_s double, rejects long, n long").groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("cost_s", "rejects", "n")]).collect()
+    seen = {r["rule"]: r for r in found}
+    plan = [{"rule": x.name, "cost_s": seen[x.name]["cost_s"] / seen[x.name]["n"], "rejects": seen[x.name]["rejects"] / seen[x.name]["n"]} if x.name in seen else {"rule": x.name, "cost_s": 0.0, "rejects": 0.0} for x in rules]
     return sorted(plan, key=lambda x: (-(x["rejects"] + 1e-6) / max(x["cost_s"], 1e-9), x["rule"]))
 
 
@@ -205,7 +215,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     by_name = {r.name: r for r in rules}
     ordered = [by_name[x["rule"]] for x in plan]
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = ", ".join([f"{id_col} {id_type}", *(f"{x} long" for x in features), "base_failed boolean", "kept boolean"])
+    schema = ", ".join([f"`{id_col}` {id_type}", *(f"{x} long" for x in features), "base_failed boolean", "kept boolean"])
 
     def judge(batches):
         for batch in batches:
@@ -218,7 +228,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict({id_col: batch.column(0)} | {k: pa.array(np.concatenate(v)) for k, v in columns.items()})
 
-    return docs.select(id_col, text).mapInArrow(judge, schema)
+    return docs.select(named(id_col).alias("id"), named(text).alias("text")).mapInArrow(judge, schema)
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, plan: list[dict] | None = None) -> DataFrame:
@@ -226,14 +236,14 @@ def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     plan = plan_order(docs, text, rules) if plan is None else plan
     by_name = {r.name: r for r in rules}
     ordered = [by_name[x["rule"]] for x in plan]
-    at = docs.columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
 
     def keep(batches):
         for batch in batches:
             for i, j, f in _chunks(batch.column(at)):
-                yield batch.slice(i, j - i).filter(pa.array(run_cascade(f, ordered)))
+                yield batch.slice(i, j - i).filter(pa.array(run_cascade(f, ordered))).rename_columns(names)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(keep, docs.schema)
 
 
 QUERY_FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
