@@ -9,6 +9,12 @@ of +1 behind BODY of an assistant's turn and -1 at CLOSE.
 Turns are formatted row by row without a shuffle; reading back streams each conversation's turns in order and keeps digests
 and counters only, so a conversation of any length needs the memory of one turn.
 
+White space runs of over LONG_RUN characters, which the encoder's pattern cannot take, are encoded in pieces of that length; shorter
+ones give the library's ids. Either way decoding is exact.
+
+Reading back needs a conversation's turns in order, so one conversation (and all rows without a conv_id) is read by one task,
+which holds one batch of turns at a time.
+
 Defined cases: a null text or role is empty; turns are ordered by turn (null first), role and text, so ties and repeated
 rows have a fixed order and each row is a turn; rows with a null conv_id form one conversation; an empty table gives an empty
 result; only conv_id, turn, role and text are read.
@@ -28,6 +34,9 @@ from pyspark.sql import functions as F
 OPEN, BODY, CLOSE = "<turn>", "<body>", "</turn>"
 #: Strings that are escaped inside contents.
 CONTROL = (OPEN, BODY, CLOSE, "### User:", "### Assistant:", "### System:")
+#: White space characters in a row that are given to the encoder at once.
+LONG_RUN = 4096
+_LONG = regex.compile(r"\s{%d}" % LONG_RUN)
 _MARKED = regex.compile(r"(\\*)(" + "|".join(map(regex.escape, CONTROL)) + r"|\Z)")
 
 
@@ -51,10 +60,21 @@ class Template:
         top = max(ranks.values()) + 1
         self.open, self.body, self.close = top, top + 1, top + 2
 
+    def ids(self, content: str) -> list[int]:
+        if len(content) <= LONG_RUN:
+            return self.tokens.encode_ordinary(content)
+        out, at = [], 0
+        for m in _LONG.finditer(content):
+            if m.start() > at:
+                out += self.tokens.encode_ordinary(content[at : m.start()])
+            out += self.tokens.encode_ordinary(m[0])
+            at = m.end()
+        return out + self.tokens.encode_ordinary(content[at:])
+
     def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray, str]:
         """Ids, loss mask and string form of one turn."""
         role_out, text_out = escape(role), escape(text)
-        head, body = self.tokens.encode_ordinary(role_out), self.tokens.encode_ordinary(text_out)
+        head, body = self.ids(role_out), self.ids(text_out)
         ids = np.array([self.open, *head, self.body, *body, self.close], np.int32)
         change = np.zeros(len(ids) + 1, np.int32)
         if role == "assistant":
