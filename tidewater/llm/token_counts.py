@@ -2,7 +2,8 @@
 
 The cache is a Parquet folder of (content digest, tokenizer digest, n_tokens). The tokenizer digest covers the file's
 bytes and the library's name and version, so a new version never meets old counts. Content is normalised as the tokenizer
-itself does before the digest (byte-level files: not at all). Misses are deduplicated inside each scan task, shuffled
+itself does before the digest, if it has a normaliser and no added token's string occurs in the text, where what surrounds it would be
+normalised apart; a byte-level file has none, and its texts are digested as they are. Misses are deduplicated inside each scan task, shuffled
 compressed by digest, encoded once and appended; the documents then take their counts by a join of small rows.
 
 A miss is cut just before ASCII white space that follows other text, where no token of the pattern can span, and each
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, release_memory, shared_folder, slices, text_buffers, word_spans
+from .common import distinct, named, release_memory, shared_folder, slices, staged, text_buffers, word_spans
 
 SLICE_BYTES = 4 << 20
 #: Distinct segments whose counts a worker keeps, and distinct digests a scan task keeps to drop copies early.
@@ -58,6 +59,7 @@ class Counter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.segments: dict[str, int] = {}
+        self.normalizer, self.added = None, []
         if path.endswith(".model"):
             import sentencepiece
 
@@ -72,6 +74,17 @@ class Counter:
             self.library = lambda texts: [len(x) for x in own.encode_batch_fast(texts, add_special_tokens=False)]
             kind = own.pre_tokenizer.__class__.__name__
             self.segmented = own.normalizer is None and kind == "ByteLevel" and not own.pre_tokenizer.add_prefix_space
+            if own.normalizer is not None:
+                self.normalizer, self.added = own.normalizer, [x.content for x in own.get_added_tokens_decoder().values()]
+
+    def digest(self, text: bytes) -> bytes:
+        """Texts of one digest have one count."""
+        if self.normalizer is None:
+            return hashlib.sha256(text).digest()
+        own = text.decode()
+        if any(x in own for x in self.added):
+            return hashlib.sha256(b"as it is\0" + text).digest()
+        return hashlib.sha256(b"normalised\0" + self.normalizer.normalize_str(own).encode()).digest()
 
     def of(self, texts: pa.Array) -> np.ndarray:
         if not self.segmented:
@@ -113,31 +126,50 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-def _digest(text: bytes) -> bytes:
-    return hashlib.sha256(text).digest()
+def _first_copies(path: str):
+    """(digest, compressed text) of each text that this task has not met before; the memory of digests is bounded."""
+
+    def run(batches):
+        pack, seen, own = zstandard.ZstdCompressor(level=1), set(), counter(path)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            raw, digests, packed = data.tobytes(), [], []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                d = own.digest(raw[a:b])
+                if d not in seen:
+                    seen.add(d)
+                    digests.append(d)
+                    packed.append(pack.compress(raw[a:b]))
+            if len(seen) > SEEN_DIGESTS:
+                seen.clear()
+            yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "packed": pa.array(packed, pa.binary())})
 
+    return run
 
-def _first_copies(batches):
-    """(digest, compressed text) of each text that this task has not met before; the memory of digests is bounded."""
-    pack, seen = zstandard.ZstdCompressor(level=1), set()
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(0))
-        raw, digests, packed = data.tobytes(), [], []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            d = _digest(raw[a:b])
-            if d not in seen:
-                seen.add(d)
-                digests.append(d)
-                packed.append(pack.compress(raw[a:b]))
-        if len(seen) > SEEN_DIGESTS:
-            seen.clear()
-        yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "packed": pa.array(packed, pa.binary())})
+
+def _digested(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
+    """(id, n_bytes, digest) of every row; only a normaliser needs Python."""
+    size = F.coalesce(F.octet_length(named(text)), F.lit(0)).cast("long").alias("n_bytes")
+    whole = F.coalesce(named(text), F.lit(""))
+    if counter(path).normalizer is None:
+        return docs.select(named(id_col), size, F.unhex(F.sha2(whole.cast("binary"), 256)).alias("digest"))
+
+    def run(batches):
+        own = counter(path)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(2))
+            raw, o = data.tobytes(), offsets.tolist()
+            digests = [own.digest(raw[a:b]) for a, b in zip(o[:-1], o[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], names=[id_col, "n_bytes", "digest"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(named(id_col).alias("id"), size, whole.alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, digest binary")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of every row; counts that cache_path lacks are encoded and appended to it.
 
-    Without cache_path the cache lives in the shared folder for this call alone.
+    cache_path is a folder that outlives the call; without it the cache lives in the shared folder for this call alone.
     """
     spark = docs.sparkSession
     cache_path = cache_path or shared_folder(spark)
@@ -148,7 +180,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         mine = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
         return mine.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    copies = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(_first_copies, "digest binary, packed binary")
+    copies = docs.select(F.coalesce(named(text), F.lit("")).alias("text")).mapInArrow(_first_copies(tokenizer_path), "digest binary, packed binary")
     misses = copies.join(stored().select("digest"), "digest", "left_anti")
 
     def encode(batches):
@@ -174,8 +206,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         release_memory()
 
     misses.repartition("digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    keyed = docs.select(id_col, F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("digest"))
-    return keyed.join(stored(), "digest").select(id_col, "n_bytes", "n_tokens")
+    # The counts are written first: a join of two plain exchanges is one whose hot digests the engine splits over tasks.
+    return _digested(docs, tokenizer_path, id_col, text).join(staged(stored()), "digest").select(named(id_col), "n_bytes", "n_tokens")
+
+
+#: Session setting that names the folder of the query's cache; unset, each call has its own.
+CACHE_SETTING = "spark.tidewater.tokenCache"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -183,5 +219,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     from .common import read_table
 
-    counts = token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    counts = token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), spark.conf.get(CACHE_SETTING, None))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
