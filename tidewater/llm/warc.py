@@ -2,7 +2,8 @@
 
 Writing: each page becomes one gzip member holding a WARC/1.1 record, in files of the shared folder; a payload is hashed and
 compressed chunk by chunk. Of pages with equal payloads the one with the largest id is a response, the others are revisits
-of it. A written manifest lists the records of committed tasks only, so files of lost attempts are never read.
+of it: digests and ids alone are exchanged to tell which, then each payload goes to a writer by its page id, so the copies of a
+common page are spread. A written manifest lists the records of committed tasks only, so files of lost attempts are never read.
 Reading: members are decompressed in bounded pieces and leave as chunk rows; no record is ever held whole beyond the row
 that it came from. A response whose content does not give the digest in its header is an error.
 
@@ -24,13 +25,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, staged, text_buffers
+from .common import shared_folder, staged, text_buffers, whole_ids
 
 CHUNK_BYTES = 1 << 20
 #: Compressed bytes of a file that one reading task takes at a time.
 SPLIT_BYTES = 16 << 20
 MANIFEST = "file string, start long, length long"
-CHUNKS = "record_id string, chunk_no int, record_type string, target_uri string, refers_to string, declared_bytes long, declared_digest string, data binary, running_sha1 binary, last boolean"
+CHUNKS = "record_id string, chunk_no int, record_type string, target_uri string, refers_to string, declared_bytes long, declared_digest string, data binary, running_digest string, last boolean, file string, start long"
 _ID = "urn:x-page:"
 _DATE = "2020-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,12 +76,16 @@ def record_pieces(page_id, url, payload: memoryview, sha1: bytes, refers_to, chu
 def write_warc(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0, chunk: int = CHUNK_BYTES) -> DataFrame:
     """Write the archives and return the manifest, a written table of (file, start, length): one row a record."""
     folder = folder or shared_folder(pages.sparkSession)
+    whole_ids(pages, "page_id")
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"))
-    heads = keyed.where("page_id is not null").groupBy("sha1").agg(F.max("page_id").alias("head"))
-    refers = F.when((F.col("head") != F.col("page_id")) & (F.octet_length("html") >= min_revisit_bytes), F.col("head"))
-    # Hashed on the small side, so that payloads are not sorted on their way to the writer.
-    rows = keyed.join(heads.hint("shuffle_hash"), "sha1", "left").select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
+    small = staged(keyed.where("page_id is not null").select("page_id", "sha1", F.octet_length("html").alias("n")).distinct())
+    heads = staged(small.groupBy("sha1").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).where("copies > 1"))
+    later = small.where(F.col("n") >= min_revisit_bytes).join(heads, "sha1").where("head <> page_id").select("page_id", "sha1", F.col("head").alias("refers_to"))
+    # Rows without an id are responses and refer to nothing; the others meet by id and digest. Hashed on the small side, so that
+    # payloads are not sorted on their way to the writer.
+    rows = keyed.where("page_id is not null").join(later.hint("shuffle_hash"), ["page_id", "sha1"], "left").select("page_id", "url", "html", "sha1", "refers_to")
+    rows = rows.unionByName(keyed.where("page_id is null").select("page_id", "url", "html", "sha1", F.lit(None).cast("long").alias("refers_to")))
 
     def write(batches):
         store, root = open_store(folder)
@@ -168,7 +173,10 @@ def record_chunks(stream, length: int, chunk: int):
             raise ValueError(f"record {name('warc-record-id')} is cut short")
         left -= len(data)
         running.update(data)
-        yield (name("warc-record-id"), number, *fixed, data, running.digest(), left == 0)
+        digest = base32_sha1(running.digest())
+        if not left and fixed[0] == "response" and digest != fixed[4]:
+            raise ValueError(f"record {name('warc-record-id')}: its payload does not match its headers")
+        yield (name("warc-record-id"), number, *fixed, data, digest, left == 0)
         number += 1
         if not left:
             break
@@ -188,7 +196,7 @@ def _splits(manifest: DataFrame) -> DataFrame:
 
 
 def _records(batches):
-    """(stream, length) of each record of the manifest rows, keeping one file open."""
+    """(stream, length, file, start) of each record of the manifest rows, keeping one file open."""
     name, stream = None, None
     for batch in batches:
         for file, start, length in zip(*(c.to_pylist() for c in batch.columns)):
@@ -198,7 +206,7 @@ def _records(batches):
                 store, path = open_store(file)
                 name, stream = file, store.open_input_file(path)
             stream.seek(start)
-            yield stream, length
+            yield stream, length, file, start
     if stream:
         stream.close()
 
@@ -206,13 +214,13 @@ def _records(batches):
 def read_warc_chunks(manifest: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table of the archives; a record's payload is its chunks' data in order."""
     names = [x.split()[0] for x in CHUNKS.split(", ")]
-    kinds = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("declared_bytes", pa.int64()), ("declared_digest", pa.string()), ("data", pa.binary()), ("running_sha1", pa.binary()), ("last", pa.bool_())])
+    kinds = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("declared_bytes", pa.int64()), ("declared_digest", pa.string()), ("data", pa.binary()), ("running_digest", pa.string()), ("last", pa.bool_()), ("file", pa.string()), ("start", pa.int64())])
 
     def read(batches):
         rows, held = [], 0
-        for stream, length in _records(batches):
+        for stream, length, file, start in _records(batches):
             for row in record_chunks(stream, length, chunk):
-                rows.append(row)
+                rows.append((*row, file, start))
                 held += len(row[7]) + 200
                 if held > 4 * chunk:
                     yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=kinds)
@@ -224,29 +232,26 @@ def read_warc_chunks(manifest: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame
 
 
 def read_warc_records(manifest: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """One row a record: (page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri), digests taken chunk by chunk.
+    """One row a record from its chunk rows: (page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri).
 
-    A revisit carries no payload; its size and digest are those that its headers state.
+    A response's size is the sum of its chunks, its digest the running one of its last chunk. A revisit carries no payload; its
+    size and digest are those that its headers state. A record is named by its file and place, so tied ids stay apart.
     """
-    kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string())])
-
-    def read(batches):
-        rows = []
-        number = lambda x: None if x in (None, "none") else int(x)
-        for stream, length in _records(batches):
-            size = 0
-            for record_id, _, kind, uri, refers, declared, digest, data, running, last in record_chunks(stream, length, chunk):
-                size += len(data)
-            if kind == "response" and (size != declared or base32_sha1(running) != digest):
-                raise ValueError(f"record {record_id}: its payload does not match its headers")
-            rows.append((number(record_id), declared, digest, kind, number(refers), uri))
-            if len(rows) >= 10_000:
-                yield pa.RecordBatch.from_pydict(dict(zip(kinds.names, map(list, zip(*rows)))), schema=kinds)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pydict(dict(zip(kinds.names, map(list, zip(*rows)))), schema=kinds)
-
-    return _splits(manifest).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
+    chunks = read_warc_chunks(manifest, chunk)
+    fields = ("record_id", "record_type", "target_uri", "refers_to", "declared_bytes", "declared_digest")
+    last = F.max(F.struct("chunk_no", "running_digest", *fields)).alias("x")
+    rows = chunks.groupBy("file", "start").agg(F.sum(F.octet_length("data").cast("long")).alias("bytes"), last)
+    number = lambda c: F.when(c != "none", c.cast("long"))
+    response = F.col("x.record_type") == "response"
+    size = F.when(response & (F.col("bytes") != F.col("x.declared_bytes")), F.raise_error(F.lit("a payload is not as long as its headers state"))).otherwise(F.col("x.declared_bytes"))
+    return rows.select(
+        number(F.col("x.record_id")).alias("page_id"),
+        size.cast("long").alias("payload_bytes"),
+        F.when(response, F.col("x.running_digest")).otherwise(F.col("x.declared_digest")).alias("payload_digest"),
+        F.col("x.record_type").alias("record_type"),
+        number(F.col("x.refers_to")).alias("refers_to"),
+        F.col("x.target_uri").alias("target_uri"),
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
