@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD_PATTERN, staged
+from .common import WORD_PATTERN, fresh_name, named, staged
 
 BITS, LEVELS = 12, 3
 
@@ -56,12 +56,12 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], budget: float,
 
 
 def _hash(id_col: str):
-    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("mix")), 64 - BITS * LEVELS)
+    return F.shiftrightunsigned(F.xxhash64(named(id_col), F.lit("mix")), 64 - BITS * LEVELS)
 
 
 def _sizes(docs: DataFrame, id_col: str, source: str, text: str) -> DataFrame:
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    return staged(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), words.alias("size"), _hash(id_col).alias("hash")))
+    words = F.coalesce(F.regexp_count(named(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    return staged(docs.select(named(id_col).alias("id"), named(source).cast("string").alias("source"), words.alias("size"), _hash(id_col).alias("hash")))
 
 
 def mix_plan(sized: DataFrame, weights: tuple[int, ...], budget: float, max_epochs: int) -> DataFrame:
@@ -96,10 +96,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: f
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.0, max_epochs: int = 3, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns."""
     plan = mix_plan(_sizes(docs, id_col, source, text), weights, budget, max_epochs)
-    small = plan.select(F.struct("key", "passes", "edge").alias("mix plan"))
-    met = docs.join(small, F.col(source).cast("string").eqNullSafe(F.col("mix plan.key")))
-    times = F.col("mix plan.passes") + F.when(_hash(id_col) < F.col("mix plan.edge"), 1).otherwise(0)
-    return met.withColumn("mix plan", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    own = fresh_name("mix plan", docs.columns)
+    small = plan.select(F.struct("key", "passes", "edge").alias(own))
+    met = docs.join(small, named(source).cast("string").eqNullSafe(named(own)["key"]))
+    times = named(own)["passes"] + F.when(_hash(id_col) < named(own)["edge"], 1).otherwise(0)
+    return met.withColumn(own, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*map(named, docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
