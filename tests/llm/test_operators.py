@@ -63,6 +63,31 @@ def test_token_counts(spark, tmp_path, name):
     assert token_counts.token_counts(frame(spark, []), path).count() == 0
 
 
+def test_token_cache_of_the_query(spark, tmp_path):
+    """With a cache folder set, a second run encodes nothing anew."""
+    table = frame(spark, [(i, t, "s") for i, t in enumerate(TEXTS)])
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    cache = str(tmp_path / "cache")
+    spark.conf.set(token_counts.CACHE_SETTING, cache)
+    try:
+        first = sorted(map(tuple, token_counts.query(spark, str(tmp_path)).collect()))
+        rows = spark.read.parquet(cache).count()
+        assert sorted(map(tuple, token_counts.query(spark, str(tmp_path)).collect())) == first
+        assert spark.read.parquet(cache).count() == rows == len({t or "" for t in TEXTS})
+    finally:
+        spark.conf.unset(token_counts.CACHE_SETTING)
+
+
+def test_normalised_digests():
+    """Texts that the tokenizer's normaliser makes equal share a digest, unless an added token's string is in them."""
+    own = token_counts.Counter(public_tokenizers.path("word_bpe_49k.json"))
+    if own.normalizer is None:
+        pytest.skip("no normaliser in the file")
+    a, b = "Hello  World", own.normalizer.normalize_str("Hello  World")
+    assert own.digest(a.encode()) == own.digest(b.encode())
+    assert own.added and own.digest(own.added[0].encode()) != own.digest((own.added[0] + " ").encode())
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -88,6 +113,38 @@ def test_quality(spark):
     assert quality.quality_filter(frame(spark, [])).count() == 0
 
 
+def thue_morse(n):
+    """Two words that every polynomial hash modulo a power of two takes for one."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_patterned_words(spark):
+    x, y = thue_morse(1024)
+    text = " ".join(["one two three four", x, "five six seven eight nine ten", "one two three four", y])
+    row = quality.quality_verdicts(frame(spark, [(1, text, "s")]), features=quality.QUERY_FEATURES).first()
+    assert tuple(row[1:7]) == brute_quality(text) and row["n_repeat_words"] == 0 and not row["base_failed"]
+
+
+def test_odd_column_names(spark):
+    """Names that operators use inside, or that hold dots, survive every operator that returns the rows themselves."""
+    kinds = "doc_id long, text string, source string, `null mark` string, `mix plan` string, `a.b` int, `rest` string, `root` long"
+    docs = spark.createDataFrame([(i, t, "s", "m", "p", 7, "r", 1) for i, t in enumerate(TEXTS)], kinds)
+    kept = quality.quality_filter(docs)
+    for out in (kept, simhash.simhash_dedup(docs), simhash.similar_dedup(docs), mixing.take_mix(docs)):
+        assert out.schema == docs.schema and {tuple(r[3:]) for r in out.collect()} <= {("m", "p", 7, "r", 1)}
+    dotted = docs.withColumnsRenamed({"doc_id": "doc.id", "text": "the.text"})
+    assert quality.quality_verdicts(dotted, "doc.id", "the.text").count() == len(TEXTS)
+    assert simhash.simhash_components(dotted.withColumnRenamed("doc.id", "doc_id"), text="the.text").count() == len(TEXTS)
+
+
+def test_ids_are_whole_numbers(spark):
+    docs = spark.createDataFrame([("x", "t")], "doc_id string, text string")
+    for run in (simhash.simhash_components, simhash.similar_dedup):
+        with pytest.raises(TypeError):
+            run(docs)
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
@@ -114,7 +171,7 @@ def brute_components(prints):
 
 @pytest.mark.parametrize("tile", [20_000, 3])
 def test_simhash(spark, tile, monkeypatch):
-    monkeypatch.setattr(simhash.near_classes, "__defaults__", (4, tile))
+    monkeypatch.setattr(simhash.near_classes, "__defaults__", (4, simhash.BLOCKS, tile, False))
     draw = random.Random(2)
     vocabulary = [f"w{i}É" for i in range(300)]
     base = [[draw.choice(vocabulary) for _ in range(120)] for _ in range(12)]
@@ -273,5 +330,12 @@ def test_chat(spark):
         assert (r["n_turns"], r["turns_sha256"]) == (len(mine), hashlib.sha256(told.encode()).hexdigest())
         assert (r["loss_chars"], r["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
         assert r["formatted_chars"] >= len(told)
+    for long in (" " * 1_000_000, "\n" * 1_000_000, "a" * 300_000, "x " * 200_000, "a" + "\u3000" * 300_000 + "b \\### User:"):
+        one = spark.createDataFrame([(9, 0, "assistant", long)], table.schema.names[:4])
+        r = chat.conversation_digests(chat.format_turns(one, path, pattern), path, pattern).first()
+        assert r["loss_chars"] == len(long) and r["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    own = chat.template(path, pattern)
+    short = "x" + " " * 3000 + "y\n" * 900 + "\t" * 100
+    assert own.ids(short) == own.tokens.encode_ordinary(short)
     empty = chat.format_turns(table.limit(0), path, pattern)
     assert chat.conversation_digests(empty, path, pattern).count() == 0
