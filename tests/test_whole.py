@@ -13,7 +13,7 @@ def whole(spark, name):
 
 
 def test_gaps_of_all_items(spark):
-    for name, column in (("upstream_gaps_whole", "name"), ("bidirectional_pairs_whole", "minus_name")):
+    for name, column in (("upstream_gaps", "name"), ("bidirectional_pairs", "minus_name")):
         orders = whole(spark, name).selectExpr(f"cast(split({column}, '_')[0] as long) as k")
         assert orders.where("k % 50 <> 0").count() > 20 * orders.where("k % 50 = 0").count() > 0
 
@@ -21,8 +21,8 @@ def test_gaps_of_all_items(spark):
 def test_pairs_of_all_suppliers(spark):
     suppliers = spark.read.parquet(f"{SF}/supplier.parquet").count()
     assert suppliers > 40
-    assert whole(spark, "corr_pairs_whole").count() == suppliers * (suppliers - 1) // 2
-    assert whole(spark, "jaccard_pairs_whole").where("a > 40").count() > 0
+    assert whole(spark, "corr_pairs").count() == suppliers * (suppliers - 1) // 2
+    assert whole(spark, "jaccard_pairs").where("a > 40").count() > 0
 
 
 def test_replacement_of_all_customers(spark):
@@ -33,30 +33,30 @@ def test_replacement_of_all_customers(spark):
 
 def test_islands_of_all_orders(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").count()
-    merged = whole(spark, "merge_overlaps_whole")
+    merged = whole(spark, "merge_overlaps")
     assert merged.agg({"n": "sum"}).first()[0] == orders and 0 < merged.where("n > 1").count() < merged.count() < orders
     islands = merged.count()
-    assert whole(spark, "longest_in_clump_whole").count() == islands and 0 < whole(spark, "chain_features_whole").count() < islands
-    covered = whole(spark, "genome_coverage_whole").first()["bp"]
-    both = whole(spark, "genome_cc_whole").first()
+    assert whole(spark, "longest_in_clump").count() == islands and 0 < whole(spark, "chain_features").count() < islands
+    covered = whole(spark, "genome_coverage").first()["bp"]
+    both = whole(spark, "genome_cc").first()
     assert both["tp"] + both["fp"] == covered and min(both["tp"], both["fp"], both["fn"]) > 0
-    assert whole(spark, "flatten_shortest_whole").selectExpr("sum(end - start)").first()[0] == covered
+    assert whole(spark, "flatten_shortest").selectExpr("sum(end - start)").first()[0] == covered
 
 
 def test_neighbours_of_all_orders(spark):
     table = spark.read.parquet(f"{SF}/orders.parquet")
     orders, alone = table.count(), table.where("o_orderstatus = 'P'").count()  # no line item has that status
-    found = whole(spark, "nearest_neighbors_whole")
+    found = whole(spark, "nearest_neighbors")
     assert found.count() == orders and found.where("left_gene is null and right_gene is null").count() == alone
-    names = whole(spark, "annotate_names_whole")
+    names = whole(spark, "annotate_names")
     assert names.count() == orders and names.where("names rlike '[1-9]_.*,'").count() > orders / 4
 
 
 def test_shifts_and_pairs_of_all_rows(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").count()
-    assert whole(spark, "shift_by_gaps_whole").count() == orders
+    assert whole(spark, "shift_by_gaps").count() == orders
     first = QUERIES["feature_pairs"](spark, SF).count()
-    assert whole(spark, "feature_pairs_whole").count() > 4 * first > 0
+    assert whole(spark, "feature_pairs").count() > 4 * first > 0
 
 
 def test_nucleotides_of_long_texts(spark):

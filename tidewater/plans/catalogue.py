@@ -376,29 +376,16 @@ def inverted_index(spark, sf):
     return ag.inverted_index(table(spark, sf, "documents"), "doc_id", "text").withColumn("positions", F.array_join("positions", ","))
 
 
-@register("corr_pairs", """WITH c AS (SELECT l_suppkey AS s, l_linenumber AS c, sum(l_quantity) AS v FROM lineitem WHERE l_suppkey <= 30 GROUP BY 1, 2)
+@register("corr_pairs", """WITH c AS (SELECT l_suppkey AS s, l_linenumber AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
   SELECT a.s AS a, b.s AS b, round(corr(a.v, b.v), 6) AS r, count(*) AS n FROM c a JOIN c b ON a.c = b.c AND a.s < b.s GROUP BY 1, 2""")
 def corr_pairs(spark, sf):
-    cells = table(spark, sf, "lineitem").where("l_suppkey <= 30").groupBy(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("c")).agg(F.sum("l_quantity").alias("v"))
-    return ag.correlation_pairs(cells, "s", "c", "v").withColumn("r", F.round("r", 6))
-
-
-@register("jaccard_pairs", """WITH i AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem WHERE l_suppkey <= 40), n AS (SELECT k, count(*) AS n FROM i GROUP BY 1)
-  SELECT a.k AS a, b.k AS b, count(*) AS n_common, round(count(*) / CAST(any_value(x.n) + any_value(y.n) - count(*) AS DOUBLE), 9) AS jaccard FROM i a JOIN i b ON a.i = b.i AND a.k < b.k JOIN n x ON x.k = a.k JOIN n y ON y.k = b.k GROUP BY 1, 2""")
-def jaccard_pairs(spark, sf):
-    return ag.jaccard_pairs(table(spark, sf, "lineitem").where("l_suppkey <= 40"), "l_suppkey", "l_partkey").withColumn("jaccard", F.round("jaccard", 9))
-
-
-@register("corr_pairs_whole", """WITH c AS (SELECT l_suppkey AS s, l_linenumber AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
-  SELECT a.s AS a, b.s AS b, round(corr(a.v, b.v), 6) AS r, count(*) AS n FROM c a JOIN c b ON a.c = b.c AND a.s < b.s GROUP BY 1, 2""")
-def corr_pairs_whole(spark, sf):
     cells = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("c")).agg(F.sum("l_quantity").alias("v"))
     return ag.correlation_pairs(cells, "s", "c", "v").withColumn("r", F.round("r", 6))
 
 
-@register("jaccard_pairs_whole", """WITH i AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM i GROUP BY 1)
+@register("jaccard_pairs", """WITH i AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM i GROUP BY 1)
   SELECT a.k AS a, b.k AS b, count(*) AS n_common, round(count(*) / CAST(any_value(x.n) + any_value(y.n) - count(*) AS DOUBLE), 9) AS jaccard FROM i a JOIN i b ON a.i = b.i AND a.k < b.k JOIN n x ON x.k = a.k JOIN n y ON y.k = b.k GROUP BY 1, 2""")
-def jaccard_pairs_whole(spark, sf):
+def jaccard_pairs(spark, sf):
     return ag.jaccard_pairs(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey").withColumn("jaccard", F.round("jaccard", 9))
 
 
@@ -528,29 +515,15 @@ def overlap_bp(spark, sf):
     return iv.overlap_bp(items(spark, sf), spans(spark, sf))
 
 
-@register("annotate_names", f"""WITH {_SPANS}, r AS (SELECT * FROM spans WHERE "start" % 10 = 0) SELECT a.name, coalesce(string_agg(DISTINCT b.name, ',' ORDER BY b.name), 'None') AS names FROM spans a LEFT JOIN r b ON {_OVER} GROUP BY 1""")
-def annotate_names(spark, sf):
-    s = spans(spark, sf)
-    return iv.annotate_names(s, s.where("start % 10 = 0"), ["name"], missing="None").select("name", "names")
-
-
-@register("nearest_neighbors", f"""WITH {_SPANS}, r AS (SELECT * FROM spans WHERE "start" % 7 = 0), g AS (SELECT * FROM spans WHERE "start" % 11 = 0),
-  l AS (SELECT r.name, max(({{'at': g."end", 'gene': g.name}})) AS x FROM r JOIN g ON r.chrom = g.chrom AND g."end" <= r."start" GROUP BY 1), t AS (SELECT r.name, min(({{'at': g."start", 'gene': g.name}})) AS x FROM r JOIN g ON r.chrom = g.chrom AND g."start" >= r."end" GROUP BY 1)
-  SELECT r.name, l.x.gene AS left_gene, r."start" - l.x.at AS left_distance, t.x.gene AS right_gene, t.x.at - r."end" AS right_distance FROM r LEFT JOIN l USING (name) LEFT JOIN t USING (name)""")
-def nearest_neighbors(spark, sf):
-    s = spans(spark, sf)
-    return iv.nearest_neighbours(s.where("start % 7 = 0"), s.where("start % 11 = 0"), chunk=1000).select("name", "left_gene", "left_distance", "right_gene", "right_distance")
-
-
-@register("annotate_names_whole", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, p AS (SELECT chrom, unnest(range("start", "end")) AS x, name FROM spans), m AS (SELECT p.name, string_agg(DISTINCT b.name, ',' ORDER BY b.name) AS names FROM p JOIN spots b ON p.chrom = b.chrom AND b."start" = x GROUP BY 1)
+@register("annotate_names", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, p AS (SELECT chrom, unnest(range("start", "end")) AS x, name FROM spans), m AS (SELECT p.name, string_agg(DISTINCT b.name, ',' ORDER BY b.name) AS names FROM p JOIN spots b ON p.chrom = b.chrom AND b."start" = x GROUP BY 1)
   SELECT a.name, coalesce(names, 'None') AS names FROM spans a LEFT JOIN m USING (name)""")
-def annotate_names_whole(spark, sf):
+def annotate_names(spark, sf):
     return iv.annotate_names(roomy_spans(spark, sf), spots(spark, sf), ["name"], missing="None").select("name", "names")
 
 
-@register("nearest_neighbors_whole", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, e AS (SELECT chrom, "end" AS at, max(name) AS gene FROM spots GROUP BY 1, 2), b AS (SELECT chrom, "start" AS at, min(name) AS gene FROM spots GROUP BY 1, 2)
+@register("nearest_neighbors", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, e AS (SELECT chrom, "end" AS at, max(name) AS gene FROM spots GROUP BY 1, 2), b AS (SELECT chrom, "start" AS at, min(name) AS gene FROM spots GROUP BY 1, 2)
   SELECT r.name, e.gene AS left_gene, r."start" - e.at AS left_distance, b.gene AS right_gene, b.at - r."end" AS right_distance FROM spans r ASOF LEFT JOIN e ON r.chrom = e.chrom AND r."start" >= e.at ASOF LEFT JOIN b ON r.chrom = b.chrom AND r."end" <= b.at""")
-def nearest_neighbors_whole(spark, sf):
+def nearest_neighbors(spark, sf):
     return iv.nearest_neighbours(roomy_spans(spark, sf), spots(spark, sf), chunk=1000).select("name", "left_gene", "left_distance", "right_gene", "right_distance")
 
 
@@ -559,74 +532,37 @@ def _islands_sql(source: str, test: str) -> str:
   i AS (SELECT *, sum(CASE WHEN reach IS NULL OR {test} THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY "start", "end", name) AS island FROM a)"""
 
 
-_SPARSE = """sparse AS (SELECT * FROM spans WHERE "start" % 8 < 2)"""
-
 
-@register("merge_overlaps", f"""WITH {_SPANS}, {_SPARSE}, {_islands_sql("sparse", '"start" - reach >= 0')} SELECT chrom, min("start") AS "start", max("end") AS "end", string_agg(name, '/' ORDER BY "start", "end", name) AS name, count(*) AS n FROM i GROUP BY chrom, island""")
+@register("merge_overlaps", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 0')} SELECT chrom, min("start") AS "start", max("end") AS "end", string_agg(name, '/' ORDER BY "start", "end", name) AS name, count(*) AS n FROM i GROUP BY chrom, island""")
 def merge_overlaps(spark, sf):
-    return iv.merge_overlaps(spans(spark, sf).where("start % 8 < 2"), chunk=1000)
-
-
-@register("chain_features", f"""WITH {_SPANS}, {_SPARSE}, {_islands_sql("sparse", '"start" - reach >= 5')} SELECT chrom, min("start") AS "start", max("end") AS "end", count(*) AS score FROM i GROUP BY chrom, island HAVING count(*) > 1""")
-def chain_features(spark, sf):
-    return iv.chain_features(spans(spark, sf).where("start % 8 < 2"), 5, more_than=1, chunk=1000)
-
-
-@register("longest_in_clump", f"""WITH {_SPANS}, {_SPARSE}, {_islands_sql("sparse", '"start" - reach >= 0')} SELECT chrom, "start", "end", name FROM (SELECT *, row_number() OVER (PARTITION BY chrom, island ORDER BY "end" - "start" DESC, "start", name) AS r FROM i) WHERE r = 1""")
-def longest_in_clump(spark, sf):
-    return iv.longest_in_clump(spans(spark, sf).where("start % 8 < 2"), chunk=1000)
-
-
-@register("genome_coverage", f"""WITH {_SPANS}, {_SPARSE}, {_islands_sql("sparse", '"start" - reach >= 0')} SELECT CAST(sum(bp) AS BIGINT) AS bp FROM (SELECT max("end") - min("start") AS bp FROM i GROUP BY chrom, island)""")
-def genome_coverage(spark, sf):
-    return iv.coverage(spans(spark, sf).where("start % 8 < 2"), chunk=1000)
-
-
-@register("genome_cc", f"""WITH {_SPANS}, p AS (SELECT DISTINCT chrom, unnest(range("start", "end")) AS x FROM spans WHERE "start" % 8 < 2), r AS (SELECT DISTINCT chrom, unnest(range("start", "end")) AS x FROM spans WHERE "start" % 9 < 2),
-  n AS (SELECT (SELECT count(*) FROM p) AS pb, (SELECT count(*) FROM r) AS rb, (SELECT count(*) FROM p JOIN r USING (chrom, x)) AS tp)
-  SELECT tp, pb - tp AS fp, rb - tp AS fn, round((CAST(tp AS DOUBLE) * (1000000 - pb - rb + tp) - CAST(rb - tp AS DOUBLE) * (pb - tp)) / sqrt(CAST(rb AS DOUBLE) * (1000000 - rb) * pb * (1000000 - pb)), 9) AS cc FROM n""")
-def genome_cc(spark, sf):
-    s = spans(spark, sf)
-    return bm.track_benchmark(s.where("start % 8 < 2"), s.where("start % 9 < 2"), 1_000_000).select("tp", "fp", "fn", F.round("cc", 9).alias("cc"))
-
-
-@register("flatten_shortest", f"""WITH {_SPANS}, {_SPARSE}, p AS (SELECT DISTINCT chrom, unnest(range("start", "end")) AS x FROM sparse),
-  w AS (SELECT p.chrom, p.x, arg_min(s.name, (s."end" - s."start", s.name)) AS name FROM p JOIN sparse s ON p.chrom = s.chrom AND s."start" <= p.x AND p.x < s."end" GROUP BY 1, 2),
-  g AS (SELECT *, x - row_number() OVER (PARTITION BY chrom, name ORDER BY x) AS run FROM w) SELECT chrom, name, min(x) AS "start", max(x) + 1 AS "end" FROM g GROUP BY chrom, name, run""")
-def flatten_shortest(spark, sf):
-    return iv.flatten_shortest(spans(spark, sf).where("start % 8 < 2"))
-
-
-@register("merge_overlaps_whole", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 0')} SELECT chrom, min("start") AS "start", max("end") AS "end", string_agg(name, '/' ORDER BY "start", "end", name) AS name, count(*) AS n FROM i GROUP BY chrom, island""")
-def merge_overlaps_whole(spark, sf):
     return iv.merge_overlaps(roomy_spans(spark, sf), chunk=1000)
 
 
-@register("chain_features_whole", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 5')} SELECT chrom, min("start") AS "start", max("end") AS "end", count(*) AS score FROM i GROUP BY chrom, island HAVING count(*) > 1""")
-def chain_features_whole(spark, sf):
+@register("chain_features", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 5')} SELECT chrom, min("start") AS "start", max("end") AS "end", count(*) AS score FROM i GROUP BY chrom, island HAVING count(*) > 1""")
+def chain_features(spark, sf):
     return iv.chain_features(roomy_spans(spark, sf), 5, more_than=1, chunk=1000)
 
 
-@register("longest_in_clump_whole", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 0')} SELECT chrom, "start", "end", name FROM (SELECT *, row_number() OVER (PARTITION BY chrom, island ORDER BY "end" - "start" DESC, "start", name) AS r FROM i) WHERE r = 1""")
-def longest_in_clump_whole(spark, sf):
+@register("longest_in_clump", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 0')} SELECT chrom, "start", "end", name FROM (SELECT *, row_number() OVER (PARTITION BY chrom, island ORDER BY "end" - "start" DESC, "start", name) AS r FROM i) WHERE r = 1""")
+def longest_in_clump(spark, sf):
     return iv.longest_in_clump(roomy_spans(spark, sf), chunk=1000)
 
 
-@register("genome_coverage_whole", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 0')} SELECT CAST(sum(bp) AS BIGINT) AS bp FROM (SELECT max("end") - min("start") AS bp FROM i GROUP BY chrom, island)""")
-def genome_coverage_whole(spark, sf):
+@register("genome_coverage", f"""WITH {_ROOMY_SPANS}, {_islands_sql("spans", '"start" - reach >= 0')} SELECT CAST(sum(bp) AS BIGINT) AS bp FROM (SELECT max("end") - min("start") AS bp FROM i GROUP BY chrom, island)""")
+def genome_coverage(spark, sf):
     return iv.coverage(roomy_spans(spark, sf), chunk=1000)
 
 
-@register("genome_cc_whole", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, p AS (SELECT DISTINCT chrom, unnest(range("start", "end")) AS x FROM spans), r AS (SELECT DISTINCT chrom, "start" AS x FROM spots),
+@register("genome_cc", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, p AS (SELECT DISTINCT chrom, unnest(range("start", "end")) AS x FROM spans), r AS (SELECT DISTINCT chrom, "start" AS x FROM spots),
   n AS (SELECT (SELECT count(*) FROM p) AS pb, (SELECT count(*) FROM r) AS rb, (SELECT count(*) FROM p JOIN r USING (chrom, x)) AS tp)
   SELECT tp, pb - tp AS fp, rb - tp AS fn, round((CAST(tp AS DOUBLE) * (1000000000 - pb - rb + tp) - CAST(rb - tp AS DOUBLE) * (pb - tp)) / sqrt(CAST(rb AS DOUBLE) * (1000000000 - rb) * pb * (1000000000 - pb)), 9) AS cc FROM n""")
-def genome_cc_whole(spark, sf):
+def genome_cc(spark, sf):
     return bm.track_benchmark(roomy_spans(spark, sf), spots(spark, sf), 1_000_000_000).select("tp", "fp", "fn", F.round("cc", 9).alias("cc"))
 
 
-@register("flatten_shortest_whole", f"""WITH {_ROOMY_SPANS}, p AS (SELECT chrom, unnest(range("start", "end")) AS x, "end" - "start" AS len, name FROM spans), w AS (SELECT chrom, x, arg_min(name, (len, name)) AS name FROM p GROUP BY 1, 2),
+@register("flatten_shortest", f"""WITH {_ROOMY_SPANS}, p AS (SELECT chrom, unnest(range("start", "end")) AS x, "end" - "start" AS len, name FROM spans), w AS (SELECT chrom, x, arg_min(name, (len, name)) AS name FROM p GROUP BY 1, 2),
   g AS (SELECT *, x - row_number() OVER (PARTITION BY chrom, name ORDER BY x) AS run FROM w) SELECT chrom, name, min(x) AS "start", max(x) + 1 AS "end" FROM g GROUP BY chrom, name, run""")
-def flatten_shortest_whole(spark, sf):
+def flatten_shortest(spark, sf):
     return iv.flatten_shortest(roomy_spans(spark, sf))
 
 
@@ -636,27 +572,15 @@ def territories(spark, sf):
     return iv.territories(spans(spark, sf), 100)
 
 
-@register("upstream_gaps", f"""WITH {_ITEMS}, s AS (SELECT * FROM items WHERE "start" % 50 = 0), n AS (SELECT *, lag("end") OVER w AS a, lead("start") OVER w AS z FROM s WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end", name)),
+@register("upstream_gaps", f"""WITH {_ROOMY_ITEMS}, n AS (SELECT *, lag("end") OVER w AS a, lead("start") OVER w AS z FROM items WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end", name)),
   u AS (SELECT chrom, CASE WHEN strand = '-' THEN "end" ELSE a END AS "start", CASE WHEN strand = '-' THEN z ELSE "start" END AS "end", name, strand FROM n) SELECT * FROM u WHERE "start" < "end" """)
 def upstream_gaps(spark, sf):
-    return iv.upstream_gaps(items(spark, sf).where("start % 50 = 0"))
-
-
-@register("bidirectional_pairs", f"""WITH {_ITEMS}, s AS (SELECT * FROM items WHERE "start" % 50 = 0), n AS (SELECT *, lead("start") OVER w AS bs, lead(strand) OVER w AS bt, lead(name) OVER w AS bn FROM s WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end", name))
-  SELECT chrom, name AS minus_name, bn AS plus_name, bs - "end" AS gap FROM n WHERE strand = '-' AND bt = '+' AND bs - "end" > 0 AND bs - "end" < 100 AND name <> bn""")
-def bidirectional_pairs(spark, sf):
-    return iv.bidirectional_pairs(items(spark, sf).where("start % 50 = 0"), 100)
-
-
-@register("upstream_gaps_whole", f"""WITH {_ROOMY_ITEMS}, n AS (SELECT *, lag("end") OVER w AS a, lead("start") OVER w AS z FROM items WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end", name)),
-  u AS (SELECT chrom, CASE WHEN strand = '-' THEN "end" ELSE a END AS "start", CASE WHEN strand = '-' THEN z ELSE "start" END AS "end", name, strand FROM n) SELECT * FROM u WHERE "start" < "end" """)
-def upstream_gaps_whole(spark, sf):
     return iv.upstream_gaps(roomy_items(spark, sf))
 
 
-@register("bidirectional_pairs_whole", f"""WITH {_ROOMY_ITEMS}, n AS (SELECT *, lead("start") OVER w AS bs, lead(strand) OVER w AS bt, lead(name) OVER w AS bn FROM items WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end", name))
+@register("bidirectional_pairs", f"""WITH {_ROOMY_ITEMS}, n AS (SELECT *, lead("start") OVER w AS bs, lead(strand) OVER w AS bt, lead(name) OVER w AS bn FROM items WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end", name))
   SELECT chrom, name AS minus_name, bn AS plus_name, bs - "end" AS gap FROM n WHERE strand = '-' AND bt = '+' AND bs - "end" > 0 AND bs - "end" < 100 AND name <> bn""")
-def bidirectional_pairs_whole(spark, sf):
+def bidirectional_pairs(spark, sf):
     return iv.bidirectional_pairs(roomy_items(spark, sf), 100)
 
 
@@ -716,16 +640,9 @@ def beyond_sizes(spark, sf):
     return iv.beyond_sizes(s, s.groupBy("chrom").agg(F.max("start").alias("size")))
 
 
-@register("feature_pairs", f"""WITH s AS (SELECT l_linestatus AS chrom, l_orderkey AS "start", l_orderkey + 2 AS "end", l_returnflag AS name FROM lineitem WHERE l_linenumber = 1)
-  SELECT a.chrom, a."start" AS a_start, a."end" AS a_end, b."start" AS b_start, b."end" AS b_end FROM s a JOIN s b ON a.chrom = b.chrom AND a.name = 'A' AND b.name = 'R' AND b."start" BETWEEN a."end" + 3 AND a."end" + 12""")
-def feature_pairs(spark, sf):
-    s = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_linestatus").alias("chrom"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + 2).alias("end"), F.col("l_returnflag").alias("name"))
-    return iv.feature_pairs(s, "A", "R", 3, 12)
-
-
-@register("feature_pairs_whole", f"""WITH s AS (SELECT l_linestatus AS chrom, l_orderkey AS "start", l_orderkey + 2 AS "end", l_returnflag AS name FROM lineitem), a AS (SELECT *, unnest(range("end" + 3, "end" + 13)) AS x FROM s WHERE name = 'A')
+@register("feature_pairs", f"""WITH s AS (SELECT l_linestatus AS chrom, l_orderkey AS "start", l_orderkey + 2 AS "end", l_returnflag AS name FROM lineitem), a AS (SELECT *, unnest(range("end" + 3, "end" + 13)) AS x FROM s WHERE name = 'A')
   SELECT a.chrom, a."start" AS a_start, a."end" AS a_end, b."start" AS b_start, b."end" AS b_end FROM a JOIN s b ON a.chrom = b.chrom AND b.name = 'R' AND b."start" = a.x""")
-def feature_pairs_whole(spark, sf):
+def feature_pairs(spark, sf):
     s = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("chrom"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + 2).alias("end"), F.col("l_returnflag").alias("name"))
     return iv.feature_pairs(s, "A", "R", 3, 12)
 
@@ -931,16 +848,9 @@ def neighbours_within_one(spark, sf):
     return sq.neighbours_within_one(table(spark, sf, "part").select(F.col("p_brand").alias("motif")))
 
 
-@register("shift_by_gaps", f"""WITH {_SPANS}, g AS (SELECT chrom, "start" AS pos, 3 AS len FROM spans WHERE "start" % 97 = 0), s AS (SELECT * FROM spans WHERE "start" % 5 = 0)
-  SELECT chrom, "start" + coalesce((SELECT CAST(sum(len) AS BIGINT) FROM g WHERE g.chrom = s.chrom AND pos <= s."start"), 0) AS "start", "end" + coalesce((SELECT CAST(sum(len) AS BIGINT) FROM g WHERE g.chrom = s.chrom AND pos <= s."end"), 0) AS "end", name FROM s""")
-def shift_by_gaps(spark, sf):
-    s = spans(spark, sf)
-    return sq.shift_by_gaps(s.where("start % 5 = 0"), s.where("start % 97 = 0").select("chrom", F.col("start").alias("pos"), F.lit(3).alias("len")))
-
-
-@register("shift_by_gaps_whole", f"""WITH {_SPANS}, g AS (SELECT chrom, pos, CAST(sum(sum(len)) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS moved FROM (SELECT l_linestatus AS chrom, l_orderkey AS pos, CAST(floor(l_quantity) AS BIGINT) AS len FROM lineitem) GROUP BY 1, 2)
+@register("shift_by_gaps", f"""WITH {_SPANS}, g AS (SELECT chrom, pos, CAST(sum(sum(len)) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS moved FROM (SELECT l_linestatus AS chrom, l_orderkey AS pos, CAST(floor(l_quantity) AS BIGINT) AS len FROM lineitem) GROUP BY 1, 2)
   SELECT s.chrom, s."start" + coalesce(a.moved, 0) AS "start", s."end" + coalesce(z.moved, 0) AS "end", s.name FROM spans s ASOF LEFT JOIN g a ON s.chrom = a.chrom AND s."start" >= a.pos ASOF LEFT JOIN g z ON s.chrom = z.chrom AND s."end" >= z.pos""")
-def shift_by_gaps_whole(spark, sf):
+def shift_by_gaps(spark, sf):
     gaps = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("chrom"), F.col("l_orderkey").alias("pos"), F.floor("l_quantity").alias("len"))
     return sq.shift_by_gaps(spans(spark, sf), gaps)
 

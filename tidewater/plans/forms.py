@@ -231,11 +231,11 @@ def shuffled_columns(spark, sf):
     return rows.select("block", "org", F.array_join(F.array_sort(F.split("seq", "")), "").alias("letters"))
 
 
-@register("concat_alignments", """WITH o AS (SELECT DISTINCT l_linenumber AS n FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey < 400)
-  SELECT 'o' || n AS org, string_agg(CASE WHEN l.l_orderkey IS NULL THEN '--' ELSE 'AC' END, '' ORDER BY k) AS seq FROM o CROSS JOIN b LEFT JOIN lineitem l ON l.l_orderkey = k AND l.l_linenumber = n WHERE n IN (SELECT l_linenumber FROM lineitem WHERE l_orderkey < 400) GROUP BY n""")
+@register("concat_alignments", """WITH o AS (SELECT DISTINCT l_linenumber AS n FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+  SELECT 'o' || n AS org, string_agg(CASE WHEN l.l_orderkey IS NULL THEN '--' ELSE 'AC' END, '' ORDER BY k) AS seq FROM o CROSS JOIN b LEFT JOIN l ON l.l_orderkey = k AND l.l_linenumber = n GROUP BY n""")
 def concat_alignments(spark, sf):
-    """The blocks of the first orders: joined end to end they are one row an organism, so a fixed range keeps that row short."""
-    rows = table(spark, sf, "lineitem").where("l_orderkey < 400").select(F.col("l_orderkey").alias("block"), F.concat(F.lit("o"), F.col("l_linenumber").cast("string")).alias("org"), F.lit("AC").alias("seq"))
+    """A block for each order, a row for each line number; the result is one row an organism by its definition."""
+    rows = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber").distinct().select(F.col("l_orderkey").alias("block"), F.concat(F.lit("o"), F.col("l_linenumber").cast("string")).alias("org"), F.lit("AC").alias("seq"))
     return sq.concat_alignments(rows)
 
 
@@ -453,10 +453,11 @@ def trim_blocks(spark, sf):
     return iv.trim_blocks(rows)
 
 
-@register("exon_blocks", "SELECT l_orderkey, l_linenumber, b AS \"start\", b + 2 AS \"end\" FROM (SELECT l_orderkey, l_linenumber, unnest([l_orderkey * 10 + 0, l_orderkey * 10 + 4]) AS b FROM lineitem) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey * 10 < b + 2 AND b < o_orderkey * 10 + 1)")
+@register("exon_blocks", "SELECT l_orderkey, l_linenumber, b AS \"start\", b + 2 AS \"end\" FROM (SELECT l_orderkey, l_linenumber, unnest([l_orderkey * 10 + 0, l_orderkey * 10 + 4]) AS b FROM lineitem) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey * 10 + o_orderkey % 3 * 3 < b + 2 AND b < o_orderkey * 10 + o_orderkey % 3 * 3 + 1)")
 def exon_blocks(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.lit("c").alias("chrom"), (F.col("l_orderkey") * 10).alias("start"), F.array(F.lit(0), F.lit(4)).alias("block_starts"), F.array(F.lit(2), F.lit(2)).alias("block_sizes"), "l_orderkey", "l_linenumber")
-    other = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.lit("c").alias("chrom"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 1).alias("end"))
+    place = F.col("o_orderkey") * 10 + F.col("o_orderkey") % 3 * 3
+    other = table(spark, sf, "orders").select(F.lit("c").alias("chrom"), place.alias("start"), (place + 1).alias("end"))
     return iv.exon_blocks_without(rows, other, "l_orderkey", "l_linenumber").drop("chrom")
 
 
@@ -572,20 +573,19 @@ def packed_rows(spark, sf):
     return before.where(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))).groupBy("chrom").agg(F.count("*").alias("n"))
 
 
-@register("lift_features", f"""WITH {_SPANS}, h AS (SELECT o_orderstatus AS chrom, o_orderkey AS s, o_orderkey + 30 AS e, o_orderkey + 1000 AS t, o_orderkey % 7 AS score FROM orders WHERE o_orderkey % 10 = 0),
+@register("lift_features", f"""WITH {_SPANS}, h AS (SELECT o_orderstatus AS chrom, o_orderkey AS s, o_orderkey + 3 AS e, o_orderkey + 1000 + o_orderkey % 3 AS t, o_orderkey % 7 AS score FROM orders),
   b AS (SELECT a.chrom, a."start", a."end", a.name, arg_max(h.t - h.s, (h.score, h.t, h.s)) AS shift FROM spans a JOIN h ON a.chrom = h.chrom AND a."start" < h.e AND h.s < a."end" GROUP BY 1, 2, 3, 4) SELECT 'new' AS chrom, "start" + shift AS "start", "end" + shift AS "end", name FROM b UNION ALL SELECT 'new', "start" + shift, "end" + shift, name FROM b""")
 def lift_features(spark, sf):
     """Every order twice: copies of a feature stay copies."""
-    hits = spans(spark, sf).where("start % 10 = 0").select("chrom", "start", (F.col("start") + 30).alias("end"), F.lit("new").alias("to_chrom"), (F.col("start") + 1000).alias("to_start"), (F.col("start") % 7).alias("score"))
+    hits = spans(spark, sf).select("chrom", "start", (F.col("start") + 3).alias("end"), F.lit("new").alias("to_chrom"), (F.col("start") + 1000 + F.col("start") % 3).alias("to_start"), (F.col("start") % 7).alias("score"))
     return iv.lift_features(spans(spark, sf).unionAll(spans(spark, sf)), hits)
 
 
-@register("region_members", f"""WITH {_SPANS} SELECT b.name AS member, a.name AS inside FROM spans a JOIN spans b ON a.chrom = b.chrom AND a."start" // 100 = b."start" // 100 AND a.name <> b.name WHERE a."start" % 100 = 0""")
+@register("region_members", f"""WITH {_SPANS} SELECT name, count(*) OVER (PARTITION BY chrom, "start" // 100) - 1 AS n_others FROM spans""")
 def region_members(spark, sf):
-    """Features in a region and the others of their cluster, which is a stretch of 100 positions."""
+    """Each feature with the number of the others of its cluster, which is a stretch of 100 positions."""
     s = spans(spark, sf).withColumn("cluster", F.floor(F.col("start") / 100))
-    inside = s.where("start % 100 = 0").select("chrom", "cluster", F.col("name").alias("inside"))
-    return s.select("chrom", "cluster", F.col("name").alias("member")).join(inside, ["chrom", "cluster"]).where("member <> inside").select("member", "inside")
+    return s.join(s.groupBy("chrom", "cluster").agg((F.count("*") - 1).alias("n_others")), ["chrom", "cluster"]).select("name", "n_others")
 
 
 @register("from_closed", f"""WITH {_SPANS} SELECT name, "start", "end" + 1 AS "end" FROM spans""")
@@ -1112,10 +1112,10 @@ def obo_closure(spark, sf):
     return gr.ancestors(rc.obo_edges(rc.read_obo(spark, path)))
 
 
-@register("obo_descendants", "WITH RECURSIVE t AS (SELECT p_partkey AS n, p_partkey // 2 AS a, 1 AS d FROM part WHERE p_partkey > 1 UNION ALL SELECT n, a // 2, d + 1 FROM t WHERE a > 1) SELECT a AS node, n AS descendant FROM t WHERE a BETWEEN 1 AND 3")
+@register("obo_descendants", "WITH RECURSIVE t AS (SELECT p_partkey AS n, p_partkey // 2 AS a, 1 AS d FROM part WHERE p_partkey > 1 UNION ALL SELECT n, a // 2, d + 1 FROM t WHERE a > 1) SELECT a AS node, n AS descendant FROM t WHERE a >= 1")
 def obo_descendants(spark, sf):
     edges = table(spark, sf, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 2).alias("parent"))
-    return gr.descendants(edges).where("node between 1 and 3").select("node", "descendant")
+    return gr.descendants(edges).select("node", "descendant")
 
 
 @register("synonyms", "SELECT name, min(term) AS term FROM (SELECT n_nationkey AS term, unnest([lower(n_name), lower(n_name) || 's', 'nation ' || n_regionkey, 'nation ' || n_regionkey || 's']) AS name FROM nation) WHERE length(name) >= 4 GROUP BY 1")
