@@ -187,29 +187,28 @@ def keep_in(df: DataFrame, key: str, other: DataFrame, other_key: str, invert: b
 
 def keep_by_fields(df: DataFrame, line: str, keys: DataFrame, key: str, least: int = 1, remove: bool = False, separators: str = r"[\t,]") -> DataFrame:
     """Lines with at least `least` fields among the keys (repeats count), or with none; fields meet keys by an equi-join."""
-    # Equal lines have equal fields, so a line is named by its own text: no row number has to hold over two plans.
-    once = df.select(F.col(line).alias("the line")).distinct()
-    fields = once.select("the line", F.explode(F.split("the line", separators)).alias("field"))
-    hits = fields.join(keys.select(F.col(key).cast("string").alias("field")).distinct(), "field").groupBy("the line").count()
-    same = F.col(line) == F.col("the line")
+    # Equal lines have equal fields, so a line is named by its digest: no row number has to hold over two plans.
+    once = df.select(F.sha2(line, 256).alias("line digest"), F.col(line).alias("the line")).dropDuplicates(["line digest"])
+    fields = once.select("line digest", F.explode(F.split("the line", separators)).alias("field"))
+    hits = fields.join(keys.select(F.col(key).cast("string").alias("field")).distinct(), "field").groupBy("line digest").count()
+    same = F.sha2(line, 256) == F.col("line digest")
     return df.join(hits, same, "left_anti") if remove else df.join(hits.where(F.col("count") >= least), same, "left_semi")
 
 
 def keep_containing(df: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose text holds a key as a substring, for any number of keys.
 
-    Texts and keys meet by grams as long as the shortest key: a text has one row for each of its distinct grams, a key its first.
-    What meets is verified. An empty key is in every text.
+    Texts and keys meet by grams as long as the shortest key: a text has a small row for each of its distinct grams, a key its first.
+    What meets is verified against the text itself. An empty key is in every text.
     """
     own = keys.select(F.col(key).cast("string").alias("in key")).where(F.col("in key").isNotNull()).distinct()
     shortest = own.agg(F.min(F.length("in key"))).first()[0]
     if not shortest:
         return df.where(F.col(text).isNotNull() if shortest == 0 else F.lit(False))
-    once = df.where(F.length(text) >= shortest).select(F.col(text).alias("the text")).distinct()
-    places = F.sequence(F.lit(1), F.length("the text") - shortest + 1)
-    grams = once.select("the text", F.explode(F.array_distinct(F.transform(places, lambda p: F.substring("the text", p, shortest)))).alias("gram"))
-    met = grams.join(own.withColumn("gram", F.substring("in key", 1, shortest)), "gram").where(F.col("the text").contains(F.col("in key")))
-    return df.join(met.select("the text").distinct(), F.col(text) == F.col("the text"), "left_semi")
+    places = F.sequence(F.lit(1), F.length(text) - shortest + 1)
+    grams = df.where(F.length(text) >= shortest).select(F.sha2(text, 256).alias("text digest"), F.explode(F.array_distinct(F.transform(places, lambda p: F.substring(F.col(text), p, F.lit(shortest))))).alias("gram"))
+    met = grams.join(own.withColumn("gram", F.substring("in key", 1, shortest)), "gram").select("text digest", "in key").distinct()
+    return df.join(met, (F.sha2(text, 256) == F.col("text digest")) & F.col(text).contains(F.col("in key")), "left_semi")
 
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
