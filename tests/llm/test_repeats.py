@@ -120,6 +120,48 @@ def test_dedup_keeps_columns(spark):
     assert all((t is None) == (got[i] is None) for i, t in rows if i in got)
 
 
+def test_patterned_words(spark):
+    """Two words that a hash modulo a power of two takes for one are two words."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    twelve = "one two three four five six seven eight nine ten eleven twelve "
+    rows = [(1, twelve + "".join("ab"[b] for b in bits)), (2, twelve + "".join("ba"[b] for b in bits)), (3, twelve + "".join("ab"[b] for b in bits))]
+    got = {r["doc_id"]: r["n_removed"] for r in recompression.word_repeats(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_bytes_at_400(spark):
+    """The query's own length: passages of 300 to 1200 bytes, some of them in many texts, some overlapping."""
+    draw = random.Random(9)
+    letters = "abcdefghij é"
+    passages = ["".join(draw.choice(letters) for _ in range(n)) for n in (300, 399, 400, 401, 650, 1200)]
+    rows = []
+    for i in range(60):
+        parts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 600)))]
+        for _ in range(draw.randint(0, 3)):
+            p = draw.choice(passages)
+            cut = draw.randint(0, 40)
+            parts += [p[cut:] if draw.random() < 0.5 else p, "".join(draw.choice(letters) for _ in range(draw.randint(0, 300)))]
+        rows.append((i, "".join(parts)))
+    rows += [(100, "z" * 2000), (101, "z" * 400), (102, rows[4][1]), (103, rows[4][1] + "x"), (104, None)]
+    got = suffix_array.substring_repeats(frame(spark, rows), shared=200).drop("removed").collect()
+    assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, brute_bytes(rows, 400)))
+    assert sorted((r["doc_id"], r["n_shared"]) for r in got) == sorted((i, n) for i, _, n, _, _ in brute_bytes(rows, 200))
+
+
+def test_names_and_ids(spark):
+    """Columns named like inner ones or with dots stay; ids that cannot be told apart from none, or are no numbers, are refused."""
+    rows = corpus(8)
+    docs = spark.createDataFrame([(i, t, "m", 7) for i, t in rows], "doc_id long, text string, `null mark` string, `a.b` int")
+    out = suffix_array.substring_dedup(docs, 40, chars=None)
+    assert out.schema == docs.schema and {tuple(r[2:]) for r in out.collect()} == {("m", 7)}
+    dotted = docs.withColumnRenamed("text", "the.text")
+    assert recompression.word_repeats(dotted, text="the.text").count() == len(rows)
+    with pytest.raises(TypeError):
+        recompression.word_repeats(spark.createDataFrame([("x", "t")], "doc_id string, text string"))
+    with pytest.raises(Exception, match="missing id"):
+        recompression.word_repeats(spark.createDataFrame([(-(2**63), "t")], "doc_id long, text string")).collect()
+
+
 def test_empty(spark):
     none = frame(spark, [])
     assert recompression.word_repeats(none).count() == 0

@@ -29,6 +29,10 @@ from .common import U64, Rolling, content_digests, fresh_name, mix, named
 from .repeats import NO_ID, SLICE_BYTES, Unit, find_repeats, packed_texts
 
 
+#: Bytes of the strings whose copies the query reports beside those of 400: a passage of some 40 words.
+SHARED_BYTES = 200
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least value of each run of that width, from minima running to and from block borders."""
     n = len(values)
@@ -150,7 +154,26 @@ def resolve_bytes(length: int, mode: str, rows: np.ndarray, contents: list[bytes
     hit = long_previous_factors(rank, place)
     if mode == "all":
         hit |= long_previous_factors(rank, -place)
-    at = np.nonzero(hit)[0]
+    return _window_runs(np.nonzero(hit)[0], piece, shift)
+
+
+def resolve_windows(length: int, rows: np.ndarray, contents: list[bytes]):
+    """resolve_bytes for mode "all" where only the cover counts: windows by one hash each, without an order of suffixes."""
+    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+    starts = np.cumsum(sizes) - sizes
+    counts = (rows["lo"] - rows["hi"] + 1).astype(np.int64)
+    piece = np.repeat(np.arange(len(rows)), counts)
+    shift = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+    window = Rolling(np.frombuffer(b"".join(contents), np.uint8)).every(length)[starts[piece] + shift]
+    order = np.argsort(window)
+    same = window[order[1:]] == window[order[:-1]]
+    hit = np.zeros(len(order), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    return _window_runs(np.nonzero(hit)[0], piece, shift)
+
+
+def _window_runs(at: np.ndarray, piece: np.ndarray, shift: np.ndarray):
     if not len(at):
         return at, at, at
     new = np.ones(len(at), bool)
@@ -160,9 +183,11 @@ def resolve_bytes(length: int, mode: str, rows: np.ndarray, contents: list[bytes
     return piece[at[first]], shift[at[first]], shift[at[last]]
 
 
-def byte_unit(length: int, mode: str) -> Unit:
+def byte_unit(length: int, mode: str, factors: bool = True) -> Unit:
+    """factors: contexts that differ are resolved by longest previous factors; otherwise, in mode "all", by their windows' hashes."""
     gram = max(1, length * 2 // 5)
-    return Unit(length, mode, SLICE_BYTES, partial(byte_anchors, length, gram), partial(byte_contents, length), partial(resolve_bytes, length, mode), partial(byte_windows, length))
+    resolve = partial(resolve_bytes, length, mode) if factors or mode != "all" else partial(resolve_windows, length)
+    return Unit(length, mode, SLICE_BYTES, partial(byte_anchors, length, gram), partial(byte_contents, length), resolve, partial(byte_windows, length))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -197,23 +222,35 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def substring_repeats(docs: DataFrame, length: int = 400, mode: str = "all", id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, removed array<struct<start, end>>) of every row."""
+def substring_repeats(docs: DataFrame, length: int = 400, mode: str = "all", id_col: str = "doc_id", text: str = "text", shared: int | None = None) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, removed array<struct<start, end>>) of every row.
+
+    With `shared`, a shorter length, also n_shared: the bytes covered by strings of that length that start elsewhere too. They are
+    reported, not removed, and found by a search of their own, in mode "all" by hashes of windows.
+    """
     spans = find_repeats(docs, byte_unit(length, mode), id_col, text)
-    met = packed_texts(docs, id_col, text).join(spans, ["doc", "key"], "left").select("doc", "packed", "spans")
+    met = packed_texts(docs, id_col, text).join(spans, ["doc", "key"], "left")
+    if shared is not None:
+        short = find_repeats(docs, byte_unit(shared, mode, factors=False), id_col, text)
+        met = met.join(short.withColumnRenamed("spans", "short"), ["doc", "key"], "left")
+    met = met.select("doc", "packed", "spans", *(["short"] if shared is not None else []))
+    extra = [("n_shared", pa.int64())] if shared is not None else []
 
     def finish(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = {"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "removed": []}
-            for doc, packed, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            out = {"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "removed": [], **{name: [] for name, _ in extra}}
+            for doc, packed, spans, *short in zip(*(c.to_pylist() for c in batch.columns)):
                 raw, runs = unpack.decompress(packed), merged(spans)
+                if short:
+                    out["n_shared"].append(sum(b - a for a, b in merged(short[0])))
                 for name, value in zip(out, (None if doc == NO_ID else doc, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(cut_out(raw, runs)).hexdigest(), [{"start": a, "end": b} for a, b in runs])):
                     out[name].append(value)
-            kinds = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+            kinds = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *extra])
             yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
-    done = met.mapInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>")
+    kinds = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>"
+    done = met.mapInArrow(finish, kinds + (", n_shared long" if shared is not None else ""))
     return done.withColumnRenamed("id", id_col)
 
 
@@ -253,4 +290,4 @@ def substring_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
-    return substring_repeats(read_table(spark, sf_dir, "documents")).drop("removed")
+    return substring_repeats(read_table(spark, sf_dir, "documents"), shared=SHARED_BYTES).drop("removed")
