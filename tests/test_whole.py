@@ -55,8 +55,7 @@ def test_neighbours_of_all_orders(spark):
 def test_shifts_and_pairs_of_all_rows(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").count()
     assert whole(spark, "shift_by_gaps").count() == orders
-    first = QUERIES["feature_pairs"](spark, SF).count()
-    assert whole(spark, "feature_pairs").count() > 4 * first > 0
+    assert whole(spark, "feature_pairs").count() > orders  # lines of all numbers pair, not one an order
 
 
 def test_nucleotides_of_long_texts(spark):
