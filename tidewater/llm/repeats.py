@@ -38,8 +38,8 @@ SLICE_BYTES = 1 << 20
 HOT_CONTEXTS = 8_000
 #: Anchors that a scan task gathers before it packs them; copies among them are decided on the spot.
 ANCHORS_AT_ONCE = 300_000
-#: Bytes of contents that are compared at once, at least a whole gram's.
-RESOLVE_BYTES = 2 << 20
+#: Bytes of contents that are compared at once, at least a whole gram's; few enough for the processor's cache.
+RESOLVE_BYTES = 1 << 18
 #: Buckets of grams to each shuffle partition.
 BUCKETS_A_PARTITION = 2
 NO_ID = -(1 << 63)

@@ -1,7 +1,7 @@
 """Suffix-array dedup: longest-previous-factor arrays over the suffixes that can repeat, from previous and next smaller positions.
 
 Texts are UTF-8 bytes. A window of `length` bytes is anchored at its leftmost gram of least hash (repeats.py), which leaves the
-few contexts where different texts share a gram. Their suffixes are sorted by prefix doubling up to the window length.
+few contexts where different texts share a gram. Their suffixes are sorted by prefix doubling and tripling up to the window length.
 In suffix order each suffix looks for the nearest one on either side that stands earlier in the texts; the longer of the
 two common prefixes is its longest previous factor, here known up to the window length. Factors of full length mark bytes
 that occur before; with the order of texts reversed they mark bytes that occur again.
@@ -74,7 +74,7 @@ def byte_anchors(length: int, gram: int, data: np.ndarray, offsets: np.ndarray):
 
 
 def suffix_ranks(text: np.ndarray, piece_end: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by their first `depth` bytes; a suffix ends with its piece (piece_end, by place)."""
+    """Ranks of all suffixes by their first `depth` bytes, by prefix doubling or tripling; a suffix ends with its piece (piece_end, by place)."""
     n = len(text)
     place = np.arange(n)
     key = np.zeros(n, U64)
@@ -92,9 +92,17 @@ def suffix_ranks(text: np.ndarray, piece_end: np.ndarray, depth: int) -> np.ndar
 
     rank, done = ranked(key), 8
     while done < depth:
-        step = min(done, depth - done)
-        ahead = np.where(place + step < piece_end, rank[np.minimum(place + step, n - 1)], 0)
-        rank, done = ranked(rank * (n + 1) + ahead), done + step
+        # Ranks from 0 (no suffix left) to the number of different ones; three are compared at once where they fit in 64 bits.
+        base = int(rank.max()) + 1
+        ways = 3 if base**3 < 1 << 63 and 2 * done < depth else 2
+        key = rank
+        for k in range(1, ways):
+            step = min(k * done, depth - done)
+            ahead = np.zeros(n, np.int64)
+            ahead[: max(0, n - step)] = rank[step:]
+            ahead[place + step >= piece_end] = 0
+            key = key * base + ahead
+        rank, done = ranked(key), min(ways * done, depth)
     return rank
 
 
