@@ -38,8 +38,8 @@ SLICE_BYTES = 1 << 20
 HOT_CONTEXTS = 8_000
 #: Anchors that a scan task gathers before it packs them; copies among them are decided on the spot.
 ANCHORS_AT_ONCE = 300_000
-#: Bytes of contents that are compared at once, at least a whole gram's; few enough for the processor's cache.
-RESOLVE_BYTES = 1 << 18
+#: Bytes of contents that are compared at once, at least a whole gram's.
+RESOLVE_BYTES = 2 << 20
 #: Buckets of grams to each shuffle partition.
 BUCKETS_A_PARTITION = 2
 NO_ID = -(1 << 63)
@@ -60,6 +60,7 @@ class Unit:
     contents: Callable
     resolve: Callable
     windows: Callable
+    resolve_bytes: int = RESOLVE_BYTES
 
 
 def text_key(text: bytes) -> int:
@@ -360,7 +361,7 @@ def _resolve(unit: Unit):
         held, size, last = [[] for _ in range(8)], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > RESOLVE_BYTES and row[0] != last:
+                if size > unit.resolve_bytes and row[0] != last:
                     yield ranges(held)
                     held, size = [[] for _ in range(8)], 0
                 last = row[0]

@@ -31,6 +31,8 @@ from .repeats import NO_ID, SLICE_BYTES, Unit, find_repeats, packed_texts
 
 #: Bytes of the strings whose copies the query reports beside those of 400: a passage of some 40 words.
 SHARED_BYTES = 200
+#: Bytes of contents whose suffixes are ordered at once; few enough for the processor's cache.
+LOT_BYTES = 1 << 18
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -195,7 +197,7 @@ def byte_unit(length: int, mode: str, factors: bool = True) -> Unit:
     """factors: contexts that differ are resolved by longest previous factors; otherwise, in mode "all", by their windows' hashes."""
     gram = max(1, length * 2 // 5)
     resolve = partial(resolve_bytes, length, mode) if factors or mode != "all" else partial(resolve_windows, length)
-    return Unit(length, mode, SLICE_BYTES, partial(byte_anchors, length, gram), partial(byte_contents, length), resolve, partial(byte_windows, length))
+    return Unit(length, mode, SLICE_BYTES, partial(byte_anchors, length, gram), partial(byte_contents, length), resolve, partial(byte_windows, length), LOT_BYTES)
 
 
 def merged(spans) -> list[tuple[int, int]]:
