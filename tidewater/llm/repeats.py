@@ -375,14 +375,17 @@ def _resolve(unit: Unit):
 
 
 def _hot_ranges(windows: DataFrame, unit: Unit) -> DataFrame:
-    """Ranges of hot grams' windows, grouped by hash without gathering a group anywhere."""
+    """Ranges of hot grams' windows, grouped by hash without gathering a group anywhere; each mode exchanges only what decides it."""
     keys = ["gram", "offset", "window"]
-    groups = windows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "place")).alias("first"))
-    met = windows.join(groups.where("n > 1"), keys)
-    if unit.mode == "later":
-        met = met.where(F.struct("doc", "key", "place") > F.col("first"))
-    elif unit.mode == "smaller":
-        met = met.where(F.col("doc") > F.col("first.doc"))
+    groups = windows.groupBy(*keys)
+    if unit.mode == "smaller":
+        groups = groups.agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+        met = windows.join(groups, keys).where(F.col("doc") > F.col("least"))
+    elif unit.mode == "later":
+        groups = groups.agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "place")).alias("first")).where("n > 1").drop("n")
+        met = windows.join(groups, keys).where(F.struct("doc", "key", "place") > F.col("first"))
+    else:
+        met = windows.join(groups.agg(F.count("*").alias("n")).where("n > 1").drop("n"), keys)
     return met.select("doc", "key", F.col("place").alias("start"), (F.col("place") + unit.length).alias("end"))
 
 
