@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, mixing, oracles, quality, recompression, simhash, suffix_array, token_counts, warc
+from . import bpe, chat, embeddings, mixing, oracles, pieces, quality, recompression, simhash, suffix_array, token_counts, warc
 
 QUERIES = {
     "op1_substring_dedup": recompression.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_near_dedup": embeddings.query,
     "op9_source_mixing": mixing.query,
     "op10_warc": warc.query,
+    "op11_sentencepiece": pieces.query,
 }
 #: DuckDB SQL for those that it can express over whole tables; the others are tested against brute force.
 ORACLE_SQL = {
