@@ -57,3 +57,33 @@ x AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS head, array_to_string(list
 SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), '') AS payload_digest,
   CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM x"""
+
+
+def _visible(c: str) -> str:
+    return rf"CASE WHEN NOT regexp_full_match({c}, '[\x20\x09-\x0D]*') THEN {c} END AS {c}"
+
+
+_RECENT = "updated_at DESC NULLS LAST, trust DESC, client_id NULLS LAST"
+_TRUSTED = f"stale, trust DESC, {_RECENT}"
+
+
+def _winner(fields: str, source: str, where: str, order: str, table: str = "s") -> str:
+    return f"SELECT cluster_id AS k, {fields}, client_id AS {source} FROM {table} WHERE {where} QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY {order}) = 1"
+
+
+#: Each field's first record by its own order, over all records of a cluster.
+GOLDEN_RECORDS = rf"""
+WITH r AS (SELECT coalesce(master_id, client_id) AS cluster_id, client_id, updated_at, CASE source WHEN 'partner' THEN 4 WHEN 'store' THEN 3 WHEN 'web' THEN 2 WHEN 'crm' THEN 1 ELSE 0 END AS trust,
+  {_visible("name")}, {_visible("email")}, {_visible("segment")}, {_visible("city")}, nation_id, CASE WHEN isfinite(balance) THEN balance END AS balance FROM clients),
+s AS (SELECT *, updated_at IS NULL OR epoch_us(max(updated_at) OVER (PARTITION BY cluster_id)) - epoch_us(updated_at) > 2592000000000 AS stale,
+  CAST(city IS NOT NULL AS INT) + CAST(nation_id IS NOT NULL AS INT) AS filled FROM r),
+c AS (SELECT cluster_id, count(*) AS n_records, count(*) FILTER (stale) AS n_stale FROM s GROUP BY 1),
+n AS ({_winner("name", "name_from", "name IS NOT NULL", f"length(name) DESC, {_TRUSTED}, name")}),
+e AS ({_winner("email", "email_from", "email IS NOT NULL", f"{_TRUSTED}, email")}),
+g AS ({_winner("segment", "segment_from", "segment IS NOT NULL", f"{_RECENT}, segment")}),
+a AS ({_winner("city, nation_id", "address_from", "filled > 0", f"filled DESC, {_TRUSTED}, city NULLS LAST, nation_id NULLS LAST")}),
+t AS (SELECT s.*, g.segment IS NOT DISTINCT FROM s.segment AS chosen FROM s LEFT JOIN g ON g.k IS NOT DISTINCT FROM s.cluster_id),
+b AS ({_winner("balance", "balance_from", "balance IS NOT NULL", f"chosen DESC, {_RECENT}, balance", "t")})
+SELECT cluster_id, n_records, n_stale, name, email, segment, city, nation_id, CAST(floor(100 * balance + 0.5) AS BIGINT) AS balance_cents, name_from, email_from, segment_from, balance_from, address_from
+FROM c LEFT JOIN n ON n.k IS NOT DISTINCT FROM cluster_id LEFT JOIN e ON e.k IS NOT DISTINCT FROM cluster_id LEFT JOIN g ON g.k IS NOT DISTINCT FROM cluster_id
+LEFT JOIN a ON a.k IS NOT DISTINCT FROM cluster_id LEFT JOIN b ON b.k IS NOT DISTINCT FROM cluster_id"""
