@@ -87,3 +87,21 @@ b AS ({_winner("balance", "balance_from", "balance IS NOT NULL", f"chosen DESC,
 SELECT cluster_id, n_records, n_stale, name, email, segment, city, nation_id, CAST(floor(100 * balance + 0.5) AS BIGINT) AS balance_cents, name_from, email_from, segment_from, balance_from, address_from
 FROM c LEFT JOIN n ON n.k IS NOT DISTINCT FROM cluster_id LEFT JOIN e ON e.k IS NOT DISTINCT FROM cluster_id LEFT JOIN g ON g.k IS NOT DISTINCT FROM cluster_id
 LEFT JOIN a ON a.k IS NOT DISTINCT FROM cluster_id LEFT JOIN b ON b.k IS NOT DISTINCT FROM cluster_id"""
+
+#: All phrases of 1 to 4 words, counted as text.
+COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
+w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS v FROM f WHERE k >= 2),
+t AS (SELECT lang, k, phrase, a, v, unnest(range(1, k)) AS j FROM c),
+s AS (SELECT t.lang, t.phrase, a, j, x.f AS l, y.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score FROM t
+  JOIN f x ON x.lang = t.lang AND x.phrase = array_to_string(v[1 : j], ' ') JOIN f y ON y.lang = t.lang AND y.phrase = array_to_string(v[j + 1 : t.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+u AS (SELECT lang, v, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k),
+o AS (SELECT lang, array_to_string(v[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM u GROUP BY 1, 2),
+k AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN n USING (lang) WHERE rank <= 2000"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, golden, mixing, oracles, pieces, quality, recompression, simhash, suffix_array, token_counts, warc
+from . import bpe, chat, embeddings, golden, mixing, oracles, phrases, pieces, quality, recompression, simhash, suffix_array, token_counts, warc
 
 QUERIES = {
     "op1_substring_dedup": recompression.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.query,
     "op11_sentencepiece": pieces.query,
     "op12_golden_records": golden.query,
+    "op13_collocations": phrases.query,
 }
 #: DuckDB SQL for those that it can express over whole tables; the others are tested against brute force.
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op8_embedding_near_dedup": oracles.EMBEDDING_NEAR_DEDUP,
     "op10_warc": oracles.WARC,
     "op12_golden_records": oracles.GOLDEN_RECORDS,
+    "op13_collocations": oracles.COLLOCATIONS,
 }
