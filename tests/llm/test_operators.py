@@ -339,3 +339,21 @@ def test_chat(spark):
     assert own.ids(short) == own.tokens.encode_ordinary(short)
     empty = chat.format_turns(table.limit(0), path, pattern)
     assert chat.conversation_digests(empty, path, pattern).count() == 0
+
+
+def test_many_backslashes():
+    """A text of backslashes is escaped in linear time, with and without a mark behind."""
+    for size in (0, 1, 2, 7, 1_000_000):
+        for tail in ("", "a", "</turn>", "</turn>a\\", "\\a### User:\\\\"):
+            content = "\\" * size + tail
+            out = chat.escape(content)
+            assert chat.unescape(out) == content
+            assert chat.read_turns(chat.OPEN + "user" + chat.BODY + out + chat.CLOSE) == [("user", content)]
+
+
+def test_long_backslashes_in_turns(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    text = "\\" * 1_000_000 + "### User:"
+    turns = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn int, role string, text string")
+    got = chat.conversation_digests(chat.format_turns(turns, path, pattern), path, pattern).first()
+    assert got["loss_chars"] == len(text) and got["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()

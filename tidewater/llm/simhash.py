@@ -323,18 +323,26 @@ def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(groups, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
 
-def _open_keys(batches):
-    """The rows of keys that hold more than one root; sorted by key in, key by key out."""
-    held = None
+def _open_keys(batches, at_once: int = ROWS_AT_ONCE):
+    """The rows of keys that hold more than one root; sorted by key in, key by key out.
+
+    Of a key with over `at_once` rows all go on, as it is not held together: whoever compares them finds what it holds.
+    """
+    held, hot = None, None
     for batch in batches:
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if hot is not None and table.num_rows:
+            more = int(np.searchsorted(table.column(0).to_numpy(), hot, side="right"))
+            yield from table.slice(0, more).to_batches()
+            table = table.slice(more)
         if not table.num_rows:
             continue
+        hot = None
         key, root = table.column(0).to_numpy(), table.column(2).to_numpy()
         last = int(np.searchsorted(key, key[-1]))
-        if not last and table.num_rows > ROWS_AT_ONCE:  # one very common key: all of it goes on
+        if not last and table.num_rows > at_once:
             yield from table.to_batches()
-            held = None
+            held, hot = None, key[-1]
             continue
         yield from _open(table.slice(0, last), key[:last], root[:last])
         held = table.slice(last)
