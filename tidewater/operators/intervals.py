@@ -132,6 +132,20 @@ def prefix_max(df: DataFrame, value: Column, order: list[str], out: str, inclusi
     return met.withColumn(out, F.greatest("pm inside", "pm before")).drop("pm chunk", "pm value", "pm by", "pm at", "pm before", "pm inside")
 
 
+def prefix_sum(df: DataFrame, value: Column, order: list[str], out: str, inclusive: bool, by: str = "chrom", chunk: int = CHUNK) -> DataFrame:
+    """The sum of the values of the rows before (or up to) each row in order; chunks carry over as in prefix_max, 0 where there is none.
+
+    Only a sum over all rows that tie in the order is the same in every run; give an order without ties, or take the last of them.
+    """
+    tagged = df.withColumn("pm chunk", F.floor(F.col(order[0]) / chunk)).withColumn("pm value", value)
+    w = W.partitionBy(by, "pm chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    tops = tagged.groupBy(F.col(by).alias("pm by"), F.col("pm chunk").alias("pm at")).agg(F.sum("pm value").alias("pm top"))
+    carried = F.sum("pm top").over(W.partitionBy("pm by").orderBy("pm at").rowsBetween(W.unboundedPreceding, -1))
+    carry = tops.withColumn("pm before", carried).drop("pm top")
+    met = tagged.withColumn("pm inside", F.sum("pm value").over(w)).join(carry, (F.col(by) == F.col("pm by")) & (F.col("pm chunk") == F.col("pm at")))
+    return met.withColumn(out, F.coalesce("pm inside", F.lit(0)) + F.coalesce("pm before", F.lit(0))).drop("pm chunk", "pm value", "pm by", "pm at", "pm before", "pm inside")
+
+
 def suffix_min(df: DataFrame, value: Column, order: list[str], out: str, inclusive: bool, by: str = "chrom", chunk: int = CHUNK) -> DataFrame:
     """The least value of the rows behind (or from) each row; the mirror image of prefix_max.
 
@@ -156,12 +170,18 @@ def islands(df: DataFrame, gap: int = 0, ties: tuple[str, ...] = (), touching: b
     ends = prefix_max(df, F.col("end"), order, "reach before", False, chunk=chunk)
     apart = F.col("start") - F.col("reach before")
     new = F.col("reach before").isNull() | ((apart > gap) if touching else (apart >= gap))
-    # Starts rise along the order, so the last new run's start is the greatest so far.
-    return prefix_max(ends, F.when(new, F.col("start")), order, "island", True, chunk=chunk).drop("reach before")
+    # Starts rise along the order, so the last new run's start is the greatest so far. Rows that tie in the order have what is
+    # before them in common up to the tie, so "reach before" puts the second sort's ties in the first one's order.
+    return prefix_max(ends, F.when(new, F.col("start")), [*order, "reach before"], "island", True, chunk=chunk).drop("reach before")
 
 
-def merge_overlaps(df: DataFrame, sep: str = "/", chunk: int = CHUNK) -> DataFrame:
-    """Runs of overlapping features as one, with names joined in order and the greatest end."""
+def merge_overlaps(df: DataFrame, sep: str | None = "/", chunk: int = CHUNK) -> DataFrame:
+    """Runs of overlapping features as one, with the greatest end and names joined in order.
+
+    The names of a run are gathered in its row; with sep None they are left out, and a run of any size is a sum.
+    """
+    if sep is None:
+        return islands(df, ties=("name",), chunk=chunk).groupBy("chrom", F.col("island").alias("start")).agg(F.max("end").alias("end"), F.count("*").alias("n"))
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "name"))), lambda x: x["name"]), sep)
     return islands(df, ties=("name",), chunk=chunk).groupBy("chrom", F.col("island").alias("start")).agg(F.max("end").alias("end"), names.alias("name"), F.count("*").alias("n"))
 
@@ -209,14 +229,15 @@ def flatten_shortest(df: DataFrame) -> DataFrame:
     # The row before is the one with the greatest start so far.
     rows = prefix_max(rows, F.struct("start", "end", "name"), ["start"], "before", False)
     new = F.col("before").isNull() | ~F.col("before.name").eqNullSafe(F.col("name")) | (F.col("before.end") != F.col("start"))
-    runs = prefix_max(rows, F.when(new, F.col("start")), ["start"], "run", True)
+    runs = prefix_max(rows, F.when(new, F.col("start")), ["start", "before"], "run", True)
     return runs.groupBy("chrom", "run", "name").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def territories(df: DataFrame, flank: int) -> DataFrame:
     """Each feature's stretch from midway to the one before to midway to the next, at most flank from its middle."""
     mids = df.withColumn("mid", F.floor((F.col("start") + F.col("end")) / 2))
-    mids = suffix_min(prefix_max(mids, F.col("mid"), ["mid", "name"], "before", False), F.col("mid"), ["mid", "name"], "behind", False)
+    # "before" keeps rows of one middle and name in the same order both ways.
+    mids = suffix_min(prefix_max(mids, F.col("mid"), ["mid", "name"], "before", False), F.col("mid"), ["mid", "name", "before"], "behind", False)
     left = F.coalesce(F.floor((F.col("before") + F.col("mid")) / 2), F.col("mid") - flank)
     right = F.coalesce(F.floor((F.col("mid") + F.col("behind")) / 2), F.col("mid") + flank)
     return mids.select("chrom", F.greatest(left, F.col("mid") - flank, F.lit(0)).alias("start"), F.least(right, F.col("mid") + flank).alias("end"), "name")
@@ -224,7 +245,7 @@ def territories(df: DataFrame, flank: int) -> DataFrame:
 
 def upstream_gaps(df: DataFrame) -> DataFrame:
     """The stretch between each feature and its neighbour on the 5' side; overlapping neighbours leave none."""
-    order = ["start", "end", "name"]
+    order = ["start", "end", "name", "strand"]
     rows = prefix_max(df, F.struct("start", "end"), order, "row before", False)
     rows = suffix_min(rows, F.col("start"), order, "start behind", False)
     start = F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("row before.end"))
@@ -234,7 +255,7 @@ def upstream_gaps(df: DataFrame) -> DataFrame:
 
 def bidirectional_pairs(df: DataFrame, max_gap: int) -> DataFrame:
     """Neighbours on - and + strand with a gap between 0 and max_gap and different names."""
-    rows = suffix_min(df, F.struct("start", "end", "name", "strand"), ["start", "end", "name"], "b", False)
+    rows = suffix_min(df, F.struct("start", "end", "name", "strand"), ["start", "end", "name", "strand"], "b", False)
     gap = F.col("b.start") - F.col("end")
     return rows.where((F.col("strand") == "-") & (F.col("b.strand") == "+") & (gap > 0) & (gap < max_gap) & (F.col("name") != F.col("b.name"))).select("chrom", F.col("name").alias("minus_name"), F.col("b.name").alias("plus_name"), gap.alias("gap"))
 
@@ -246,6 +267,29 @@ def feature_pairs(df: DataFrame, name_a: str, name_b: str, least: int, most: int
     return overlap_join(a, b).select("l.chrom", "l.a_start", "l.a_end", F.col("r.start").alias("b_start"), "r.b_end")
 
 
+def position_counts(df: DataFrame, width: int = 1, names: bool = False) -> DataFrame:
+    """(chrom, start, end, n): runs of positions in whose window [pos, pos + width) the same number n > 0 of features begins.
+
+    With width 0 the count is that of the features over a position. A feature is two events, one up and one down, and the counts
+    are running sums over the places where anything changes, so rows grow with features, never with width or positions. With
+    names, features of one name count once: their stretches are merged first.
+    """
+    reach = df.where(F.col("start").isNotNull() & F.col("chrom").isNotNull())
+    if width:
+        reach = reach.select("chrom", "name", F.greatest(F.col("start") - (width - 1), F.lit(0)).cast("long").alias("start"), (F.col("start") + 1).cast("long").alias("end"))
+    reach = reach.where("start < end")
+    if names:
+        keyed = reach.select(F.struct("chrom", "name").alias("key"), "chrom", "start", "end")
+        before = prefix_max(keyed, F.col("end"), ["start", "end"], "reach", False, by="key")
+        # What is left of each stretch beyond those of its name before it.
+        reach = before.select("chrom", F.greatest("start", F.coalesce("reach", "start")).alias("start"), "end").where("start < end")
+    change = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("by")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("by")))).alias("x")
+    places = reach.select("chrom", change).groupBy("chrom", "x.pos").agg(F.sum("x.by").alias("by")).where("by <> 0")
+    level = prefix_sum(places, F.col("by"), ["pos"], "n", True)
+    runs = suffix_min(level, F.col("pos"), ["pos"], "end", False)
+    return runs.where("n > 0").select("chrom", F.col("pos").alias("start"), "end", F.col("n").cast("long").alias("n"))
+
+
 # -- projections and bins --------------------------------------------------------------------------------------------
 
 
@@ -313,10 +357,10 @@ def region_span(df: DataFrame) -> DataFrame:
 
 
 def runs_above(df: DataFrame, value: str, low: float, high: float, least: int = 1) -> DataFrame:
-    """Runs of consecutive positions (chrom, pos) whose value lies in the range, as intervals."""
+    """Runs of consecutive positions (chrom, pos) whose value lies in the range, as intervals; a repeated position counts once."""
     inside = prefix_max(df.where(F.col(value).between(low, high)), F.col("pos"), ["pos"], "before", False)
     new = F.col("before").isNull() | (F.col("before") < F.col("pos") - 1)
-    spans = prefix_max(inside, F.when(new, F.col("pos")), ["pos"], "run", True).groupBy("chrom", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    spans = prefix_max(inside, F.when(new, F.col("pos")), ["pos", "before"], "run", True).groupBy("chrom", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
     return spans.where(F.col("end") - F.col("start") >= least).drop("run")
 
 
@@ -402,7 +446,7 @@ def same_name_cover(df: DataFrame) -> DataFrame:
     order = ["start", "end", "name"]
     rows = prefix_max(df, F.struct("start", "end", "name"), order, "row before", False)
     new = F.col("row before").isNull() | (F.col("row before.name") != F.col("name"))
-    runs = prefix_max(rows, F.when(new, F.struct("start", "end", "name")), order, "run", True)
+    runs = prefix_max(rows, F.when(new, F.struct("start", "end", "name")), [*order, "row before"], "run", True)
     return runs.groupBy("chrom", "run", "name").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("run")
 
 

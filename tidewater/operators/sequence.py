@@ -243,16 +243,20 @@ def neighbours_within_one(motifs: DataFrame) -> DataFrame:
 def shift_by_gaps(features: DataFrame, gaps: DataFrame, insert: bool = True) -> DataFrame:
     """Feature starts and ends moved by the gaps (chrom, pos, len) before them: to gapped places, or back to ungapped ones.
 
-    gaps.pos counts ungapped places when gaps are inserted and gapped ones when they are removed. A running sum over the union.
+    gaps.pos counts ungapped places when gaps are inserted and gapped ones when they are removed. A running sum over the union of
+    places, carried from chunk to chunk; equal features move alike and come out as often as they went in.
     """
+    from .intervals import prefix_sum
+
+    once = features.groupBy("chrom", "start", "end", "name").agg(F.count("*").alias("copies"))
     edges = F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("start").alias("pos")), F.struct(F.lit("e").alias("side"), F.col("end").alias("pos")))).alias("x")
-    ask = features.withColumn("shift id", F.struct("chrom", "start", "end", "name")).select("chrom", "shift id", edges).select("chrom", "x.pos", "x.side", "shift id", F.lit(0).cast("long").alias("len"), F.lit(1).alias("kind"))
-    told = gaps.select("chrom", "pos", F.lit(None).cast("string").alias("side"), F.lit(None).cast(ask.schema["shift id"].dataType).alias("shift id"), F.col("len").cast("long").alias("len"), F.lit(0).alias("kind"))
-    w = W.partitionBy("chrom").orderBy("pos", "kind").rowsBetween(W.unboundedPreceding, 0)
-    sums = told.unionByName(ask).withColumn("gap sum", F.sum("len").over(w)).where("kind = 1")
+    ask = once.withColumn("shift id", F.struct("chrom", "start", "end", "name", "copies")).select("chrom", "shift id", edges).select("chrom", F.col("x.pos").cast("long").alias("pos"), "x.side", "shift id", F.lit(0).cast("long").alias("len"), F.lit(1).alias("kind"))
+    told = gaps.groupBy("chrom", F.col("pos").cast("long").alias("pos")).agg(F.sum("len").cast("long").alias("len")).select("chrom", "pos", F.lit(None).cast("string").alias("side"), F.lit(None).cast(ask.schema["shift id"].dataType).alias("shift id"), "len", F.lit(0).alias("kind"))
+    sums = prefix_sum(told.unionByName(ask), F.col("len"), ["pos", "kind"], "gap sum", True).where("kind = 1")
     new = F.col("pos") + F.col("gap sum") * (1 if insert else -1)
     both = sums.groupBy("shift id").agg(F.max(F.when(F.col("side") == "s", new)).alias("start"), F.max(F.when(F.col("side") == "e", new)).alias("end"))
-    return both.select("shift id.chrom", "start", "end", "shift id.name")
+    copy = F.explode(F.array_repeat(F.lit(0), F.col("shift id.copies").cast("int")))
+    return both.withColumn("copy", copy).select("shift id.chrom", "start", "end", "shift id.name")
 
 
 def motif_clusters(hits: DataFrame, copies: int, width: int) -> DataFrame:
