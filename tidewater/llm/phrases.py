@@ -143,10 +143,13 @@ def _paired(state: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(at, id, f, keys) of the places whose key is frequent over all batches; one exchange serves the count and the way back."""
+    """(at, id, f, n, keys) of the places whose key is frequent over all batches.
+
+    One exchange serves the count and the way back: both sides ask for the same columns, n too, so that the engine reuses it.
+    """
     dealt = rows.repartition(*keys)
     counted = dealt.groupBy(*keys).agg(F.sum("n").alias("f"), F.min("at").alias("id")).where(F.col("f") >= least)
-    return staged(dealt.join(counted.hint("shuffle_hash"), keys).select("at", "id", "f", *keys))
+    return staged(dealt.join(counted.hint("shuffle_hash"), keys).select("at", "id", "f", "n", *keys))
 
 
 def _named(found: DataFrame, *columns: str) -> DataFrame:
