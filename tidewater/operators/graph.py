@@ -43,3 +43,27 @@ def synonyms(terms: DataFrame, least_length: int = 4) -> DataFrame:
     plain = terms.select("term", F.explode(F.array_distinct(F.concat(F.array("name"), "synonyms"))).alias("name"))
     both = plain.select("term", F.explode(F.array("name", F.concat("name", F.lit("s")))).alias("name"))
     return both.where(F.length("name") >= least_length).groupBy("name").agg(F.min("term").alias("term"))
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component) of an undirected edge table (a, b): the smallest node reachable stands for a component; nodes adds lone ones.
+
+    Rounds of joins over written tables: each node takes the least label among its neighbours' labels, then the label of its label,
+    so chains shorten by jumps. Labels only fall, and the end is a round that changes nothing; one number a round reaches the driver.
+    """
+    both = edges.where("a is not null and b is not null and a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
+    both = written(both)
+    every = both.select(F.col("a").alias("node"))
+    for more in [nodes.select("node")] if nodes is not None else []:
+        every = every.unionByName(more.where("node is not null"))
+    labels = written(every.distinct().withColumn("component", F.col("node")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        met = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        met = written(met)
+        # The label of the label, which is itself a node; it can only be smaller.
+        jump = met.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        after = written(met.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")))
+        labels = after.select("node", "component")
+        if not after.where("component <> old").limit(1).count():
+            return labels
