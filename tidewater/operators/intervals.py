@@ -160,19 +160,19 @@ def suffix_min(df: DataFrame, value: Column, order: list[str], out: str, inclusi
     return met.withColumn(out, F.least("pm inside", "pm before")).drop("pm chunk", "pm value", "pm by", "pm at", "pm before", "pm inside")
 
 
-def islands(df: DataFrame, gap: int = 0, ties: tuple[str, ...] = (), touching: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """Adds `island`: the start of the run of features whose distance to all before them stays within the gap.
+def islands(df: DataFrame, gap: int = 0, ties: tuple[str, ...] = (), touching: bool = False, chunk: int = CHUNK, by: str = "chrom") -> DataFrame:
+    """Adds `island`: the start of the run of features of a chromosome (or other key) whose distance to all before them stays within the gap.
 
     The rule uses the running greatest end, so nested features do not break a run. Without touching, a feature that begins `gap`
     or more behind that end starts a new run; with it, more than `gap`.
     """
     order = ["start", "end", *ties]
-    ends = prefix_max(df, F.col("end"), order, "reach before", False, chunk=chunk)
+    ends = prefix_max(df, F.col("end"), order, "reach before", False, by=by, chunk=chunk)
     apart = F.col("start") - F.col("reach before")
     new = F.col("reach before").isNull() | ((apart > gap) if touching else (apart >= gap))
     # Starts rise along the order, so the last new run's start is the greatest so far. Rows that tie in the order have what is
     # before them in common up to the tie, so "reach before" puts the second sort's ties in the first one's order.
-    return prefix_max(ends, F.when(new, F.col("start")), [*order, "reach before"], "island", True, chunk=chunk).drop("reach before")
+    return prefix_max(ends, F.when(new, F.col("start")), [*order, "reach before"], "island", True, by=by, chunk=chunk).drop("reach before")
 
 
 def merge_overlaps(df: DataFrame, sep: str | None = "/", chunk: int = CHUNK) -> DataFrame:
@@ -383,6 +383,26 @@ def explode_blocks(df: DataFrame, *keep: str) -> DataFrame:
     return rows.select("chrom", (F.col("from") + F.col("b.block_starts")).alias("start"), (F.col("from") + F.col("b.block_starts") + F.col("b.block_sizes")).alias("end"), *keep)
 
 
+def covered_blocks(df: DataFrame, keys: list[str], member: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(keys, chrom, start, end, block_count, block_sizes, block_starts): the positions that a group's features cover, as blocks of one row.
+
+    A group is a combination of the keys and the chromosome. Its features are joined where they overlap or touch, by running ends
+    that carry from chunk to chunk, so a group of any size is spread over tasks and only its blocks meet; starts are relative. With member,
+    a column, `members` lists its distinct values.
+    """
+    group = F.struct(*map(_quoted, keys), "chrom")
+    rows = df.where((F.col("start") < F.col("end")) & F.col("chrom").isNotNull()).select(group.alias("group"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    merged = islands(rows, touching=True, chunk=chunk, by="group").groupBy("group", "island").agg(F.max("end").alias("end"))
+    blocks = F.array_sort(F.collect_list(F.struct(F.col("island").alias("start"), "end")))
+    out = merged.groupBy("group").agg(F.min("island").alias("start"), F.max("end").alias("end"), F.count("*").alias("block_count"), blocks.alias("b"))
+    sizes, starts = F.transform("b", lambda x: x["end"] - x["start"]), F.transform("b", lambda x: x["start"] - F.col("start"))
+    out = out.select("group", "start", "end", "block_count", sizes.alias("block_sizes"), starts.alias("block_starts"))
+    if member is not None:
+        names = df.where(F.col("start") < F.col("end")).groupBy(group.alias("g")).agg(F.array_sort(F.collect_set(_quoted(member))).alias("members"))
+        out = out.join(names, F.col("group") == F.col("g")).drop("g")
+    return out.select("group.*", *[c for c in out.columns if c != "group"])
+
+
 def offset_bins(features: DataFrame, reference: DataFrame, width: int, flank: int = 0) -> DataFrame:
     """(bin, n) of start offsets of features against the reference features they overlap, flanks included."""
     wide = reference.withColumn("ref_start", F.col("start")).withColumn("start", F.col("start") - flank).withColumn("end", F.col("end") + flank)
@@ -519,26 +539,91 @@ def named_clusters(df: DataFrame, first: str, second: str, most: int, third: str
     return out.distinct()
 
 
-def spacer_shuffle(df: DataFrame, seed: int = 1) -> DataFrame:
-    """A random track with the features' lengths and the spacers before them, each chromosome's in a seeded order of their own.
+def _draw(*parts) -> Column:
+    """A hash of the parts as a whole number from 0 to 2**40 - 1."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 40))
+
 
-    Lengths and spacers keep together in pairs; new starts are running sums. One window a chromosome over its features.
+def shuffled_tracks(df: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
+    """(round, chrom, start, end, name, copy): for each round a random track with the features' lengths and the spacers before them.
+
+    Lengths and spacers keep together in pairs; each chromosome has them in an order of its own each round, drawn by hash, and new
+    starts are running sums in that order, carried over chunks of it. Rounds are a column, so all of them are one plan.
     """
-    rows = prefix_max(df, F.col("end"), ["start", "end", "name"], "reach", False)
-    rows = rows.select("chrom", "name", (F.col("end") - F.col("start")).alias("len"), F.greatest(F.col("start") - F.coalesce("reach", F.lit(0)), F.lit(0)).alias("spacer"), "start")
-    w = W.partitionBy("chrom").orderBy(F.xxhash64(F.lit(seed), "name", "start"), "name", "start").rowsBetween(W.unboundedPreceding, 0)
-    out = rows.withColumn("end", F.sum(F.col("len") + F.col("spacer")).over(w))
-    return out.select("chrom", (F.col("end") - F.col("len")).alias("start"), "end", "name")
+    # Equal features are told apart by their place among each other, so that every one has its own draw.
+    once = df.groupBy("chrom", "start", "end", "name").agg(F.count("*").alias("n"))
+    rows = once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    rows = prefix_max(rows, F.col("end"), ["start", "end", "name", "copy"], "reach", False)
+    spacer = F.greatest(F.col("start") - F.coalesce("reach", F.lit(0)), F.lit(0))
+    rows = rows.select("chrom", "name", "copy", "start", (F.col("end") - F.col("start")).cast("long").alias("len"), spacer.cast("long").alias("spacer"))
+    every = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    every = every.withColumn("draw", _draw(F.lit(seed), "round", "chrom", "name", "start", "copy", "len")).withColumn("track", F.struct("round", "chrom"))
+    out = prefix_sum(every, F.col("len") + F.col("spacer"), ["draw", "name", "start", "copy", "len"], "end", True, by="track", chunk=1 << 36)
+    return out.select("round", "chrom", (F.col("end") - F.col("len")).alias("start"), "end", "name", "copy")
+
+
+def spacer_shuffle(df: DataFrame, seed: int = 1) -> DataFrame:
+    """A random track with the features' lengths and the spacers before them, each chromosome's in a seeded order of their own."""
+    return shuffled_tracks(df, 1, seed).select("chrom", "start", "end", "name")
 
 
-def overlap_significance(features: DataFrame, reference: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
-    """(overlaps, rounds, as_many, p): how often a shuffled track overlaps the reference as often as the features do; p = (as_many + 1) / (rounds + 1)."""
-    count = lambda d, k: overlap_join(d, reference, "semi").agg(F.lit(k).alias("round"), F.count("*").alias("n"))
-    own = count(features, 0)
-    shuffled = reduce(DataFrame.unionByName, [count(spacer_shuffle(features, seed + k), k) for k in range(1, rounds + 1)])
-    met = shuffled.crossJoin(F.broadcast(own.select(F.col("n").alias("overlaps"))))  # a row a round
-    out = met.groupBy("overlaps").agg(F.count("*").alias("rounds"), F.count_if(F.col("n") >= F.col("overlaps")).alias("as_many"))
-    return out.withColumn("p", (F.col("as_many") + 1).cast("double") / (F.col("rounds") + 1))
+def independent_shuffle(df: DataFrame, seed: int = 1) -> DataFrame:
+    """A random track whose starts, lengths and names are those of the features, each put in a seeded order of its own; chromosomes stay.
+
+    Every value is dealt to a place of the whole table by its number in an order drawn by hash; the four meet by number.
+    """
+    from .ranking import global_rank
+
+    once = df.groupBy("chrom", "start", "end", "name").agg(F.count("*").alias("n"))
+    rows = once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    whole = ["chrom", "start", "end", "name", "copy"]
+    numbered = lambda k, *keep: global_rank(rows, [_draw(F.lit(seed), F.lit(k), *whole), *map(F.col, whole)], "place").select("place", *keep)
+    chroms = global_rank(rows, [F.col(c) for c in whole], "place").select("place", "chrom")
+    starts, lengths, names = numbered(1, "start"), numbered(2, (F.col("end") - F.col("start")).alias("len")), numbered(3, "name")
+    met = chroms.join(starts, "place").join(lengths, "place").join(names, "place")
+    return met.select("chrom", "start", (F.col("start") + F.col("len")).alias("end"), "name")
+
+
+def covered_before(places: DataFrame, track: DataFrame, out: str = "covered") -> DataFrame:
+    """places (chrom, pos, ...) with the number of the track's positions before pos: running sums over the joined track, asked for by place."""
+    joined = islands(track.where(F.col("start") < F.col("end")).select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), touching=True).groupBy("chrom", F.col("island").alias("start")).agg(F.max("end").alias("end"))
+    sums = prefix_sum(joined, F.col("end") - F.col("start"), ["start"], "before", False)
+    row = F.struct("start", "end", "before")
+    told = sums.select("chrom", F.col("start").alias("pos"), F.lit(0).alias("kind"), row.alias("told"))
+    ask = places.select("chrom", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast(told.schema["told"].dataType).alias("told"), F.struct(*map(_quoted, places.columns)).alias("ask"))
+    both = ask.unionByName(told.withColumn("ask", F.lit(None).cast(ask.schema["ask"].dataType)))
+    met = prefix_max(both, F.col("told"), ["pos", "kind"], "last", True).where("kind = 1")
+    value = F.coalesce(F.col("last.before") + F.least("pos", "last.end") - F.col("last.start"), F.lit(0))
+    return met.select("ask.*", value.cast("long").alias(out))
+
+
+def overlap_significance(features: DataFrame, reference: DataFrame, rounds: int, seed: int = 1, genome: int | None = None) -> DataFrame:
+    """One row: how the features' overlap with a reference compares with that of shuffled tracks and of chance.
+
+    overlaps and bp: features that overlap the reference and the positions they share with it (each feature's counted apart); as_many,
+    as_much: rounds in which a shuffled track has at least as many, or as much; p and p_bp are those plus one over rounds plus one.
+    poisson_p and binomial_p: the chance of more than bp shared positions, if each of the features' positions hits the reference by
+    its share of the genome (its size, or the sum of the chromosomes' last ends). Round 0 of one sweep is the track itself: each feature asks
+    the running sum of the reference's positions at both ends, so no pairs are made and rounds cost rows, not joins.
+    """
+    from ..functions import statistics as st
+
+    own = features.where(F.col("start") < F.col("end")).select(F.lit(0).alias("round"), "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    every = own.unionByName(shuffled_tracks(features, rounds, seed).where("start < end").select("round", "chrom", "start", "end"))
+    # Equal stretches of a round ask once.
+    every = every.groupBy("round", "chrom", "start", "end").agg(F.count("*").alias("n"))
+    ends = every.select("round", "chrom", "start", "end", "n", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(-1).alias("by")), F.struct(F.col("end").alias("pos"), F.lit(1).alias("by")))).alias("x")).select("*", "x.pos", "x.by").drop("x")
+    asked = covered_before(ends, reference).groupBy("round", "chrom", "start", "end", "n").agg(F.sum(F.col("covered") * F.col("by")).alias("bp"))
+    totals = asked.groupBy("round").agg(F.sum(F.when(F.col("bp") > 0, F.col("n")).otherwise(0)).alias("hits"), F.sum(F.col("bp") * F.col("n")).alias("bp"))
+    zero = totals.where("round = 0").select(F.col("hits").alias("overlaps"), F.col("bp").alias("own"))  # one row
+    met = totals.crossJoin(F.broadcast(zero)).groupBy("overlaps", F.col("own").alias("bp")).agg(F.lit(rounds).cast("long").alias("rounds"), F.count_if((F.col("round") > 0) & (F.col("hits") >= F.col("overlaps"))).alias("as_many"), F.count_if((F.col("round") > 0) & (F.col("bp") >= F.col("own"))).alias("as_much"))
+    length = own.agg(F.sum(F.col("end") - F.col("start")).alias("length"))
+    size = F.lit(genome).cast("double") if genome else F.col("reach").cast("double")
+    reach = own.select("chrom", "end").unionByName(reference.select("chrom", F.col("end").cast("long").alias("end"))).groupBy("chrom").agg(F.max("end").alias("end")).agg(F.sum("end").alias("reach"))
+    covered = islands(reference.where(F.col("start") < F.col("end"))).groupBy("chrom", "island").agg((F.max("end") - F.min("start")).alias("bp")).agg(F.sum("bp").alias("all bp"))
+    out = met.crossJoin(F.broadcast(length)).crossJoin(F.broadcast(reach)).crossJoin(F.broadcast(covered)).withColumn("share", F.col("all bp") / size)  # one row each
+    chance = lambda n: (n + 1).cast("double") / (F.col("rounds") + 1)
+    return out.select("overlaps", "bp", "rounds", "as_many", "as_much", chance(F.col("as_many")).alias("p"), chance(F.col("as_much")).alias("p_bp"), st.ppois(F.col("bp") + 1, F.col("length") * F.col("share")).alias("poisson_p"), st.pbinom(F.col("bp") + 1, F.col("length"), F.col("share")).alias("binomial_p"))
 
 
 def paired_ends(hits: DataFrame, least: int, most: int) -> DataFrame:
@@ -563,17 +648,29 @@ def region_classes(regions: DataFrame, annotation: DataFrame, classes: dict[str,
     return out.select("class", "bp", share.alias("share"), (share / (F.col("class_bp") / F.lit(float(genome)))).alias("ratio"))
 
 
-def packed_rows(df: DataFrame, group: str = "chrom") -> DataFrame:
-    """Adds `row`: the first display row that is free, features taken by start; a group is one picture and is packed in one place."""
+def packed_rows(df: DataFrame, group: str = "chrom", chunk: int = CHUNK) -> DataFrame:
+    """Adds `row`: the first display row that is free, features taken by start, end and name.
+
+    A feature's row depends only on those it hangs together with by overlaps, so each such run is packed by itself, with a heap
+    of free rows and one of rows in use; a group of any length is spread over tasks.
+    """
+    import heapq
+
+    runs = islands(df.withColumn("pack group", _quoted(group)), ties=("name",), chunk=chunk, by="pack group")
 
     def pack(rows):
         rows = rows.sort_values(["start", "end", "name"], kind="stable")
-        ends, out = [], []
-        for start, end in zip(rows["start"], rows["end"]):
-            at = next((i for i, e in enumerate(ends) if e <= start), len(ends))
-            ends[at : at + 1] = [end]
+        used, free, out, rows_made = [], [], [], 0
+        for start, end in zip(rows["start"].tolist(), rows["end"].tolist()):
+            while used and used[0][0] <= start:
+                heapq.heappush(free, heapq.heappop(used)[1])
+            if free:
+                at = heapq.heappop(free)
+            else:
+                at, rows_made = rows_made, rows_made + 1
+            heapq.heappush(used, (end, at))
             out.append(at)
-        return rows.assign(row=out)
+        return rows.drop(columns=["pack group", "island"]).assign(row=out)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(group).applyInPandas(pack, f"{kinds}, row long")
+    return runs.groupBy("pack group", "island").applyInPandas(pack, f"{kinds}, row long")
