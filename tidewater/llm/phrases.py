@@ -4,8 +4,8 @@ Words get numbers inside a batch of texts; batches stay packed arrays of them. I
 pairs of adjacent named (k-1)-grams, names those that are frequent, and hands the names back to the batches that hold them; a
 k-gram's name therefore points to its two (k-1)-grams, and pairs of names one word apart are the k-grams of the next round.
 A name is the smallest (batch, local number) that holds the k-gram, so no numbering has to pass through one place. Only distinct pairs of
-a batch are exchanged, with their count there; whatever is rarer than the limit leaves at once, as nothing longer can be frequent
-with it. Scores of cuts and the search for longer phrases follow the pointers in joins.
+a batch are exchanged, with their count there, as packed columns by bucket of keys; whatever is rarer than the limit leaves at
+once, as nothing longer can be frequent with it. Scores of cuts and the search for longer phrases follow the pointers in joins.
 
 Defined cases: a null or empty text has no words; a null lang is `und`; upper-case A to Z are lowered, other letters stay; repeated rows
 count as often as they come; ties are settled by phrase; an empty table gives no rows. Other columns are not read, whatever
@@ -18,11 +18,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, release_memory, staged, text_buffers, wide_arrow
+from .common import U64, mix, named, release_memory, staged, text_buffers, wide_arrow
 
 #: Text bytes of a batch.
 BATCH_BYTES = 16 << 20
@@ -36,8 +38,29 @@ _CLASS[[0x20, 0x09]] = 1
 _CLASS[list(_BREAK)] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_WORDS = "at long, lang string, word string, n long, packed binary"
-_PAIRS = "at long, `left` long, `right` long, n long, packed binary"
+_WORDS = "batch long, bucket int, lang string, n long, packed binary, words binary"
+_PAIRS = "batch long, bucket int, packed binary"
+_WORD_NAMES = "batch long, packed binary, id long, f long, lang string, word string"
+_PAIR_NAMES = "batch long, packed binary, id long, f long, `left` long, `right` long"
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Whole numbers as differences, byte planes apart, compressed: what rises slowly takes a byte or two a number."""
+    planes = [np.diff(c, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T for c in columns]
+    return zstandard.compress(np.concatenate(planes).tobytes(), 1)
+
+
+def _unpack(packed: bytes, n: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8 * n, -1)
+    return [np.cumsum(np.ascontiguousarray(planes[8 * i : 8 * i + 8].T).view("<i8").ravel()) for i in range(n)]
+
+
+def _dealt(bucket: np.ndarray):
+    """The places of each bucket, in order: (bucket, places)."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.nonzero(np.diff(bucket[order]))[0] + 1
+    for places in np.split(order, cuts) if len(order) else ():
+        yield int(bucket[places[0]]), places
 
 
 def _portions(raw: bytes, most: int):
@@ -56,10 +79,15 @@ def _portions(raw: bytes, most: int):
 
 
 def _state(codes: np.ndarray) -> bytes:
-    """Codes as 32-bit numbers; of each run of -1 one is kept."""
+    """Codes, compressed by byte planes; of each run of -1 one is kept."""
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] >= 0) | (codes[:-1] >= 0)
-    return codes[keep].astype("<i4").tobytes()
+    return zstandard.compress(codes[keep].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _codes(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _numbered(data: np.ndarray, offsets: np.ndarray, langs: pa.Array):
@@ -88,10 +116,11 @@ def _numbered(data: np.ndarray, offsets: np.ndarray, langs: pa.Array):
     return tongue.dictionary.take(pa.array(own // size)), words.dictionary.take(pa.array(own % size)), n, _state(codes)
 
 
-def _packed_words(batches, most: int):
-    """Word counts of each batch of texts, and the batch itself."""
+def _packed_words(batches, most: int, buckets: int):
+    """Of each batch of texts: word counts in packed columns, a block for each bucket and language, its totals, and the batch itself."""
     part, seq = TaskContext.get().partitionId(), 0
     texts, langs, size = [], [], 0
+    schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("lang", pa.string()), ("n", pa.int64()), ("packed", pa.binary()), ("words", pa.binary())])
 
     def flush():
         nonlocal seq, texts, langs, size
@@ -99,14 +128,21 @@ def _packed_words(batches, most: int):
         if len(data):
             if seq >> BATCH_BITS or part >> 63 - LOCAL_BITS - BATCH_BITS:
                 raise ValueError("too many batches in one partition")
-            batch = (part << BATCH_BITS | seq) << LOCAL_BITS
+            batch = part << BATCH_BITS | seq
             seq += 1
             lang, word, n, packed = _numbered(data, offsets, pa.array(langs, pa.string()))
-            k = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), *(pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64())), pa.array([packed], pa.binary())], ["at", "lang", "word", "n", "packed"])
-            for i in range(0, k, 50_000):
-                j = min(k, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(batch + np.arange(i, j)), lang.slice(i, j - i), word.slice(i, j - i).cast(pa.binary()).cast(pa.string()), pa.array(n[i:j]), pa.nulls(j - i, pa.binary())], ["at", "lang", "word", "n", "packed"])
+            out = [(batch, None, None, None, packed, None)]
+            tongues = lang.dictionary_encode()
+            tongue, names = tongues.indices.to_numpy(zero_copy_only=False), tongues.dictionary.to_pylist()
+            out += [(batch, None, name, int(n[tongue == k].sum()), None, None) for k, name in enumerate(names)]
+            hashed = np.fromiter((xxhash.xxh3_64_intdigest(w, 5) for w in word.to_pylist()), U64, len(word))
+            key = tongue.astype(np.int64) * buckets + (hashed % U64(buckets)).astype(np.int64)
+            for k, places in _dealt(key):
+                mine = word.take(pa.array(places))
+                raw, ends = text_buffers(mine)
+                out.append((batch, k % buckets, names[k // buckets], None, _pack(n[places], places, ends[1:]), zstandard.compress(raw.tobytes(), 1)))
+            for i in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 1000]), schema)], schema=schema)
         texts, langs, size = [], [], 0
 
     for batch in batches:
@@ -123,12 +159,67 @@ def _packed_words(batches, most: int):
     release_memory()
 
 
-def _paired(state: pa.Table, known: pa.Table) -> pa.Table:
-    """Counts of the adjacent pairs of named places of a batch, and the batch as pair numbers."""
-    local = known.column("at").to_numpy() & ((1 << LOCAL_BITS) - 1)
-    ids = known.column("id").to_numpy()
-    codes = np.frombuffer(state.column("packed")[0].as_buffer(), "<i4")
-    batch = state.column("at")[0].as_py()
+def _answers(batch: np.ndarray, local: np.ndarray, key: np.ndarray, n: np.ndarray, least: int):
+    """Frequent keys of a bucket: their names, counts and first places, and for each batch its places with their names."""
+    at = batch << LOCAL_BITS | local
+    f = np.zeros(key.max(initial=-1) + 1, np.int64)
+    np.add.at(f, key, n)
+    name = np.full(len(f), np.iinfo(np.int64).max)
+    np.minimum.at(name, key, at)
+    good = (f >= least)[key]
+    first = np.nonzero(good & (at == name[key]))[0]
+    kept = np.nonzero(good)[0]
+    kept = kept[np.lexsort((local[kept], batch[kept]))]
+    cuts = np.nonzero(np.diff(batch[kept]))[0] + 1
+    back = [(int(batch[x[0]]), _pack(local[x], name[key[x]])) for x in np.split(kept, cuts) if len(x)]
+    return name[key[first]], f[key[first]], first, back
+
+
+def _named_words(table: pa.Table, least: int) -> pa.Table:
+    """Names of the frequent words of a bucket, and each batch's places with their names."""
+    parts, words, langs = [], [], []
+    for batch, lang, packed, raw in zip(*(table.column(c).to_pylist() for c in ("batch", "lang", "packed", "words"))):
+        n, local, ends = _unpack(packed, 3)
+        parts.append((np.full(len(n), batch), local, n))
+        words.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(zstandard.decompress(raw))]))
+        langs += [lang] * len(n)
+    batch, local, n = (np.concatenate(x) for x in zip(*parts))
+    word, lang = pa.concat_arrays(words).dictionary_encode(), pa.array(langs, pa.string()).dictionary_encode()
+    key = np.unique(lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(word.dictionary) + word.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    ids, f, first, back = _answers(batch, local, key, n, least)
+    at = pa.array(first)
+    texts = word.dictionary.take(word.indices.take(at)).cast(pa.binary()).cast(pa.string())
+    return _rows(ids, f, back, lang=lang.dictionary.take(lang.indices.take(at)), word=texts)
+
+
+def _named_pairs(table: pa.Table, least: int) -> pa.Table:
+    """Names of the frequent pairs of a bucket, and each batch's places with their names."""
+    parts = []
+    for batch, packed in zip(table.column("batch").to_pylist(), table.column("packed").to_pylist()):
+        left, right, n, local = _unpack(packed, 4)
+        parts.append((np.full(len(n), batch), left, right, n, local))
+    batch, left, right, n, local = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((right, left))
+    new = np.zeros(len(order), bool)
+    new[1:] = (left[order[1:]] != left[order[:-1]]) | (right[order[1:]] != right[order[:-1]])
+    key = np.empty(len(order), np.int64)
+    key[order] = np.cumsum(new)
+    ids, f, first, back = _answers(batch, local, key, n, least)
+    return _rows(ids, f, back, left=pa.array(left[first]), right=pa.array(right[first]))
+
+
+def _rows(ids: np.ndarray, f: np.ndarray, back: list, **parts: pa.Array) -> pa.Table:
+    """Rows of names, then a row of packed places for each batch."""
+    k, m = len(ids), len(back)
+    columns = {"batch": pa.array([None] * k + [b[0] for b in back], pa.int64()), "packed": pa.array([None] * k + [b[1] for b in back], pa.binary()), "id": pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(m, pa.int64())]), "f": pa.concat_arrays([pa.array(f, pa.int64()), pa.nulls(m, pa.int64())])}
+    return pa.table(columns | {c: pa.concat_arrays([x, pa.nulls(m, x.type)]) for c, x in parts.items()})
+
+
+def _paired(state: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
+    """Counts of the adjacent pairs of named places of a batch, in packed columns by bucket, and the batch as pair numbers."""
+    local, ids = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *(_unpack(p, 2) for p in known.column("packed").to_pylist())))
+    codes = _codes(state.column("packed")[0].as_py())
+    batch = state.column("batch")[0].as_py()
     table = np.full(max(int(codes.max(initial=-1)), int(local.max(initial=-1))) + 2, -1, np.int64)
     table[local] = np.arange(len(local))
     places = table[codes]  # -1 reads the last entry, which is -1
@@ -136,25 +227,18 @@ def _paired(state: pa.Table, known: pa.Table) -> pa.Table:
     own, pair, n = np.unique(places[both] * len(ids) + places[both + 1], return_inverse=True, return_counts=True)
     after = np.full(max(0, len(places) - 1), -1, np.int64)
     after[both] = pair
-    k = len(own)
-    left, right = (ids[own // max(1, len(ids))], ids[own % max(1, len(ids))]) if k else (np.empty(0, np.int64),) * 2
-    one = pa.table({"at": pa.array([batch], pa.int64()), "left": pa.nulls(1, pa.int64()), "right": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "packed": pa.array([_state(after)], pa.binary())})
-    return pa.concat_tables([one, pa.table({"at": pa.array(batch + np.arange(k, dtype=np.int64)), "left": pa.array(left, pa.int64()), "right": pa.array(right, pa.int64()), "n": pa.array(n, pa.int64()), "packed": pa.nulls(k, pa.binary())})])
-
-
-def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(at, id, f, n, keys) of the places whose key is frequent over all batches.
-
-    One exchange serves the count and the way back: both sides ask for the same columns, n too, so that the engine reuses it.
-    """
-    dealt = rows.repartition(*keys)
-    counted = dealt.groupBy(*keys).agg(F.sum("n").alias("f"), F.min("at").alias("id")).where(F.col("f") >= least)
-    return staged(dealt.join(counted.hint("shuffle_hash"), keys).select("at", "id", "f", "n", *keys))
+    out = [(batch, None, _state(after))]
+    if len(own):
+        left, right = ids[own // len(ids)], ids[own % len(ids)]
+        bucket = (mix(left.view(U64) ^ mix(right.view(U64) + U64(1))) % U64(buckets)).astype(np.int64)
+        for k, x in _dealt(bucket):
+            x = x[np.lexsort((right[x], left[x]))]
+            out.append((batch, k, _pack(left[x], right[x], n[x], x)))
+    return pa.table({c: pa.array(v, t) for (c, t), v in zip((("batch", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())), zip(*out))})
 
 
-def _named(found: DataFrame, *columns: str) -> DataFrame:
-    """One row for each name, from the place that gave it."""
-    return found.where("at = id").select("id", "f", *columns)
+def _name_rows(found: DataFrame, *columns: str) -> DataFrame:
+    return found.where("id is not null").select("id", "f", *columns)
 
 
 def _scored(grams: DataFrame, cuts: str) -> DataFrame:
@@ -169,24 +253,25 @@ def collocations(docs: DataFrame, least: int = 30, inside_percent: int = 80, top
 
     a, l and r are the occurrences of the phrase and of the two parts at its lowest-scoring cut, n all words of the language.
     """
-    rows = staged(docs.select(named(lang).alias("lang"), named(text).alias("text")).mapInArrow(lambda b: _packed_words(b, batch_bytes), _WORDS))
-    batch = F.shiftright("at", LOCAL_BITS).alias("batch")
-    words = rows.where("packed is null")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = [_frequent(words.select("at", "lang", "word", "n"), ["lang", "word"], least)]
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = staged(docs.select(named(lang).alias("lang"), named(text).alias("text")).mapInArrow(lambda b: _packed_words(b, batch_bytes, buckets), _WORDS))
+    totals = rows.where("n is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    blocks = rows.where("bucket is not null").select("batch", "bucket", "lang", "packed", "words")
+    found = [staged(blocks.groupBy("bucket").applyInArrow(lambda t: _named_words(t, least), _WORD_NAMES))]
+    states = rows.where("bucket is null and packed is not null").select("batch", "packed")
     for _ in range(3):
-        state = rows.where("packed is not null").select("at", "packed", batch)
-        places = found[-1].select("at", "id", batch)
-        rows = staged(state.groupBy("batch").cogroup(places.groupBy("batch")).applyInArrow(_paired, _PAIRS))
-        found.append(_frequent(rows.where("packed is null").select("at", "left", "right", "n"), ["left", "right"], least))
+        places = found[-1].where("batch is not null").select("batch", "packed")
+        rows = staged(states.groupBy("batch").cogroup(places.groupBy("batch")).applyInArrow(lambda s, k: _paired(s, k, buckets), _PAIRS))
+        states = rows.where("bucket is null").select("batch", "packed")
+        found.append(staged(rows.where("bucket is not null").groupBy("bucket").applyInArrow(lambda t: _named_pairs(t, least), _PAIR_NAMES)))
 
     # Each table carries what the next one asks of its parents: first and last word, and the counts at both ends.
-    one = _named(found[0], "lang", "word").withColumns({"phrase": F.col("word"), "first_f": F.col("f")})
+    one = _name_rows(found[0], "lang", "word").withColumns({"phrase": F.col("word"), "first_f": F.col("f")})
 
     def grams(k: int, parts: DataFrame) -> DataFrame:
         head = parts.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("first_f"), F.col("f").alias("head_f"), *([F.col("left").alias("ll"), F.col("right").alias("lr"), F.col("left_f").alias("ll_f")] if k > 2 else []))
         tail = parts.select(F.col("id").alias("right"), F.col("word"), F.col("last_f" if k > 2 else "f").alias("last_f"), F.col("f").alias("tail_f"), *([F.col("right").alias("rr"), F.col("right_f").alias("rr_f")] if k > 2 else []))
-        whole = _named(found[k - 1], "left", "right").join(head, "left").join(tail, "right")
+        whole = _name_rows(found[k - 1], "left", "right").join(head, "left").join(tail, "right")
         return whole.withColumns({"phrase": F.concat("head", F.lit(" "), "word"), "left_f": F.col("head_f"), "right_f": F.col("tail_f"), "k": F.lit(k)})
 
     two = grams(2, one)
