@@ -3,9 +3,10 @@
 Words get numbers inside a batch of texts; batches stay packed arrays of them. In each round Spark counts, over all batches, the
 pairs of adjacent named (k-1)-grams, names those that are frequent, and hands the names back to the batches that hold them; a
 k-gram's name therefore points to its two (k-1)-grams, and pairs of names one word apart are the k-grams of the next round.
-A name is the smallest (batch, local number) that holds the k-gram, so no numbering has to pass through one place. Only distinct pairs of
+Keys are dealt to buckets by hash and numbered inside theirs by falling count; a name is that number and the bucket, so no numbering
+passes through one place. Only distinct pairs of
 a batch are exchanged, with their count there, as packed columns by bucket of keys; whatever is rarer than the limit leaves at
-once, as nothing longer can be frequent with it. Scores of cuts and the search for longer phrases follow the pointers in joins.
+once, as nothing longer can be frequent once, as nothing longer can be frequent with it. Scores of cuts and the search for longer phrases follow the pointers in joins.
 
 Defined cases: a null or empty text has no words; a null lang is `und`; upper-case A to Z are lowered, other letters stay; repeated rows
 count as often as they come; ties are settled by phrase; an empty table gives no rows. Other columns are not read, whatever
@@ -18,6 +19,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import U64, mix, named, release_memory, staged, text_buffers, wide_arrow
 
 #: Text bytes of a batch.
-BATCH_BYTES = 16 << 20
-#: Bits of a name for the number inside a batch, and for the batch inside its partition.
-LOCAL_BITS, BATCH_BITS = 27, 12
+BATCH_BYTES = 10 << 20
+#: Bits of a batch's number inside its partition.
+BATCH_BITS = 20
 #: Parts in which each language's phrases are ranked first.
 RANK_PARTS = 64
 _BREAK = b".,;:!?\n\x0b\x0c\r"
@@ -39,7 +41,7 @@ _CLASS[list(_BREAK)] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORDS = "batch long, bucket int, lang string, n long, packed binary, words binary"
-_PAIRS = "batch long, bucket int, packed binary"
+_PAIRS = "batch long, bucket int, first long, packed binary"
 _WORD_NAMES = "batch long, packed binary, id long, f long, lang string, word string"
 _PAIR_NAMES = "batch long, packed binary, id long, f long, `left` long, `right` long"
 
@@ -111,6 +113,11 @@ def _numbered(data: np.ndarray, offsets: np.ndarray, langs: pa.Array):
     size = max(1, len(words.dictionary))
     key = tongue.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row] * size + words.indices.to_numpy(zero_copy_only=False)
     own, local, n = np.unique(key, return_inverse=True, return_counts=True)
+    # Numbers by falling count: common words have small ones, which pack well.
+    order = np.argsort(-n, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    own, n, local = own[order], n[order], number[local]
     codes = np.full(len(local) + int(apart.sum()), -1, np.int64)
     codes[np.arange(len(local)) + np.concatenate([[0], np.cumsum(apart)])[: len(local)]] = local
     return tongue.dictionary.take(pa.array(own // size)), words.dictionary.take(pa.array(own % size)), n, _state(codes)
@@ -126,7 +133,7 @@ def _packed_words(batches, most: int, buckets: int):
         nonlocal seq, texts, langs, size
         data, offsets = text_buffers(pa.array(texts, pa.large_binary()))
         if len(data):
-            if seq >> BATCH_BITS or part >> 63 - LOCAL_BITS - BATCH_BITS:
+            if seq >> BATCH_BITS:
                 raise ValueError("too many batches in one partition")
             batch = part << BATCH_BITS | seq
             seq += 1
@@ -159,53 +166,58 @@ def _packed_words(batches, most: int, buckets: int):
     release_memory()
 
 
-def _answers(batch: np.ndarray, local: np.ndarray, key: np.ndarray, n: np.ndarray, least: int):
-    """Frequent keys of a bucket: their names, counts and first places, and for each batch its places with their names."""
-    at = batch << LOCAL_BITS | local
+def _answers(batch: np.ndarray, local: np.ndarray, key: np.ndarray, n: np.ndarray, least: int, bucket: int, buckets: int):
+    """Frequent keys of a bucket, keys being numbers in a fixed order: names, counts, a place of each; and each batch's places with their names."""
     f = np.zeros(key.max(initial=-1) + 1, np.int64)
     np.add.at(f, key, n)
-    name = np.full(len(f), np.iinfo(np.int64).max)
-    np.minimum.at(name, key, at)
-    good = (f >= least)[key]
-    first = np.nonzero(good & (at == name[key]))[0]
-    kept = np.nonzero(good)[0]
+    good = np.nonzero(f >= least)[0]
+    good = good[np.argsort(-f[good], kind="stable")]
+    name = np.full(len(f), -1, np.int64)
+    name[good] = np.arange(len(good)) * buckets + bucket
+    place = np.zeros(len(f), np.int64)
+    place[key] = np.arange(len(key))
+    kept = np.nonzero(name[key] >= 0)[0]
     kept = kept[np.lexsort((local[kept], batch[kept]))]
     cuts = np.nonzero(np.diff(batch[kept]))[0] + 1
     back = [(int(batch[x[0]]), _pack(local[x], name[key[x]])) for x in np.split(kept, cuts) if len(x)]
-    return name[key[first]], f[key[first]], first, back
+    release_memory()
+    return name[good], f[good], place[good], back
 
 
-def _named_words(table: pa.Table, least: int) -> pa.Table:
+def _named_words(table: pa.Table, least: int, buckets: int) -> pa.Table:
     """Names of the frequent words of a bucket, and each batch's places with their names."""
     parts, words, langs = [], [], []
     for batch, lang, packed, raw in zip(*(table.column(c).to_pylist() for c in ("batch", "lang", "packed", "words"))):
         n, local, ends = _unpack(packed, 3)
         parts.append((np.full(len(n), batch), local, n))
         words.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(zstandard.decompress(raw))]))
-        langs += [lang] * len(n)
+        langs.append((lang, len(n)))
     batch, local, n = (np.concatenate(x) for x in zip(*parts))
-    word, lang = pa.concat_arrays(words).dictionary_encode(), pa.array(langs, pa.string()).dictionary_encode()
-    key = np.unique(lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(word.dictionary) + word.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-    ids, f, first, back = _answers(batch, local, key, n, least)
-    at = pa.array(first)
-    texts = word.dictionary.take(word.indices.take(at)).cast(pa.binary()).cast(pa.string())
-    return _rows(ids, f, back, lang=lang.dictionary.take(lang.indices.take(at)), word=texts)
-
-
-def _named_pairs(table: pa.Table, least: int) -> pa.Table:
+    word = pa.concat_arrays(words).dictionary_encode()
+    # Keys by language and word in byte order, so that every run gives the same names.
+    in_order = lambda d: pc.rank(d, "ascending", tiebreaker="dense").to_numpy().astype(np.int64) - 1
+    names = sorted({x for x, _ in langs})
+    tongue = np.repeat([names.index(x) for x, _ in langs], [k for _, k in langs])
+    key = np.unique(tongue * len(word.dictionary) + in_order(word.dictionary)[word.indices.to_numpy()], return_inverse=True)[1]
+    ids, f, place, back = _answers(batch, local, key, n, least, table.column("bucket")[0].as_py(), buckets)
+    texts = word.dictionary.take(word.indices.take(pa.array(place))).cast(pa.binary()).cast(pa.string())
+    return _rows(ids, f, back, lang=pa.array([names[k] for k in tongue[place]], pa.string()), word=texts)
+
+
+def _named_pairs(table: pa.Table, least: int, buckets: int) -> pa.Table:
     """Names of the frequent pairs of a bucket, and each batch's places with their names."""
     parts = []
-    for batch, packed in zip(table.column("batch").to_pylist(), table.column("packed").to_pylist()):
-        left, right, n, local = _unpack(packed, 4)
-        parts.append((np.full(len(n), batch), left, right, n, local))
+    for batch, first, packed in zip(*(table.column(c).to_pylist() for c in ("batch", "first", "packed"))):
+        left, right, n = _unpack(packed, 3)
+        parts.append((np.full(len(n), batch), left, right, n, np.arange(first, first + len(n))))
     batch, left, right, n, local = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((right, left))
     new = np.zeros(len(order), bool)
     new[1:] = (left[order[1:]] != left[order[:-1]]) | (right[order[1:]] != right[order[:-1]])
     key = np.empty(len(order), np.int64)
     key[order] = np.cumsum(new)
-    ids, f, first, back = _answers(batch, local, key, n, least)
-    return _rows(ids, f, back, left=pa.array(left[first]), right=pa.array(right[first]))
+    ids, f, place, back = _answers(batch, local, key, n, least, table.column("bucket")[0].as_py(), buckets)
+    return _rows(ids, f, back, left=pa.array(left[place]), right=pa.array(right[place]))
 
 
 def _rows(ids: np.ndarray, f: np.ndarray, back: list, **parts: pa.Array) -> pa.Table:
@@ -216,7 +228,10 @@ def _rows(ids: np.ndarray, f: np.ndarray, back: list, **parts: pa.Array) -> pa.T
 
 
 def _paired(state: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
-    """Counts of the adjacent pairs of named places of a batch, in packed columns by bucket, and the batch as pair numbers."""
+    """Counts of the adjacent pairs of named places of a batch, in packed columns by bucket, and the batch as pair numbers.
+
+    Pairs are numbered bucket by bucket in the order of their names, so a block says where its numbers begin and no more.
+    """
     local, ids = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *(_unpack(p, 2) for p in known.column("packed").to_pylist())))
     codes = _codes(state.column("packed")[0].as_py())
     batch = state.column("batch")[0].as_py()
@@ -225,16 +240,21 @@ def _paired(state: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
     places = table[codes]  # -1 reads the last entry, which is -1
     both = np.nonzero((places[:-1] >= 0) & (places[1:] >= 0))[0]
     own, pair, n = np.unique(places[both] * len(ids) + places[both + 1], return_inverse=True, return_counts=True)
-    after = np.full(max(0, len(places) - 1), -1, np.int64)
-    after[both] = pair
-    out = [(batch, None, _state(after))]
+    out = []
+    number = np.empty(len(own), np.int64)
     if len(own):
         left, right = ids[own // len(ids)], ids[own % len(ids)]
         bucket = (mix(left.view(U64) ^ mix(right.view(U64) + U64(1))) % U64(buckets)).astype(np.int64)
-        for k, x in _dealt(bucket):
-            x = x[np.lexsort((right[x], left[x]))]
-            out.append((batch, k, _pack(left[x], right[x], n[x], x)))
-    return pa.table({c: pa.array(v, t) for (c, t), v in zip((("batch", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())), zip(*out))})
+        order = np.lexsort((right, left, bucket))
+        number[order] = np.arange(len(order))
+        cuts = np.nonzero(np.diff(bucket[order]))[0] + 1
+        for first, x in zip([0, *cuts.tolist()], np.split(order, cuts)):
+            out.append((batch, int(bucket[x[0]]), first, _pack(left[x], right[x], n[x])))
+    after = np.full(max(0, len(places) - 1), -1, np.int64)
+    after[both] = number[pair]
+    out.append((batch, None, None, _state(after)))
+    release_memory()
+    return pa.table({c: pa.array(v, t) for (c, t), v in zip((("batch", pa.int64()), ("bucket", pa.int32()), ("first", pa.int64()), ("packed", pa.binary())), zip(*out))})
 
 
 def _name_rows(found: DataFrame, *columns: str) -> DataFrame:
@@ -253,17 +273,17 @@ def collocations(docs: DataFrame, least: int = 30, inside_percent: int = 80, top
 
     a, l and r are the occurrences of the phrase and of the two parts at its lowest-scoring cut, n all words of the language.
     """
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = staged(docs.select(named(lang).alias("lang"), named(text).alias("text")).mapInArrow(lambda b: _packed_words(b, batch_bytes, buckets), _WORDS))
     totals = rows.where("n is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     blocks = rows.where("bucket is not null").select("batch", "bucket", "lang", "packed", "words")
-    found = [staged(blocks.groupBy("bucket").applyInArrow(lambda t: _named_words(t, least), _WORD_NAMES))]
+    found = [staged(blocks.groupBy("bucket").applyInArrow(lambda t: _named_words(t, least, buckets), _WORD_NAMES))]
     states = rows.where("bucket is null and packed is not null").select("batch", "packed")
     for _ in range(3):
         places = found[-1].where("batch is not null").select("batch", "packed")
         rows = staged(states.groupBy("batch").cogroup(places.groupBy("batch")).applyInArrow(lambda s, k: _paired(s, k, buckets), _PAIRS))
         states = rows.where("bucket is null").select("batch", "packed")
-        found.append(staged(rows.where("bucket is not null").groupBy("bucket").applyInArrow(lambda t: _named_pairs(t, least), _PAIR_NAMES)))
+        found.append(staged(rows.where("bucket is not null").groupBy("bucket").applyInArrow(lambda t: _named_pairs(t, least, buckets), _PAIR_NAMES)))
 
     # Each table carries what the next one asks of its parents: first and last word, and the counts at both ends.
     one = _name_rows(found[0], "lang", "word").withColumns({"phrase": F.col("word"), "first_f": F.col("f")})
