@@ -3,7 +3,7 @@ import os
 import pytest
 
 from tests.compare import compare, connect
-from tidewater.plans import forms  # noqa: F401
+from tidewater.plans import extended, forms  # noqa: F401
 from tidewater.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
