@@ -27,6 +27,9 @@ QUERIES, ORACLE_SQL = {}, {}
 def register(name: str, sql: str | None = None):
     """Register a query under name, with its DuckDB counterpart."""
 
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered already")
+
     def add(query):
         QUERIES[name] = query
         if sql:
@@ -151,9 +154,10 @@ def filter_in(spark, sf):
     return tb.keep_in(table(spark, sf, "customer", "c_custkey", "c_name"), "c_custkey", table(spark, sf, "orders").where("o_orderstatus = 'F'"), "o_custkey")
 
 
-@register("filter_not_in", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("filter_not_in", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def filter_not_in(spark, sf):
-    return tb.keep_in(table(spark, sf, "customer", "c_custkey", "c_name"), "c_custkey", table(spark, sf, "orders"), "o_custkey", invert=True)
+    """Customers without an urgent order."""
+    return tb.keep_in(table(spark, sf, "customer", "c_custkey", "c_name"), "c_custkey", table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), "o_custkey", invert=True)
 
 
 @register("filter_prefix_in", "SELECT p_partkey, p_type FROM part WHERE left(p_type, 3) IN (SELECT left(p_type, 3) FROM part WHERE p_size > 45)")
@@ -201,9 +205,10 @@ def id_intersect(spark, sf):
     return tb.id_intersect(of("F").distinct(), "o_custkey", of("O"), of("P"))
 
 
-@register("id_remove", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@register("id_remove", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def id_remove(spark, sf):
-    return tb.id_remove(table(spark, sf, "customer"), "c_custkey", table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    """Customers without an urgent order."""
+    return tb.id_remove(table(spark, sf, "customer"), "c_custkey", table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")))
 
 
 @register("union_tagged", "SELECT c_custkey AS id, 'customer' AS source FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier")
@@ -760,9 +765,12 @@ def kmer_counts(spark, sf):
     return sq.kmer_counts(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("seq")), 4)
 
 
-@register("enumerate_motifs", f"WITH a AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x), m AS (SELECT p.x || q.x || r.x || s.x AS motif FROM a p, a q, a r, a s) SELECT motif FROM m WHERE motif <= reverse(translate(motif, '{fs.COMPLEMENT_FROM}', '{fs.COMPLEMENT_TO}'))")
+@register("enumerate_motifs", f"WITH a AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x), m AS (SELECT p.x || q.x || r.x || s.x AS motif FROM a p, a q, a r, a s), e AS (SELECT motif FROM m WHERE motif <= reverse(translate(motif, '{fs.COMPLEMENT_FROM}', '{fs.COMPLEMENT_TO}'))), k AS (SELECT substr(translate(md5(p_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), i, 4) AS w FROM part, (SELECT unnest(range(1, 30)) AS i)), n AS (SELECT least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS motif, count(*) AS n FROM k GROUP BY 1) SELECT motif, coalesce(n, 0) AS n FROM e LEFT JOIN n USING (motif)")
 def enumerate_motifs(spark, sf):
-    return sq.enumerate_motifs(spark, 4)
+    """Every word of four bases with its places on both strands of the parts' names, read as bases."""
+    seqs = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("translate(md5(p_name), '0123456789abcdef', 'ACGTACGTACGTACGT')").alias("seq"))
+    found = sq.kmer_counts(seqs, 4, True).select(F.col("kmer").alias("motif"), "n")
+    return sq.enumerate_motifs(spark, 4).join(found, "motif", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @register("consensus_columns", """WITH c AS (SELECT p_size AS block, i AS pos, upper(substr(p_brand, i, 1)) AS base FROM part, unnest(range(1, length(p_brand) + 1)) AS u(i)), n AS (SELECT block, pos, base, count(*) AS n FROM c GROUP BY 1, 2, 3),

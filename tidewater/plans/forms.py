@@ -34,10 +34,6 @@ def text_folder(df):
     return path
 
 
-def lines_folder(spark, *lines):
-    return text_folder(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1))
-
-
 #: Part names as DNA: a digest's hexadecimal digits read as bases.
 _DNA = "translate(md5(p_name), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
@@ -247,15 +243,21 @@ def percent_identity(spark, sf):
     return sq.percent_identity(rows).withColumn("identity", F.round("identity", 9))
 
 
-@register("gapped_windows", """SELECT * FROM (VALUES (1, 'a', 0, 3, 'A-C'), (1, 'a', 2, 5, 'C-G'), (1, 'a', 4, 6, 'GT'), (1, 'b', 1, 3, 'TT')) AS t(block, org, "start", "end", seq)""")
+@register("gapped_windows", f"""WITH r AS (SELECT p_partkey AS block, 'o' || p_size % 3 AS org, left(s, 2) || '-' || substr(s, 3, 2) || '--' || substr(s, 5, 1) AS seq FROM (SELECT p_partkey, p_size, {_DNA} AS s FROM part)), w AS (SELECT * FROM (VALUES (0, 2), (1, 4), (3, 5), (4, 8)) AS t(a, z))
+  SELECT block, org, CAST(a AS BIGINT) AS "start", CAST(z AS BIGINT) AS "end", substr(seq, a + 1, z - a) AS seq FROM r, w""")
 def gapped_windows(spark, sf):
-    return sq.gapped_windows(spark.createDataFrame([(1, "a", "A-C-GT"), (1, "b", "-TT---"), (1, "c", "A-----")], "block int, org string, seq string"), 2)
+    """Five letters of each part with gaps between them, in windows of two letters."""
+    s = lambda a, n: F.substring(F.expr(_DNA), a, n)
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("block"), F.concat(F.lit("o"), (F.col("p_size") % 3).cast("string")).alias("org"), F.concat(s(1, 2), F.lit("-"), s(3, 2), F.lit("--"), s(5, 1)).alias("seq"))
+    return sq.gapped_windows(rows, 2)
 
 
-@register("stockholm", "SELECT * FROM (VALUES ('a', 'AC-GTT'), ('b', 'AC--TA')) AS t(id, seq)")
+@register("stockholm", f"SELECT 'p' || p_partkey AS id, left(s, 10) || '-' || substr(s, 11, 9) || '--' AS seq FROM (SELECT p_partkey, {_DNA} AS s FROM part)")
 def stockholm(spark, sf):
-    path = lines_folder(spark, "# STOCKHOLM 1.0", "a AC-", "b AC.", "", "#=GC x", "a GTT", "b .TA", "//")
-    return sq.read_stockholm(dl.read_lines(spark, path))
+    """A report for each part, its sequence in two pieces with dots for gaps."""
+    k, s = F.concat(F.lit("p"), F.col("p_partkey").cast("string")), F.expr(_DNA)
+    report = F.concat(F.lit("# STOCKHOLM 1.0\n\n"), k, F.lit("  "), F.substring(s, 1, 10), F.lit(".\n#=GC x\n\n"), k, F.lit("\t"), F.substring(s, 11, 9), F.lit("..\n//"))
+    return sq.read_stockholm(dl.read_lines(spark, text_folder(table(spark, sf, "part").select(report.alias("value")))))
 
 
 def matrices(spark, sf):
@@ -290,9 +292,12 @@ def keep_letters(spark, sf):
     return sq.keep_letters(table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("seq")), 3)
 
 
-@register("strip_utrs", "SELECT * FROM (VALUES ('a', 'ATGGCC'), ('b', NULL), ('c', 'ATGGCC')) AS t(id, cds)")
+@register("strip_utrs", "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 7 <> 0 THEN 'ATGGCC' END AS cds FROM part")
 def strip_utrs(spark, sf):
-    return sq.strip_utrs(spark.createDataFrame([("a", "ATGGCCTAA", "MA"), ("b", "CCCCCC", "MA"), ("c", "GGATGGCCT", "MA")], "id string, cdna string, pep string"))
+    """Each part's coding part behind a leader of C and G, whose length gives the frame; a seventh has a peptide that is not there."""
+    leader = F.translate(F.substr(F.expr(_DNA), F.lit(1), (F.col("p_size") % 9).cast("int")), "AT", "CG")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(leader, F.lit("ATGGCCTAA")).alias("cdna"), F.when(F.col("p_size") % 7 != 0, "MA").otherwise("MWW").alias("pep"))
+    return sq.strip_utrs(rows)
 
 
 @register("translated", f"SELECT CAST(p_partkey AS VARCHAR) AS id, array_to_string(list_transform(range(0, 10), lambda k: substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST((strpos('TCAG', substr(s, 3 * k + 1, 1)) - 1) * 16 + (strpos('TCAG', substr(s, 3 * k + 2, 1)) - 1) * 4 + strpos('TCAG', substr(s, 3 * k + 3, 1)) AS BIGINT), 1)), '') AS protein FROM (SELECT p_partkey, {_DNA} AS s FROM part)")
@@ -384,22 +389,33 @@ def blast_to_bed(spark, sf):
     return src.blast_to_bed(table(spark, sf, "lineitem").select(F.concat(F.lit("q"), F.col("l_orderkey").cast("string")).alias("qName"), F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("tName"), F.when(n % 2 == 1, high).otherwise(low).alias("tStart"), F.when(n % 2 == 1, low).otherwise(high).alias("tEnd"), n.alias("alnScore")))
 
 
-@register("report_hits", """SELECT * FROM (VALUES ('q1', 't1', 50.5, 1e-5, 90.0, 20), ('q1', 't2', 30.0, 0.002, 50.0, 10), ('q2', 't1', 99.0, 1e-30, 100.0, 40)) AS t(query, target, score, e_value, identity, length)""")
+@register("report_hits", """SELECT 'q' || p_partkey AS query, 't' || n AS target, CAST(p_size + n AS DOUBLE) + 0.5 AS score, CASE n WHEN 1 THEN 1e-5 ELSE 1e-30 END AS e_value, round(100.0 * p_size / (p_size + n), 6) AS identity, CAST(p_size + n AS BIGINT) AS length FROM part, (SELECT unnest([1, 2]) AS n)""")
 def report_hits(spark, sf):
-    path = lines_folder(spark, "Query= q1 some words", ">t1 name", " Score = 50.5 bits (120), Expect = 1e-5", " Identities = 18/20 (90%)", ">t2", " Score = 30 bits (9), Expect = 0.002", " Identities = 5/10 (50%)", "Query= q2", "> t1", " Score = 99 bits (1), Expect = e-30", " Identities = 40/40 (100%)")
-    return tx.report_hits(dl.read_lines(spark, path)).withColumn("length", F.col("length").cast("int"))
+    """A report for each part: a query with two targets."""
+    size = F.col("p_size").cast("long")
+    text = lambda c: c.cast("string")
+    hit = lambda n, e: F.concat(F.lit(f"> t{n} some name\n Score = "), text(size + n), F.lit(f".5 bits (9), Expect = {e}\n Identities = "), text(size), F.lit("/"), text(size + n), F.lit(" (x%)\n"))
+    report = F.concat(F.lit("Query= q"), text(F.col("p_partkey")), F.lit(" some words\n\n"), hit(1, "1e-5"), hit(2, "e-30"))
+    lines = dl.read_lines(spark, text_folder(table(spark, sf, "part").select(report.alias("value"))))
+    return tx.report_hits(lines).withColumn("identity", F.round("identity", 6))
 
 
-@register("element_rows", """SELECT * FROM (VALUES ('chr1', 10, 50, 'e1', 40, '+'), ('chr2', 5, 9, 'e2', 4, '+')) AS t(chrom, "start", "end", name, score, strand)""")
+@register("element_rows", """SELECT l_linestatus AS chrom, l_orderkey AS "start", l_orderkey + 9 AS "end", 'e' || l_linenumber AS name, l_linenumber + 40 AS score, '+' AS strand FROM lineitem""")
 def element_rows(spark, sf):
-    path = lines_folder(spark, "conserved elements", "e1 chr1 10 50 x 40.2 0.01", "", "e2 chr2 5 9 x 4 0.5", "total 2")
-    return tx.element_rows(dl.read_lines(spark, path)).withColumn("start", F.col("start").cast("int")).withColumn("end", F.col("end").cast("int"))
+    """A line of a report for each line item, with a line that is none before and behind it."""
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat(F.lit("conserved elements\ne"), text("l_linenumber"), F.lit(" "), F.col("l_linestatus"), F.lit(" "), text("l_orderkey"), F.lit(" "), (F.col("l_orderkey") + 9).cast("string"), F.lit(" x "), (F.col("l_linenumber") + 40).cast("string"), F.lit(".2 0.01\ntotal 2"))
+    out = tx.element_rows(dl.read_lines(spark, text_folder(table(spark, sf, "lineitem").select(line.alias("value")))))
+    return out.withColumn("score", F.col("score").cast("long"))
 
 
-@register("fixed_steps", "SELECT * FROM (VALUES ('chr1', 9, 1.5), ('chr1', 14, 2.0), ('chr2', 0, 7.0), ('chr2', 1, 8.0)) AS t(chrom, pos, value)")
+@register("fixed_steps", "SELECT 'c' || o_orderkey AS chrom, o_custkey - 1 + n * (1 + o_orderkey % 4) AS pos, CAST(o_orderkey % 100 AS DOUBLE) + n AS value FROM orders, (SELECT unnest([0, 1, 2]) AS n)")
 def fixed_steps(spark, sf):
-    path = lines_folder(spark, "track x", "fixedStep chrom=chr1 start=10 step=5", "1.5", "2", "fixedStep chrom=chr2 start=1 step=1", "7", "8")
-    return src.fixed_steps(dl.read_lines(spark, path)).withColumn("pos", F.col("pos").cast("int"))
+    """Three steps for each order."""
+    k = F.col("o_orderkey")
+    values = [F.concat(F.lit("\n"), (k % 100 + n).cast("string"), F.lit(".0")) for n in range(3)]
+    block = F.concat(F.lit("track x\nfixedStep chrom=c"), k.cast("string"), F.lit(" start="), F.col("o_custkey").cast("string"), F.lit(" step="), (1 + k % 4).cast("string"), *values)
+    return src.fixed_steps(dl.read_lines(spark, text_folder(table(spark, sf, "orders").select(block.alias("value")))))
 
 
 @register("split_occurrences", "SELECT l_orderkey, l_linenumber, p AS project, p || '|1|2|0.5' AS occurrence FROM lineitem, (SELECT unnest(['A', 'B']) AS p) WHERE l_linenumber % 2 = 0")
@@ -544,10 +560,14 @@ def spacer_shuffle(spark, sf):
     return iv.spacer_shuffle(roomy_spans(spark, sf)).groupBy("chrom").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bp"), F.max("end").alias("last"))
 
 
-@register("overlap_significance", f"""WITH {_ROOMY_SPANS}, {_SPOTS} SELECT count(*) AS overlaps, 3 AS rounds FROM spans a WHERE EXISTS (SELECT 1 FROM spots b WHERE a.chrom = b.chrom AND b."start" >= a."start" AND b."start" < a."end")""")
+@register("overlap_significance", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, d AS (SELECT DISTINCT chrom, "start" AS s FROM spots), a AS (SELECT p.chrom, p."start" AS s, p."end" AS e, p.name, count(d.s) AS bp FROM spans p LEFT JOIN d ON d.chrom = p.chrom AND d.s >= p."start" AND d.s < p."end" GROUP BY 1, 2, 3, 4),
+  x AS (SELECT chrom, max("end") AS reach FROM (SELECT chrom, "end" FROM spans UNION ALL SELECT chrom, "end" FROM spots) GROUP BY 1), g AS (SELECT (SELECT count(*) FROM d) * 1.0 / (SELECT sum(reach) FROM x) AS p)
+  SELECT count(*) FILTER (bp > 0) AS overlaps, CAST(sum(bp) AS BIGINT) AS bp, 200 AS rounds, CAST(sum(e - s) AS BIGINT) * any_value(p) >= sum(bp) AS below FROM a, g""")
 def overlap_significance(spark, sf):
-    """Against three shuffled tracks; their own counts depend on the seed."""
-    return iv.overlap_significance(roomy_spans(spark, sf), spots(spark, sf), 3).select("overlaps", F.col("rounds").cast("int").alias("rounds"))
+    """Against 200 shuffled tracks in one plan. Their own counts depend on the seed; the tails say on what side of the expected overlap it lies."""
+    out = iv.overlap_significance(roomy_spans(spark, sf), spots(spark, sf), 200)
+    sound = (F.col("p") * 201 == F.col("as_many") + 1) & (F.col("p_bp") * 201 == F.col("as_much") + 1) & F.col("poisson_p").between(0, 1)
+    return out.where(sound).select("overlaps", "bp", F.col("rounds").cast("int").alias("rounds"), (F.col("binomial_p") > 0.45).alias("below"))
 
 
 @register("paired_ends", """WITH h AS (SELECT l_orderkey AS clone, CASE WHEN l_linenumber % 2 = 0 THEN 'F' ELSE 'R' END AS side, l_returnflag AS chrom, l_partkey AS s, l_partkey + 10 AS e, l_linestatus AS strand FROM lineitem)
@@ -565,12 +585,13 @@ def region_classes(spark, sf):
     return out.withColumn("share", F.round("share", 9)).withColumn("ratio", F.round("ratio", 6))
 
 
-@register("packed_rows", f"""WITH {_SPANS} SELECT chrom, count(*) AS n FROM spans GROUP BY 1""")
+@register("packed_rows", f"""WITH {_SPANS}, e AS (SELECT chrom, "start" AS pos, 1 AS change FROM spans UNION ALL SELECT chrom, "end", -1 FROM spans), l AS (SELECT chrom, sum(change) OVER (PARTITION BY chrom ORDER BY pos, change) AS n FROM e)
+  SELECT chrom, n, depth FROM (SELECT chrom, count(*) AS n FROM spans GROUP BY 1) JOIN (SELECT chrom, CAST(max(n) AS BIGINT) AS depth FROM l GROUP BY 1) USING (chrom)""")
 def packed_rows(spark, sf):
-    """Display rows: within each no two features overlap, so the pairs of neighbours in a row that do not count them all."""
+    """Display rows: as many as features lie over one place, and within each no two overlap, so those that do not count all features."""
     rows = iv.packed_rows(spans(spark, sf))
     before = iv.prefix_max(rows.withColumn("lane", F.concat_ws(" ", "chrom", F.col("row").cast("string"))), F.col("end"), ["start", "end", "name"], "reach", False, by="lane")
-    return before.where(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))).groupBy("chrom").agg(F.count("*").alias("n"))
+    return before.where(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))).groupBy("chrom").agg(F.count("*").alias("n"), (F.max("row") + 1).alias("depth"))
 
 
 @register("lift_features", f"""WITH {_SPANS}, h AS (SELECT o_orderstatus AS chrom, o_orderkey AS s, o_orderkey + 3 AS e, o_orderkey + 1000 + o_orderkey % 3 AS t, o_orderkey % 7 AS score FROM orders),
@@ -594,14 +615,9 @@ def from_closed(spark, sf):
     return spans(spark, sf).select("name", a.alias("start"), b.alias("end"))
 
 
-@register("region_span", f"""WITH {_SPANS} SELECT chrom, min("start") AS "start", max("end") AS "end", chrom || ':' || min("start") || '-' || max("end") AS region FROM spans GROUP BY 1""")
-def region_span(spark, sf):
-    return iv.region_span(spans(spark, sf))
-
-
-@register("join_blocks", """WITH s AS (SELECT l_linestatus AS chrom, CAST(l_orderkey AS VARCHAR) AS name, l_linenumber * 10 AS "start", l_linenumber * 10 + 5 AS "end" FROM lineitem)
+@register("join_line_blocks", """WITH s AS (SELECT l_linestatus AS chrom, CAST(l_orderkey AS VARCHAR) AS name, l_linenumber * 10 AS "start", l_linenumber * 10 + 5 AS "end" FROM lineitem)
   SELECT chrom, name, min("start") AS "start", max("end") AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY chrom, name ORDER BY "start") AS run FROM (SELECT *, CASE WHEN lag("end") OVER (PARTITION BY chrom, name ORDER BY "start") >= "start" - 10 THEN 0 ELSE 1 END AS new FROM s)) GROUP BY chrom, name, run""")
-def join_blocks(spark, sf):
+def join_line_blocks(spark, sf):
     n = F.col("l_linenumber")
     return iv.join_blocks(table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("chrom"), F.col("l_orderkey").cast("string").alias("name"), (n * 10).alias("start"), (n * 10 + 5).alias("end")), 10).select("chrom", "name", "start", "end")
 
@@ -624,9 +640,11 @@ _BLOCKS = """w AS (SELECT l_orderkey AS block, 'W' || l_returnflag AS motif, l_o
   g AS (SELECT block, gene FROM b UNION ALL SELECT block, 'h' FROM b)"""
 
 
-@register("word_motifs", "SELECT * FROM (VALUES ('ACGT', 'one'), ('TTT', '')) AS t(motif, description)")
+@register("word_motifs", f"SELECT left({_DNA}, 6) AS motif, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS description FROM part")
 def word_motifs(spark, sf):
-    return wd.read_motifs(dl.read_lines(spark, lines_folder(spark, "##words", "m\tacgt\tone", "m\tttt", "b\tchr1\t1\t2")))
+    """A motif line for each part, half of them with a description, among other lines."""
+    line = F.concat(F.lit("##words\nm\t"), F.lower(F.substring(F.expr(_DNA), 1, 6)), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\t"), "p_brand")).otherwise(""), F.lit("\nb\tchr1\t1\t2"))
+    return wd.read_motifs(dl.read_lines(spark, text_folder(table(spark, sf, "part").select(line.alias("value")))))
 
 
 @register("word_blocks", f"""WITH {_BLOCKS} SELECT block, chrom, "start", "end", score, gene || ',h' AS genes, count(*) AS n_hits, count(DISTINCT motif) AS n_words FROM b JOIN w USING (block) GROUP BY ALL""")
@@ -773,9 +791,11 @@ def union_keys(spark, sf):
     return tb.union_keys(table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), key="k")
 
 
-@register("only_in_first", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@register("only_in_first", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 def only_in_first(spark, sf):
-    return tb.only_in_first(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), "k").select("c_custkey")
+    """Customers of nations without a rich supplier."""
+    rich = table(spark, sf, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("k"))
+    return tb.only_in_first(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), rich, "k").select("c_custkey")
 
 
 @register("cells_to_records", "SELECT l_orderkey, min(l_partkey) FILTER (l_returnflag = 'A') AS A, min(l_partkey) FILTER (l_returnflag = 'N') AS N FROM lineitem GROUP BY 1")
@@ -885,9 +905,11 @@ def annotated_hits(spark, sf):
     return ag.annotated_hits(table(spark, sf, "part").select("p_partkey", ids.alias("ids")), "ids", ["x", "i0"], ["i1"]).drop("ids")
 
 
-@register("count_combinations", "SELECT a AS c0, b AS c1, c AS c2 FROM (SELECT unnest(range(0, 3)) AS a), (SELECT unnest(range(0, 2)) AS b), (SELECT unnest(range(0, 5)) AS c)")
+@register("count_combinations", "WITH g AS (SELECT a AS c0, b AS c1, c AS c2 FROM (SELECT unnest(range(0, 3)) AS a), (SELECT unnest(range(0, 2)) AS b), (SELECT unnest(range(0, 8)) AS c)), n AS (SELECT l_partkey % 3 AS c0, l_suppkey % 2 AS c1, CAST(l_linenumber AS BIGINT) AS c2, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) SELECT c0, c1, c2, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (c0, c1, c2)")
 def count_combinations(spark, sf):
-    return ag.count_combinations(spark, [2, 1, 4])
+    """Line items in every combination of part, supplier and number, empty ones too."""
+    n = table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 3).alias("c0"), (F.col("l_suppkey") % 2).alias("c1"), F.col("l_linenumber").cast("long").alias("c2")).agg(F.count("*").alias("n"))
+    return ag.count_combinations(spark, [2, 1, 7]).join(n, ["c0", "c1", "c2"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @register("sample_covariance", "SELECT round(var_samp(l_quantity), 6) AS var_x, round(var_samp(l_tax), 9) AS var_y, round(covar_samp(l_quantity, l_tax), 9) AS cov FROM lineitem")
@@ -904,12 +926,13 @@ def rank_correlation(spark, sf):
     return ag.rank_correlation(cells, "row", "col", "v").withColumn("r", F.round("r", 9))
 
 
-@register("significant_pairs", "SELECT * FROM (VALUES ('a', 'b', 1.0, 5, 0.0), ('a', 'c', -0.8, 5, 0.104088), ('b', 'c', -0.8, 5, 0.104088)) AS t(a, b, r, n, p)")
+#: Of ten pairs of values: p is 1 less |r| times a sum of four powers of 1 - r * r.
+@register("significant_pairs", f"""WITH {_CELLS}, r AS (SELECT p.col AS a, q.col AS b, corr(p.v, q.v) AS r, count(*) AS n FROM c p JOIN c q ON p.row = q.row AND p.col < q.col GROUP BY 1, 2), t AS (SELECT *, 1 - abs(r) * (1 + 0.5 * (1 - r * r) + 0.375 * power(1 - r * r, 2) + 0.3125 * power(1 - r * r, 3)) AS p FROM r WHERE n = 10)
+  SELECT a, b, round(r, 6) AS r, n, round(p, 6) AS p FROM t WHERE p <= 0.9""")
 def significant_pairs(spark, sf):
-    rows = {"a": (1, 2, 3, 4, 5), "b": (2, 4, 6, 8, 10), "c": (5, 3, 4, 2, 1.5), "z": (0, 0, 0, 0, 0)}
-    rows["c"] = (4, 5, 3, 1, 2)
-    cells = spark.createDataFrame([(r, i, float(x)) for r, xs in rows.items() for i, x in enumerate(xs)], "row string, col int, v double")
-    return ag.significant_pairs(cells, "row", "col", "v", 0.2).select("a", "b", F.round("r", 6).alias("r"), F.col("n").cast("int").alias("n"), F.round("p", 6).alias("p"))
+    """Line numbers whose quantities go together over ten groups of suppliers."""
+    cells = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("row"), F.col("l_linenumber").alias("col")).agg(F.sum("l_quantity").cast("double").alias("v"))
+    return ag.significant_pairs(cells, "col", "row", "v", 0.9).where("n = 10").select("a", "b", F.round("r", 6).alias("r"), "n", F.round("p", 6).alias("p"))
 
 
 @register("binomial_tails", "SELECT p_partkey, round(list_sum(list_transform(range(CAST(p_size % 5 AS BIGINT), 11), lambda k: exp(lgamma(11) - lgamma(k + 1) - lgamma(11 - k) + k * ln(0.3) + (10 - k) * ln(0.7)))), 9) AS tail FROM part")
@@ -927,9 +950,12 @@ def hypergeometric_tails(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(st.phyper(F.col("p_size") % 4, F.lit(50), F.lit(12), F.lit(5)), 9).alias("tail"))
 
 
-@register("fisher_test", "SELECT 0.130076 AS p")
+@register("fisher_test", """WITH t AS (SELECT p_partkey, CAST(p_size % 7 AS BIGINT) AS a, CAST(p_size % 5 + 1 AS BIGINT) AS b, CAST(p_partkey % 6 + 1 AS BIGINT) AS c, CAST(p_partkey % 11 AS BIGINT) AS d FROM part), m AS (SELECT *, a + b + c + d AS n, a + b AS r, a + c AS k FROM t),
+  x AS (SELECT p_partkey, a, i, exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(n - k + 1) - lgamma(r - i + 1) - lgamma(n - k - r + i + 1) - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1)) AS p FROM m, (SELECT unnest(range(0, 13)) AS i) WHERE i >= greatest(0, r + k - n) AND i <= least(r, k)),
+  o AS (SELECT p_partkey, p AS own FROM x WHERE i = a) SELECT p_partkey, round(least(1.0, sum(p)), 6) AS p FROM x JOIN o USING (p_partkey) WHERE p <= own * 1.0000001 GROUP BY 1""")
 def fisher_test(spark, sf):
-    return spark.createDataFrame([(100, 2, 1000, 5)], "a int, b int, c int, d int").select(F.round(st.fisher_p("a", "b", "c", "d"), 6).alias("p"))
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 7).alias("a"), (F.col("p_size") % 5 + 1).alias("b"), (F.col("p_partkey") % 6 + 1).alias("c"), (F.col("p_partkey") % 11).alias("d"))
+    return rows.select("p_partkey", F.round(st.fisher_p("a", "b", "c", "d"), 6).alias("p"))
 
 
 @register("binomial_score", "SELECT p_partkey, round(-log10(list_sum(list_transform(range(CAST(p_size % 5 AS BIGINT), 11), lambda k: exp(lgamma(11) - lgamma(k + 1) - lgamma(11 - k) + k * ln(0.3) + (10 - k) * ln(0.7))))), 6) + 0 AS score FROM part")
@@ -937,9 +963,11 @@ def binomial_score(spark, sf):
     return table(spark, sf, "part").select("p_partkey", (F.round(st.binomial_score(F.col("p_size") % 5, F.lit(10), F.lit(0.3)), 6) + 0).alias("score"))
 
 
-@register("normal_cdf", "SELECT * FROM (VALUES (-1.959964, 0.025), (0.0, 0.5), (1.0, 0.84134), (2.575829, 0.995)) AS t(x, p)")
+@register("normal_cdf", """WITH x AS (SELECT c_custkey, (c_acctbal - 4500) / 3000.0 AS x FROM customer), t AS (SELECT *, 1 / (1 + 0.3275911 * abs(x) / sqrt(2.0)) AS t FROM x)
+  SELECT c_custkey, round((1 + sign(x) * (1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x / 2))) / 2, 6) AS p FROM t""")
 def normal_cdf(spark, sf):
-    return spark.createDataFrame([(-1.959964,), (0.0,), (1.0,), (2.575829,)], "x double").select("x", F.round(st.normal_cdf("x"), 5).alias("p"))
+    x = (F.col("c_acctbal") - 4500) / 3000
+    return table(spark, sf, "customer").select("c_custkey", F.round(st.normal_cdf(x.cast("double")), 6).alias("p"))
 
 
 @register("shuffle_keeps_values", "SELECT vec_id, list_sort(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))) AS sorted FROM embeddings")
@@ -953,9 +981,10 @@ def split_is_whole(spark, sf):
     return a.unionAll(b)
 
 
-@register("random_sequences", "SELECT CAST(range AS BIGINT) AS id, 30 AS len FROM range(0, 500)")
+@register("random_sequences", "SELECT CAST(range AS BIGINT) AS id, 30 AS len FROM range(0, (SELECT count(*) FROM part))")
 def random_sequences(spark, sf):
-    rows = sq.random_sequences(spark, 500, 30, 0.4)
+    """As many random sequences as there are parts."""
+    rows = sq.random_sequences(spark, table(spark, sf, "part").count(), 30, 0.4)
     return rows.select("id", F.length(F.regexp_replace("seq", "[^ACGT]", "")).alias("len"))
 
 
@@ -1000,9 +1029,9 @@ def clean_string(spark, sf):
     return table(spark, sf, "part").select("p_partkey", fs.clean_string("p_type").alias("clean"))
 
 
-@register("plain_ascii", "SELECT * FROM (VALUES (1, 'Cafe - \"naive\" ss alpha')) AS t(id, plain)")
+@register("plain_ascii", "SELECT p_partkey, 'Cafe - \"' || p_name || '\" ss alpha' || p_size AS plain FROM part")
 def plain_ascii(spark, sf):
-    return spark.createDataFrame([(1, "Café – “naïve” ß α中")], "id int, text string").select("id", fs.plain_ascii("text").alias("plain"))
+    return table(spark, sf, "part").select("p_partkey", fs.plain_ascii(F.concat(F.lit("Café – “"), "p_name", F.lit("” ß α中"), F.col("p_size").cast("string"))).alias("plain"))
 
 
 @register("remove_accents", "SELECT doc_id, strip_accents('Ünïcode àé ') || doc_id AS plain FROM documents")
@@ -1015,9 +1044,11 @@ def base_n(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", fs.base_n("o_orderkey", 16, "0123456789abcdef").alias("hex"))
 
 
-@register("browser_chrom", "SELECT * FROM (VALUES ('1', 'chr1'), ('X', 'chrX'), ('MT', 'chrM'), ('scaffold_7', 'scaffold_7')) AS t(name, chrom)")
+@register("browser_chrom", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'chr' || p_size WHEN 1 THEN 'chrX' WHEN 2 THEN 'chrM' ELSE 'scaffold_' || p_size END AS chrom FROM part")
 def browser_chrom(spark, sf):
-    return spark.createDataFrame([("1",), ("X",), ("MT",), ("scaffold_7",)], "name string").select("name", fs.browser_chrom("name").alias("chrom"))
+    size = F.col("p_size")
+    name = F.when(size % 4 == 0, size.cast("string")).when(size % 4 == 1, "X").when(size % 4 == 2, "MT").otherwise(F.concat(F.lit("scaffold_"), size.cast("string")))
+    return table(spark, sf, "part").select("p_partkey", fs.browser_chrom(name).alias("chrom"))
 
 
 @register("iupac_pattern", "SELECT CAST(p_partkey AS VARCHAR) AS id FROM (SELECT p_partkey, " + _DNA + " AS s FROM part) WHERE regexp_matches(s, 'A[CT][ACGT][GC]A')")
@@ -1123,10 +1154,10 @@ def synonyms(spark, sf):
     return gr.synonyms(table(spark, sf, "nation").select(F.col("n_nationkey").alias("term"), F.lower("n_name").alias("name"), F.array(F.concat(F.lit("nation "), F.col("n_regionkey").cast("string"))).alias("synonyms")))
 
 
-def entries(spark, sf):
+def entries(spark, sf, article=None):
     """An entry of a sequence database for each part, in its flat form."""
     k = F.col("p_partkey").cast("string")
-    head = F.concat(F.lit("LOCUS       X"), k, F.lit(" 32 bp\nDEFINITION  part "), k, F.lit(",\n            more.\nACCESSION   X"), k, F.lit("\n  ORGANISM  Homo sapiens\nREFERENCE   1\n  AUTHORS   A. B.\n  TITLE     On "), F.col("p_brand"), F.lit("\n  JOURNAL   J\n   PUBMED   "), F.col("p_size").cast("string"), F.lit('\nFEATURES\n     source\n                     /db_xref="taxon:'), (F.col("p_size") % 3).cast("string"), F.lit('"\nORIGIN\n        1 '))
+    head = F.concat(F.lit("LOCUS       X"), k, F.lit(" 32 bp\nDEFINITION  part "), k, F.lit(",\n            more.\nACCESSION   X"), k, F.lit("\n  ORGANISM  Homo sapiens\nREFERENCE   1\n  AUTHORS   A. B.\n  TITLE     On "), F.col("p_brand"), F.lit("\n  JOURNAL   J\n   PUBMED   "), (F.col("p_size") if article is None else article).cast("string"), F.lit('\nFEATURES\n     source\n                     /db_xref="taxon:'), (F.col("p_size") % 3).cast("string"), F.lit('"\nORIGIN\n        1 '))
     return table(spark, sf, "part").select(F.concat(head, F.lower(F.expr(_DNA)), F.lit("\n//")).alias("value"))
 
 
@@ -1141,9 +1172,11 @@ def entry_references(spark, sf):
     return refs.join(links, "ref_id").groupBy("title", "pubmed").agg(F.count("*").alias("n"))
 
 
-@register("taxon_sequences", f"SELECT 'X' || p_partkey AS accession, CAST(p_size % 3 AS INTEGER) AS taxon, {_DNA} AS seq FROM part WHERE p_size IN (SELECT p_size FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) < 6)")
+@register("taxon_sequences", f"WITH p AS (SELECT p_partkey, p_size, p_partkey // 10 * 10 + p_size % 3 AS article, {_DNA} AS seq FROM part) SELECT 'X' || p_partkey AS accession, CAST(p_size % 3 AS INTEGER) AS taxon, seq FROM p WHERE article IN (SELECT article FROM p GROUP BY 1 HAVING count(DISTINCT p_partkey) < 5)")
 def taxon_sequences(spark, sf):
-    return rc.taxon_sequences(rc.read_genbank(spark, text_folder(entries(spark, sf))), 6, 1_000_000)
+    """Articles cite the parts of one ten that have one size modulo 3; those that cite five or more are large."""
+    article = F.floor(F.col("p_partkey") / 10) * 10 + F.col("p_size") % 3
+    return rc.taxon_sequences(rc.read_genbank(spark, text_folder(entries(spark, sf, article))), 5, 1_000_000)
 
 
 @register("map_columns", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'x' END AS even, CAST(o_custkey AS VARCHAR) AS key FROM orders")
@@ -1206,11 +1239,11 @@ def compare_versions(spark, sf):
     return bm.compare_sets(a, b, "k", "v").drop("verdict")
 
 
-@register("name_compare", f"""WITH {_SPANS} SELECT count(*) AS n_common, count(*) FILTER ("start" % 2 = 0) AS n_exact, count(*) AS n_overlap, count(*) AS n_close, count(*) AS n_near FROM spans WHERE "end" - "start" > 3""")
-def name_compare(spark, sf):
-    s = spans(spark, sf).where("end - start > 3")
-    moved = s.withColumn("start", F.col("start") + F.col("start") % 2)
-    return iv.name_compare(s, moved)
+@register("compare_moved", f"""WITH {_SPANS} SELECT count(*) AS n_common, count(*) FILTER ("start" % 2 = 0) AS n_exact, count(*) FILTER ("end" - "start" > "start" % 2) AS n_overlap, count(*) AS n_close, count(*) AS n_near FROM spans""")
+def compare_moved(spark, sf):
+    """A track against itself with odd starts moved by one."""
+    s = spans(spark, sf)
+    return iv.name_compare(s, s.withColumn("start", F.col("start") + F.col("start") % 2))
 
 
 # -- streams -----------------------------------------------------------------------------------------------------------------
