@@ -584,7 +584,7 @@ def independent_shuffle(df: DataFrame, seed: int = 1) -> DataFrame:
     return met.select("chrom", "start", (F.col("start") + F.col("len")).alias("end"), "name")
 
 
-def covered_before(places: DataFrame, track: DataFrame, out: str = "covered") -> DataFrame:
+def covered_before(places: DataFrame, track: DataFrame, out: str = "covered", chunk: int = CHUNK) -> DataFrame:
     """places (chrom, pos, ...) with the number of the track's positions before pos: running sums over the joined track, asked for by place."""
     joined = islands(track.where(F.col("start") < F.col("end")).select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), touching=True).groupBy("chrom", F.col("island").alias("start")).agg(F.max("end").alias("end"))
     sums = prefix_sum(joined, F.col("end") - F.col("start"), ["start"], "before", False)
@@ -592,7 +592,7 @@ def covered_before(places: DataFrame, track: DataFrame, out: str = "covered") ->
     told = sums.select("chrom", F.col("start").alias("pos"), F.lit(0).alias("kind"), row.alias("told"))
     ask = places.select("chrom", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast(told.schema["told"].dataType).alias("told"), F.struct(*map(_quoted, places.columns)).alias("ask"))
     both = ask.unionByName(told.withColumn("ask", F.lit(None).cast(ask.schema["ask"].dataType)))
-    met = prefix_max(both, F.col("told"), ["pos", "kind"], "last", True).where("kind = 1")
+    met = prefix_max(both, F.col("told"), ["pos", "kind"], "last", True, chunk=chunk).where("kind = 1")
     value = F.coalesce(F.col("last.before") + F.least("pos", "last.end") - F.col("last.start"), F.lit(0))
     return met.select("ask.*", value.cast("long").alias(out))
 
@@ -613,7 +613,8 @@ def overlap_significance(features: DataFrame, reference: DataFrame, rounds: int,
     # Equal stretches of a round ask once.
     every = every.groupBy("round", "chrom", "start", "end").agg(F.count("*").alias("n"))
     ends = every.select("round", "chrom", "start", "end", "n", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(-1).alias("by")), F.struct(F.col("end").alias("pos"), F.lit(1).alias("by")))).alias("x")).select("*", "x.pos", "x.by").drop("x")
-    asked = covered_before(ends, reference).groupBy("round", "chrom", "start", "end", "n").agg(F.sum(F.col("covered") * F.col("by")).alias("bp"))
+    # Every round asks at places of its own: chunks are as much smaller as there are rounds.
+    asked = covered_before(ends, reference, chunk=max(1, CHUNK // (rounds + 1))).groupBy("round", "chrom", "start", "end", "n").agg(F.sum(F.col("covered") * F.col("by")).alias("bp"))
     totals = asked.groupBy("round").agg(F.sum(F.when(F.col("bp") > 0, F.col("n")).otherwise(0)).alias("hits"), F.sum(F.col("bp") * F.col("n")).alias("bp"))
     zero = totals.where("round = 0").select(F.col("hits").alias("overlaps"), F.col("bp").alias("own"))  # one row
     met = totals.crossJoin(F.broadcast(zero)).groupBy("overlaps", F.col("own").alias("bp")).agg(F.lit(rounds).cast("long").alias("rounds"), F.count_if((F.col("round") > 0) & (F.col("hits") >= F.col("overlaps"))).alias("as_many"), F.count_if((F.col("round") > 0) & (F.col("bp") >= F.col("own"))).alias("as_much"))

@@ -562,11 +562,11 @@ def spacer_shuffle(spark, sf):
 
 @register("overlap_significance", f"""WITH {_ROOMY_SPANS}, {_SPOTS}, d AS (SELECT DISTINCT chrom, "start" AS s FROM spots), a AS (SELECT p.chrom, p."start" AS s, p."end" AS e, p.name, count(d.s) AS bp FROM spans p LEFT JOIN d ON d.chrom = p.chrom AND d.s >= p."start" AND d.s < p."end" GROUP BY 1, 2, 3, 4),
   x AS (SELECT chrom, max("end") AS reach FROM (SELECT chrom, "end" FROM spans UNION ALL SELECT chrom, "end" FROM spots) GROUP BY 1), g AS (SELECT (SELECT count(*) FROM d) * 1.0 / (SELECT sum(reach) FROM x) AS p)
-  SELECT count(*) FILTER (bp > 0) AS overlaps, CAST(sum(bp) AS BIGINT) AS bp, 200 AS rounds, CAST(sum(e - s) AS BIGINT) * any_value(p) >= sum(bp) AS below FROM a, g""")
+  SELECT count(*) FILTER (bp > 0) AS overlaps, CAST(sum(bp) AS BIGINT) AS bp, 40 AS rounds, CAST(sum(e - s) AS BIGINT) * any_value(p) >= sum(bp) AS below FROM a, g""")
 def overlap_significance(spark, sf):
-    """Against 200 shuffled tracks in one plan. Their own counts depend on the seed; the tails say on what side of the expected overlap it lies."""
-    out = iv.overlap_significance(roomy_spans(spark, sf), spots(spark, sf), 200)
-    sound = (F.col("p") * 201 == F.col("as_many") + 1) & (F.col("p_bp") * 201 == F.col("as_much") + 1) & F.col("poisson_p").between(0, 1)
+    """Against 40 shuffled tracks in one plan. Their own counts depend on the seed; the tails say on what side of the expected overlap it lies."""
+    out = iv.overlap_significance(roomy_spans(spark, sf), spots(spark, sf), 40)
+    sound = (F.col("p") * 41 == F.col("as_many") + 1) & (F.col("p_bp") * 41 == F.col("as_much") + 1) & F.col("poisson_p").between(0, 1)
     return out.where(sound).select("overlaps", "bp", F.col("rounds").cast("int").alias("rounds"), (F.col("binomial_p") > 0.45).alias("below"))
 
 
