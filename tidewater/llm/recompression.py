@@ -71,7 +71,8 @@ def _beside(s: Symbols, first: np.ndarray, last: np.ndarray):
 def name_pairs(s: Symbols, level: int) -> Symbols:
     """Pairs of a left-half name and a right-half name become symbols; a lone one knows the neighbour it could not join."""
     n = len(s.name)
-    right = (mix(s.name ^ _PAIR[1] * U64(2 * level + 1)) & U64(1)).astype(bool)
+    side = np.array(_PAIR[1:2]) * U64(2 * level + 1)  # an array, in which products wrap without a warning
+    right = (mix(s.name ^ side) & U64(1)).astype(bool)
     joins = np.zeros(n, bool)  # with the symbol behind
     joins[:-1] = ~right[:-1] & right[1:] & (s.row[1:] == s.row[:-1])
     second = np.zeros(n, bool)
@@ -146,45 +147,13 @@ def word_anchors(length: int, data: np.ndarray, offsets: np.ndarray):
     return own, pos - base[own], lo, hi, gram, mix(context ^ mix((lo.astype(U64) << U64(32)) ^ hi.astype(U64)))
 
 
-def word_contents(length: int, text: bytes, pos, lo, hi):
+def word_windows(length: int, text: bytes, starts: np.ndarray) -> np.ndarray:
     words, _ = _word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)], np.int64))
-    return [words[a:b].tobytes() for a, b in zip((pos - lo).tolist(), (pos - hi + length).tolist())]
-
-
-def word_windows(length: int, content: bytes, n: int) -> np.ndarray:
-    ends = np.arange(n) + length
-    return Rolling(np.frombuffer(content, U64)).of(ends - length, ends)
-
-
-def resolve_words(length: int, rows: np.ndarray, contents: list[bytes]):
-    """Runs of windows of each content that a smaller id holds as well: (index, first, last)."""
-    sizes = np.fromiter(map(len, contents), np.int64, len(contents)) // 8
-    starts = np.cumsum(sizes) - sizes
-    counts = (rows["lo"] - rows["hi"] + 1).astype(np.int64)
-    piece = np.repeat(np.arange(len(rows)), counts)
-    shift = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-    begin = starts[piece] + shift
-    window = Rolling(np.frombuffer(b"".join(contents), U64)).of(begin, begin + length)
-    window = mix(window ^ mix(rows["gram"][piece] + (rows["lo"][piece] - shift).astype(U64)))
-    order = np.argsort(window)
-    new = np.ones(len(order), bool)
-    new[1:] = window[order[1:]] != window[order[:-1]]
-    doc = rows["doc"][piece]
-    least = np.minimum.reduceat(doc[order], np.nonzero(new)[0]) if len(order) else doc
-    hit = np.zeros(len(order), bool)
-    hit[order] = least[np.cumsum(new) - 1] < doc[order]
-    at = np.nonzero(hit)[0]
-    if not len(at):
-        return at, at, at
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (piece[at[1:]] != piece[at[:-1]])
-    first = np.nonzero(new)[0]
-    last = np.append(first[1:], len(at)) - 1
-    return piece[at[first]], shift[at[first]], shift[at[last]]
+    return Rolling(words).of(starts, starts + length)
 
 
 def word_unit(length: int) -> Unit:
-    return Unit(length, "smaller", SLICE_BYTES, partial(word_anchors, length), partial(word_contents, length), partial(resolve_words, length), partial(word_windows, length))
+    return Unit(length, "smaller", SLICE_BYTES, partial(word_anchors, length), partial(word_windows, length))
 
 
 def word_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text: str = "text") -> DataFrame:

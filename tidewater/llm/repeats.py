@@ -9,8 +9,9 @@ anchor stands for the windows that chose it. The stages, whatever the unit:
    texts share leaves each batch once. The rest travels as packed columns, a block for each bucket of grams.
 2. Each bucket groups its anchors. A gram with one class needs no more work; where contexts differ, the first anchor of each
    class is asked for its content.
-3. Contents come from the texts by a join and meet by gram; `resolve` compares their windows exactly (or, for a gram with very
-   many contexts, every window is hashed and grouped by itself, which spreads over all tasks).
+3. Their texts are read again by a join. Either every window that they ask about is hashed and meets its like as the anchors
+   did, in packed columns by bucket, after copies in a task have been decided there: that spreads a gram of any size. Or, where a
+   unit has `resolve` and the gram has few contexts, contents meet by gram and `resolve` compares their windows.
 4. All ranges found meet their text by a join, and `finish` makes the rows.
 
 Which of equal windows are covered: mode "all" every one that occurs twice, "later" all but the first in (id, key, place)
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from .common import U64, mix, named, slices, staged, text_buffers, whole_ids
 
 SLICE_BYTES = 1 << 20
-#: Contexts of one gram beyond which its windows are hashed and dealt out one by one.
+#: Contexts of one gram beyond which its windows are dealt out by hash even where a unit could resolve them together.
 HOT_CONTEXTS = 8_000
 #: Anchors that a scan task gathers before it packs them; copies among them are decided on the spot.
 ANCHORS_AT_ONCE = 300_000
@@ -50,16 +51,16 @@ ANCHOR = np.dtype([("gram", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("key", "<i8
 @dataclass(frozen=True)
 class Unit:
     """length of a window; mode; slice_bytes of text to look at at once; anchors(data, offsets) -> (row, pos, lo, hi, gram, ctx), where windows pos - lo .. pos - hi chose pos;
-    content(text, pos, lo, hi) -> bytes of what those windows cover; resolve(anchors, contents) -> (index, first, last) runs of
-    covered windows; windows(content, n) -> a hash for each of a content's n windows."""
+    windows(text, starts) -> a hash for each of the windows that begin there; if contents of one gram can be resolved together:
+    contents(text, pos, lo, hi) -> bytes of what those windows cover, and resolve(anchors, contents) -> (index, first, last) runs of covered windows."""
 
     length: int
     mode: str
     slice_bytes: int
     anchors: Callable
-    contents: Callable
-    resolve: Callable
     windows: Callable
+    contents: Callable | None = None
+    resolve: Callable | None = None
     resolve_bytes: int = RESOLVE_BYTES
 
 
@@ -212,34 +213,36 @@ def _anchor_blocks(unit: Unit, buckets: int):
                 found.append(out)
                 held += len(out)
                 if held > ANCHORS_AT_ONCE:
-                    yield packed(np.concatenate(found))
+                    yield _packed_rows(unit, buckets, np.concatenate(found))
                     found, held = [], 0
         if held:
-            yield packed(np.concatenate(found))
-
-    def packed(rows):
-        covered, heads, _ = decide(rows, unit.mode)
-        bucket = (heads["gram"] >> U64(20)) % U64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        blocks = [(b, pack_columns(heads[order[cuts[b] : cuts[b + 1]]])) for b in range(buckets) if cuts[b + 1] > cuts[b]]
-        doc, key, start, end = _ranges_of(covered, unit.length)
-        n, m = len(blocks), len(doc)
-        none = lambda k: [None] * k
-        return pa.RecordBatch.from_pydict({
-            "bucket": pa.array([b for b, _ in blocks] + (key % buckets).tolist(), pa.int64()),
-            "block": pa.array([x for _, x in blocks] + none(m), pa.binary()),
-            **{name: pa.array(none(n) + column.tolist(), pa.int64()) for name, column in zip(_RANGE_NAMES, (doc, key, start, end))},
-        })
+            yield _packed_rows(unit, buckets, np.concatenate(found))
 
     return run
 
 
+def _packed_rows(unit: Unit, buckets: int, rows: np.ndarray) -> pa.RecordBatch:
+    """The blocks of a task's anchors that stand for their class, by bucket of grams, and the ranges that are covered for sure."""
+    covered, heads, _ = decide(rows, unit.mode)
+    bucket = (heads["gram"] >> U64(20)) % U64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    blocks = [(b, pack_columns(heads[order[cuts[b] : cuts[b + 1]]])) for b in range(buckets) if cuts[b + 1] > cuts[b]]
+    doc, key, start, end = _ranges_of(covered, unit.length)
+    n, m = len(blocks), len(doc)
+    none = lambda k: [None] * k
+    return pa.RecordBatch.from_pydict({
+        "bucket": pa.array([b for b, _ in blocks] + (key % buckets).tolist(), pa.int64()),
+        "block": pa.array([x for _, x in blocks] + none(m), pa.binary()),
+        **{name: pa.array(none(n) + column.tolist(), pa.int64()) for name, column in zip(_RANGE_NAMES, (doc, key, start, end))},
+    })
+
+
 FOUND = "gram long, pos long, lo int, hi int, source boolean, hot boolean, " + RANGES
 
 
-def _meet(unit: Unit, hot_contexts: int):
-    """Rows of FOUND: ranges that are covered, and anchors (start null) whose content must be compared."""
+def _meet(unit: Unit, hot_contexts: int | None):
+    """Rows of FOUND: ranges that are covered, and anchors (start null) whose content must be compared; without a number none are asked for."""
 
     def bucket_rows(blobs):
         rows = np.concatenate([unpack_columns(b) for b in blobs])
@@ -247,7 +250,7 @@ def _meet(unit: Unit, hot_contexts: int):
         heads = heads[np.argsort(heads["gram"], kind="stable")]
         ask = np.zeros(len(heads), bool)
         hot = ask.copy()
-        if len(heads):
+        if len(heads) and hot_contexts is not None:
             starts = np.nonzero(np.append(True, heads["gram"][1:] != heads["gram"][:-1]))[0]
             sizes = np.diff(np.append(starts, len(heads)))
             differ = np.minimum.reduceat(heads["ctx"], starts) != np.maximum.reduceat(heads["ctx"], starts)
@@ -310,8 +313,10 @@ def packed_texts(docs: DataFrame, id_col: str, text: str, rest: tuple[str, ...]
 CONTENT = "gram long, doc long, key long, pos long, lo int, hi int, source boolean, content binary"
 
 
-def _contents(unit: Unit, hot: bool):
-    """Content rows, or one row a window (gram, offset, window, doc, key, place) for hot grams."""
+def _contents(unit: Unit):
+    """Content rows of the anchors that are asked for."""
+    names = [x.split()[0] for x in CONTENT.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]] for x in CONTENT.split(", ")]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -322,26 +327,54 @@ def _contents(unit: Unit, hot: bool):
                 text = unpack.decompress(p)
                 pos, lo, hi = (np.array([w[x] for w in wants], np.int64) for x in ("pos", "lo", "hi"))
                 for w, content in zip(wants, unit.contents(text, pos, lo, hi)):
-                    if hot:
-                        hashes = unit.windows(content, w["lo"] - w["hi"] + 1)
-                        rows += [(w["gram"], w["lo"] - i, int(h), d, k, w["pos"] - w["lo"] + i) for i, h in enumerate(hashes.view(np.int64).tolist())]
-                        held += 64 * len(hashes)
-                    else:
-                        rows.append((w["gram"], d, k, w["pos"], w["lo"], w["hi"], w["source"], content))
-                        held += len(content) + 64
+                    rows.append((w["gram"], d, k, w["pos"], w["lo"], w["hi"], w["source"], content))
+                    held += len(content) + 64
                 if held > SLICE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
                     rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    schema = _HOT if hot else CONTENT
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
     return run
 
 
-_HOT = "gram long, offset int, window long, doc long, key long, place long"
+def _window_blocks(unit: Unit, buckets: int):
+    """Every window of the anchors that are asked for as an anchor of its own, packed like the others.
+
+    Its gram mixes the window's hash with the anchor's gram and the place in it, which equal windows share; ctx holds 32 more bits
+    of those two.
+    """
+
+    def run(batches):
+        unpack, found, held = zstandard.ZstdDecompressor(), [], 0
+        for batch in batches:
+            wants = batch.column(3)
+            columns = {f.name: c for f, c in zip(wants.type.value_type, wants.flatten().flatten())}
+            gram, pos, lo, hi = (columns[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("gram", "pos", "lo", "hi"))
+            source = columns["source"].to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(wants.value_lengths().to_numpy(zero_copy_only=False))
+            start = 0
+            for d, k, p, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), ends.tolist()):
+                text, all_counts = unpack.decompress(p.as_py()), np.concatenate([[0], np.cumsum(lo[start:end] - hi[start:end] + 1)])
+                for i, j in slices(all_counts, ANCHORS_AT_ONCE):
+                    at = np.arange(start + i, start + j)
+                    counts = lo[at] - hi[at] + 1
+                    which = np.repeat(at, counts)
+                    shift = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    begin = pos[which] - lo[which] + shift
+                    spot = mix(gram[which].view(U64) + (lo[which] - shift).astype(U64))
+                    out = np.zeros(len(which), ANCHOR)
+                    out["gram"], out["ctx"], out["doc"], out["key"], out["pos"], out["many"] = mix(unit.windows(text, begin) ^ spot), mix(spot) >> U64(32), d, k, begin, 1 + source[which]
+                    found.append(out)
+                    held += len(out)
+                    if held > ANCHORS_AT_ONCE:
+                        yield _packed_rows(unit, buckets, np.concatenate(found))
+                        found, held = [], 0
+                start = end
+        if held:
+            yield _packed_rows(unit, buckets, np.concatenate(found))
+
+    return run
 
 
 def _resolve(unit: Unit):
@@ -374,31 +407,20 @@ def _resolve(unit: Unit):
     return run
 
 
-def _hot_ranges(windows: DataFrame, unit: Unit) -> DataFrame:
-    """Ranges of hot grams' windows, grouped by hash without gathering a group anywhere."""
-    keys = ["gram", "offset", "window"]
-    groups = windows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "place")).alias("first"))
-    met = windows.join(groups.where("n > 1"), keys)
-    if unit.mode == "later":
-        met = met.where(F.struct("doc", "key", "place") > F.col("first"))
-    elif unit.mode == "smaller":
-        met = met.where(F.col("doc") > F.col("first.doc"))
-    return met.select("doc", "key", F.col("place").alias("start"), (F.col("place") + unit.length).alias("end"))
-
-
 def find_repeats(docs: DataFrame, unit: Unit, id_col: str = "doc_id", text: str = "text", hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(doc, key, spans array<struct<start, end>>) of every text with covered windows; spans may overlap. A null id is NO_ID."""
     spark = docs.sparkSession
     buckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _named(docs, id_col, text).mapInArrow(_anchor_blocks(unit, buckets), "bucket long, block binary, " + RANGES)
-    found = staged(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(unit, hot_contexts), FOUND))
+    together = unit.resolve is not None
+    found = staged(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(unit, hot_contexts if together else 0), FOUND))
     asked = found.where("start is null")
     wants = asked.groupBy("doc", "key", "hot").agg(F.collect_list(F.struct("gram", "pos", "lo", "hi", "source")).alias("wants"))
     one = packed_texts(docs, id_col, text).join(wants, ["doc", "key"])  # repeated rows give equal contents, whose ranges coincide
-    contents = one.where("not hot").select("doc", "key", "packed", "wants").mapInArrow(_contents(unit, False), CONTENT)
-    ranges = contents.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(unit), RANGES)
-    if asked.where("hot").limit(1).count():
-        hot = staged(one.where("hot").select("doc", "key", "packed", "wants").mapInArrow(_contents(unit, True), _HOT))
-        ranges = ranges.unionByName(_hot_ranges(hot, unit))
+    windows = one.where("hot").select("doc", "key", "packed", "wants").mapInArrow(_window_blocks(unit, buckets), "bucket long, block binary, " + RANGES)
+    ranges = windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(unit, None), FOUND).select(*_RANGE_NAMES)
+    if together:
+        contents = one.where("not hot").select("doc", "key", "packed", "wants").mapInArrow(_contents(unit), CONTENT)
+        ranges = ranges.unionByName(contents.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(unit), RANGES))
     every = found.where("start is not null").select(*_RANGE_NAMES).unionByName(ranges)
     return staged(every.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))

@@ -142,8 +142,8 @@ def byte_contents(length: int, text: bytes, pos, lo, hi):
     return [text[a:b] for a, b in zip((pos - lo).tolist(), (pos - hi + length).tolist())]
 
 
-def byte_windows(length: int, content: bytes, n: int) -> np.ndarray:
-    return Rolling(np.frombuffer(content, np.uint8)).every(length)[:n]
+def byte_windows(length: int, text: bytes, starts: np.ndarray) -> np.ndarray:
+    return Rolling(np.frombuffer(text, np.uint8)).of(starts, starts + length)
 
 
 def resolve_bytes(length: int, mode: str, rows: np.ndarray, contents: list[bytes]):
@@ -167,22 +167,6 @@ def resolve_bytes(length: int, mode: str, rows: np.ndarray, contents: list[bytes
     return _window_runs(np.nonzero(hit)[0], piece, shift)
 
 
-def resolve_windows(length: int, rows: np.ndarray, contents: list[bytes]):
-    """resolve_bytes for mode "all" where only the cover counts: windows by one hash each, without an order of suffixes."""
-    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-    starts = np.cumsum(sizes) - sizes
-    counts = (rows["lo"] - rows["hi"] + 1).astype(np.int64)
-    piece = np.repeat(np.arange(len(rows)), counts)
-    shift = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-    window = Rolling(np.frombuffer(b"".join(contents), np.uint8)).every(length)[starts[piece] + shift]
-    order = np.argsort(window)
-    same = window[order[1:]] == window[order[:-1]]
-    hit = np.zeros(len(order), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    return _window_runs(np.nonzero(hit)[0], piece, shift)
-
-
 def _window_runs(at: np.ndarray, piece: np.ndarray, shift: np.ndarray):
     if not len(at):
         return at, at, at
@@ -194,10 +178,12 @@ def _window_runs(at: np.ndarray, piece: np.ndarray, shift: np.ndarray):
 
 
 def byte_unit(length: int, mode: str, factors: bool = True) -> Unit:
-    """factors: contexts that differ are resolved by longest previous factors; otherwise, in mode "all", by their windows' hashes."""
+    """factors: contexts that differ are resolved by longest previous factors; otherwise by their windows' hashes."""
     gram = max(1, length * 2 // 5)
-    resolve = partial(resolve_bytes, length, mode) if factors or mode != "all" else partial(resolve_windows, length)
-    return Unit(length, mode, SLICE_BYTES, partial(byte_anchors, length, gram), partial(byte_contents, length), resolve, partial(byte_windows, length), LOT_BYTES)
+    anchors, windows = partial(byte_anchors, length, gram), partial(byte_windows, length)
+    if not factors:
+        return Unit(length, mode, SLICE_BYTES, anchors, windows)
+    return Unit(length, mode, SLICE_BYTES, anchors, windows, partial(byte_contents, length), partial(resolve_bytes, length, mode), LOT_BYTES)
 
 
 def merged(spans) -> list[tuple[int, int]]:
