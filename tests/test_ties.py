@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import benchmark as bm
 from tidewater.operators import intervals as iv
 from tidewater.operators import sequence as sq
 
@@ -150,3 +151,17 @@ def test_shifts_of_repeated_features(spark, tied, insert):
     got = sorted(map(tuple, sq.shift_by_gaps(df, spark.createDataFrame(gaps, "chrom string, pos long, len int"), insert).collect()))
     moved = lambda c, p: p + (1 if insert else -1) * sum(g[2] for g in gaps if g[0] == c and g[1] <= p)
     assert got == sorted((c, moved(c, s), moved(c, e), n) for c, s, e, n, _ in rows)
+
+
+def test_two_tracks(spark, tied):
+    rows, df = tied
+    other = [(f"{seed} {r[0]}", *r[1:]) for seed in range(40, 60) for r in draw(seed + 500, 20)]
+    ref = spark.createDataFrame(other, SCHEMA)
+    under = lambda track: {(r[0], p) for r in track for p in range(r[1], r[2])}
+    p, r = under(rows), under(other)
+    for chunk in (iv.CHUNK, 16):
+        assert tuple(iv.joint_coverage(df, ref, chunk).first()) == (len(p), len(r), len(p & r))
+    got = bm.track_benchmark(df, ref, 10**6).first()
+    hit = lambda track, places: sum(any((x[0], q) in places for q in range(x[1], x[2])) for x in track)
+    assert (got["tp"], got["fp"], got["fn"], got["ref_hit"], got["pred_hit"]) == (len(p & r), len(p - r), len(r - p), hit(other, p), hit(rows, r))
+    assert tuple(iv.joint_coverage(df.limit(0), ref.limit(0)).first()) == (0, 0, 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import coverage, islands, overlap_join
+from .intervals import joint_coverage, overlap_join
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -66,13 +66,12 @@ def hit_stats(universe: DataFrame, predictions: DataFrame, targets: DataFrame, k
 
 
 def track_benchmark(predictions: DataFrame, reference: DataFrame, genome_size: int) -> DataFrame:
-    """Element and nucleotide level figures of two tracks over a genome of a given size."""
-    hit = overlap_join(reference, predictions, "semi").agg(F.count("*").alias("ref_hit"))
-    right = overlap_join(predictions, reference, "semi").agg(F.count("*").alias("pred_hit"))
+    """Element and nucleotide level figures of two tracks over a genome of a given size: one sweep for positions, one a track for elements."""
+    place = ["chrom", "start", "end"]
+    hit = overlap_join(reference.select(*place), predictions, "semi").agg(F.count("*").alias("ref_hit"))
+    right = overlap_join(predictions.select(*place), reference, "semi").agg(F.count("*").alias("pred_hit"))
     sizes = reference.agg(F.count("*").alias("n_ref")).crossJoin(predictions.agg(F.count("*").alias("n_pred")))
-    flat = lambda df: islands(df.where("start < end")).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
-    both = overlap_join(flat(predictions), flat(reference)).agg(F.coalesce(F.sum("overlap_bp"), F.lit(0)).alias("tp"))
-    bp = coverage(predictions).withColumnRenamed("bp", "pred_bp").crossJoin(coverage(reference).withColumnRenamed("bp", "ref_bp")).crossJoin(both)
+    bp = joint_coverage(predictions, reference).select(F.col("a_bp").alias("pred_bp"), F.col("b_bp").alias("ref_bp"), F.col("both_bp").alias("tp"))
     out = sizes.crossJoin(hit).crossJoin(right).crossJoin(bp)  # one row each
     out = out.withColumn("fp", F.col("pred_bp") - F.col("tp")).withColumn("fn", F.col("ref_bp") - F.col("tp")).withColumn("tn", F.lit(genome_size) - F.col("tp") - F.col("fp") - F.col("fn"))
     out = out.withColumn("element_sn", ratio(F.col("ref_hit"), F.col("n_ref"))).withColumn("element_ppv", ratio(F.col("pred_hit"), F.col("n_pred")))

@@ -220,6 +220,19 @@ def coverage(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return merged.agg(F.coalesce(F.sum("bp"), F.lit(0)).alias("bp"))
 
 
+def joint_coverage(a: DataFrame, b: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(a_bp, b_bp, both_bp): positions under at least one feature of each track, and of both; one sweep over the ends of all features.
+
+    Each end changes its track's depth; both depths are one running sum, the second in its upper half.
+    """
+    side = lambda df, by: df.where((F.col("start") < F.col("end")) & F.col("chrom").isNotNull()).select("chrom", F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), F.lit(by).alias("by")), F.struct(F.col("end").cast("long").alias("pos"), F.lit(-by).alias("by")))).alias("x"))
+    places = side(a, 1).unionByName(side(b, 1 << 32)).groupBy("chrom", "x.pos").agg(F.sum("x.by").alias("by"))
+    level = suffix_min(prefix_sum(places, F.col("by"), ["pos"], "level", True, chunk=chunk), F.col("pos"), ["pos"], "next", False, chunk=chunk)
+    own, other = F.col("level").bitwiseAND((1 << 32) - 1) > 0, F.shiftright("level", 32) > 0
+    width = lambda on: F.coalesce(F.sum(F.when(on, F.col("next") - F.col("pos"))), F.lit(0))
+    return level.agg(width(own).alias("a_bp"), width(other).alias("b_bp"), width(own & other).alias("both_bp"))
+
+
 def flatten_shortest(df: DataFrame) -> DataFrame:
     """Disjoint stretches, each named after the shortest feature that covers it; equal neighbours are joined."""
     cuts = df.select("chrom", F.explode(F.array("start", "end")).alias("start")).distinct()
