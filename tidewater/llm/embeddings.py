@@ -8,7 +8,8 @@ A pair that both homes see counts in the lower cell. A cell of any size is dealt
 blocks and returns link counts and a spanning star of the links it found, never the pairs themselves.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
-lengths are never compared; rows with a null id link with nothing, have a null component and are kept; repeated rows are
+lengths are never compared; a cosine that equals the threshold up to rounding is decided by the product of the rounded unit vectors;
+rows with a null id link with nothing, have a null component and are kept; repeated rows are
 vectors of their own; an empty table gives an empty result; only the id and vector columns are read.
 """
 
@@ -26,6 +27,8 @@ from .common import connected_components, local_roots, staged
 
 #: Vectors of the k-means sample, classes aimed at in a cell, most cells, rows of a home block and of a block of shown ones.
 SAMPLE, CELL_CLASSES, MOST_CELLS, BLOCK, SHOWN_BLOCKS = 20_000, 2_000, 2_048, 2_048, 8
+#: Links between cells whose counting cell is worked out at once.
+LINKS = 1 << 16
 
 
 def unit_rows(vectors: list[bytes], size: int) -> np.ndarray:
@@ -128,33 +131,38 @@ def _block_links(centres: dict[int, np.ndarray], threshold: float, reach: float)
         cell, size, same = left[0][1], left[0][6], bool((side == 2).any())
         a = unit_rows([r[7] for r in left], size)
         b = a if same else unit_rows([r[7] for r in right], size)
-        found = [np.nonzero(a @ b[k : k + BLOCK].T >= threshold) for k in range(0, len(b), BLOCK)]
-        i = np.concatenate([f[0] for f in found])
-        j = np.concatenate([f[1] + k * BLOCK for k, f in enumerate(found)])
         rep_a, rep_b = np.array([r[3] for r in left]), np.array([r[3] for r in right])
-        if same:
-            keep = i < j
-        else:
-            # The other's home may see this pair as well; then the lower cell counts it.
-            home_b = np.array([r[5] for r in right])[j]
-            keep = home_b >= cell
-            other = np.nonzero(home_b < cell)[0]
-            if len(other):
-                mine, theirs = cell & 0xFFFFFFFF, home_b[other] & 0xFFFFFFFF
-                near = np.einsum("ij,ij->i", a[i[other]], centres[size][mine] - centres[size][theirs])
-                keep[other] = near / apart[size][mine, theirs] > reach
-        i, j = i[keep], j[keep]
-        if not len(i):
-            return None
         many_a, many_b = np.array([r[4] for r in left]), np.array([r[4] for r in right])
-        count_a = np.bincount(i, many_b[j], len(left)).astype(np.int64)
-        count_b = np.bincount(j, many_a[i], len(right)).astype(np.int64)
-        nodes, roots = local_roots(rep_a[i], rep_b[j])
-        move = nodes != roots
+        home_b = np.array([r[5] for r in right])
+        count_a, count_b = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        star_a = star_b = np.empty(0, np.int64)
+        # Part by part: what is held of the links found is their counts and a star for each component.
+        for k in range(0, len(b), BLOCK):
+            i, j = np.nonzero(a @ b[k : k + BLOCK].T >= threshold)
+            j += k
+            if same:
+                keep = i < j
+            else:
+                # The other's home may see this pair as well; then the lower cell counts it.
+                keep = home_b[j] >= cell
+                other = np.nonzero(~keep)[0]
+                for x in np.split(other, range(LINKS, len(other), LINKS)):
+                    mine, theirs = cell & 0xFFFFFFFF, home_b[j[x]] & 0xFFFFFFFF
+                    near = np.einsum("ij,ij->i", a[i[x]], centres[size][mine] - centres[size][theirs])
+                    keep[x] = near / apart[size][mine, theirs] > reach
+            i, j = i[keep], j[keep]
+            if len(i):
+                count_a += np.bincount(i, many_b[j], len(left)).astype(np.int64)
+                count_b += np.bincount(j, many_a[i], len(right)).astype(np.int64)
+                nodes, roots = local_roots(np.concatenate([star_a, rep_a[i]]), np.concatenate([star_b, rep_b[j]]))
+                move = nodes != roots
+                star_a, star_b = nodes[move], roots[move]
         reps = np.concatenate([rep_a, rep_b])
         counts = np.concatenate([count_a, count_b])
         hit = counts > 0
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([reps[hit], nodes[move]])), "b": pa.array([None] * int(hit.sum()) + roots[move].tolist(), pa.int64()), "n": pa.array(np.concatenate([counts[hit], np.zeros(int(move.sum()), np.int64)]))})
+        if not hit.any():
+            return None
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([reps[hit], star_a])), "b": pa.array([None] * int(hit.sum()) + star_b.tolist(), pa.int64()), "n": pa.array(np.concatenate([counts[hit], np.zeros(len(star_a), np.int64)]))})
 
     def run(batches):
         held, now = [], None
