@@ -48,6 +48,42 @@ def run_states(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(update, f"key {kind}, runs long, n long", "last string, runs long, n long", "update", "NoTimeout")
 
 
+def window_clusters(hits: DataFrame, needed: dict[str, int], width: int, slack: int = 0) -> DataFrame:
+    """(chrom, start, end, n, names): the windows of motifs.motif_windows over a stream of hits (chrom, start, end, name), by position.
+
+    State is a chromosome's members that a window may still need, at most those of one width and the slack, and how far it has come.
+    A window is told once nothing that comes can begin in it: when a hit begins width + slack or more behind its start. Hits may
+    come out of order within the slack; one that begins before windows already told is late and in none. A hit without a name only
+    moves the position on, so that one such row far behind closes all windows at a stream's end.
+    """
+
+    def update(key, frames, state):
+        members, told = ([tuple(m) for m in state.get[0]], state.get[1]) if state.exists else ([], -1)
+        rows = pd.concat(list(frames))
+        members += [(int(s), int(e), n) for s, e, n in zip(rows["start"], rows["end"], rows["name"]) if n in needed and s > told]
+        members.sort()
+        # The first start whose window is still open.
+        reach = max([int(rows["start"].max()) - slack - width, told])
+        out, first, last = [], 0, 0
+        begins = sorted({m[0] for m in members if m[0] <= reach})
+        for b in begins:
+            while members[first][0] < b:
+                first += 1
+            last = max(last, first)
+            while last < len(members) and members[last][0] < b + width:
+                last += 1
+            inside = members[first:last]
+            names = [m[2] for m in inside]
+            if all(names.count(x) >= k for x, k in needed.items()):
+                out.append((key[0], b, max(m[1] for m in inside), len(inside), names))
+        state.update(([m for m in members if m[0] > reach], reach))
+        yield pd.DataFrame(out, columns=["chrom", "start", "end", "n", "names"])
+
+    kept = "members array<struct<start: long, end: long, name: string>>, told long"
+    kind = hits.schema["chrom"].dataType.simpleString()
+    return hits.groupBy("chrom").applyInPandasWithState(update, f"chrom {kind}, start long, end long, n long, names array<string>", kept, "append", "NoTimeout")
+
+
 def only_new(batch: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has not been processed."""
     return batch.join(done.select(key).distinct(), key, "left_anti")
