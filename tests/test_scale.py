@@ -103,3 +103,13 @@ def test_numbers_in_a_hot_key(spark):
     rows = spark.range(50_000).select(F.lit("k").alias("key"), "id")
     got = ranking.consecutive_number(rows, "key", ["id"], reverse_when=F.col("id") % 2 == 0)
     assert got.where(F.col("number") != F.when(F.col("id") % 2 == 0, 50_000 - F.col("id")).otherwise(F.col("id") + 1)).count() == 0
+
+
+def test_keys_of_all_lengths(spark):
+    """A key of one character beside long ones: each class meets by grams of its own."""
+    dice = random.Random(12)
+    texts = ["".join(dice.choices("abcdé 中", k=dice.randint(0, 60))) for _ in range(150)] + ["q" * 400]
+    keys = ["".join(dice.choices("abcdé 中", k=dice.choice([4, 5, 7, 8, 9, 16]))) for _ in range(60)] + [t[3:40] for t in texts[:5] if len(t) > 45] + ["q" * 130, "z"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = sorted(r[0] for r in table.keep_containing(df, "text", spark.createDataFrame([(k,) for k in keys], "k string"), "k").collect())
+    assert got == sorted(t for t in texts if any(k in t for k in keys)) and got

@@ -10,7 +10,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def test_headers():
+def test_headers(spark):
     assert schemas.clean_headers(["#chrom", "a-b", "", "a-b", "a-b"]) == ["chrom", "a_b", "col2", "a_b_2", "a_b_3"]
     assert len(schemas.schema_of("bed12").fields) == 12 and len(schemas.schema_of("psl").fields) == 21 and schemas.schema_of("numColumns:2").names == ["col0", "col1"]
 
@@ -102,3 +102,19 @@ def test_records(spark, tmp_path):
     assert rows(records.map_columns(sparse, "i", "m", missing="-")) == [(1, "x", "-"), (2, "-", "y")]
     (tmp_path / "w").write_text("b\tblock1\nn\t1\nw\tACGT\nw\tTTTT\nb\tblock2\nn\t2\n")
     assert rows(records.tagged_records(spark, str(tmp_path / "w"), "b", ["n", "w"])) == [(["block1"], ["1"], ["ACGT", "TTTT"]), (["block2"], ["2"], [])]
+
+
+def test_jdbc_in_ranges(spark):
+    """Several tasks read a query by ranges of a column; none is lost, repeated or without a value."""
+    import uuid
+
+    from tidewater.operators import table
+    from tidewater.sources import delimited
+
+    url, options = f"jdbc:derby:memory:tw{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(k * 7 % 101, f"n{k}") for k in range(200)] + [(None, "none"), (-5, "low")]
+    table.write_jdbc(spark.createDataFrame(rows, "k int, name string"), url, "t", "overwrite", **options)
+    got = delimited.read_jdbc(spark, url, 'SELECT "k" AS "k", "name" AS "name" FROM t', by="k", parts=5, **options)
+    assert got.rdd.getNumPartitions() == 5 and sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    none = delimited.read_jdbc(spark, url, 'SELECT "k" AS "k", "name" AS "name" FROM t WHERE "k" > 1000', by="k", **options)
+    assert none.count() == 0

@@ -198,16 +198,24 @@ def keep_by_fields(df: DataFrame, line: str, keys: DataFrame, key: str, least: i
 def keep_containing(df: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose text holds a key as a substring, for any number of keys.
 
-    Texts and keys meet by grams as long as the shortest key: a text has a small row for each of its distinct grams, a key its first.
-    What meets is verified against the text itself. An empty key is in every text.
+    Keys are put in classes by length, each up to twice as long as its shortest. Texts and a class's keys meet by grams of that
+    shortest length: a text has a small row for each of its distinct grams, a key its first; so a short key does not make long
+    ones meet at random. What meets is verified against the text itself. An empty key is in every text.
     """
-    own = keys.select(F.col(key).cast("string").alias("in key")).where(F.col("in key").isNotNull()).distinct()
-    shortest = own.agg(F.min(F.length("in key"))).first()[0]
-    if not shortest:
-        return df.where(F.col(text).isNotNull() if shortest == 0 else F.lit(False))
-    places = F.sequence(F.lit(1), F.length(text) - shortest + 1)
-    grams = df.where(F.length(text) >= shortest).select(F.sha2(text, 256).alias("text digest"), F.explode(F.array_distinct(F.transform(places, lambda p: F.substring(F.col(text), p, F.lit(shortest))))).alias("gram"))
-    met = grams.join(own.withColumn("gram", F.substring("in key", 1, shortest)), "gram").select("text digest", "in key").distinct()
+    own = keys.select(F.col(key).cast("string").alias("in key")).where(F.col("in key").isNotNull()).distinct().withColumn("in length", F.length("in key"))
+    power = F.when(F.col("in length") > 0, F.floor(F.log2("in length"))).otherwise(-1)
+    classes = [r[0] for r in own.groupBy(power.alias("class")).agg(F.min("in length").alias("n")).select("n").collect()]  # some thirty numbers at most
+    if not classes or 0 in classes:
+        return df.where(F.col(text).isNotNull() if classes else F.lit(False))
+    grams = None
+    for n in sorted(classes):
+        places = F.sequence(F.lit(1), F.length(text) - n + 1)
+        rows = df.where(F.length(text) >= n).select(F.sha2(text, 256).alias("text digest"), F.explode(F.array_distinct(F.transform(places, lambda p: F.substring(F.col(text), p, F.lit(n))))).alias("gram"))  # noqa: B023
+        grams = rows if grams is None else grams.unionByName(rows)
+    first = F.lit(None).cast("string")
+    for n in sorted(classes):
+        first = F.when(F.col("in length") >= n, F.substring("in key", 1, n)).otherwise(first)
+    met = grams.join(own.withColumn("gram", first), "gram").select("text digest", "in key").distinct()
     return df.join(met, (F.sha2(text, 256) == F.col("text digest")) & F.col(text).contains(F.col("in key")), "left_semi")
 
 

@@ -1279,6 +1279,19 @@ def stream_runs(spark, sf):
     return spark.read.parquet(out).groupBy(F.col("key").alias("user_id")).agg(F.max("runs").alias("runs"), F.max("n").alias("n"))
 
 
+@register("stream_clusters", """WITH h AS (SELECT l_linestatus AS chrom, l_orderkey * 10 + l_linenumber AS s, l_orderkey * 10 + l_linenumber + 3 AS e, l_returnflag || l_linenumber % 3 AS name FROM lineitem), f AS (SELECT * FROM h WHERE name IN ('N0', 'N1')), b AS (SELECT DISTINCT chrom, s FROM f), m AS (SELECT chrom, max(s) AS top FROM h GROUP BY 1)
+  SELECT b.chrom, b.s AS "start", max(f.e) AS "end", count(*) AS n, string_agg(f.name, ',' ORDER BY f.s, f.e, f.name) AS names FROM b JOIN f ON f.chrom = b.chrom AND f.s >= b.s AND f.s < b.s + 12 JOIN m ON m.chrom = b.chrom WHERE b.s <= top - 12 GROUP BY 1, 2 HAVING count(*) FILTER (f.name = 'N0') >= 1 AND count(*) FILTER (f.name = 'N1') >= 2""")
+def stream_clusters(spark, sf):
+    """Windows of line items as a stream; those that more items could still join are not told."""
+    out, log = staging.fresh_path(spark), staging.fresh_path(spark)
+    raw = stateless.read_folder(spark, sf, table(spark, sf, "lineitem").schema, glob="lineitem.parquet")
+    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    hits = raw.select(F.col("l_linestatus").alias("chrom"), place.cast("long").alias("start"), (place + 3).cast("long").alias("end"), F.concat("l_returnflag", (F.col("l_linenumber") % 3).cast("string")).alias("name"))
+    found = stateless.window_clusters(hits, {"N0": 1, "N1": 2}, 12)
+    stateless.write_batches(found, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), log).awaitTermination()
+    return spark.read.parquet(out).select("chrom", "start", "end", "n", F.array_join("names", ",").alias("names"))
+
+
 @register("only_new", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
 def only_new(spark, sf):
     o = table(spark, sf, "orders", "o_orderkey")
