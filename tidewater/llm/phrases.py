@@ -49,7 +49,7 @@ _PAIR_NAMES = "batch long, packed binary, id long, f long, `left` long, `right`
 def _pack(*columns: np.ndarray) -> bytes:
     """Whole numbers as differences, byte planes apart, compressed: what rises slowly takes a byte or two a number."""
     planes = [np.diff(c, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T for c in columns]
-    return zstandard.compress(np.concatenate(planes).tobytes(), 1)
+    return zstandard.compress(np.concatenate(planes).tobytes(), 3)
 
 
 def _unpack(packed: bytes, n: int) -> list[np.ndarray]:
@@ -81,15 +81,21 @@ def _portions(raw: bytes, most: int):
 
 
 def _state(codes: np.ndarray) -> bytes:
-    """Codes, compressed by byte planes; of each run of -1 one is kept."""
+    """Codes, compressed; of each run of -1 one is kept. A byte for each code, and for those that do not fit four more by planes."""
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] >= 0) | (codes[:-1] >= 0)
-    return zstandard.compress(codes[keep].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    shown = codes[keep] + 1
+    wide = (shown[shown >= 255] - 255).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(np.array([len(shown)], "<i8").tobytes() + np.minimum(shown, 255).astype(np.uint8).tobytes() + wide.tobytes(), 3)
 
 
 def _codes(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+    raw = zstandard.decompress(packed)
+    n = int.from_bytes(raw[:8], "little")
+    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, -1, 8 + n).reshape(4, -1) if len(raw) > 8 + n else np.empty((4, 0), np.uint8)
+    out[out == 255] += np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return out - 1
 
 
 def _numbered(data: np.ndarray, offsets: np.ndarray, langs: pa.Array):
@@ -147,7 +153,7 @@ def _packed_words(batches, most: int, buckets: int):
             for k, places in _dealt(key):
                 mine = word.take(pa.array(places))
                 raw, ends = text_buffers(mine)
-                out.append((batch, k % buckets, names[k // buckets], None, _pack(n[places], places, ends[1:]), zstandard.compress(raw.tobytes(), 1)))
+                out.append((batch, k % buckets, names[k // buckets], None, _pack(n[places], places, ends[1:]), zstandard.compress(raw.tobytes(), 3)))
             for i in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 1000]), schema)], schema=schema)
         texts, langs, size = [], [], 0
