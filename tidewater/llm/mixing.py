@@ -9,7 +9,7 @@ max_epochs times their source's size; what lies above is shared among the others
 
 Defined cases: a null text has size 0; a null source is a source of its own; rows with one id share its hash, so repeated
 rows are taken alike; a null id is hashed as a value of its own; an empty table gives an empty result; only the id, source
-and text columns are read. Reruns agree: hashes depend on ids alone.
+and text columns are read. Reruns agree: hashes depend on ids alone. Texts of any length are counted whole.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ decides how soon a bad document leaves the cascade, never the verdict, so timing
 
 Defined cases: a null or empty text has no words and fails `too_few_words`; repeated rows and tied ids are judged row by
 row; an empty table gives an empty result; only the id and text columns are read, so other columns may have any names.
+Texts of any length are judged whole, each by one task in memory that grows with its length.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ shingles of every link exactly.
 Defined cases: a null or empty text has no words and fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle of them all; repeated rows and ties share their class; a row with a null id has a fingerprint and a null
 component and links with nothing; ids must be whole numbers; an empty table gives an empty result; only the id and text columns
-are read, others may have any names.
+are read, others may have any names. Texts of any length are read whole, each by one task in memory that grows with
+its length.
 """
 
 from __future__ import annotations
