@@ -300,9 +300,10 @@ def collocations(docs: DataFrame, least: int = 30, inside_percent: int = 80, top
         whole = _name_rows(found[k - 1], "left", "right").join(head, "left").join(tail, "right")
         return whole.withColumns({"phrase": F.concat("head", F.lit(" "), "word"), "left_f": F.col("head_f"), "right_f": F.col("tail_f"), "k": F.lit(k)})
 
-    two = grams(2, one)
-    three = grams(3, two)
-    four = grams(4, three)
+    # Each is asked for several times; written once, its joins are made once.
+    two = staged(grams(2, one))
+    three = staged(grams(3, two))
+    four = staged(grams(4, three))
     cut = lambda a, b: f"struct({a} as l, {b} as r)"
     scored = [
         _scored(two, cut("head_f", "tail_f")),
