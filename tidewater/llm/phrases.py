@@ -233,10 +233,11 @@ def _rows(ids: np.ndarray, f: np.ndarray, back: list, **parts: pa.Array) -> pa.T
     return pa.table(columns | {c: pa.concat_arrays([x, pa.nulls(m, x.type)]) for c, x in parts.items()})
 
 
-def _paired(state: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
+def _paired(state: pa.Table, known: pa.Table, buckets: int, last: bool) -> pa.Table:
     """Counts of the adjacent pairs of named places of a batch, in packed columns by bucket, and the batch as pair numbers.
 
-    Pairs are numbered bucket by bucket in the order of their names, so a block says where its numbers begin and no more.
+    Pairs are numbered bucket by bucket in the order of their names, so a block says where its numbers begin and no more. The
+    last round needs the counts only.
     """
     local, ids = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *(_unpack(p, 2) for p in known.column("packed").to_pylist())))
     codes = _codes(state.column("packed")[0].as_py())
@@ -256,11 +257,12 @@ def _paired(state: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
         cuts = np.nonzero(np.diff(bucket[order]))[0] + 1
         for first, x in zip([0, *cuts.tolist()], np.split(order, cuts)):
             out.append((batch, int(bucket[x[0]]), first, _pack(left[x], right[x], n[x])))
-    after = np.full(max(0, len(places) - 1), -1, np.int64)
-    after[both] = number[pair]
-    out.append((batch, None, None, _state(after)))
+    if not last:
+        after = np.full(max(0, len(places) - 1), -1, np.int64)
+        after[both] = number[pair]
+        out.append((batch, None, None, _state(after)))
     release_memory()
-    return pa.table({c: pa.array(v, t) for (c, t), v in zip((("batch", pa.int64()), ("bucket", pa.int32()), ("first", pa.int64()), ("packed", pa.binary())), zip(*out))})
+    return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("batch", pa.int64()), ("bucket", pa.int32()), ("first", pa.int64()), ("packed", pa.binary())))})
 
 
 def _name_rows(found: DataFrame, *columns: str) -> DataFrame:
@@ -285,9 +287,12 @@ def collocations(docs: DataFrame, least: int = 30, inside_percent: int = 80, top
     blocks = rows.where("bucket is not null").select("batch", "bucket", "lang", "packed", "words")
     found = [staged(blocks.groupBy("bucket").applyInArrow(lambda t: _named_words(t, least, buckets), _WORD_NAMES))]
     states = rows.where("bucket is null and packed is not null").select("batch", "packed")
-    for _ in range(3):
+    def paired(last: bool):
+        return lambda state, known: _paired(state, known, buckets, last)
+
+    for k in (2, 3, 4):
         places = found[-1].where("batch is not null").select("batch", "packed")
-        rows = staged(states.groupBy("batch").cogroup(places.groupBy("batch")).applyInArrow(lambda s, k: _paired(s, k, buckets), _PAIRS))
+        rows = staged(states.groupBy("batch").cogroup(places.groupBy("batch")).applyInArrow(paired(k == 4), _PAIRS))
         states = rows.where("bucket is null").select("batch", "packed")
         found.append(staged(rows.where("bucket is not null").groupBy("bucket").applyInArrow(lambda t: _named_pairs(t, least, buckets), _PAIR_NAMES)))
 
