@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Keys of at most so many bytes are sent to every task.
+MOST_KEY_BYTES = 4 << 20
+
 
 def column_name(df: DataFrame, ref: int | str) -> str:
     """A column by name or 0-based index; negative indices count from the end."""
@@ -200,23 +203,27 @@ def keep_containing(df: DataFrame, text: str, keys: DataFrame, key: str) -> Data
 
     Keys are put in classes by length, each up to twice as long as its shortest. Texts and a class's keys meet by grams of that
     shortest length: a text has a small row for each of its distinct grams, a key its first; so a short key does not make long
-    ones meet at random. What meets is verified against the text itself. An empty key is in every text.
+    ones meet at random. What meets is verified against the text itself. An empty key is in every text. Keys of a few megabytes at most
+    go to every task; the texts' grams never do, whatever size the planner takes them for.
     """
     own = keys.select(F.col(key).cast("string").alias("in key")).where(F.col("in key").isNotNull()).distinct().withColumn("in length", F.length("in key"))
     power = F.when(F.col("in length") > 0, F.floor(F.log2("in length"))).otherwise(-1)
-    classes = [r[0] for r in own.groupBy(power.alias("class")).agg(F.min("in length").alias("n")).select("n").collect()]  # some thirty numbers at most
+    found = own.groupBy(power.alias("class")).agg(F.min("in length").alias("n"), F.sum(F.col("in length") + 64).alias("bytes")).collect()  # some thirty rows at most
+    classes = [r["n"] for r in found]
     if not classes or 0 in classes:
         return df.where(F.col(text).isNotNull() if classes else F.lit(False))
     grams = None
     for n in sorted(classes):
         places = F.sequence(F.lit(1), F.length(text) - n + 1)
-        rows = df.where(F.length(text) >= n).select(F.sha2(text, 256).alias("text digest"), F.explode(F.array_distinct(F.transform(places, lambda p: F.substring(F.col(text), p, F.lit(n))))).alias("gram"))  # noqa: B023
+        rows = df.where(F.length(text) >= n).select(F.xxhash64(text).alias("text digest"), F.explode(F.array_distinct(F.transform(places, lambda p: F.substring(F.col(text), p, F.lit(n))))).alias("gram"))  # noqa: B023
         grams = rows if grams is None else grams.unionByName(rows)
     first = F.lit(None).cast("string")
     for n in sorted(classes):
         first = F.when(F.col("in length") >= n, F.substring("in key", 1, n)).otherwise(first)
-    met = grams.join(own.withColumn("gram", first), "gram").select("text digest", "in key").distinct()
-    return df.join(met, (F.sha2(text, 256) == F.col("text digest")) & F.col(text).contains(F.col("in key")), "left_semi")
+    asked = own.withColumn("gram", first)
+    near = grams.join(F.broadcast(asked), "gram") if sum(r["bytes"] for r in found) <= MOST_KEY_BYTES else grams.hint("merge").join(asked, "gram")
+    met = near.select("text digest", "in key").distinct().hint("merge")
+    return df.join(met, (F.xxhash64(text) == F.col("text digest")) & F.col(text).contains(F.col("in key")), "left_semi")
 
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
