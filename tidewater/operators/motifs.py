@@ -18,6 +18,7 @@ from ..functions.sequence import COMPLEMENT_FROM, COMPLEMENT_TO
 from .graph import components
 from .intervals import islands
 from .sequence import WeightMatrix, neighbours_within_one
+from .staging import dealt
 
 _COMPLEMENT = str.maketrans(COMPLEMENT_FROM, COMPLEMENT_TO)
 #: The ambiguity code of each set of bases, sets in alphabetical order.
@@ -226,20 +227,24 @@ def core_hits(seqs: DataFrame, matrices: dict[str, list[list[float]]], core_cuto
 
     def run(batches):
         for batch in batches:
+            # A batch is scanned as one text; a line end between sequences is no letter, so no window reaches across.
+            texts = [s or "" for s in batch.column(1).to_pylist()]
+            begins = np.concatenate([[0], np.cumsum([len(s) + 1 for s in texts])])
+            whole = "\n".join(texts)
             out = []
-            for id_, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for strand in "+-" if seq else "":
-                    text = seq if strand == "+" else seq.translate(_COMPLEMENT)[::-1]
-                    for name, m in scan.items():
-                        k = len(m.weights)
-                        for at, core, score in zip(*(v.tolist() for v in m.hits(m.codes(text), core_cutoff, cutoff))):
-                            start = at if strand == "+" else len(seq) - at - k
-                            out.append((id_, start, start + k, core, score, strand, name))
-            if out:
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["id", "start", "end", "core", "score", "strand", "pattern"])
-
-    return seqs.select(F.col("id").cast("string"), "seq").mapInArrow(run, _HITS)
+            for strand in "+-":
+                text = whole if strand == "+" else whole.translate(_COMPLEMENT)[::-1]
+                for name, m in scan.items():
+                    k = len(m.weights)
+                    at, core, score = m.hits(m.codes(text), core_cutoff, cutoff)
+                    place = at if strand == "+" else len(whole) - at - k
+                    row = np.searchsorted(begins, place, "right") - 1
+                    start = place - begins[row]
+                    n = len(at)
+                    out.append(pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(start + k, pa.int64()), pa.array(core), pa.array(score), pa.array([strand] * n, pa.string()), pa.array([name] * n, pa.string())], ["id", "start", "end", "core", "score", "strand", "pattern"]))
+            yield from out
+
+    return dealt(seqs.select(F.col("id").cast("string"), "seq"), "id", "seq").mapInArrow(run, _HITS)
 
 
 def disjoint_hits(hits: DataFrame, closed: bool = False) -> DataFrame:

@@ -31,3 +31,12 @@ def written(df: DataFrame) -> DataFrame:
     path = fresh_path(spark)
     df.toDF(*names).write.parquet(path)
     return spark.read.schema(df.toDF(*names).schema).parquet(path).toDF(*df.columns)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has: a small file is read by one or two tasks, which its words or hits would outgrow.
+
+    The number is given, so partitions are not put together again by their small size before the rows grow.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
