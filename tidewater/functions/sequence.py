@@ -176,3 +176,17 @@ def browser_chrom(name: str | Column, style: str = "number") -> Column:
 def wrapped_upper(seq: str | Column, width: int = 60) -> Column:
     """A sequence without white space, in capitals, in lines of a width."""
     return wrap(F.upper(F.regexp_replace(_col(seq), r"\s+", "")), width)
+
+
+#: Places of words in a piece of a sequence.
+PIECE = 64
+
+
+def pieces(seq: str | Column, k: int) -> Column:
+    """A sequence as an array of pieces whose k-mers are its own: piece i has those that begin at PIECE * i and the places behind.
+
+    A substring is found by counting from the start of its text, so k-mers of a long text take the square of its length, and those of pieces do not.
+    """
+    s = _col(seq)
+    cut = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{1,{PIECE + k - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    return F.when(F.length(s) < PIECE + k, F.array(s)).otherwise(cut)

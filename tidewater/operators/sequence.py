@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.sequence import COMPLEMENT_FROM, COMPLEMENT_TO, iupac_pattern, kmers, reverse_complement
+from ..functions.sequence import COMPLEMENT_FROM, COMPLEMENT_TO, PIECE, iupac_pattern, kmers, pieces, reverse_complement
+from .staging import dealt
 
 _COMPLEMENT = str.maketrans(COMPLEMENT_FROM, COMPLEMENT_TO)
 HITS = "id string, start long, end long, match string, strand string, pattern string"
@@ -56,9 +57,14 @@ def motif_totals(seqs: DataFrame, motifs: list[str]) -> DataFrame:
     return seqs.select(counts.alias("x")).groupBy("x.motif").agg(F.sum("x.n").cast("long").alias("n"))
 
 
+def _in_pieces(seqs: DataFrame, k: int) -> DataFrame:
+    """(id, part, seq): short pieces with all k-mers of the sequences, dealt to all tasks before words are made of them."""
+    return dealt(seqs.select("id", F.posexplode(pieces("seq", k)).alias("part", "seq")), "id", "part", "seq")
+
+
 def kmer_counts(seqs: DataFrame, k: int, canonical: bool = False) -> DataFrame:
     """(kmer, n, n_seqs); canonical ones stand for themselves and their reverse complement."""
-    rows = seqs.select("id", F.explode(kmers("seq", k)).alias("kmer"))
+    rows = _in_pieces(seqs, k).select("id", F.explode(kmers("seq", k)).alias("kmer"))
     if canonical:
         rows = rows.withColumn("kmer", F.least("kmer", reverse_complement("kmer")))
     per = rows.groupBy("kmer", "id").agg(F.count("*").alias("n"))
@@ -72,9 +78,13 @@ def conserved_words(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def kmer_track(seqs: DataFrame, counts: DataFrame, k: int, most: int) -> DataFrame:
-    """(id, pos, n): the count of each position's k-mer or of its reverse complement, at most `most`."""
-    places = seqs.select("id", F.posexplode(kmers("seq", k)).alias("pos", "kmer")).withColumn("canon", F.least("kmer", reverse_complement("kmer")))
+    """(id, pos, n): the count of each position's k-mer or of its reverse complement, at most `most`.
+
+    Short words are few, however many places have them: their counts go to every task. Places of long ones meet them by word.
+    """
+    places = _in_pieces(seqs, k).select("id", "part", F.posexplode(kmers("seq", k)).alias("in part", "kmer")).select("id", (F.col("part") * PIECE + F.col("in part")).alias("pos"), F.least("kmer", reverse_complement("kmer")).alias("canon"))
     c = counts.select(F.least("kmer", reverse_complement("kmer")).alias("canon"), "n").groupBy("canon").agg(F.max("n").alias("n"))
+    c = F.broadcast(c) if k <= 8 else c.hint("merge")
     return places.join(c, "canon", "left").select("id", "pos", F.least(F.coalesce("n", F.lit(0)), F.lit(most)).alias("n"))
 
 
@@ -218,14 +228,14 @@ def word_windows(hits: DataFrame, needed: dict[str, int], width: int) -> DataFra
 
 def markov_model(seqs: DataFrame, order: int) -> DataFrame:
     """(context, base, p) of a Markov chain: shares of the bases behind each context."""
-    words = seqs.select(F.explode(kmers("seq", order + 1)).alias("w")).groupBy(F.substring("w", 1, order).alias("context"), F.substring("w", order + 1, 1).alias("base")).agg(F.count("*").alias("n"))
+    words = _in_pieces(seqs, order + 1).select(F.explode(kmers("seq", order + 1)).alias("w")).groupBy(F.substring("w", 1, order).alias("context"), F.substring("w", order + 1, 1).alias("base")).agg(F.count("*").alias("n"))
     total = words.groupBy("context").agg(F.sum("n").alias("t"))
     return words.join(total, "context").select("context", "base", (F.col("n").cast("double") / F.col("t")).alias("p"))
 
 
 def markov_scores(seqs: DataFrame, model: DataFrame, order: int, floor: float = 1e-6) -> DataFrame:
     """(id, n, log_p): summed log2 probability of each sequence's transitions; unseen ones count as `floor`."""
-    steps = seqs.select("id", F.explode(kmers("seq", order + 1)).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    steps = _in_pieces(seqs, order + 1).select("id", F.explode(kmers("seq", order + 1)).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
     steps = steps.select("id", "n", F.substring("w", 1, order).alias("context"), F.substring("w", order + 1, 1).alias("base"))
     met = steps.join(model, ["context", "base"], "left")
     return met.groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2(F.coalesce("p", F.lit(floor)))).alias("log_p"))
