@@ -177,27 +177,35 @@ def _drawn(population: float, marked: float, drawn: float) -> tuple[np.ndarray,
     return x, _log_choose(np.float64(marked), x) + _log_choose(np.float64(population - marked), drawn - x) - _log_choose(np.float64(population), np.float64(drawn))
 
 
+def _each_once(rows: list[np.ndarray], tail) -> np.ndarray:
+    """tail of every row of arguments, worked out once for each combination of them."""
+    distinct, at = np.unique(np.column_stack(rows), axis=0, return_inverse=True)
+    return np.array([tail(*row) for row in distinct], float)[at.reshape(-1)]
+
+
 @F.pandas_udf(T.DoubleType())
 def phyper(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     """P[X >= k] of marked ones among those drawn from a population."""
     at, rows = _known(k, population, marked, drawn)
-    out = []
-    for least, n, m, d in zip(*rows):
+
+    def tail(least, n, m, d):
         x, chance = _drawn(n, m, d)
-        out.append(min(1.0, np.exp(chance[x >= least]).sum()))
-    return _filled(len(k), at, out)
+        return min(1.0, np.exp(chance[x >= least]).sum())
+
+    return _filled(len(k), at, _each_once(rows, tail))
 
 
 @F.pandas_udf(T.DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided p of the table [[a, b], [c, d]]."""
     at, rows = _known(a, b, c, d)
-    out = []
-    for p, q, r, s in zip(*rows):
+
+    def both_sides(p, q, r, s):
         x, chance = _drawn(p + q + r + s, p + r, p + q)
         own = chance[int(p - x[0])]
-        out.append(min(1.0, np.exp(chance[chance <= own + 1e-7]).sum()))
-    return _filled(len(a), at, out)
+        return min(1.0, np.exp(chance[chance <= own + 1e-7]).sum())
+
+    return _filled(len(a), at, _each_once(rows, both_sides))
 
 
 def beta_tail(x: float, a: float, b: float) -> float:
