@@ -972,7 +972,9 @@ def normal_cdf(spark, sf):
 
 @register("shuffle_keeps_values", "SELECT vec_id, list_sort(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6))) AS sorted FROM embeddings")
 def shuffle_keeps_values(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.array_sort(F.transform(rk.shuffle_array("embedding", "vec_id"), lambda x: F.round(x.cast("double"), 6))).alias("sorted"))
+    # Rounding keeps the sign of what becomes zero, as SQL's does.
+    rounded = lambda x: F.when(F.round(x, 6) == 0, x * F.lit(0e0)).otherwise(F.round(x, 6))
+    return table(spark, sf, "embeddings").select("vec_id", F.array_sort(F.transform(rk.shuffle_array("embedding", "vec_id"), lambda x: rounded(x.cast("double")))).alias("sorted"))
 
 
 @register("split_is_whole", "SELECT o_orderkey FROM orders")
