@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 # Limits of the nucleotide detector.
@@ -159,29 +160,34 @@ def first_text(sources: dict[str, DataFrame], id_col: str = "doc_id", text: str
     return coalesce_sources(id_col, text, *sources.items())
 
 
-def report_hits(lines: DataFrame) -> DataFrame:
+def report_hits(lines: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """Long alignment reports as hit rows: (query, target, score, e_value, identity, length) of each `>` block of each `Query=` part.
 
-    lines: (file, pos, line). A file's report is read in order by one task, as its lines only make sense together.
+    lines: (file, pos, line). A line's query, target and score are the last ones before it: windows over chunks of a file's lines, with
+    a carry of one row a chunk, so no task holds a file.
     """
-    import pandas as pd
-
-    names = ["query", "target", "score", "e_value", "identity", "length"]
-
-    def parse(rows):
-        out, query, target, score, e = [], None, None, None, None
-        for line in rows.sort_values("pos")["line"]:
-            if m := re.match(r"Query=\s*(\S+)", line):
-                query, target = m[1], None
-            elif m := re.match(r">\s*(\S+)", line):
-                target = m[1]
-            elif m := re.search(r"Score\s*=\s*([\d.]+).*Expect(?:\(\d+\))?\s*=\s*([\d.e+-]+)", line):
-                score, e = float(m[1]), float("1" + m[2] if m[2].startswith("e") else m[2].rstrip(","))
-            elif (m := re.search(r"Identities\s*=\s*(\d+)/(\d+)", line)) and query and target:
-                out.append((query, target, score, e, 100.0 * int(m[1]) / int(m[2]), int(m[2])))
-        return pd.DataFrame(out, columns=names)
-
-    return lines.groupBy("file").applyInPandas(parse, "query string, target string, score double, e_value double, identity double, length long")
+    part = lambda pattern, i: F.regexp_extract("line", f"(?Ud){pattern}", i)
+    is_ = lambda pattern: F.col("line").rlike(f"(?Ud){pattern}")
+    query, target, found = r"^Query=\s*(\S+)", r"^>\s*(\S+)", r"Identities\s*=\s*(\d+)/(\d+)"
+    score = r"Score\s*=\s*([\d.]+).*Expect(?:\(\d+\))?\s*=\s*([\d.e+-]+)"
+    kind = F.when(is_(query), 1).when(is_(target), 2).when(is_(score), 3).when(is_(found), 4)
+    rows = lines.select("file", "pos", "line", kind.alias("kind"), F.floor(F.col("pos") / chunk).alias("at")).where("kind is not null")
+    e = part(score, 2)
+    told = {
+        "q": F.when(F.col("kind") == 1, F.struct("pos", part(query, 1).alias("v"))),
+        "t": F.when(F.col("kind") <= 2, F.struct("pos", F.when(F.col("kind") == 2, part(target, 1)).alias("v"))),
+        "s": F.when(F.col("kind") == 3, F.struct("pos", part(score, 1).cast("double").alias("v"), F.when(e.startswith("e"), F.concat(F.lit("1"), e)).otherwise(e).cast("double").alias("e"))),
+    }
+    same = F.when(F.col("kind") == 4, F.struct(part(found, 1).cast("long").alias("a"), part(found, 2).cast("long").alias("b")))
+    rows = rows.select("file", "pos", "at", same.alias("i"), *[v.alias(n) for n, v in told.items()])
+    w = W.partitionBy("file", "at").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = rows.select("file", "at", "i", *[F.max(n).over(w).alias(n) for n in told]).where("i is not null")
+    before = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    tops = rows.groupBy("file", "at").agg(*[F.max(n).alias(n) for n in told])
+    carry = tops.select("file", "at", *[F.max(n).over(before).alias(f"before {n}") for n in told]).hint("merge")
+    met = inside.join(carry, ["file", "at"]).select("i", *[F.greatest(n, f"before {n}").alias(n) for n in told])
+    share = F.lit(100e0) * F.col("i.a") / F.col("i.b")
+    return met.where("q.v is not null and t.v is not null").select(F.col("q.v").alias("query"), F.col("t.v").alias("target"), F.col("s.v").alias("score"), F.col("s.e").alias("e_value"), share.alias("identity"), F.col("i.b").alias("length"))
 
 
 def element_rows(lines: DataFrame) -> DataFrame:
