@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .staging import dealt
+
 
 def uniq_counts(df: DataFrame, columns: list[str], more_than: int | None = None, fewer_than: int | None = None) -> DataFrame:
     """Distinct rows of some columns with count and share of all rows; the bounds are strict."""
@@ -178,10 +180,16 @@ def correlation_pairs(cells: DataFrame, row: str, column: str, value: str) -> Da
 
 
 def jaccard_pairs(df: DataFrame, key: str, item: str) -> DataFrame:
-    """(a, b, n_common, jaccard) of keys that share items."""
-    items = df.select(F.col(key).alias("k"), F.col(item).alias("i")).distinct()
+    """(a, b, n_common, jaccard) of keys that share items.
+
+    An item's keys are put in order once, and each key is told those behind it as one list, so that a key's pairs are counted where
+    the key is: what is exchanged is lists, not pairs.
+    """
+    items = dealt(df.select(F.col(key).alias("k"), F.col(item).alias("i")), "i").distinct()
     sizes = items.groupBy("k").agg(F.count("*").alias("n"))
-    common = items.select(F.col("k").alias("a"), "i").join(items.select(F.col("k").alias("b"), "i"), "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_common"))
+    lists = items.where("k is not null and i is not null").groupBy("i").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    told = lists.select("ks", F.posexplode("ks").alias("pos", "a")).where(F.col("pos") < F.size("ks") - 1).select("a", F.slice("ks", F.col("pos") + 2, F.size("ks")).alias("bs"))
+    common = dealt(told, "a").select("a", F.explode("bs").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n_common"))
     met = common.join(sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")
     return met.select("a", "b", "n_common", (F.col("n_common").cast("double") / (F.col("na") + F.col("nb") - F.col("n_common"))).alias("jaccard"))
 
