@@ -3,7 +3,7 @@
     df.write.format("tidewater_matrix").mode("append").option("path", p).option("kind", "f8").save()
     spark.read.format("tidewater_matrix").option("path", p).load()
 
-A row is (key string, values array<double>); all rows of a table have as many values. Each task writes a part of little-endian
+A row is (key string, values array<double>); all rows of a table have as many values. Each task writes parts of little-endian
 numbers and beside it the keys, sorted, with their row numbers. A part is known to readers only by the manifest of a commit, which the
 driver writes last; what failed or repeated attempts leave behind is in no manifest and never read. Files go to any store that
 pyarrow.fs opens; bare paths are local or mounted ones that all machines share.
@@ -15,6 +15,7 @@ import json
 import uuid
 from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -23,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 KINDS = ("f8", "f4", "u4", "u2")
 #: Rows that a reader takes from a part at once.
 ROWS_AT_ONCE = 4096
+#: Rows of a part at most; a task writes as many parts as it takes, so that a part's keys fit in memory at any size of a table.
+ROWS_A_PART = 1 << 18
 
 
 def _store(path: str):
@@ -45,11 +48,10 @@ def _manifests(path: str) -> list[dict]:
 
 
 @dataclass
-class _Part(WriterCommitMessage):
-    name: str
-    kind: str
-    rows: int
-    width: int
+class _Parts(WriterCommitMessage):
+    """What a task wrote: (name, kind, rows, width) of each part."""
+
+    parts: list[dict]
 
 
 class _Writer(DataSourceWriter):
@@ -60,10 +62,18 @@ class _Writer(DataSourceWriter):
 
     def write(self, iterator):
         store, base = _store(self.path)
-        name, keys, width = f"part-{uuid.uuid4().hex}", [], None
         store.create_dir(base, recursive=True)
+        parts, rows = [], iter(iterator)
+        for first in rows:
+            parts.append(self._write_part(store, base, chain([first], islice(rows, ROWS_A_PART - 1))))
+            if parts[-1]["width"] != parts[0]["width"]:
+                raise ValueError(f"rows of {parts[0]['width']} and {parts[-1]['width']} values in one matrix")
+        return _Parts(parts)
+
+    def _write_part(self, store, base: str, rows) -> dict:
+        name, keys, width = f"part-{uuid.uuid4().hex}", [], None
         with store.open_output_stream(f"{base}/{name}.bin") as out:
-            for key, values in ((r[0], r[1]) for r in iterator):
+            for key, values in ((r[0], r[1]) for r in rows):
                 width = len(values) if width is None else width
                 if len(values) != width:
                     raise ValueError(f"rows of {width} and {len(values)} values in one matrix")
@@ -75,10 +85,10 @@ class _Writer(DataSourceWriter):
         order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or ""))
         with store.open_output_stream(f"{base}/{name}.keys") as out:
             out.write("\n".join(json.dumps([keys[i], i], ensure_ascii=False) for i in order).encode())
-        return _Part(name, self.kind, len(keys), width or 0)
+        return {"name": name, "kind": self.kind, "rows": len(keys), "width": width or 0}
 
     def commit(self, messages):
-        parts = [vars(m) for m in messages if m is not None and m.rows]
+        parts = [p for m in messages if m is not None for p in m.parts]
         store, base = _store(self.path)
         if len({p["width"] for p in parts + ([] if self.overwrite else _manifests(self.path))}) > 1:
             self.abort(messages)
@@ -98,10 +108,10 @@ class _Writer(DataSourceWriter):
 
     def abort(self, messages):
         store, base = _store(self.path)
-        for m in messages:
-            for end in ("bin", "keys") if m is not None else ():
+        for p in (p for m in messages if m is not None for p in m.parts):
+            for end in ("bin", "keys"):
                 try:
-                    store.delete_file(f"{base}/{m.name}.{end}")
+                    store.delete_file(f"{base}/{p['name']}.{end}")
                 except OSError:
                     pass  # the attempt did not come so far
 
