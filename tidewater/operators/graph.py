@@ -1,4 +1,4 @@
-"""Ancestors and descendants in edge tables, by semi-naive rounds of joins."""
+"""Ancestors and descendants in edge tables, by rounds of joins that double the depth."""
 
 from __future__ import annotations
 
@@ -13,19 +13,26 @@ from .staging import written
 def ancestors(edges: DataFrame, most_depth: int | None = None, stop_at: DataFrame | None = None) -> DataFrame:
     """(node, ancestor, depth) of an edge table (child, parent); the least depth of each pair.
 
-    Each round joins only the pairs found last, so work follows the result. With stop_at (a node column) search ends there.
+    Each round doubles the depth that is known: a path of more than n and at most 2n links is one of n links and the rest, both
+    of them known, so rounds are the logarithm of the depth. With stop_at (a node column) search ends there.
     The closure is whole unless most_depth is given, which then is the greatest depth asked for.
     Rounds are written tables, since their lineage would double from round to round. Cycles end by the pairs already found.
     """
-    links = edges.select(F.col("child").alias("link child"), F.col("parent").alias("link parent")).distinct()
-    found = fresh = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct()
-    for depth in count(2):
-        if most_depth is not None and depth > most_depth:
+    ends = None if stop_at is None else stop_at.select(F.col("node").alias("ancestor"))
+    found = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).distinct()
+    if most_depth == 1:
+        return found
+    found = written(found)
+    for n in (1 << i for i in count()):
+        if most_depth is not None and n >= most_depth:
             break
-        base = fresh if stop_at is None else fresh.join(stop_at.select(F.col("node").alias("ancestor")), "ancestor", "left_anti")
-        step = base.join(links, F.col("ancestor") == F.col("link child")).select("node", F.col("link parent").alias("ancestor"), F.lit(depth).cast("long").alias("depth")).distinct()
-        fresh = step.join(found, ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth")
-        fresh = written(fresh)
+        base = found.where(F.col("depth") == n)
+        base = (base if ends is None else base.join(ends, "ancestor", "left_anti")).select("node", F.col("ancestor").alias("middle"))
+        rest = found.select(F.col("node").alias("middle"), "ancestor", (F.col("depth") + n).alias("depth"))
+        if most_depth is not None:
+            rest = rest.where(F.col("depth") <= most_depth)
+        step = base.join(rest, "middle").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        fresh = written(step.join(found, ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"))
         if not fresh.limit(1).count():
             break
         found = found.unionByName(fresh)
