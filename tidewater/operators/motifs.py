@@ -7,9 +7,11 @@ sequences, so its columns need no exchange; blocks are as large as the alignment
 from __future__ import annotations
 
 import re
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,20 +142,38 @@ def alignment_slices(rows: DataFrame, ref: str, places: DataFrame) -> DataFrame:
 def ungapped_blocks(rows: DataFrame, least: int = 1) -> DataFrame:
     """(block, part, column, org, start, seq): the stretches of columns, of at least that width, where no row of the block has a gap.
 
-    Rows' gap runs meet as events of a block: a column counts where no run covers it. start counts the row's own letters.
+    A block's rows meet once and are cut where they are; a row that ends early ends in gaps. start counts the row's own letters.
     """
-    width = rows.where(F.col("seq").isNotNull()).groupBy("block").agg(F.max(F.length("seq")).alias("w"), F.collect_list("seq").alias("s"))
-    cells = F.transform("s", lambda x: F.split(F.rpad(x, F.col("w"), F.lit("-")), ""))
-    free = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: ~F.exists("c", lambda s: s[i] == "-"))
-    table = width.where("w > 0").select("block", cells.alias("c"), "w").select("block", "w", free.alias("f"))
-    # A stretch begins behind a column that does not count; its end is the next such column.
-    begins = F.filter(F.sequence(F.lit(0), F.col("w") - 1), lambda i: F.get("f", i) & ~F.coalesce(F.get("f", i - 1), F.lit(False)))
-    ends = F.filter(F.sequence(F.lit(1), F.col("w")), lambda i: F.get("f", i - 1) & ~F.coalesce(F.get("f", i), F.lit(False)))
-    parts = table.select("block", F.explode(F.arrays_zip(begins.alias("a"), ends.alias("z"))).alias("p")).select("block", F.col("p.a").alias("column"), (F.col("p.z") - F.col("p.a")).alias("width")).where(F.col("width") >= least)
-    numbered = parts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("column", "width"))).alias("p")).select("block", F.posexplode("p").alias("part", "p"))
-    met = numbered.select("block", "part", "p.column", "p.width").join(rows.where(F.col("seq").isNotNull()).select("block", "org", "seq"), "block")
-    before = F.substr("seq", F.lit(1), F.col("column"))
-    return met.select("block", "part", "column", "org", F.length(F.translate(before, "-", "")).cast("long").alias("start"), F.substr("seq", F.col("column") + 1, F.col("width")).alias("seq"))
+    good = dealt(rows.where(F.col("seq").isNotNull() & F.col("block").isNotNull()).select("block", "org", "seq"), "block")
+    table = good.groupBy("block").agg(F.collect_list(F.struct("org", "seq")).alias("rows"))
+    block, org = (good.schema[c].dataType.simpleString() for c in ("block", "org"))
+    full = re.compile(f" {{{max(least, 1)},}}")
+
+    def run(batches):
+        for batch in batches:
+            cells = batch.column(1)
+            orgs, seqs = cells.flatten().flatten()
+            texts, at, out = seqs.to_pylist(), 0, []
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+
+            def made():
+                n, part, column, row, start, seq = (pa.array(c, t) for c, t in zip(zip(*out), kinds))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(n), part, column, orgs.take(row), start, seq], ["block", "part", "column", "org", "start", "seq"])
+
+            for n, size in enumerate(pc.list_value_length(cells).to_pylist()):
+                own = texts[at : at + size]
+                columns = "".join(["-" if "-" in c else " " for c in zip_longest(*own, fillvalue="-")])
+                for part, m in enumerate(full.finditer(columns)):
+                    a, z = m.span()
+                    out += [(n, part, a, at + i, a - s.count("-", 0, a), s[a:z]) for i, s in enumerate(own)]
+                at += size
+                if len(out) > 1 << 14:
+                    yield made()
+                    out.clear()
+            if out:
+                yield made()
+
+    return table.mapInArrow(run, f"block {block}, part int, `column` int, org {org}, start long, seq string")
 
 
 def aligned_columns(rows: DataFrame, ref: str, other: str) -> DataFrame:
@@ -213,6 +233,51 @@ class CoreMatrix(WeightMatrix):
         good = score >= cutoff
         return at[good], core[at[good]], score[good]
 
+    def under(self, strand: str) -> np.ndarray:
+        """The core's positions in a window of that strand, in order."""
+        return np.sort(np.array([i if strand == "+" else len(self.weights) - 1 - i for i in self.core], np.int64))
+
+    def shared_hits(self, text: str, wide: np.ndarray, sizes: np.ndarray, strand: str, core_cutoff: float, cutoff: float, least: int) -> tuple[np.ndarray, ...]:
+        """Block number, start, reference's score and number of rows of the windows that so many of a block's rows share.
+
+        text is the aligned rows one behind the other, wide their lengths, sizes the number of rows of each block, its reference first.
+        Every window of letters is scored once; a row's window is looked up by its letters before the column where the reference's begins.
+        """
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        k = len(self.weights)
+        raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+        letter = raw != ord("-")
+        before = np.concatenate([[0], np.cumsum(letter)])
+        codes = self.code[raw[letter]]
+        if len(codes) < k:
+            return none
+        codes = codes if strand == "+" else np.where(codes < 4, 3 - codes, 4)
+        x = np.lib.stride_tricks.sliding_window_view(codes, k)
+        x = x if strand == "+" else x[:, ::-1]
+        core = (self.padded[self.core, x[:, self.core]].sum(axis=1) - self.core_low) / max(self.core_high - self.core_low, 1e-12)
+        whole = (self.padded[np.arange(k), x].sum(axis=1) - self.low) / max(self.high - self.low, 1e-12)
+        hit = (core >= core_cutoff) & (whole >= cutoff)
+        offset = np.concatenate([[0], np.cumsum(wide)])[:-1]
+        first_row = np.cumsum(sizes) - sizes
+        # The reference's windows of each block, and the columns where they begin.
+        own = before[offset[first_row]]
+        n_windows = np.maximum(before[offset[first_row] + wide[first_row]] - own - k + 1, 0)
+        block = np.repeat(np.arange(len(sizes)), n_windows)
+        window = np.cumsum(n_windows) - n_windows
+        start = np.arange(len(block)) - window[block]
+        place = own[block] + start
+        column = np.nonzero(letter)[0][place] - offset[first_row][block]
+        # Each row meets the windows of its block.
+        of_block = np.repeat(np.arange(len(sizes)), sizes)
+        met = n_windows[of_block]
+        row = np.repeat(np.arange(len(wide)), met)
+        asked = np.arange(len(row)) - np.repeat(np.cumsum(met) - met, met) + window[of_block[row]]
+        first = before[offset[row] + np.minimum(column[asked], wide[row])]
+        fits = first + k <= before[offset[row] + wide[row]]
+        count = np.bincount(asked[fits], weights=hit[first[fits]], minlength=len(block)).astype(np.int64)
+        good = np.nonzero(count >= least)[0]
+        return block[good], start[good], whole[place[good]], count[good]
+
 
 _HITS = "id string, start long, end long, core double, score double, strand string, pattern string"
 
@@ -269,48 +334,41 @@ def conserved_hits(rows: DataFrame, ref: str, matrices: dict[str, list[list[floa
     letters; core_at lists the letters under the core's positions.
     """
     scan = {n: CoreMatrix(m) for n, m in matrices.items()}
-    table = aligned(rows, ref).select("block", F.concat(F.array("ref"), F.transform("others", lambda o: o["seq"])).alias("seqs"))
+    good = dealt(rows.select("block", "org", "seq"), "block")
+    table = aligned(good, ref).select("block", F.concat(F.array("ref"), F.transform("others", lambda o: o["seq"])).alias("seqs"))
     block = table.schema["block"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            out = []
-            for block_id, seqs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                wide = max(map(len, seqs))
-                raw = [np.frombuffer(s.ljust(wide, "-").encode("ascii", "replace"), np.uint8) for s in seqs]
-                letters = [np.nonzero(r != ord("-"))[0] for r in raw]
-                own = letters[0]
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            texts = batch.column(1).flatten().to_pylist()
+            wide = np.fromiter(map(len, texts), np.int64, len(texts))
+            begins = np.concatenate([[0], np.cumsum(sizes)])
+            # Blocks are taken many at a time, as one text, up to so many pairs of a window and a row.
+            load = np.concatenate([[0], np.cumsum(wide[begins[:-1]] * sizes)])
+            low = 0
+            while low < len(sizes):
+                high = max(low + 1, int(np.searchsorted(load, load[low] + (1 << 18), "right")) - 1)
+                rows_of = slice(begins[low], begins[high])
                 for name, m in scan.items():
-                    k = len(m.weights)
-                    if len(own) < k:
-                        continue
                     for strand in "+-":
-                        count, score = np.zeros(len(own) - k + 1, int), None
-                        for r, at in zip(raw, letters):
-                            codes = m.code[r[at]]
-                            codes = codes if strand == "+" else np.where(codes < 4, 3 - codes, 4)
-                            first = np.searchsorted(at, own[: len(count)])
-                            fits = first + k <= len(at)
-                            place = first[fits][:, None] + np.arange(k)
-                            x = codes[place] if strand == "+" else codes[place][:, ::-1]
-                            core = (m.padded[m.core, x[:, m.core]].sum(axis=1) - m.core_low) / max(m.core_high - m.core_low, 1e-12)
-                            whole = (m.padded[np.arange(k), x].sum(axis=1) - m.low) / max(m.high - m.low, 1e-12)
-                            hit = np.zeros(len(count), bool)
-                            hit[fits] = (core >= core_cutoff) & (whole >= cutoff)
-                            count += hit
-                            if score is None:
-                                score = whole
-                        for a in np.nonzero(count >= least)[0].tolist():
-                            under = [a + (i if strand == "+" else k - 1 - i) for i in m.core]
-                            value = float(score[a])
-                            out.append((block_id, name, strand, a, a + k, None if value != value else value, int(count[a]), sorted(under)))
-            if out:
-                kinds = (batch.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "pattern", "strand", "start", "end", "score", "n_rows", "core_at"])
+                        n, *found = m.shared_hits("".join(texts[rows_of]), wide[rows_of], sizes[low:high], strand, core_cutoff, cutoff, least)
+                        if len(n):
+                            yield _shared_rows(batch.column(0).take(pa.array(n + low)), name, strand, len(m.weights), m.under(strand), *found)
+                low = high
 
     return table.mapInArrow(run, f"block {block}, pattern string, strand string, start long, end long, score double, n_rows long, core_at array<long>")
 
 
+def _shared_rows(blocks: pa.Array, name: str, strand: str, k: int, under: np.ndarray, start: np.ndarray, score: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """A batch of conserved_hits' rows."""
+    n = len(start)
+    core_at = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(under)), pa.array((start[:, None] + under).ravel()))
+    return pa.RecordBatch.from_arrays([
+        blocks, pa.array([name] * n, pa.string()), pa.array([strand] * n, pa.string()), pa.array(start), pa.array(start + k), pa.array(score, mask=np.isnan(score)), pa.array(count), core_at
+    ], ["block", "pattern", "strand", "start", "end", "score", "n_rows", "core_at"])
+
+
 def touching_core(hits: DataFrame, places: DataFrame) -> DataFrame:
     """conserved_hits' rows with a core letter at one of the places (block, place)."""
     at = hits.select("block", "pattern", "strand", "start", F.explode("core_at").alias("place")).join(places.select("block", "place").distinct(), ["block", "place"], "left_semi")
