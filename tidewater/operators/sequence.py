@@ -392,15 +392,29 @@ def gapped_windows(rows: DataFrame, width: int, step: int = 1) -> DataFrame:
 
 
 def shuffled_columns(rows: DataFrame, seed: int = 1) -> DataFrame:
-    """Alignments whose columns are in a seeded order, moved only among columns with the same gaps."""
-    cells = rows.select("block", "org", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
-    gaps = F.array_sort(F.collect_list(F.when(F.col("base") == "-", F.col("org"))))
-    columns = cells.groupBy("block", "pos").agg(gaps.alias("gaps"))
-    place = lambda *by: F.row_number().over(W.partitionBy("block", "gaps").orderBy(*by))
-    ranked = columns.withColumn("k", place("pos")).withColumn("to", place(F.xxhash64(F.lit(seed), "block", "pos"), "pos"))
-    moved = ranked.select("block", "gaps", F.col("pos").alias("from_pos"), F.col("to").alias("k")).join(ranked.select("block", "gaps", "k", F.col("pos").alias("new_pos")), ["block", "gaps", "k"])
-    met = cells.join(moved.select("block", F.col("from_pos").alias("pos"), "new_pos"), ["block", "pos"])
-    return met.groupBy("block", "org").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("new_pos", "base"))), lambda x: x["base"]), "").alias("seq"))
+    """Alignments whose columns are in a seeded order, moved only among columns with the same gaps.
+
+    A block is one row, so its rows are exchanged once and its columns never: those with the same gaps, by place and by a hash of it, stand
+    at the same numbers of two sorted lists. Rows of one organism in a block come out as one.
+    """
+    good = dealt(rows.where(F.col("block").isNotNull() & (F.col("seq") != "")).select("block", "org", "seq"), "block")
+    orgs = good.groupBy("block", "org").agg(F.collect_list(F.split("seq", "")).alias("s"), F.max(F.length("seq")).alias("w"))
+    blocks = orgs.groupBy("block").agg(F.collect_list(F.struct("org", "s")).alias("rows"), F.max("w").alias("w"))
+
+    def column(i):
+        gaps = F.flatten(F.transform("rows", lambda r: F.transform(F.filter(r["s"], lambda s: F.get(s, i) == "-"), lambda s: r["org"])))
+        return F.struct(F.array_sort(F.array_compact(gaps)).alias("gaps"), F.xxhash64(F.lit(seed), "block", i).alias("draw"), i.alias("pos"))
+
+    def exploded(df, *keep):
+        # A list is worked out once a block: an explode stands between it and the lists that read it again and again.
+        return df.select("block", *keep, F.explode(F.array("made")).alias("made"))
+
+    drawn = exploded(blocks.withColumn("made", F.array_sort(F.transform(F.sequence(F.lit(0), F.col("w") - 1), column))), "rows")
+    placed = F.array_sort(F.transform("made", lambda c: F.struct(c["gaps"].alias("gaps"), c["pos"].alias("pos"))))
+    moves = F.array_sort(F.zip_with("made", placed, lambda c, to: F.struct(to["pos"].alias("to"), c["pos"].alias("from"))))
+    moved = exploded(drawn.select("block", "rows", moves.alias("made")), "rows").select("block", "made", F.explode("rows").alias("r"))
+    letters = lambda m: F.array_sort(F.filter(F.transform("r.s", lambda s: F.coalesce(F.get(s, m["from"]), F.lit(""))), lambda c: c != ""))
+    return moved.select("block", F.col("r.org").alias("org"), F.array_join(F.flatten(F.transform("made", letters)), "").alias("seq"))
 
 
 def random_sequences(spark, n: int, length: int, gc: float = 0.5, seed: int = 1) -> DataFrame:
