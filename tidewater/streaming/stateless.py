@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,36 +49,67 @@ def run_states(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(update, f"key {kind}, runs long, n long", "last string, runs long, n long", "update", "NoTimeout")
 
 
+def told_windows(start: np.ndarray, end: np.ndarray, code: np.ndarray, names: list[str], needed: dict[str, int], width: int, stop: int, at_once: int = 1 << 14) -> Iterator[pd.DataFrame]:
+    """Frames (start, end, n, names) of the windows that begin with one of the first `stop` members, from some members at a time.
+
+    Members are sorted; code is a member's place in names.
+    """
+    low = 0
+    while low < stop:
+        # Members of one start stay together.
+        high = int(np.searchsorted(start[:stop], start[min(low + at_once, stop) - 1], "right"))
+        top = int(np.searchsorted(start, start[high - 1] + width))
+        own, ends, codes = start[low:top], end[low:top], code[low:top]
+        begins = np.unique(own[: high - low])
+        first, last = np.searchsorted(own, begins), np.searchsorted(own, begins + width)
+        good = np.ones(len(begins), bool)
+        for i, x in enumerate(names):
+            count = np.concatenate([[0], np.cumsum(codes == i)])
+            good &= count[last] - count[first] >= needed[x]
+        spans = list(zip(first[good].tolist(), last[good].tolist()))
+        if spans:
+            yield pd.DataFrame({"start": begins[good], "end": [int(ends[a:z].max()) for a, z in spans], "n": [z - a for a, z in spans], "names": [[names[c] for c in codes[a:z]] for a, z in spans]})
+        low = high
+
+
 def window_clusters(hits: DataFrame, needed: dict[str, int], width: int, slack: int = 0) -> DataFrame:
     """(chrom, start, end, n, names): the windows of motifs.motif_windows over a stream of hits (chrom, start, end, name), by position.
 
     State is a chromosome's members that a window may still need, at most those of one width and the slack, and how far it has come.
     A window is told once nothing that comes can begin in it: when a hit begins width + slack or more behind its start. Hits may
     come out of order within the slack; one that begins before windows already told is late and in none. A hit without a name only
-    moves the position on, so that one such row far behind closes all windows at a stream's end.
+    moves the position on, so that one such row far behind closes all windows at a stream's end. A batch's rows are kept as numbers
+    of those that count, and windows are handed on some at a time.
     """
 
+    names = list(needed)
+
     def update(key, frames, state):
-        members, told = ([tuple(m) for m in state.get[0]], state.get[1]) if state.exists else ([], -1)
-        rows = pd.concat(list(frames))
-        members += [(int(s), int(e), n) for s, e, n in zip(rows["start"], rows["end"], rows["name"]) if n in needed and s > told]
-        members.sort()
+        old, told = state.get if state.exists else ([], -1)
+        # What a frame leaves behind is 17 bytes a member, not its rows.
+        parts = [(np.array([m[0] for m in old], np.int64), np.array([m[1] for m in old], np.int64), np.array([names.index(m[2]) for m in old], np.int8))]
+        furthest = told
+        for rows in frames:
+            if not len(rows):
+                continue
+            furthest = max(furthest, int(rows["start"].max()) - slack - width)
+            code = np.full(len(rows), -1, np.int8)
+            for i, x in enumerate(names):
+                code[(rows["name"] == x).to_numpy()] = i
+            good = (code >= 0) & (rows["start"] > told).to_numpy()
+            parts.append((rows["start"].to_numpy()[good].astype(np.int64), rows["end"].to_numpy()[good].astype(np.int64), code[good]))
         # The first start whose window is still open.
-        reach = max([int(rows["start"].max()) - slack - width, told])
-        out, first, last = [], 0, 0
-        begins = sorted({m[0] for m in members if m[0] <= reach})
-        for b in begins:
-            while members[first][0] < b:
-                first += 1
-            last = max(last, first)
-            while last < len(members) and members[last][0] < b + width:
-                last += 1
-            inside = members[first:last]
-            names = [m[2] for m in inside]
-            if all(names.count(x) >= k for x, k in needed.items()):
-                out.append((key[0], b, max(m[1] for m in inside), len(inside), names))
-        state.update(([m for m in members if m[0] > reach], reach))
-        yield pd.DataFrame(out, columns=["chrom", "start", "end", "n", "names"])
+        reach = furthest
+        members = [np.concatenate(c) for c in zip(*parts)]
+        parts.clear()
+        order = np.lexsort((np.argsort(np.argsort(names))[members[2]], members[1], members[0])) if len(members[0]) else np.empty(0, np.int64)
+        start, end, code = (m[order] for m in members)
+        del members, order
+        rest = int(np.searchsorted(start, reach, "right"))
+        state.update(([(int(a), int(b), names[c]) for a, b, c in zip(start[rest:], end[rest:], code[rest:])], reach))
+        for out in told_windows(start, end, code, names, needed, width, rest):
+            out.insert(0, "chrom", key[0])
+            yield out
 
     kept = "members array<struct<start: long, end: long, name: string>>, told long"
     kind = hits.schema["chrom"].dataType.simpleString()
