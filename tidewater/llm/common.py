@@ -215,6 +215,33 @@ class Rolling:
         return mix(h)
 
 
+_GRAM_BASE = 0xD1342543DE82EF95
+_GRAM_BYTE = np.random.RandomState(12).randint(0, 1 << 63, 256).astype(U64) * U64(2) + np.random.RandomState(13).randint(0, 2, 256).astype(U64)
+_gram_powers = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each span of that width of a byte buffer, by its start; a polynomial modulo 2**64, a few cheap steps a byte.
+
+    Texts can be patterned to share such hashes, so they may bring spans together and order them, but never prove them equal.
+    """
+    n = len(data)
+    if len(_gram_powers[0]) < n:
+        size = max(n, 1 << 20)
+        for k, base in enumerate((_GRAM_BASE, pow(_GRAM_BASE, -1, 1 << 64))):
+            _gram_powers[k] = np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, base, U64))])
+    up, down = _gram_powers
+    sums = np.zeros(n + 1, U64)
+    terms = np.take(_GRAM_BYTE, data)
+    terms *= up[:n]
+    np.cumsum(terms, out=sums[1:])
+    h = sums[width:] - sums[: n + 1 - width]
+    h *= down[: len(h)]
+    h ^= h >> U64(32)
+    h *= _LENGTH
+    return h
+
+
 def content_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit digest of each span's own bytes, independent of Rolling; data may hold bytes or 64-bit names."""
     raw, width, digest = memoryview(np.ascontiguousarray(data).view(np.uint8)), data.itemsize, xxhash.xxh3_64_intdigest

@@ -71,13 +71,23 @@ def text_key(text: bytes) -> int:
 
 def pack_columns(rows: np.ndarray) -> bytes:
     """Anchor rows column by column; sorted grams as differences, so they compress."""
-    rows = rows[np.argsort(rows["gram"], kind="stable")]
-    texts, which = np.unique(np.stack([rows["doc"], rows["key"]], axis=1), axis=0, return_inverse=True)
+    rows = rows[np.argsort(rows["gram"])]
+    texts, which = _texts_of(rows)
     parts = [np.diff(rows["gram"], prepend=U64(0)).tobytes(), rows["ctx"].tobytes(), which.astype("<u4").tobytes(), rows["pos"].astype("<i8").tobytes(), rows["lo"].astype("<u2").tobytes(), rows["hi"].astype("<u2").tobytes(), rows["many"].astype("<u1").tobytes(), texts.astype("<i8").tobytes()]
     head = np.array([len(rows), len(texts)], "<i8").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(_planes(p, w) for p, w in zip(parts, (8, 8, 4, 8, 2, 2, 1, 8))))
 
 
+def _texts_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different texts (id, key) of the rows, and the number of each row's text among them."""
+    both = np.stack([rows["doc"], rows["key"]], axis=1)
+    _, at, which = np.unique(mix(rows["doc"].view(U64) ^ mix(rows["key"].view(U64))), return_index=True, return_inverse=True)
+    texts = both[at]
+    if np.array_equal(texts[which], both):
+        return texts, which
+    return np.unique(both, axis=0, return_inverse=True)  # two texts share the mixture
+
+
 def _planes(column: bytes, width: int) -> bytes:
     """Byte planes: high bytes that rarely change lie together."""
     return np.frombuffer(column, np.uint8).reshape(-1, width).T.tobytes()
@@ -225,8 +235,8 @@ def _packed_rows(unit: Unit, buckets: int, rows: np.ndarray) -> pa.RecordBatch:
     """The blocks of a task's anchors that stand for their class, by bucket of grams, and the ranges that are covered for sure."""
     covered, heads, _ = decide(rows, unit.mode)
     bucket = (heads["gram"] >> U64(20)) % U64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")  # 16 bits are sorted by radix
+    cuts = np.append(0, np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets)))
     blocks = [(b, pack_columns(heads[order[cuts[b] : cuts[b + 1]]])) for b in range(buckets) if cuts[b + 1] > cuts[b]]
     doc, key, start, end = _ranges_of(covered, unit.length)
     n, m = len(blocks), len(doc)

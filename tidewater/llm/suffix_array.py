@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, content_digests, fresh_name, mix, named
+from .common import U64, Rolling, content_digests, fresh_name, gram_hashes, mix, named
 from .repeats import NO_ID, SLICE_BYTES, Unit, find_repeats, packed_texts
 
 
@@ -52,24 +52,25 @@ def byte_anchors(length: int, gram: int, data: np.ndarray, offsets: np.ndarray):
     none = np.empty(0, np.int64)
     if n < length:
         return none, none, none, none, none.astype(U64), none.astype(U64)
-    roll = Rolling(data)
-    grams = roll.every(gram)
+    grams = gram_hashes(data, gram)
     bits = max(24, int(n).bit_length())
-    ranked = (grams >> U64(bits)) << U64(bits) | np.arange(len(grams), dtype=U64)
-    at = (sliding_min(ranked, length - gram + 1) & U64((1 << bits) - 1)).astype(np.int64)
-    sizes = np.diff(offsets)
-    long = sizes >= length
-    valid = np.zeros(len(at) + 1, np.int8)
-    np.add.at(valid, offsets[:-1][long], 1)
-    np.add.at(valid, offsets[1:][long] - length + 1, -1)
-    window = np.nonzero(np.cumsum(valid[:-1]) > 0)[0]
-    chosen = at[window]
-    new = np.ones(len(window), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (window[1:] != window[:-1] + 1)
-    firsts = np.nonzero(new)[0]
-    lasts = np.append(firsts[1:], len(window)) - 1
-    pos, first, last = chosen[firsts], window[firsts], window[lasts]
-    row = np.searchsorted(offsets, pos, side="right") - 1
+    low = U64((1 << bits) - 1)
+    ranked = grams & ~low
+    ranked |= np.arange(len(grams), dtype=U64)
+    at = sliding_min(ranked, length - gram + 1)
+    at &= low
+    at = at.view(np.int64)
+    # A run of windows with one anchor begins where the anchor changes or a text does, and ends before the next or with its text.
+    begins, most = offsets[:-1], offsets[1:] - length
+    new = np.ones(len(at), bool)
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    new[begins[most >= begins]] = True
+    first = np.nonzero(new)[0]
+    row = np.searchsorted(offsets, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], len(at)) - 1, most[row])
+    held = last >= first
+    first, last, row = first[held], last[held], row[held]
+    pos = at[first]
     lo, hi = pos - first, pos - last
     context = content_digests(data, first, last + length)
     return row, pos - offsets[row], lo, hi, grams[pos], mix(context ^ mix((lo.astype(U64) << U64(32)) ^ hi.astype(U64)))
@@ -86,8 +87,9 @@ def suffix_ranks(text: np.ndarray, piece_end: np.ndarray, depth: int) -> np.ndar
 
     def ranked(key):
         order = np.argsort(key)
+        met = key[order]
         new = np.ones(n, bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
+        np.not_equal(met[1:], met[:-1], out=new[1:])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         return rank
