@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import common, recompression, repeats, suffix_array
@@ -229,3 +230,12 @@ def test_anchors_of_all_windows():
         assert set(found) == {(r, k) for r, t in enumerate(texts) for k in range(len(t) - length + 1)}
         for (row, begin), anchor in found.items():
             assert seen.setdefault(texts[row][begin : begin + length], anchor) == anchor
+
+
+def test_merged_lists():
+    """As each list's own merge, nulls and empty lists included, whatever the batch's offset."""
+    dice = random.Random(4)
+    lists = [None if dice.random() < 0.2 else [{"start": (a := dice.randrange(30)), "end": a + dice.randint(1, 6)} for _ in range(dice.randrange(8))] for _ in range(100)]
+    column = pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    for part, rows in ((column, lists), (column[7:50], lists[7:50]), (column[:0], [])):
+        assert suffix_array.merged_lists(part) == [suffix_array.merged(x) for x in rows]

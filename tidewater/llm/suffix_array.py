@@ -25,8 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, content_digests, fresh_name, gram_hashes, mix, named
-from .repeats import NO_ID, SLICE_BYTES, Unit, find_repeats, packed_texts
+from .common import U64, Rolling, content_digests, fresh_name, gram_hashes, mix, named, wide_arrow
+from .repeats import NO_ID, SLICE_BYTES, Unit, find_repeats, merge_ranges, packed_texts
 
 
 #: Bytes of the strings whose copies the query reports beside those of 400: a passage of some 40 words.
@@ -188,6 +188,17 @@ def byte_unit(length: int, mode: str, factors: bool = True) -> Unit:
     return Unit(length, mode, SLICE_BYTES, anchors, windows, partial(byte_contents, length), partial(resolve_bytes, length, mode), LOT_BYTES)
 
 
+def merged_lists(column: pa.Array) -> list[list[tuple[int, int]]]:
+    """Maximal runs of each row of a column of span lists; a batch's spans are merged at once."""
+    column = wide_arrow(column)
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, end = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in column.flatten().flatten())
+    row = np.repeat(np.arange(len(column)), counts)
+    row, _, start, end = merge_ranges(row, np.zeros_like(row), start, end)
+    runs, cuts = list(zip(start.tolist(), end.tolist())), np.searchsorted(row, np.arange(len(column) + 1)).tolist()
+    return [runs[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+
+
 def merged(spans) -> list[tuple[int, int]]:
     """Maximal runs of a list of spans."""
     out: list[list[int]] = []
@@ -238,10 +249,10 @@ def substring_repeats(docs: DataFrame, length: int = 400, mode: str = "all", id_
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = {"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "removed": [], **{name: [] for name, _ in extra}}
-            for doc, packed, spans, *short in zip(*(c.to_pylist() for c in batch.columns)):
-                raw, runs = unpack.decompress(packed), merged(spans)
-                if short:
-                    out["n_shared"].append(sum(b - a for a, b in merged(short[0])))
+            if shared is not None:
+                out["n_shared"] = [sum(b - a for a, b in runs) for runs in merged_lists(batch.column(3))]
+            for doc, packed, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), merged_lists(batch.column(2))):
+                raw = unpack.decompress(packed)
                 for name, value in zip(out, (None if doc == NO_ID else doc, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(cut_out(raw, runs)).hexdigest(), [{"start": a, "end": b} for a, b in runs])):
                     out[name].append(value)
             kinds = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *extra])
@@ -270,9 +281,9 @@ def substring_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
         for batch in batches:
             texts, keep = [], []
             null_marks, *rest = batch.column(2).flatten()
-            for packed, spans, null in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), null_marks.to_pylist()):
+            for packed, spans, null in zip(batch.column(0).to_pylist(), merged_lists(batch.column(1)), null_marks.to_pylist()):
                 raw = unpack.decompress(packed)
-                left = cut_out(raw, whole_characters(raw, merged(spans)))
+                left = cut_out(raw, whole_characters(raw, spans))
                 keep.append(not spans or bool(left.strip()))
                 texts.append(None if null else left.decode())
             columns = dict(zip(others, rest)) | {text: pa.array(texts, pa.string())}
